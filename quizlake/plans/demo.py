@@ -1 +1,279 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""The engine's operators over the driver's tables, each with SQL for the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quizlake.functions import scalars as S
+from quizlake.operators import merge, quality, report
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def register(f):
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
+        return f
+
+    return register
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def n(c: str | None = None):
+    return F.count(c or "*")
+
+
+@query("SELECT o_orderkey, count(l_orderkey) AS n, count(l_orderkey) >= 4 AND coalesce(bool_and(l_returnflag <> 'R'), true) AS ready FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def publishable_orders(spark, d):
+    """The publish gate: a count and a condition on every row of a group, empty groups included."""
+    per = t(spark, d, "lineitem").groupBy("l_orderkey").agg(n().alias("n"), F.every(F.coalesce(F.col("l_returnflag") != "R", F.lit(False))).alias("fit"))
+    rows = t(spark, d, "orders").select("o_orderkey").join(per, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return rows.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n"), ((F.coalesce("n", F.lit(0)) >= 4) & F.coalesce("fit", F.lit(True))).alias("ready"))
+
+
+_DIGEST = "SELECT doc_id, sha256(text) AS digest, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS r, first_value(doc_id) OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS same_as FROM documents"
+
+
+def _firsts(spark, d):
+    """The first document of each content: counted before the shuffle, so a text that many share is one row."""
+    rows = t(spark, d, "documents").select("doc_id", S.file_digest(F.col("text").cast("binary")).alias("digest"))
+    return rows, rows.groupBy("digest").agg(F.min("doc_id").alias("same_as"))
+
+
+@query(f"SELECT doc_id, digest FROM ({_DIGEST}) WHERE r = 1")
+def dedup_first(spark, d):
+    return _firsts(spark, d)[1].select(F.col("same_as").alias("doc_id"), "digest")
+
+
+@query(f"SELECT doc_id, digest, same_as FROM ({_DIGEST}) WHERE r > 1")
+def dedup_same_as(spark, d):
+    rows, first = _firsts(spark, d)
+    return rows.join(first, "digest").where("doc_id > same_as").select("doc_id", "digest", "same_as")
+
+
+@query(r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS base, contains(url, '?') AS is_copy FROM pages)
+    SELECT base, page_id, is_copy FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY is_copy, url, page_id) AS r FROM p) WHERE r = 1""")
+def original_first(spark, d):
+    p = t(spark, d, "pages").select("page_id", "url", F.regexp_extract("url", "://([^/?#]*)", 1).alias("base"), F.contains("url", F.lit("?")).alias("is_copy"))
+    best = p.groupBy("base").agg(F.min(F.struct("is_copy", "url", "page_id")).alias("b"))
+    return best.select("base", "b.page_id", "b.is_copy")
+
+
+@query("SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS section FROM events")
+def section_fill(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return t(spark, d, "events").select("event_id", "user_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("section"))
+
+
+@query("SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS section FROM conversations")
+def turn_section(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    return t(spark, d, "conversations").select("conv_id", "turn", "role", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("section"))
+
+
+@query("SELECT conv_id, CAST(count_if(role = 'user') AS BIGINT) AS users, CAST(count_if(role = 'assistant') AS BIGINT) AS assistants, count(*) AS n FROM conversations GROUP BY conv_id")
+def section_counts(spark, d):
+    return t(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("users"), F.count_if(F.col("role") == "assistant").alias("assistants"), n().alias("n"))
+
+
+@query("SELECT source, digest, row_number() OVER (PARTITION BY source ORDER BY first_id) AS version FROM (SELECT source, substr(sha256(text), 1, 16) AS digest, min(doc_id) AS first_id FROM documents GROUP BY 1, 2)")
+def version_numbers(spark, d):
+    rows = t(spark, d, "documents").select("source", "doc_id", F.substring(S.file_digest(F.col("text").cast("binary")), 1, 16).alias("digest"))
+    first = rows.groupBy("source", "digest").agg(F.min("doc_id").alias("first_id"))
+    return first.select("source", "digest", F.row_number().over(Window.partitionBy("source").orderBy("first_id")).cast("long").alias("version"))
+
+
+def _slices(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    old = o.where("o_orderkey % 3 <> 0")
+    new = o.where("o_orderkey % 4 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")))
+    return old, new
+
+
+_UPSERT = """WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders), a AS (SELECT * FROM o WHERE o_orderkey % 3 <> 0),
+    b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM o WHERE o_orderkey % 4 <> 0)
+    SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, coalesce(b.o_orderstatus, a.o_orderstatus) AS o_orderstatus, coalesce(b.o_orderpriority, a.o_orderpriority) AS o_orderpriority,
+           CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NOT NULL AND (a.o_orderstatus <> b.o_orderstatus OR a.o_orderpriority <> b.o_orderpriority) THEN 'updated' END AS change
+    FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey"""
+
+
+@query(_UPSERT)
+def upsert_diff(spark, d):
+    old, new = _slices(spark, d)
+    return merge.upsert(old, new, ["o_orderkey"], ["o_orderstatus", "o_orderpriority"])
+
+
+@query(f"SELECT change, count(*) AS n FROM ({_UPSERT}) WHERE change IS NOT NULL GROUP BY change")
+def change_report(spark, d):
+    out = upsert_diff(spark, d)
+    return report.total([report.counted(out.where(F.col("change") == c), c) for c in ("added", "updated")])
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, 'N' FROM orders WHERE o_orderkey % 3 = 0")
+def insert_if_absent(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    old = o.where("o_orderkey % 3 <> 0")
+    return old.unionByName(merge.insert_if_absent(old, o.withColumn("o_orderstatus", F.lit("N")), ["o_orderkey"]))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def withdraw_anti(spark, d):
+    return merge.split_by_match(t(spark, d, "documents").select("doc_id", "source"), t(spark, d, "labels"), ["doc_id"])[1]
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def covered_semi(spark, d):
+    r = t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return t(spark, d, "orders").select("o_orderkey", "o_custkey").join(r, "o_orderkey", "left_semi")
+
+
+@query("SELECT doc_id, quality IS NULL AS stale FROM documents LEFT JOIN labels USING (doc_id)")
+def stale_split(spark, d):
+    return t(spark, d, "documents").select("doc_id").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.col("quality").isNull().alias("stale"))
+
+
+@query("""WITH a AS (SELECT doc_id, nullif(lang, 'en') AS lang FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id - 1 AS doc_id, nullif(lang, 'en') AS lang FROM documents WHERE doc_id % 2 = 1)
+    SELECT a.doc_id, a.lang FROM a JOIN b ON a.doc_id = b.doc_id AND a.lang IS NOT DISTINCT FROM b.lang""")
+def null_safe_match(spark, d):
+    x = t(spark, d, "documents").select("doc_id", F.nullif("lang", F.lit("en")).alias("lang"))
+    b = x.where("doc_id % 2 = 1").select((F.col("doc_id") - 1).alias("b_id"), F.col("lang").alias("b_lang"))
+    return x.where("doc_id % 2 = 0").join(b, (F.col("doc_id") == F.col("b_id")) & F.col("lang").eqNullSafe(F.col("b_lang"))).select("doc_id", "lang")
+
+
+@query("SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'purchase' ELSE max_by(event_type, row(ts, event_id)) END AS status FROM events GROUP BY user_id")
+def sticky_status(spark, d):
+    g = t(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("all"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
+    return g.select("user_id", merge.sticky(F.lit(None).cast("string"), "purchase", F.col("all"), F.col("last")).alias("status"))
+
+
+@query("SELECT user_id, max_by(event_id, row(ts, event_id)) AS event_id, max_by(event_type, row(ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def last_wins(spark, d):
+    return merge.last_by(t(spark, d, "events").withColumn("ord", F.struct("ts", "event_id")), ["user_id"], ["event_id", "event_type"])
+
+
+_REASONS = "concat_ws('; ', CASE WHEN l_quantity > 45 THEN 'quantity' END, CASE WHEN l_discount > 0.08 THEN 'discount' END, CASE WHEN l_returnflag = 'R' THEN 'returned' END)"
+
+
+def _reasons():
+    return F.concat_ws("; ", F.when(F.col("l_quantity") > 45, "quantity"), F.when(F.col("l_discount") > 0.08, "discount"), F.when(F.col("l_returnflag") == "R", "returned"))
+
+
+@query(f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {_REASONS} AS reasons FROM lineitem")
+def reasons(spark, d):
+    return t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", _reasons().alias("reasons"))
+
+
+@query(f"SELECT {_REASONS} = '' AS accepted, count(*) AS n FROM lineitem GROUP BY 1")
+def accepted_split(spark, d):
+    return t(spark, d, "lineitem").groupBy((_reasons() == "").alias("accepted")).agg(n().alias("n"))
+
+
+@query("SELECT o_custkey, CAST(sum(greatest(0, 5 - n)) AS BIGINT) AS deficit FROM (SELECT o_custkey, o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2) GROUP BY o_custkey")
+def deficit_sum(spark, d):
+    per = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(n().alias("n"))
+    rows = t(spark, d, "orders").select("o_custkey", "o_orderkey").join(per, "o_orderkey", "left")
+    return rows.groupBy("o_custkey").agg(F.sum(S.clamped(F.lit(5) - F.coalesce("n", F.lit(0)))).alias("deficit"))
+
+
+@query("SELECT o_orderpriority, CAST(count_if(o_orderstatus = 'F') AS BIGINT) AS ready, count(*) AS total FROM orders GROUP BY o_orderpriority")
+def ready_of_total(spark, d):
+    return t(spark, d, "orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("ready"), n().alias("total"))
+
+
+@query("SELECT c_custkey, coalesce(string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey), '') AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def nested_orders(spark, d):
+    o = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("list"))
+    rows = t(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left")
+    return rows.select("c_custkey", F.coalesce(F.array_join(F.transform("list", lambda x: F.concat_ws(":", x["o_orderkey"].cast("string"), x["o_orderstatus"])), ","), F.lit("")).alias("orders"))
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 16) || '…' AS digest FROM documents")
+def hash_prefix(spark, d):
+    return t(spark, d, "documents").select("doc_id", S.short_digest(S.file_digest(F.col("text").cast("binary"))).alias("digest"))
+
+
+@query("SELECT doc_id, substr(sha256('[' || to_json(CAST(doc_id AS VARCHAR)) || ', ' || to_json(lang) || ', null, [[' || to_json(source) || ', null]]]'), 1, 16) AS content_hash FROM documents")
+def content_hashes(spark, d):
+    options = F.array(F.struct(F.lit("A").alias("label"), F.col("source").alias("text"), F.lit(None).cast("string").alias("image")))
+    return t(spark, d, "documents").select("doc_id", S.content_hash(F.col("doc_id").cast("string"), F.col("lang"), F.lit(None).cast("string"), options).alias("content_hash"))
+
+
+@query(r"""SELECT page_id, CAST(length(trim(html)) AS BIGINT) AS n_chars, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS n_blocks, regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang,
+    CASE WHEN starts_with(url, 'https://') THEN '/assets/' || substr(url, 9) ELSE url END AS path, length(trim(html)) < 20 AS is_ad FROM pages""")
+def text_probe(spark, d):
+    h, u = F.col("html"), F.col("url")
+    return t(spark, d, "pages").select(
+        "page_id", F.length(F.trim(h)).cast("long").alias("n_chars"), F.regexp_count(h, F.lit("<p>")).cast("long").alias("n_blocks"), F.regexp_extract(h, 'lang="([a-z]+)"', 1).alias("lang"),
+        F.when(u.startswith("https://"), F.concat(F.lit("/assets/"), F.substring(u, 9, 1 << 30))).otherwise(u).alias("path"), (F.length(F.trim(h)) < 20).alias("is_ad"),
+    )
+
+
+@query("SELECT event_id, ((c >> 8) & 255) > (c >> 16) + 40 AS is_green FROM (SELECT event_id, CAST((event_id * 7919) % 16777216 AS INTEGER) AS c FROM events)")
+def color_bits(spark, d):
+    return t(spark, d, "events").select("event_id", S.is_green(((F.col("event_id") * 7919) % 16777216).cast("int")).alias("is_green"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d_%H%M') AS paper_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def paper_key(spark, d):
+    return t(spark, d, "events").select("event_id", S.paper_id(F.date_format("ts", "dd.MM.yyyy"), F.date_format("ts", "HHmm")).alias("paper_id"), F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT event_id, lpad(CAST(hour(ts) AS VARCHAR), 2, '0') || strftime(ts, '%M') AS slot FROM events")
+def hhmm_slot(spark, d):
+    ts = F.col("ts")
+    return t(spark, d, "events").select("event_id", S.to_hhmm(F.date_format(ts, "hh"), F.date_format(ts, "mm"), F.when(F.hour(ts) >= 12, "PM").otherwise("AM")).alias("slot"))
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING'")
+def listing(spark, d):
+    out = t(spark, d, "customer")
+    for column, value in (("c_mktsegment", "building"), ("c_name", "")):
+        if value:
+            out = out.where(F.col(column) == value.upper())
+    return out.select("c_custkey", "c_name", "c_nationkey").orderBy("c_custkey")
+
+
+@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'U' WHEN '2-HIGH' THEN 'H' ELSE o_orderpriority END AS code FROM orders")
+def enum_map(spark, d):
+    codes = F.create_map(F.lit("1-URGENT"), F.lit("U"), F.lit("2-HIGH"), F.lit("H"))
+    return t(spark, d, "orders").select("o_orderkey", F.coalesce(F.element_at(codes, F.col("o_orderpriority")), F.col("o_orderpriority")).alias("code"))
+
+
+@query("""SELECT p_partkey, 'brand' AS kind, p_brand AS path FROM part WHERE p_size > 10 UNION ALL SELECT p_partkey, 'type', p_type FROM part WHERE p_size > 25
+    UNION ALL SELECT p_partkey, 'name', p_name FROM part WHERE p_retailprice > 1000""")
+def assets_union(spark, d):
+    one = lambda kind, c, ok: F.struct(F.lit(kind).alias("kind"), F.when(ok, F.col(c)).alias("path"))
+    every = F.array(one("brand", "p_brand", F.col("p_size") > 10), one("type", "p_type", F.col("p_size") > 25), one("name", "p_name", F.col("p_retailprice") > 1000))
+    return t(spark, d, "part").select("p_partkey", F.explode(F.filter(every, lambda x: x["path"].isNotNull())).alias("a")).select("p_partkey", "a.*")
+
+
+@query("SELECT c_nationkey AS nationkey FROM customer UNION SELECT s_nationkey FROM supplier")
+def covered_union(spark, d):
+    return t(spark, d, "customer").select(F.col("c_nationkey").alias("nationkey")).union(t(spark, d, "supplier").select("s_nationkey")).distinct()
+
+
+@query("SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)")
+def fk_check(spark, d):
+    return quality.orphans(t(spark, d, "nation"), "n_regionkey", t(spark, d, "region"), "r_regionkey").select("n_nationkey", "n_regionkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def unique_check(spark, d):
+    return quality.repeated(t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN ('F', 'O') OR length(o_orderpriority) > 8 OR o_custkey IS NULL")
+def domain_checks(spark, d):
+    o = t(spark, d, "orders")
+    parts = [quality.broken(o, "o_orderstatus in ('F', 'O')"), quality.too_long(o, "o_orderpriority", 8), quality.nulls(o, ["o_custkey"])]
+    return parts[0].union(parts[1]).union(parts[2]).select("o_orderkey").distinct()
+
+
+@query("SELECT count(o_orderkey) AS questions FROM orders")
+def count_all(spark, d):
+    return t(spark, d, "orders").agg(F.count("o_orderkey").alias("questions"))
