@@ -38,8 +38,12 @@ def materialize(df: DataFrame, name: str, spark: SparkSession | None = None) ->
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of df; for a scan, the size of the files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of df: for a scan, the size of the files. Where it has none, by a count of rows.
+
+    It sets numbers of shards only; results don't depend on it.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 2000 * df.count()
 
 
 def shards_for(df: DataFrame, per_shard: int, least: int = 16, most: int = 200_000) -> int:

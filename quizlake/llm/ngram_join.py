@@ -88,6 +88,12 @@ class MinHash:
         return out
 
 
+def set_sums(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A sum over each set that tells sets apart; 0 for an empty one."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h))])
+    return sums[ends] - sums[starts]
+
+
 def signatures(docs: DataFrame, minhash: MinHash, words: int) -> DataFrame:
     """doc_id, a, b, n (the key of the n-gram set) and its buckets, for documents that have n-grams."""
 
@@ -101,7 +107,7 @@ def signatures(docs: DataFrame, minhash: MinHash, words: int) -> DataFrame:
             ends, n = ends[has], n[has]
             starts = ends - n
             ids = batch.column(0).filter(pa.array(has))
-            a, b = np.add.reduceat(mix(h), starts), np.bitwise_xor.reduceat(mix(h * np.uint64(0xD6E8FEB86659FD93)), starts)
+            a, b = set_sums(h, starts, ends), np.bitwise_xor.reduceat(mix(h * np.uint64(0xD6E8FEB86659FD93)), starts)
             sig = minhash.buckets(h, ends).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * minhash.bands), pa.array(sig.ravel()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n.astype(np.int64)), lists], names=["doc_id", "a", "b", "n", "buckets"])
@@ -230,7 +236,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     A link is a pair of documents whose n-gram sets have at least the threshold of Jaccard similarity, exact copies among
     them; n_links counts a document's, and class_id is the smallest doc_id that links lead to. A null text or one without
     words has no links and is its own class, as has a row with a null doc_id, whose class is null. Repeated rows are
-    documents each, and link. An empty table gives no rows; other columns are ignored.
+    documents each, and link; texts that differ under one doc_id add up their links with others. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -239,32 +245,36 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     sigs = materialize(signatures(base.where("doc_id is not null"), minhash, words), "signatures", spark)
     reps = materialize(sigs.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("buckets").alias("buckets")), "representatives", spark)
 
-    members = reps.select("rep", F.explode("buckets").alias("bucket"))
+    members = reps.select("rep", "a", F.explode("buckets").alias("bucket"))
     full = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket", F.ceil(F.col("m") / block).cast("long").alias("blocks"))
     placed = members.join(full, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long"))
-    dealt = placed.join(reps.select("rep", "buckets"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "buckets")
+    dealt = placed.join(reps.select("rep", "a", "buckets"), ["rep", "a"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "a", "buckets")
 
     def need(key, rep, sig, extra):
         own = extra["block"].to_numpy()
         left, right, ok = _sides(key, own, sig)
         rows = np.union1d(left[ok.any(axis=1)], right[ok.any(axis=0)])
-        return [(int(key[0]), int(key[1]), int(key[2]), int(own[x]), int(rep[x])) for x in rows]
+        a = extra["a"].to_numpy()
+        return [(int(key[0]), int(key[1]), int(key[2]), int(own[x]), int(rep[x]), int(a[x])) for x in rows]
 
-    needed = materialize(_grouped(dealt, "bucket long, i long, j long, block long, rep long", ["bucket", "i", "j", "block", "rep"], need), "needed", spark)
+    needed = materialize(_grouped(dealt, "bucket long, i long, j long, block long, rep long, a long", ["bucket", "i", "j", "block", "rep", "a"], need), "needed", spark)
 
     def sets():
         def step(batch):
             h, ends = shingles(texts(batch.column(1)), words)
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in range(2, batch.num_columns)), pa.array([h[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], names=["rep", "copies", "buckets", "grams"])
+            sums = set_sums(h, starts, ends)
+            mine = pa.array(sums.view(np.int64) == batch.column(2).to_numpy())  # another text of the same doc_id isn't it
+            out = pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in range(2, batch.num_columns)), pa.array([h[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], names=["rep", "a", "copies", "buckets", "grams"])
+            yield out.filter(mine)
 
         return step
 
-    wanted = reps.join(needed.select("rep").distinct(), "rep", "left_semi")
+    wanted = reps.join(needed.select("rep", "a").distinct(), ["rep", "a"], "left_semi").select("rep", "a", "copies", "buckets")
     text_of = base.join(wanted, base["doc_id"] == wanted["rep"])
-    with_sets = arrow_map(text_of.select(F.col("rep"), "text", "copies", "buckets"), "rep long, copies long, buckets array<long>, grams binary", sets)
-    judged = needed.join(with_sets, "rep").select("bucket", "i", "j", "block", "rep", "buckets", "copies", "grams")
+    with_sets = arrow_map(text_of.select("rep", "text", "a", "copies", "buckets"), "rep long, a long, copies long, buckets array<long>, grams binary", sets).dropDuplicates(["rep", "a"])
+    judged = needed.join(with_sets, ["rep", "a"]).select("bucket", "i", "j", "block", "rep", "buckets", "copies", "grams")
 
     def verify(key, rep, sig, extra):
         grams = [np.frombuffer(x.as_py(), np.uint64) for x in extra["grams"]]
