@@ -53,7 +53,7 @@ def _as_table(df: DataFrame, table: str) -> DataFrame:
 
 def load_exam_pattern(pattern: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     spark = pattern.sparkSession
-    default = _as_table(spark.createDataFrame([(s, *DEFAULT_PATTERN.values()) for s in SECTIONS], "section string, " + ", ".join(f"{k} double" for k in DEFAULT_PATTERN)), "exam_pattern")
+    default = _as_table(spark.createDataFrame([(s, *map(float, DEFAULT_PATTERN.values())) for s in SECTIONS], "section string, " + ", ".join(f"{k} double" for k in DEFAULT_PATTERN)), "exam_pattern")
     new = insert_if_absent(pattern, default, ["section"])
     return pattern.unionByName(new), [R.counted(new, "exam_pattern added")]
 
@@ -209,4 +209,4 @@ def load_all(bank: dict[str, DataFrame], inputs: Inputs) -> tuple[dict[str, Data
     bank = dict(bank, question_versions=bank["question_versions"].persist())
     bank, more = publish_mocks(bank)
     parts += more
-    return dict(bank, mocks=bank["mocks"].persist()), R.total(parts)
+    return dict(bank, mocks=bank["mocks"].persist()), R.total(parts).persist()

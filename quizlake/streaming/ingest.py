@@ -15,10 +15,11 @@ from quizlake.sources import snapshot
 def stream_verifications(spark: SparkSession, folder: str, bank_root: str, checkpoint: str) -> StreamingQuery:
     """Loads new files of a folder as they come; a batch that is run again changes nothing. Verdicts aren't withdrawn here, as a batch doesn't see all."""
     stream = spark.readStream.schema(schemas.VERIFICATION_RECORD).json(folder)
-    stream = stream.select("*", F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("ord"))
+    stream = stream.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
 
     def one(batch: DataFrame, _: int) -> None:
-        records = batch.persist()
+        place = F.struct(F.col("_path").alias("path"), F.col("_block").alias("block"), F.monotonically_increasing_id().alias("line"))
+        records = batch.withColumn("ord", place).drop("_path", "_block").persist()
         bank, _covered, parts = load.load_verifications(snapshot.read(batch.sparkSession, bank_root), records)
         bank, more = load.publish_mocks(bank)
         if R.changed(R.total([*parts, *more])):
