@@ -237,7 +237,8 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shards: int | None = None) -> DataFrame:
     """doc_id, mark (crc32 of the text), found and hits: extents and window starts that occur in smaller doc_ids.
 
-    docs: doc_id (not null) and text. A batch settles what its own documents show: an anchor whose extent is in a smaller
+    docs: doc_id, text and mark, none null; the second round joins it as the caller joins the result, so that both share
+    one shuffle of the texts. A batch settles what its own documents show: an anchor whose extent is in a smaller
     doc_id of the batch is found, one of which only the seed is goes straight to the second round. So a passage that a
     third of all documents share sends one row for each batch.
     """
@@ -289,7 +290,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shards
         values["a"], values["more"] = a[use], more[use] & 127
         yield from _batches(_answers(doc[use], mark[use], found[use], values))
 
-    answers = _per_shard(arrow_map(docs, _ROUTED_DDL, index), scan)
+    long_enough = docs.select("doc_id", "text").where(F.octet_length("text") >= length)
+    answers = _per_shard(arrow_map(long_enough, _ROUTED_DDL, index), scan)
     some = lambda c: F.filter(F.collect_list(c), lambda x: F.octet_length(x) > 0)
     first_round = materialize(answers.groupBy("doc_id", "mark").agg(some("found").alias("found"), some("open").alias("open")), "repeat-anchors")
 
@@ -331,8 +333,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shards
         yield from _batches(_answers(doc[hit], mark[hit], np.ones(int(hit.sum()), bool), at[hit]))
 
     open_docs = first_round.where("size(open) > 0").select("doc_id", "mark", "open")
-    second = docs.withColumn("mark", F.crc32(F.col("text").cast("binary")))
-    hits = _per_shard(arrow_map(second.join(open_docs, ["doc_id", "mark"]).select("doc_id", "text", "open"), _ROUTED_DDL, windows), settle).groupBy("doc_id", "mark").agg(F.collect_list("found").alias("hits"))
+    hits = _per_shard(arrow_map(docs.join(open_docs, ["doc_id", "mark"]).select("doc_id", "text", "open"), _ROUTED_DDL, windows), settle).groupBy("doc_id", "mark").agg(F.collect_list("found").alias("hits"))
     return first_round.where("size(found) > 0").select("doc_id", "mark", "found").join(hits, ["doc_id", "mark"], "full")
 
 
@@ -346,9 +347,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     """
     prepare(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = find_repeats(base.where(f"doc_id is not null and octet_length(text) >= {length}"), length, seed)
+    ordered = base.withColumn("mark", F.crc32(F.col("text").cast("binary"))).where("doc_id is not null and mark is not null")
+    marks = find_repeats(ordered, length, seed)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
-    final = base.withColumn("mark", F.crc32(F.col("text").cast("binary"))).join(marks, ["doc_id", "mark"], "left").select("doc_id", "text", "found", "hits")
+    final = ordered.join(marks, ["doc_id", "mark"], "left").select("doc_id", "text", "found", "hits")
+    aside = base.where("doc_id is null or text is null").select("doc_id", "text", *[F.array().cast("array<binary>").alias(c) for c in ("found", "hits")])
+    final = final.unionByName(aside)
 
     def cut():
         def step(batch):
