@@ -171,18 +171,24 @@ def _routed(shards: int, rows: list[tuple[int, bytes]], answers):
         yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.nulls(len(doc), pa.binary()), doc, mark, found, open_], schema=_ROUTED)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, and so on: the high bytes of places are alike, so the shuffle packs them well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
 def _pack_table(local: np.ndarray, doc: np.ndarray, mark: np.ndarray, *columns: np.ndarray) -> bytes:
     """Columns of a batch's rows with a table of its documents; local: the row's document in the table, ascending."""
     used, place = np.unique(local, return_inverse=True)
-    return b"".join([struct.pack("<II", len(used), len(local)), doc[used].astype("<i8").tobytes(), mark[used].astype("<u4").tobytes(), place.astype("<u2").tobytes(), *(c.tobytes() for c in columns)])
+    return b"".join([struct.pack("<II", len(used), len(local)), doc[used].astype("<i8").tobytes(), mark[used].astype("<u4").tobytes(), _planes(place.astype("<u2")), *map(_planes, columns)])
 
 
 def _unpack_table(blob: bytes, *kinds: str) -> list[np.ndarray]:
     m, n = struct.unpack_from("<II", blob)
-    at, out = 8, []
-    for kind, count in (("<i8", m), ("<u4", m), ("<u2", n), *((k, n) for k in kinds)):
-        out.append(np.frombuffer(blob, kind, count, at))
-        at += out[-1].nbytes
+    at, out = 8 + 12 * m, [np.frombuffer(blob, "<i8", m, 8), np.frombuffer(blob, "<u4", m, 8 + 8 * m)]
+    for kind in ("<u2", *kinds):
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel())
+        at += n * size
     return [out[0][out[2]], out[1][out[2]], *out[3:]]
 
 
