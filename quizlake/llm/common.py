@@ -50,6 +50,14 @@ def shards_for(df: DataFrame, per_shard: int, least: int = 16, most: int = 200_0
     return max(least, min(most, math.ceil(estimated_bytes(df) / per_shard)))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column has it; Spark takes names of either case as one."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fold_of(doc_id, n: int):
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))

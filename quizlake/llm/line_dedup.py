@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlake.llm.common import arrow_map, prepare
+from quizlake.llm.common import arrow_map, free_name, prepare
 
 RUN = 3
 
@@ -66,31 +66,34 @@ def drop_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
 
     Lines are what line feeds part; an empty text is one empty line, a null text stays null with no lines, and a row with a
     null doc_id is kept as it is. A text of fewer than ``run`` lines loses nothing. Rows that share a doc_id are one
-    document to the order: what repeats between them at the same line stays. An empty table gives no rows.
+    document to the order: what repeats between them at the same line stays. An empty table gives no rows. Columns of docs
+    that are named n_lines or n_removed give way to the results.
     """
     prepare(docs.sparkSession)
-    base = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    base = docs.drop("n_lines", "n_removed").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     found = repeated_runs(base, run)
-    joined = base.join(found.select(F.col("doc_id").alias("_id"), F.col("starts").alias("_starts")), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     names = base.columns
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "n_lines long, n_removed long"])
+    other, starts = free_name(names, "_id"), free_name(names, "_starts")
+    joined = base.join(found.select(F.col("doc_id").alias(other), F.col("starts").alias(starts)), F.col("doc_id") == F.col(other), "left")
+    plain = [f"c{i}" for i in range(len(names))]  # a column's name may hold a dot
+    ddl = ", ".join([*(f"{c} {f.dataType.simpleString()}" for c, f in zip(plain, base.schema, strict=True)), "n_lines long, n_removed long"])
     at = names.index("text")
 
     def cut():
         def step(batch):
             kept, total, removed = [], [], []
-            for text, starts in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+            for text, begins in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 if text is None:
                     kept.append(None), total.append(0), removed.append(0)
                     continue
                 lines = lines_of(text)
-                gone = {s + j for s in starts or () for j in range(run)}
+                gone = {s + j for s in begins or () for j in range(run)}
                 kept.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
                 total.append(len(lines))
                 removed.append(len(gone))
             cols = [pa.array(kept, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[*plain, "n_lines", "n_removed"])
 
         return step
 
-    return arrow_map(joined.select(*names, "_starts"), ddl, cut)
+    return arrow_map(joined.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, plain, strict=True)], starts), ddl, cut).toDF(*names, "n_lines", "n_removed")
