@@ -15,7 +15,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at its threshold or over; it learns from the labels of the stage's documents."""
     model = quality.fit(docs, quality.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return quality.score(docs.withColumn("_row", F.struct(*COLUMNS)), model, ["_row"]).where(F.col("score") >= quality.THRESHOLD).select("_row.*")
+    return quality.score(docs.select("text", F.struct(*COLUMNS).alias("_row")), model, ["_row"]).where(F.col("score") >= quality.THRESHOLD).select("_row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +26,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class; documents without an id or words are classes of their own."""
+    """The document with the smallest doc_id of each class; documents without an id or words are classes of their own.
+
+    Rows that share a doc_id are one document here: they stay or go together.
+    """
+    docs = docs.select(*COLUMNS)
     classes = ngram_join.join(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(classes, F.col("doc_id") == F.col("_id"), "left_anti").select(*COLUMNS)
+    return docs.join(classes, F.col("doc_id") == F.col("_id"), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
