@@ -16,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizlake.llm.common import arrow_map, prepare, texts
+from quizlake.llm.common import arrow_map, materialize, prepare, texts
 
 PATHS_PER_PAGE = 3
 PATHS_PER_HOST = 8
+#: Paths of all hosts up to this size go to every task; beyond it pages are dealt by host and one of SALTS numbers.
+BROADCAST_BYTES = 16_000_000
+SALTS = 32
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<!\[CDATA\[", re.S)
 _CLASS = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -172,7 +175,8 @@ def extract(pages: DataFrame) -> DataFrame:
     A null or empty html has the empty text; pages of a null or unreadable URL vote together; repeated rows are read each;
     ties between paths go to the deeper, then to the one that sorts first; an empty table gives no rows; other columns are
     ignored. Votes are summed for each host and path before they are dealt out, and a host keeps its best paths only as
-    far as ranking needs them, so a host with a third of the pages is one small row.
+    far as ranking needs them, so a host with a third of the pages is one small row. The paths are written, and their size
+    decides how pages get them: small ones are broadcast and pages stay where they are; else a host's pages are salted.
     """
     prepare(pages.sparkSession)
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("host"))
@@ -193,6 +197,14 @@ def extract(pages: DataFrame) -> DataFrame:
     rank = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc(F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))), "path")
     paths = votes.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= PATHS_PER_HOST).groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "path"))), lambda x: x["path"]).alias("paths"))
 
+    paths = materialize(paths, "host-paths")
+    size = paths.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length(F.array_join("paths", "")) + 64), F.lit(0))).head()[0]
+    if size <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(paths), "host", "left")
+    else:
+        salted = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+
     def read():
         def step(batch):
             out = []
@@ -208,4 +220,4 @@ def extract(pages: DataFrame) -> DataFrame:
         return step
 
     kind = dict(rows.dtypes)["page_id"]
-    return arrow_map(rows.join(paths, "host", "left").select("page_id", "url", "html", "paths"), f"page_id {kind}, url string, text string", read)
+    return arrow_map(joined.select("page_id", "url", "html", "paths"), f"page_id {kind}, url string, text string", read)

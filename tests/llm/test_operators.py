@@ -290,6 +290,10 @@ def test_html_text(spark):
     assert all(got[i] == want for i in range(6))
     assert got[7] == "" and got[8] == "" and got[9] == "plain <text> only" and got[10] == "Only words here."
     assert html_text.extract(t.where("false")).count() == 0
+    size, html_text.BROADCAST_BYTES = html_text.BROADCAST_BYTES, 0
+    dealt = {x.page_id: x.text for x in html_text.extract(t).collect()}
+    html_text.BROADCAST_BYTES = size
+    assert dealt == got
 
 
 def test_scratch_follows_the_setting(spark):
