@@ -77,8 +77,10 @@ class Searcher:
         text = b" " + b" ".join(words) + b" "
         spans, items = [], set()
         for table in self.tables:
+            first = counted = 0  # starts ascend, so the words before one are counted on from the last
             for start, p in table.find(text):
-                first = text.count(b" ", 0, start)
+                first += text.count(b" ", counted, start)
+                counted = start
                 spans.append((first, first + p.count(b" ") - 1))
                 items |= self.owners[p]
         return merged(spans), items
