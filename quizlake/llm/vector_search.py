@@ -3,7 +3,8 @@
 A shard's vectors are split at the median of their widest dimension until leaves are small; each leaf has its tight
 bounding box. The largest inner product of a query with any point of a box is a sum over dimensions of the better corner,
 which is the bound of the search: a block of queries visits a tree's leaves best first and stops where the bound falls
-below the kth score. That kth score goes on from tree to tree, as one task takes a block of queries through every shard.
+below the kth score. That kth score goes on from tree to tree, as one task takes a group of queries through every shard;
+trees are shuffled once for each group, and no key holds more than a group's queries and the trees it meets.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from quizlake.llm.common import estimated_bytes, materialize, prepare
 LEAF = 256
 SHARD_VECTORS = 16_384
 QUERY_BLOCK = 512
+QUERY_GROUP = 8192
 
 
 def build_tree(vectors: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -114,7 +116,7 @@ def search(table: DataFrame, is_query, k: int = 20, scale: int = 64, shard_vecto
 
     Ties go to the smaller vec_id; fewer than k others give fewer rows. Vectors of another length than a query's have no
     score with it. Repeated rows are candidates each, and a query's rank runs on over its repeats; no row counts for a query
-    of its own vec_id. Shards and query blocks have bounded sizes; each block meets every shard once.
+    of its own vec_id. Shards and query groups have bounded sizes; each group meets every shard once.
     """
     spark = table.sparkSession
     prepare(spark)
@@ -140,48 +142,44 @@ def search(table: DataFrame, is_query, k: int = 20, scale: int = 64, shard_vecto
 
     built = materialize(rows.repartition(shards, F.pmod(F.xxhash64("vec_id"), F.lit(shards))).mapInArrow(trees, "dim int, tree binary"), "kd-trees")
 
-    def blocks(batches):
-        held: dict[int, list] = {}
-
-        def full(dim):
-            ids, vectors = zip(*held.pop(dim), strict=True)
-            return pa.RecordBatch.from_pydict({"dim": [dim], "ids": [np.array(ids, "<i8").tobytes()], "block": [np.array(vectors, "<i8").tobytes()]}, schema=pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("block", pa.binary())]))
-
-        for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(len(v), []).append((i, v))
-                if len(held[len(v)]) >= QUERY_BLOCK:
-                    yield full(len(v))
-        for dim in list(held):
-            yield full(dim)
-
-    # blocks of queries are dealt evenly; each then reads every tree of its dimension
-    per_task = max(1, shards // 8)
-    asked = materialize(rows.where(is_query(F.col("vec_id"))).repartition(per_task, "vec_id").mapInArrow(blocks, "dim int, ids binary, block binary").withColumn("no", F.monotonically_increasing_id()), "query-blocks")
-    n_blocks = asked.count()
-    pairs = asked.join(built, "dim").repartition(max(1, n_blocks), "no").sortWithinPartitions("no")
+    # queries are dealt evenly to groups of at most about QUERY_GROUP, smaller ones while cores are free; each group meets every tree in one task
+    asked = rows.where(is_query(F.col("vec_id")))
+    n_asked = asked.count()
+    groups = max(1, -(-n_asked // QUERY_GROUP), min(-(-n_asked // QUERY_BLOCK), spark.sparkContext.defaultParallelism))
+    asked = asked.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).cast("int").alias("no"), F.lit(0).alias("turn"), "vec_id", "v", F.lit(None).cast("int").alias("dim"), F.lit(None).cast("binary").alias("tree"))
+    sent = built.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("no"), F.lit(1).alias("turn"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<bigint>").alias("v"), "dim", "tree")
+    dealt = asked.union(sent).repartition(groups, "no").sortWithinPartitions("no", "turn")
 
     def run(batches):
-        now, s = None, None
-
-        def out(s):
-            q, rank, ids, scores = [], [], [], []
-            for i, (f, sc) in zip(s.ids.tolist(), s.found, strict=True):
-                q += [i] * len(f)
-                rank += range(1, len(f) + 1)
-                ids += f.tolist()
-                scores += [int(x) for x in sc]
-            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(rank, pa.int32()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "rank", "vec_id", "score"])
+        now, queries, searches = None, {}, {}
+
+        def results():
+            for s in (s for of_dim in searches.values() for s in of_dim):
+                q, rank, ids, scores = [], [], [], []
+                for i, (f, sc) in zip(s.ids.tolist(), s.found, strict=True):
+                    q += [i] * len(f)
+                    rank += range(1, len(f) + 1)
+                    ids += f.tolist()
+                    scores += [int(x) for x in sc]
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(rank, pa.int32()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "rank", "vec_id", "score"])
+
+        def searches_of(dim):
+            if dim not in searches:
+                asking = queries.pop(dim, [])
+                parts = (asking[i : i + QUERY_BLOCK] for i in range(0, len(asking), QUERY_BLOCK))
+                searches[dim] = [BlockSearch(np.array([i for i, _ in x], np.int64), np.array([v for _, v in x], np.int64), k) for x in parts]
+            return searches[dim]
 
         for batch in batches:
-            for no, dim, ids, block, tree in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for no, vec_id, v, dim, tree in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
                 if no != now:
-                    if s:
-                        yield out(s)
-                    ids = np.frombuffer(ids, "<i8")
-                    now, s = no, BlockSearch(ids, np.frombuffer(block, "<i8").reshape(len(ids), dim), k)
-                s.take(*unpack_tree(tree))
-        if s:
-            yield out(s)
-
-    return pairs.select("no", "dim", "ids", "block", "tree").mapInArrow(run, "query_id long, rank int, vec_id long, score long")
+                    yield from results()
+                    now, queries, searches = no, {}, {}
+                if not tree.is_valid:
+                    queries.setdefault(len(v), []).append((vec_id, v))
+                    continue
+                for s in searches_of(dim):
+                    s.take(*unpack_tree(tree.as_py()))
+        yield from results()
+
+    return dealt.select("no", "vec_id", "v", "dim", "tree").mapInArrow(run, "query_id long, rank int, vec_id long, score long")
