@@ -352,7 +352,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     columns are ignored.
     """
     prepare(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # a column of the right type goes as it is: an alias would stay on one side only and keep the two rounds from sharing a shuffle
+    kinds = dict(docs.dtypes)
+    base = docs.select(*[F.col(c) if kinds[c] == kind else F.col(c).cast(kind).alias(c) for c, kind in (("doc_id", "bigint"), ("text", "string"))])
     ordered = base.withColumn("mark", F.crc32(F.col("text").cast("binary"))).where("doc_id is not null and mark is not null")
     marks = find_repeats(ordered, length, seed)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
