@@ -29,6 +29,7 @@ from quizlake.llm.common import arrow_map, materialize, prepare, shards_for, tex
 LENGTH = 50
 SEED = 24
 SHARD_BYTES = 4_000_000
+BATCH = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15 - 0x10)  # 5 modulo 8
 _INVERSE = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _VALUES = np.random.default_rng(50).integers(1, 1 << 63, 256, np.uint64)
@@ -106,17 +107,30 @@ class Family:
 
     def __init__(self):
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n_waiting = 0
 
     @staticmethod
     def array(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((docs, keys))
-        keys, docs = keys[order], docs[order]
-        first = np.concatenate([[True], keys[1:] != keys[:-1]])
-        return keys[first], docs[first]
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = _cuts(keys)[:-1]
+        return keys[first], np.minimum.reduceat(docs[order], first)
 
     def add(self, keys: np.ndarray, docs: np.ndarray) -> None:
+        """Small batches are gathered until they make an array of BATCH entries."""
         if not len(keys):
             return
+        self.waiting.append((keys, docs))
+        self.n_waiting += len(keys)
+        if self.n_waiting >= BATCH:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.waiting:
+            return
+        keys, docs = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        self.waiting, self.n_waiting = [], 0
         self.levels.append(self.array(keys, docs))
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             k, d = (np.concatenate(x) for x in zip(self.levels.pop(), self.levels.pop(), strict=True))
@@ -124,10 +138,15 @@ class Family:
 
     def first(self, keys: np.ndarray) -> np.ndarray:
         """The smallest doc_id of each key, by a scan of the sorted keys against every level."""
-        out = np.full(len(keys), np.iinfo(np.int64).max)
+        self.settle()
+        order = np.argsort(keys)
+        asked = keys[order]
+        least = np.full(len(keys), np.iinfo(np.int64).max)
         for k, d in self.levels:
-            at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
-            np.minimum(out, np.where(k[at] == keys, d[at], out), out=out)
+            at = np.minimum(np.searchsorted(k, asked), len(k) - 1)
+            np.minimum(least, np.where(k[at] == asked, d[at], least), out=least)
+        out = np.empty_like(least)
+        out[order] = least
         return out
 
 
@@ -223,13 +242,14 @@ def _batches(answers):
         yield pa.RecordBatch.from_arrays(list(cols), names=["doc_id", "mark", "found", "open"])
 
 
-def _smaller_here(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row: the smallest doc of its key among these rows; and the rows' order by key."""
-    order = np.lexsort((doc, keys))
-    cut = _cuts(keys[order])
+def _smaller_here(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each row: the smallest doc of its key among these rows."""
     least = np.empty(len(keys), np.int64)
-    least[order] = np.repeat(doc[order][cut[:-1]], np.diff(cut)) if len(keys) else doc
-    return least, order
+    if len(keys):
+        order = np.argsort(keys)
+        cut = _cuts(keys[order])
+        least[order] = np.repeat(np.minimum.reduceat(doc[order], cut[:-1]), np.diff(cut))
+    return least
 
 
 def _spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -257,8 +277,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shards
             marks = np.array([zlib.crc32(x) for x in raw], np.uint32)
             which, seeds, extent, at, a, b = anchors(data, ends, length, seed)
             doc = ids[which]
-            least, _ = _smaller_here(seeds, doc)
-            least_extent, _ = _smaller_here(seeds + extent, doc)
+            least = _smaller_here(seeds, doc)
+            least_extent = _smaller_here(seeds + extent, doc)
             here = least < doc
             values = np.zeros(len(which), _EXTENT)
             values["a"], values["more"] = a, b - a
@@ -284,7 +304,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shards
             extents.add(extent + key * _STEP, doc)
             parts.append((key, extent, doc, mark, a, more))
         key, extent, doc, mark, a, more = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, extent, doc, mark, a, more = (x[order] for x in (key, extent, doc, mark, a, more))
         first, first_whole = seeds.first(key), extents.first(extent + key * _STEP)
         found = first_whole < doc
@@ -317,7 +337,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shards
             s = begins[which] + at
             key = Hasher(data).of(s, s + length)
             doc = ids[which]
-            least, _ = _smaller_here(key, doc)
+            least = _smaller_here(key, doc)
             here = least < doc
             send = np.flatnonzero(~here)
             shard = ((key[send] >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
@@ -333,8 +353,6 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shards
             parts.append(_unpack_table(blob, "<u8", "<u4"))
             family.add(parts[-1][2], parts[-1][0])
         doc, mark, key, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(key, kind="stable")
-        doc, mark, key, at = doc[order], mark[order], key[order], at[order]
         hit = family.first(key) < doc
         yield from _batches(_answers(doc[hit], mark[hit], np.ones(int(hit.sum()), bool), at[hit]))
 

@@ -242,7 +242,9 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
-def test_family_levels_stay_few():
+@pytest.mark.parametrize("batch", [1, 1000, substring_dedup.BATCH])
+def test_family_levels_stay_few(monkeypatch, batch):
+    monkeypatch.setattr(substring_dedup, "BATCH", batch)
     family = substring_dedup.Family()
     r = np.random.default_rng(1)
     keys, doc = r.integers(0, 5000, 20_000).astype(np.uint64), r.integers(0, 100, 20_000)
