@@ -71,15 +71,42 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(DAMPING * (logs[1] - logs[0]), -500, 500)))
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
+
+
+def statistics_of(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns of ``keep`` and ``_stats``, the statistics of every whole text: a row of fixed size, however long the text."""
+    prepare(docs.sparkSession)
+    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    names = list(keep)
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"), "_stats array<double>"])
+
+    def make():
+        def step(batch):
+            x = np.array([statistics(t) for t in texts(batch.column(len(names)))])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*names, "_stats"])
+
+        return step
+
+    return arrow_map(rows, ddl, make)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Learns from every labelled row: tasks send sums and products of the statistics, of a fixed size each.
+    """Learns from every labelled row, as fit_statistics does; texts stay where they are and only their statistics are shuffled."""
+    return fit_statistics(statistics_of(docs, ["doc_id"]), labels)
 
-    None where no row or one class only is labelled. A document with several labels counts with each; labels other than 0
-    and 1, and null ids, don't count.
+
+def fit_statistics(stats: DataFrame, labels: DataFrame) -> Model | None:
+    """Learns from every labelled row of (doc_id, _stats): tasks send sums and products of the statistics, of a fixed size each.
+
+    None where no row or one class only is labelled. A document with several labels counts with each, repeated labels
+    being counted before the join; labels other than 0 and 1, and null ids, don't count.
     """
-    prepare(docs.sparkSession)
-    marks = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks, "doc_id").select("text", "quality")
+    prepare(stats.sparkSession)
+    marks = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).groupBy("doc_id", "quality").agg(F.count("*").alias("times"))
+    rows = stats.select(F.col("doc_id").cast("long").alias("doc_id"), "_stats").join(marks, "doc_id").select("_stats", "quality", "times")
 
     def run(batches):
         d = N_FEATURES
@@ -87,11 +114,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.array([statistics(t) for t in texts(batch.column(0))])
-            y = batch.column(1).to_numpy(zero_copy_only=False)
+            x = _matrix(batch.column(0))
+            y, times = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             for c in (0, 1):
-                z = x[y == c]
-                total[c] += np.concatenate([[len(z)], z.sum(axis=0), (z.T @ z).ravel()])
+                z, w = x[y == c], times[y == c].astype(float)
+                total[c] += np.concatenate([[w.sum()], w @ z, ((z.T * w) @ z).ravel()])
         yield pa.RecordBatch.from_pydict({"quality": [0, 1], "sums": [total[0].tolist(), total[1].tolist()]}, schema=pa.schema([("quality", pa.int32()), ("sums", pa.list_(pa.float64()))]))
 
     each = rows.mapInArrow(run, "quality int, sums array<double>").select("quality", F.posexplode("sums").alias("i", "v"))
@@ -118,6 +145,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     return Model(means, factors, weights, centre, scale)
 
 
+def _scores(x: np.ndarray, model: Model | None) -> np.ndarray:
+    """Only a text without words has 0 as its first statistic."""
+    return np.full(len(x), 0.5) if model is None else np.where(x[:, 0] > 0, model.score(x), 0.0)
+
+
+def score_statistics(stats: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id and score of every row of (doc_id, _stats), as score gives it."""
+    kind = dict(stats.dtypes)["doc_id"]
+
+    def make():
+        def step(batch):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(_matrix(batch.column(1)), model), pa.float64())], names=["doc_id", "score"])
+
+        return step
+
+    return arrow_map(stats.select("doc_id", "_stats"), f"doc_id {kind}, score double", make)
+
+
 def score(docs: DataFrame, model: Model | None, keep: list[str] = ()) -> DataFrame:
     """The columns of ``keep`` and score, 0 to 1, of every whole text; 0 for a null or blank text, 0.5 for all without a model."""
     prepare(docs.sparkSession)
@@ -128,10 +173,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str] = ()) -> DataFra
     def make():
         def step(batch):
             t = texts(batch.column(len(names)))
-            if model is None:
-                p = np.full(len(t), 0.5)
-            else:
-                p = np.where([bool(x.strip()) for x in t], model.score(np.array([statistics(x) for x in t])), 0.0)
+            p = _scores(np.array([statistics(x) for x in t]), model)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64())], names=[*names, "score"])
 
         return step

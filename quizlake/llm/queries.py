@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizlake.llm import decontamination, html_text, language, line_dedup, ngram_join, packing, quality, substring_dedup, token_files, vector_search
-from quizlake.llm.common import fold_of
+from quizlake.llm.common import fold_of, materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,9 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.fit(docs, quality.learnable(table(spark, sf_dir, "labels")))
-    out = quality.score(docs, model, ["doc_id"])
+    stats = materialize(quality.statistics_of(docs, ["doc_id"]), "statistics", spark)
+    model = quality.fit_statistics(stats, quality.learnable(table(spark, sf_dir, "labels")))
+    out = quality.score_statistics(stats, model)
     return out.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 

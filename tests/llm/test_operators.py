@@ -89,6 +89,10 @@ def test_quality(spark, docs, empty):
     got = quality.score(docs, model, ["doc_id", "text"]).collect()
     assert len(got) == len(corpus()) and all(0 <= x.score <= 1 for x in got)
     assert all(x.score == 0 for x in got if not (x.text or "").strip())
+    stats = quality.statistics_of(docs, ["doc_id"])
+    assert sorted((str(x.doc_id), round(x.score, 9)) for x in quality.score_statistics(stats, model).collect()) == sorted((str(x.doc_id), round(x.score, 9)) for x in got)
+    twice = quality.fit(docs, labels.union(labels.where("doc_id is not null")))
+    assert np.allclose(twice.factors, model.factors) and np.allclose(twice.means, model.means)
     assert quality.fit(empty, labels) is None and quality.score(empty, None, ["doc_id"]).count() == 0
 
 
