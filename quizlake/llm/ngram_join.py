@@ -23,6 +23,8 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MOST_HASHES = 128
 BLOCK = 512
+#: Bytes of text whose n-grams are hashed at once: a worker holds some dozens of times as much.
+GRAM_BYTES = 1_000_000
 
 
 def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -114,7 +116,7 @@ def signatures(docs: DataFrame, minhash: MinHash, words: int) -> DataFrame:
 
         return step
 
-    return arrow_map(docs, "doc_id long, a long, b long, n long, buckets array<long>", make)
+    return arrow_map(docs, "doc_id long, a long, b long, n long, buckets array<long>", make, GRAM_BYTES)
 
 
 def fresh_pairs(sig: np.ndarray, band: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -273,7 +275,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
 
     wanted = reps.join(needed.select("rep", "a").distinct(), ["rep", "a"], "left_semi").select("rep", "a", "copies", "buckets")
     text_of = base.join(wanted, base["doc_id"] == wanted["rep"])
-    with_sets = arrow_map(text_of.select("rep", "text", "a", "copies", "buckets"), "rep long, a long, copies long, buckets array<long>, grams binary", sets).dropDuplicates(["rep", "a"])
+    with_sets = arrow_map(text_of.select("rep", "text", "a", "copies", "buckets"), "rep long, a long, copies long, buckets array<long>, grams binary", sets, GRAM_BYTES).dropDuplicates(["rep", "a"])
     judged = needed.join(with_sets, ["rep", "a"]).select("bucket", "i", "j", "block", "rep", "buckets", "copies", "grams")
 
     def verify(key, rep, sig, extra):

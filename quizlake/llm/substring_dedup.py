@@ -33,19 +33,24 @@ BATCH = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15 - 0x10)  # 5 modulo 8
 _INVERSE = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _VALUES = np.random.default_rng(50).integers(1, 1 << 63, 256, np.uint64)
+KEPT_POWERS = 1 << 20
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the step and of its inverse modulo 2**64, for a length of at least n."""
     size = 1 << max(16, n.bit_length())
-    if size not in _POWERS:
+    if size in _POWERS:
+        return _POWERS[size]
+    both = []
+    for step in (_STEP, _INVERSE):
+        powers = np.full(size, step)
+        powers[0] = 1
+        both.append(np.multiply.accumulate(powers, out=powers))
+    if size <= KEPT_POWERS:  # workers live on after a task, so only short ones are kept
         _POWERS.clear()
-        one = np.ones(size, np.uint64)
-        up, down = one.copy(), one.copy()
-        up[1:], down[1:] = _STEP, _INVERSE
-        _POWERS[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS[size]
+        _POWERS[size] = tuple(both)
+    return tuple(both)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
