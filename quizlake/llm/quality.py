@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlake.llm.common import arrow_map, fold_of, prepare, texts
+from quizlake.llm.common import arrow_map, fold_of, materialize, prepare, texts
 
 TO_POOLED = 0.1
 TO_IDENTITY = 0.005
@@ -94,8 +94,11 @@ def statistics_of(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Learns from every labelled row, as fit_statistics does; texts stay where they are and only their statistics are shuffled."""
-    return fit_statistics(statistics_of(docs, ["doc_id"]), labels)
+    """Learns from every labelled row, as fit_statistics does; texts stay where they are and only their statistics are shuffled.
+
+    The statistics are written first: no task then runs two Python workers, one for them and one for the sums.
+    """
+    return fit_statistics(materialize(statistics_of(docs, ["doc_id"]), "statistics", docs.sparkSession), labels)
 
 
 def fit_statistics(stats: DataFrame, labels: DataFrame) -> Model | None:
