@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 ROWS_PER_BATCH = 1000
 BATCH_BYTES = 4_000_000
+ARROW_BYTES = 8_000_000
 
 
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches: a batch of very long texts must fit a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
