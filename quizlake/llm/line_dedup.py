@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from quizlake.llm.common import arrow_map, free_name, prepare
 
 RUN = 3
+#: Where it is asked for, a shorter run counts as well from so many words.
+WORDS = 50
 
 
 def lines_of(text: str) -> list[str]:
@@ -28,9 +30,18 @@ def line_hashes():
     return F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x))
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """doc_id and starts: the first lines of the runs of ``run`` lines that occurred earlier."""
-    h = docs.where("doc_id is not null and text is not null").select("doc_id", line_hashes().alias("h"))
+def line_words():
+    """Per-line numbers of words of column text, parted by white space, in the JVM."""
+    return F.transform(F.split("text", "\n"), lambda x: F.regexp_count(x, F.lit(r"\S+")))
+
+
+def repeated_runs(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """doc_id and spans: first line and number of lines of the runs that occurred earlier.
+
+    Runs are of ``run`` lines and, with ``words``, of fewer lines that hold at least so many words.
+    """
+    h = docs.where("doc_id is not null and text is not null").select("doc_id", line_hashes().alias("h"), *([] if words is None else [line_words().alias("w")]))
+    sizes = [run] if words is None else range(1, run + 1)
 
     def winnow():
         def step(batch):
@@ -38,43 +49,50 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
             lengths = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             begin = np.concatenate([[0], np.cumsum(lengths)])
-            if len(flat) < run:
-                return
-            n = len(flat) - run + 1
+            text = np.repeat(np.arange(len(lengths)), lengths)
             mixed = (flat ^ (flat >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            least, whole = mixed[:n].copy(), flat[:n].copy()
-            for j in range(1, run):
-                np.minimum(least, mixed[j : j + n], out=least)
-                whole = (whole ^ (whole >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + flat[j : j + n]
-            whole ^= whole >> np.uint64(32)
-            doc = np.repeat(np.arange(len(lengths)), lengths)[:n]
-            at = np.arange(n) - begin[doc]
-            inside = at + run <= lengths[doc]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[inside])), pa.array(at[inside].astype(np.int32)), pa.array(least[inside].view(np.int64)), pa.array(whole[inside].view(np.int64))], names=["doc_id", "at", "mark", "run"])
+            if words is not None:
+                so_far = np.concatenate([[0], np.cumsum(batch.column(2).flatten().to_numpy(zero_copy_only=False))])
+            for size in sizes:
+                n = len(flat) - size + 1
+                if n <= 0:
+                    continue
+                least, whole = mixed[:n].copy(), flat[:n] + np.uint64(size)
+                for j in range(1, size):
+                    np.minimum(least, mixed[j : j + n], out=least)
+                    whole = (whole ^ (whole >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + flat[j : j + n]
+                whole ^= whole >> np.uint64(32)
+                doc = text[:n]
+                at = np.arange(n) - begin[doc]
+                inside = at + size <= lengths[doc]
+                if size < run:
+                    inside &= so_far[size:] - so_far[:n] >= words
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[inside])), pa.array(at[inside].astype(np.int32)), pa.array(np.full(int(inside.sum()), size, np.int32)), pa.array(least[inside].view(np.int64)), pa.array(whole[inside].view(np.int64))], names=["doc_id", "at", "lines", "mark", "run"])
 
         return step
 
-    runs = arrow_map(h, "doc_id long, at int, mark long, run long", winnow)
+    runs = arrow_map(h, "doc_id long, at int, lines int, mark long, run long", winnow)
     # the earliest place of each run, counts summed before the shuffle; a run met once needs no join
     first = runs.groupBy("mark", "run").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("mark", "run", "first")
     later = runs.join(first, ["mark", "run"]).where(F.struct("doc_id", "at") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
+    return later.groupBy("doc_id").agg(F.collect_set(F.struct("at", "lines")).alias("spans"))
 
 
-def drop_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """The columns of docs (doc_id, text and any others) with kept text, n_lines, n_removed.
 
     Lines are what line feeds part; an empty text is one empty line, a null text stays null with no lines, and a row with a
-    null doc_id is kept as it is. A text of fewer than ``run`` lines loses nothing. Rows that share a doc_id are one
+    null doc_id is kept as it is. A text of fewer than ``run`` lines loses nothing, unless ``words``
+    is given: then a run of fewer lines that holds at least so many words is a repeat as well. Rows that share a doc_id are one
     document to the order: what repeats between them at the same line stays. An empty table gives no rows. Columns of docs
     that are named n_lines or n_removed give way to the results.
     """
     prepare(docs.sparkSession)
     base = docs.drop("n_lines", "n_removed").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
-    found = repeated_runs(base, run)
+    found = repeated_runs(base, run, words)
     names = base.columns
-    other, starts = free_name(names, "_id"), free_name(names, "_starts")
-    joined = base.join(found.select(F.col("doc_id").alias(other), F.col("starts").alias(starts)), F.col("doc_id") == F.col(other), "left")
+    other, spans = free_name(names, "_id"), free_name(names, "_spans")
+    joined = base.join(found.select(F.col("doc_id").alias(other), F.col("spans").alias(spans)), F.col("doc_id") == F.col(other), "left")
     plain = [f"c{i}" for i in range(len(names))]  # a column's name may hold a dot
     ddl = ", ".join([*(f"{c} {f.dataType.simpleString()}" for c, f in zip(plain, base.schema, strict=True)), "n_lines long, n_removed long"])
     at = names.index("text")
@@ -82,12 +100,12 @@ def drop_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     def cut():
         def step(batch):
             kept, total, removed = [], [], []
-            for text, begins in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+            for text, runs in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 if text is None:
                     kept.append(None), total.append(0), removed.append(0)
                     continue
                 lines = lines_of(text)
-                gone = {s + j for s in begins or () for j in range(run)}
+                gone = {x["at"] + j for x in runs or () for j in range(x["lines"])}
                 kept.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
                 total.append(len(lines))
                 removed.append(len(gone))
@@ -96,4 +114,4 @@ def drop_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
 
         return step
 
-    return arrow_map(joined.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, plain, strict=True)], starts), ddl, cut).toDF(*names, "n_lines", "n_removed")
+    return arrow_map(joined.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, plain, strict=True)], spans), ddl, cut).toDF(*names, "n_lines", "n_removed")

@@ -199,6 +199,17 @@ def test_line_dedup(spark, empty):
     assert line_dedup.drop_repeated_lines(empty).count() == 0
 
 
+def test_line_dedup_counts_words_of_short_runs(spark):
+    long, half, other = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 60), ("b", 30), ("c", 30)))
+    texts = [f"x\n{long}\ny", long, f"{half}\n{other}", f"z\n{half}\n{other}", f"{half}\nw", "a\nb\nc", "a\nb\nc", f"{long}\n{long}"]
+    t = spark.createDataFrame(rows_of(texts), DOCS)
+    got = {x.doc_id: (x.text, x.n_lines, x.n_removed) for x in line_dedup.drop_repeated_lines(t, words=line_dedup.WORDS).collect()}
+    want = [(texts[0], 3, 0), ("", 1, 1), (texts[2], 2, 0), ("z", 3, 2), (texts[4], 2, 0), (texts[5], 3, 0), ("", 3, 3), ("", 2, 2)]
+    assert got == dict(enumerate(want))
+    plain = {x.doc_id: x.n_removed for x in line_dedup.drop_repeated_lines(t).collect()}
+    assert plain == {i: 3 if i == 6 else 0 for i in range(len(texts))}
+
+
 def test_language(spark, docs, empty):
     from quizlake.llm.queries import op7_language
 
