@@ -1,10 +1,11 @@
 """Line dedup by winnowing over line hashes.
 
 A document is a sequence of line hashes. Of every ``run`` consecutive lines the smallest hash is selected, so any run of
-that many lines that occurs twice has the same fingerprint at the same place in both. Positions are joined on the
-fingerprint first, which leaves few; the runs around those are then told apart by the hash of the whole run, and a line
-goes if it lies in a run that occurs earlier: in a smaller doc_id, or further up in the same document. Overlapping runs
-add up, so matches extend both ways as far as they hold.
+that many lines that occurs twice has the same fingerprint at the same place in both. Only the selected positions are
+dealt, each with the hashes of the runs that selected it, which lie before and behind it. They are joined on the
+fingerprint first, which leaves few: those whose fingerprint occurs at two positions or more. Their runs are then told
+apart by the hash of the whole run, and a line goes if it lies in a run that occurs earlier: in a smaller doc_id, or
+further up in the same document. Overlapping runs add up, so matches extend both ways as far as they hold.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlake.llm.common import arrow_map, free_name, prepare
+from quizlake.llm.common import arrow_map, free_name, materialize, prepare
 
 RUN = 3
 #: Where it is asked for, a shorter run counts as well from so many words.
@@ -57,21 +58,32 @@ def repeated_runs(docs: DataFrame, run: int = RUN, words: int | None = None) ->
                 n = len(flat) - size + 1
                 if n <= 0:
                     continue
-                least, whole = mixed[:n].copy(), flat[:n] + np.uint64(size)
+                least, place, whole = mixed[:n].copy(), np.arange(n), flat[:n] + np.uint64(size)
                 for j in range(1, size):
-                    np.minimum(least, mixed[j : j + n], out=least)
+                    less = mixed[j : j + n] < least  # a tie goes to the left
+                    least, place = np.where(less, mixed[j : j + n], least), np.where(less, np.arange(j, j + n), place)
                     whole = (whole ^ (whole >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + flat[j : j + n]
                 whole ^= whole >> np.uint64(32)
-                doc = text[:n]
-                at = np.arange(n) - begin[doc]
-                inside = at + size <= lengths[doc]
+                inside = np.arange(n) - begin[text[:n]] + size <= lengths[text[:n]]
                 if size < run:
                     inside &= so_far[size:] - so_far[:n] >= words
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[inside])), pa.array(at[inside].astype(np.int32)), pa.array(np.full(int(inside.sum()), size, np.int32)), pa.array(least[inside].view(np.int64)), pa.array(whole[inside].view(np.int64))], names=["doc_id", "at", "lines", "mark", "run"])
+                starts = np.flatnonzero(inside)
+                if not len(starts):
+                    continue
+                # windows of one minimum follow one another: a row for each minimum, with the windows it is selected by
+                new = np.flatnonzero(np.concatenate([[True], (place[starts][1:] != place[starts][:-1]) | (np.diff(starts) > 1)]))
+                first, doc = starts[new], text[starts[new]]
+                windows = pa.ListArray.from_arrays(pa.array(np.append(new, len(starts)).astype(np.int32)), pa.array(whole[starts].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array((first - begin[doc]).astype(np.int32)), pa.array(np.full(len(first), size, np.int32)), pa.array((least[first] + np.uint64(size)).view(np.int64)), windows], names=["doc_id", "at", "lines", "mark", "windows"])
 
         return step
 
-    runs = arrow_map(h, "doc_id long, at int, lines int, mark long, run long", winnow)
+    places = arrow_map(h, "doc_id long, at int, lines int, mark long, windows array<long>", winnow)
+    # a minimum met once needs no look at its windows; the others are few, and their windows reach both ways around them
+    # the other key keeps the count's shuffle apart from the join's, so that Spark can split the rows of a very common line
+    again = places.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("mark").alias("key"))
+    near = materialize(places.join(again, F.bitwise_not("mark") == F.col("key"), "left_semi"), "line-places", docs.sparkSession)
+    runs = near.select("doc_id", "lines", "mark", "at", F.posexplode("windows").alias("j", "run")).withColumn("at", F.col("at") + F.col("j")).drop("j")
     # the earliest place of each run, counts summed before the shuffle; a run met once needs no join
     first = runs.groupBy("mark", "run").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("mark", "run", "first")
     later = runs.join(first, ["mark", "run"]).where(F.struct("doc_id", "at") > F.col("first"))

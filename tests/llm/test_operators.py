@@ -199,6 +199,19 @@ def test_line_dedup(spark, empty):
     assert line_dedup.drop_repeated_lines(empty).count() == 0
 
 
+def test_line_dedup_deals_only_selected_positions(spark, monkeypatch):
+    r = random.Random(6)
+    texts = ["\n".join(f"{i} {j} {r.random()}" for j in range(100)) for i in range(6)]
+    texts.append("\n".join(texts[2].split("\n")[40:50]))
+    dealt, kept, write, plan = [], [], line_dedup.materialize, line_dedup.arrow_map
+    monkeypatch.setattr(line_dedup, "arrow_map", lambda *a: dealt.append(plan(*a)) or dealt[-1])
+    monkeypatch.setattr(line_dedup, "materialize", lambda *a: kept.append(write(*a)) or kept[-1])
+    t = spark.createDataFrame(rows_of(texts), DOCS)
+    assert {x.doc_id: x.n_removed for x in line_dedup.drop_repeated_lines(t).collect()} == {**dict.fromkeys(range(6), 0), 6: 10}
+    assert dealt[0].count() < 0.7 * sum(len(x.split("\n")) - 2 for x in texts)
+    assert {x.doc_id for x in kept[0].collect()} == {2, 6} and kept[0].count() <= 2 * 8
+
+
 def test_line_dedup_counts_words_of_short_runs(spark):
     long, half, other = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 60), ("b", 30), ("c", 30)))
     texts = [f"x\n{long}\ny", long, f"{half}\n{other}", f"z\n{half}\n{other}", f"{half}\nw", "a\nb\nc", "a\nb\nc", f"{long}\n{long}"]
