@@ -2,7 +2,8 @@
 
 Each page's containers are scored by the text that their own blocks hold and by how little of it is links; a container is
 known by its generalised path of tags and classes, digits left out. The pages of a host vote in Spark, and each page is
-read again by the best path of its host that it has. A page without such a path falls back on its own best container.
+read again by the best path of its host that it has. The few best paths of a host go to all its pages; a page that has none
+of them is joined with the votes of the paths that it has.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from quizlake.llm.common import arrow_map, materialize, prepare, texts
 
 PATHS_PER_PAGE = 3
+#: So many paths go to every page of the host; those behind them are joined to the pages that have none of these.
 PATHS_PER_HOST = 8
 #: Paths of all hosts up to this size go to every task; beyond it pages are dealt by host and one of SALTS numbers.
 BROADCAST_BYTES = 16_000_000
@@ -169,14 +171,40 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def rest_of(joined: DataFrame, votes: DataFrame) -> DataFrame:
+    """host, key, rest: of the pages of joined that have none of their host's ``paths``, the best voted path that they have."""
+
+    def list_paths():
+        def step(batch):
+            hosts, keys, own = [], [], []
+            for host, key, html, paths in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                have = {p for ps, _, _ in blocks(html or "") for p in ps}
+                if have.isdisjoint(paths):
+                    hosts += [host] * len(have)
+                    keys += [key] * len(have)
+                    own += have
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (hosts, keys, own)], names=["host", "key", "path"])
+
+        return step
+
+    own = arrow_map(joined.select("host", "key", "html", "paths"), "host string, key string, path string", list_paths)
+    return own.join(votes, ["host", "path"]).groupBy("host", "key").agg(F.min(F.struct((-F.col("votes")).alias("v"), (-depth("path")).alias("d"), "path"))["path"].alias("rest"))
+
+
+def depth(path: str):
+    return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every page.
 
     A null or empty html has the empty text; pages of a null or unreadable URL vote together; repeated rows are read each;
     ties between paths go to the deeper, then to the one that sorts first; an empty table gives no rows; other columns are
-    ignored. Votes are summed for each host and path before they are dealt out, and a host keeps its best paths only as
-    far as ranking needs them, so a host with a third of the pages is one small row. The paths are written, and their size
-    decides how pages get them: small ones are broadcast and pages stay where they are; else a host's pages are salted.
+    ignored. A page votes for its three best paths. Votes are summed for each host and path before they are dealt out; a
+    host's best paths are one small row, so a host with a third of the pages is no burden. They are written, and their size
+    decides how pages get them: small ones are broadcast and pages stay where they are; else a host's pages are salted. A
+    page's own best path always has a vote, so where a host has no more paths than those, every page has one of them; the
+    pages of other hosts that have none are looked up by host and path among all votes.
     """
     prepare(pages.sparkSession)
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("host"))
@@ -193,31 +221,35 @@ def extract(pages: DataFrame) -> DataFrame:
 
         return step
 
-    votes = arrow_map(rows.select("host", "html"), "host string, path string, votes double", vote).groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    rank = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc(F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))), "path")
-    paths = votes.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= PATHS_PER_HOST).groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "path"))), lambda x: x["path"]).alias("paths"))
+    votes = materialize(arrow_map(rows.select("host", "html"), "host string, path string, votes double", vote).groupBy("host", "path").agg(F.sum("votes").alias("votes")), "host-votes")
+    rank = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc(depth("path")), "path")
+    best = votes.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= PATHS_PER_HOST + 1)
+    paths = best.groupBy("host").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("r", "path"))), lambda x: x["path"]), 1, PATHS_PER_HOST).alias("paths"), (F.count("*") > PATHS_PER_HOST).alias("more"))
 
     paths = materialize(paths, "host-paths")
-    size = paths.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length(F.array_join("paths", "")) + 64), F.lit(0))).head()[0]
+    size, more = paths.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length(F.array_join("paths", "")) + 64), F.lit(0)), F.coalesce(F.bool_or("more"), F.lit(False))).head()
     if size <= BROADCAST_BYTES:
         joined = rows.join(F.broadcast(paths), "host", "left")
     else:
         salted = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    if more:
+        joined = joined.withColumn("key", F.md5(F.coalesce("html", F.lit("")).cast("binary")))
+        joined = joined.join(materialize(rest_of(joined.where("more"), votes), "rest-paths"), ["host", "key"], "left")
+    else:
+        joined = joined.withColumn("rest", F.lit(None).cast("string"))
 
     def read():
         def step(batch):
             out = []
-            for html, paths in zip(texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+            for html, paths, rest in zip(texts(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 found = blocks(html)
                 have = {p for ps, _, _ in found for p in ps}
-                path = next((p for p in paths or () if p in have), None)
-                if path is None and have:
-                    path = min(scored(found).items(), key=lambda x: (-x[1], -x[0].count("/"), x[0]), default=(None,))[0]
+                path = next((p for p in paths or () if p in have), rest)  # none: no container has a score
                 out.append(within(found, path) if path else "\n".join(t for _, t, _ in found))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
         return step
 
     kind = dict(rows.dtypes)["page_id"]
-    return arrow_map(joined.select("page_id", "url", "html", "paths"), f"page_id {kind}, url string, text string", read)
+    return arrow_map(joined.select("page_id", "url", "html", "paths", "rest"), f"page_id {kind}, url string, text string", read)

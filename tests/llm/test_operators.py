@@ -326,5 +326,17 @@ def test_html_text(spark):
     assert dealt == got
 
 
+@pytest.mark.parametrize("size", [html_text.BROADCAST_BYTES, 0])
+def test_html_text_reads_every_template_of_a_host(spark, monkeypatch, size):
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", size)
+    long, short = "Words that go on for quite a while here. " * 5, "Only a short text of the page."
+    pages = [f"<div class='{c}'><p>{long}{k}</div>" for c in "abcdefgh" for k in range(5)]
+    pages += [f"<div class='ninth'><p>{x} {k}</div><div class='extra'><p>{y}</div>" for k, (x, y) in enumerate([(long, short), (long, short), (short, long)])]
+    t = spark.createDataFrame([(i, None, x) for i, x in enumerate([*pages, None, "plain"])], "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in html_text.extract(t).collect()}
+    assert got[42] == f"{short} 2" and got[40] == f"{long}0"
+    assert got[0] == f"{long}0" and got[43] == "" and got[44] == "plain" and len(got) == 45
+
+
 def test_scratch_follows_the_setting(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
