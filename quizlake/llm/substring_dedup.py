@@ -4,8 +4,8 @@ A full suffix array of a corpus needs several times its bytes, so the arrays are
 the leftmost smallest ``SEED``-byte hash is its anchor. Equal windows have equal anchors, so only suffixes that begin at
 anchors, about one byte in 13, are indexed, and no repeat of ``LENGTH`` bytes or more is missed.
 
-Anchors are dealt to shards by the hash of their seed. In a shard each batch gets its sorted array, is merge-scanned
-against the levels that are there, and becomes a level; levels of about one size merge, so each entry moves a logarithmic
+Anchors are dealt to shards by the hash of their seed. A shard's entries are taken by doc_id in batches of ``BATCH``: each
+gets its sorted array, becomes a level, and is scanned against the levels of its own and of smaller doc_ids; levels of about one size merge, so each entry moves a logarithmic
 number of times. A level holds each key once with its smallest doc_id.
 
 The windows of an anchor span an extent. An anchor whose extent occurs in an earlier document is covered whole. One whose
@@ -155,6 +155,16 @@ class Family:
         return out
 
 
+def first_of(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The smallest doc_id of each key; in the order of doc_id no later batch can hold a smaller one."""
+    family, out, order = Family(), np.empty(len(keys), np.int64), np.argsort(docs, kind="stable")
+    for i in range(0, len(order), BATCH):
+        part = order[i : i + BATCH]
+        family.add(keys[part], docs[part])
+        out[part] = family.first(keys[part])
+    return out
+
+
 #: What an anchor's answer holds: its first window start and how many more windows follow.
 _EXTENT = np.dtype([("a", "<u4"), ("more", "u1")])
 
@@ -301,17 +311,15 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shards
         return step
 
     def scan(blobs):
-        seeds, extents, parts = Family(), Family(), []
+        parts = []
         for blob in blobs:
             doc, mark, high, low, extent, a, more = _unpack_table(blob, "<u4", "<u2", "<u8", "<u4", "u1")
             key = (high.astype(np.uint64) << np.uint64(16)) | low
-            seeds.add(key, doc)
-            extents.add(extent + key * _STEP, doc)
             parts.append((key, extent, doc, mark, a, more))
         key, extent, doc, mark, a, more = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(key)
         key, extent, doc, mark, a, more = (x[order] for x in (key, extent, doc, mark, a, more))
-        first, first_whole = seeds.first(key), extents.first(extent + key * _STEP)
+        first, first_whole = first_of(key, doc), first_of(extent + key * _STEP, doc)
         found = first_whole < doc
         group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
         asked = np.zeros(int(group[-1]) + 1, bool)
@@ -353,12 +361,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shards
         return step
 
     def settle(blobs):
-        family, parts = Family(), []
-        for blob in blobs:
-            parts.append(_unpack_table(blob, "<u8", "<u4"))
-            family.add(parts[-1][2], parts[-1][0])
-        doc, mark, key, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        hit = family.first(key) < doc
+        doc, mark, key, at = (np.concatenate(x) for x in zip(*(_unpack_table(blob, "<u8", "<u4") for blob in blobs), strict=True))
+        hit = first_of(key, doc) < doc
         yield from _batches(_answers(doc[hit], mark[hit], np.ones(int(hit.sum()), bool), at[hit]))
 
     open_docs = first_round.where("size(open) > 0").select("doc_id", "mark", "open")

@@ -282,6 +282,17 @@ def test_family_levels_stay_few(monkeypatch, batch):
     assert all(family.first(keys[:50]) == [doc[keys == k].min() for k in keys[:50]])
 
 
+def test_batches_are_scanned_as_they_are_added(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BATCH", 100)
+    calls, add, first = [], substring_dedup.Family.add, substring_dedup.Family.first
+    monkeypatch.setattr(substring_dedup.Family, "add", lambda f, k, d: calls.append(("add", len(k))) or add(f, k, d))
+    monkeypatch.setattr(substring_dedup.Family, "first", lambda f, k: calls.append(("first", len(k))) or first(f, k))
+    r = np.random.default_rng(3)
+    keys, doc = r.integers(0, 300, 1050).astype(np.uint64), r.integers(-50, 50, 1050)
+    assert substring_dedup.first_of(keys, doc).tolist() == [doc[keys == k].min() for k in keys]
+    assert calls == [(what, n) for n in [100] * 10 + [50] for what in ("add", "first")]
+
+
 def test_decontamination(spark, docs, empty):
     texts = [x[1] for x in corpus()]
     items = [(1, texts[2][:150]), (2, texts[5]), (3, "one two"), (4, ""), (5, None), (None, texts[7]), (11, texts[5]), (6, "AB ab"), (6, "AB ab")]
