@@ -17,10 +17,15 @@ KNOWN_SECTIONS = ["ENGLISH", "GA", "QUANT", "REASONING"]
 
 
 def dedup_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, duplicates) of rows (name, sha256): an original name comes before its browser copies."""
-    w = Window.partitionBy("sha256").orderBy(S.base_name(F.col("name")), S.is_copy(F.col("name")), "name")
-    ranked = files.withColumn("r", F.row_number().over(w)).withColumn("same_as", F.first("name").over(w))
-    return ranked.where("r = 1").drop("r", "same_as"), ranked.where("r > 1").select(F.col("name").alias("filename"), "sha256", "same_as")
+    """(kept, duplicates) of rows (name, sha256, others): an original name comes before its browser copies.
+
+    Survivors are found before the shuffle, so a content that many files share is one row of it. A folder has a name once.
+    """
+    place = F.struct(S.base_name(F.col("name")), S.is_copy(F.col("name")), "name")
+    first = files.groupBy("sha256").agg(F.min_by(F.struct(*[c for c in files.columns if c != "sha256"]), place).alias("k"))
+    kept = first.select(*[F.col("sha256") if c == "sha256" else F.col(f"k.{c}") for c in files.columns])
+    same = files.select(F.col("name").alias("filename"), "sha256").join(first.select("sha256", F.col("k.name").alias("same_as")), "sha256")
+    return kept, same.where("filename <> same_as").select("filename", "sha256", "same_as")
 
 
 def events(spans: DataFrame) -> DataFrame:
@@ -148,10 +153,14 @@ def sources(kept: DataFrame, scans: DataFrame, stored_dir: str = "data/raw/2024"
     )
 
 
+def date_order() -> list[Column]:
+    """Year, month, day, slot, then names as files are listed; records without a date come first."""
+    d, name = F.coalesce("date", F.lit("")), F.col("filename")
+    return [F.substring(d, 7, 4), F.substring(d, 4, 2), F.substring(d, 1, 2), F.coalesce("time_slot", F.lit("")), S.base_name(name), S.is_copy(name), name]
+
+
 def in_date_order(records: DataFrame) -> DataFrame:
-    """By year, month, day and slot; records without a date come first."""
-    d = F.coalesce("date", F.lit(""))
-    return records.orderBy(F.substring(d, 7, 4), F.substring(d, 4, 2), F.substring(d, 1, 2), F.coalesce("time_slot", F.lit("")), S.base_name(F.col("filename")), S.is_copy(F.col("filename")), "filename")
+    return records.orderBy(*date_order())
 
 
 def to_copy(records: DataFrame, stored: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """The load: manifest, question records, review items and solver runs go into the bank, idempotently.
 
 Each step is one plan over whole tables that ends in the state a record-by-record load would reach. Ids are hashes of
-natural keys, so a rerun gives the same.
+natural keys, so a rerun gives the same. What a step makes is written once; the next steps and the report read that.
 """
 
 from __future__ import annotations
@@ -15,13 +15,20 @@ from quizlake import schemas
 from quizlake.functions import scalars as S
 from quizlake.operators import report as R
 from quizlake.operators.merge import insert_if_absent, last_by, sticky, upsert
-from quizlake.sources import readers
+from quizlake.sources import readers, snapshot
+from quizlake.sources.scratch import materialize
 
 # Fixed values.
 SECTIONS = ("QUANT", "REASONING")
 CONFIRMED = ("KEY_CONFIRMED_CODE", "KEY_CONFIRMED_DUAL", "KEY_CONFIRMED_REVIEW")
 REVIEWED = "KEY_CONFIRMED_REVIEW"
 DEFAULT_PATTERN = {"questions": 25, "marks_correct": 2, "marks_wrong": 0.5, "default_timer_sec": 900}
+#: The table that a change of the report is in.
+TABLE_OF = {
+    "exam_pattern added": "exam_pattern", "papers added": "papers", "papers updated": "papers", "mocks added": "mocks", "mocks set DRAFT": "mocks", "mocks set PUBLISHED": "mocks", "questions added": "questions", "questions updated": "questions", "current versions moved": "questions",
+    "question versions added": "question_versions", "topic tags updated": "question_versions", "key statuses set": "question_versions", "key statuses withdrawn": "question_versions", "assets added": "question_assets", "solver runs added": "answer_verifications",
+    "review items added": "review_queue", "review items updated": "review_queue",
+}
 TOPICS = ["topic", "subtopic", "topic_source"]
 VERSION_FIELDS = ["stem_text", "stem_text_complete", "stem_image", "options", "option_ids", "answer_text_layer", "answer_page_image", "key_status", "has_visual", "source_page", "source_bbox", "question_crop"]
 
@@ -62,7 +69,7 @@ def load_papers(papers: DataFrame, sources: DataFrame) -> tuple[DataFrame, list[
     """Accepted sources as papers; a paper that is no longer accepted stays."""
     values = ["exam_date", "time_slot", "source_filename", "stored_path", "sha256", "key_status"]
     rows = sources.where("accepted").select(S.paper_id(F.col("date"), F.col("time_slot")).alias("id"), S.paper_date(F.col("date")).alias("exam_date"), "time_slot", F.col("filename").alias("source_filename"), "stored_path", "sha256", "key_status", "ord")
-    out = upsert(papers, last_by(rows, ["id"], values), ["id"], values)
+    out = materialize(upsert(papers, last_by(rows, ["id"], values), ["id"], values), "papers")
     return _as_table(out, "papers"), [R.counted(out.where("change = 'added'"), "papers added"), R.counted(out.where("change = 'updated'"), "papers updated")]
 
 
@@ -78,13 +85,14 @@ def load_questions(bank: dict[str, DataFrame], records: DataFrame) -> tuple[dict
     """Mocks, question slots, versions, assets and current pointers. A version is never changed but for its topic tags."""
     rec = records.where(F.col("section").isin(*SECTIONS)).withColumn("mock_id", _mock_id())
     rec = rec.withColumn("question_id", question_id(F.col("mock_id"), F.col("q_no"))).withColumn("content_hash", S.content_hash(F.col("ssc_question_id"), F.col("stem_text"), F.col("stem_image"), F.col("options")))
+    rec = materialize(rec, "question-records")
 
     mocks = rec.select(F.col("mock_id").alias("id"), "paper_id", "section").distinct()
     mocks = insert_if_absent(bank["mocks"], mocks, ["id"]).join(F.broadcast(bank["exam_pattern"].select("section", F.col("default_timer_sec").alias("timer_sec"))), "section").withColumn("status", F.lit("DRAFT"))  # a row for each section
-    mocks = _as_table(mocks, "mocks")
+    mocks = materialize(_as_table(mocks, "mocks"), "mocks")
 
     slots = last_by(rec.withColumn("id", F.col("question_id")), ["id", "mock_id", "q_no"], ["ssc_question_id", "status"])
-    slots = upsert(bank["questions"], slots, ["id", "mock_id", "q_no"], ["ssc_question_id", "status"])
+    slots = materialize(upsert(bank["questions"], slots, ["id", "mock_id", "q_no"], ["ssc_question_id", "status"]), "slots")
 
     key = ["question_id", "content_hash", "official_answer"]
     pairs = rec.groupBy(*key).agg(F.min("ord").alias("first"), F.min_by(F.struct(*VERSION_FIELDS), "ord").alias("body"), F.max_by(F.struct(*TOPICS), "ord").alias("tags"))
@@ -92,12 +100,13 @@ def load_questions(bank: dict[str, DataFrame], records: DataFrame) -> tuple[dict
     history = bank["question_versions"]
     have = history.select(F.col("id").alias("_id"), F.col("question_id").alias("_q"), F.col("content_hash").alias("_h"), F.col("official_answer").alias("_a"))
     match = (F.col("question_id") == F.col("_q")) & (F.col("content_hash") == F.col("_h")) & F.col("official_answer").eqNullSafe(F.col("_a"))
-    looked = pairs.join(have, match, "left")
+    looked = materialize(pairs.join(have, match, "left"), "version-pairs")
     counts = history.groupBy("question_id").agg(F.max("version").alias("have"))
     new = looked.where("_id is null").join(counts, "question_id", "left")
     new = new.withColumn("version", F.coalesce("have", F.lit(0)) + F.row_number().over(Window.partitionBy("question_id").orderBy("first", "id")))
     new = _as_table(new.select("id", "question_id", "version", "content_hash", "official_answer", "body.*", "tags.*", F.current_timestamp().alias("created_at")), "question_versions")
-    tagged = upsert(history, looked.where("_id is not null").select(F.col("_id").alias("id"), "tags.*"), ["id"], TOPICS)
+    new = materialize(new, "new-versions")
+    tagged = materialize(upsert(history, looked.where("_id is not null").select(F.col("_id").alias("id"), "tags.*"), ["id"], TOPICS), "versions")
     versions = _as_table(tagged, "question_versions").unionByName(new)
 
     maybe = F.filter(
@@ -109,7 +118,7 @@ def load_questions(bank: dict[str, DataFrame], records: DataFrame) -> tuple[dict
 
     last = rec.groupBy("question_id").agg(F.max_by(F.struct("content_hash", "official_answer"), "ord").alias("p")).select(F.col("question_id").alias("_q"), F.col("p.content_hash").alias("_h"), F.col("p.official_answer").alias("_a"))
     pointed = versions.select("id", "question_id", "content_hash", "official_answer").join(last, match).select(F.col("question_id").alias("id"), F.col("id").alias("current_version_id"))
-    moved = upsert(_as_table(slots, "questions"), pointed, ["id"], ["current_version_id"])
+    moved = materialize(upsert(_as_table(slots, "questions"), pointed, ["id"], ["current_version_id"]), "questions")
 
     out = dict(bank, mocks=bank["mocks"].unionByName(mocks), questions=_as_table(moved, "questions"), question_versions=versions, question_assets=bank["question_assets"].unionByName(assets))
     parts = [
@@ -125,7 +134,7 @@ def queue(bank: dict[str, DataFrame], items: DataFrame) -> tuple[DataFrame, list
     last = last_by(items, key, ["reasons"])
     known = bank["questions"].select(F.col("mock_id").alias("_m"), F.col("q_no").alias("_n"), F.col("id").alias("question_id"))
     rows = last.join(known, (_mock_id() == F.col("_m")) & (F.col("q_no") == F.col("_n")), "left").select(*key, "question_id", "reasons")
-    out = upsert(bank["review_queue"], rows, key, ["question_id", "reasons"], F.col("status") == "OPEN")
+    out = materialize(upsert(bank["review_queue"], rows, key, ["question_id", "reasons"], F.col("status") == "OPEN"), "review-queue")
     added = F.col("change") == "added"
     full = out.withColumn("id", F.coalesce("id", F.xxhash64(*key))).withColumn("status", F.coalesce("status", F.lit("OPEN"))).withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
     return _as_table(full, "review_queue"), [R.counted(out.where(added), "review items added"), R.counted(out.where("change = 'updated'"), "review items updated")]
@@ -140,22 +149,24 @@ def load_review_queue(bank: dict[str, DataFrame], records: DataFrame) -> tuple[d
 def load_verifications(bank: dict[str, DataFrame], records: DataFrame) -> tuple[dict[str, DataFrame], DataFrame, list[DataFrame]]:
     """Runs go to the version they solved; verdicts set the status of current versions. Also gives the questions covered."""
     rec = records.withColumn("question_id", question_id(_mock_id(), F.col("q_no"))).join(bank["questions"].select(F.col("id").alias("question_id"), "current_version_id"), "question_id")
+    rec = materialize(rec, "verdict-records")
     versions = bank["question_versions"]
     have = versions.select(F.col("id").alias("_id"), F.col("question_id").alias("_q"), F.col("content_hash").alias("_h"), F.col("official_answer").alias("_a"), F.col("key_status").alias("_s"))
 
     runs = rec.select("question_id", "official_answer", "ord", F.posexplode("verifications").alias("place", "run"))
     found = runs.join(have, (F.col("question_id") == F.col("_q")) & (F.col("run.question_version") == F.col("_h")) & F.col("official_answer").eqNullSafe(F.col("_a")), "left")
+    found = materialize(found, "runs")
     key = ["question_version_id", "solver_id", "prompt_version"]
     placed = found.where("_id is not null").select(F.col("_id").alias("question_version_id"), "run.*", F.struct("ord", "place").alias("ord")).drop("question_version")
     placed = placed.withColumn("steps", F.coalesce("steps", F.array().cast("array<string>"))).withColumn("valid", F.coalesce("valid", F.lit(True)))
     first = placed.groupBy(*key).agg(F.min_by(F.struct(*[c for c in placed.columns if c not in (*key, "ord")]), "ord").alias("b")).select(*key, "b.*")
     new = insert_if_absent(bank["answer_verifications"], first, key).withColumn("id", F.xxhash64(*key)).withColumn("created_at", F.current_timestamp())
-    new = _as_table(new, "answer_verifications")
+    new = materialize(_as_table(new, "answer_verifications"), "new-runs")
 
     on = rec.join(have, (F.col("current_version_id") == F.col("_id")) & F.col("official_answer").eqNullSafe(F.col("_a"))).where(F.exists("verifications", lambda v: v["question_version"] == F.col("_h")))
     verdicts = on.groupBy(F.col("_id").alias("id"), "question_id").agg(F.collect_set("status").alias("all"), F.max_by("status", "ord").alias("last"))
     set_ = versions.join(verdicts.select("id", "all", "last"), "id").select("id", sticky(F.col("key_status"), REVIEWED, F.col("all"), F.col("last")).alias("key_status"))
-    status = upsert(versions, set_, ["id"], ["key_status"])
+    status = materialize(upsert(versions, set_, ["id"], ["key_status"]), "versions")
 
     doubt = on.where(~F.col("status").isin(*CONFIRMED)).select("paper_id", "section", "q_no", F.lit("solver").alias("source"), F.array("status").alias("reasons"), "ord")
     reviews, queued = queue(bank, doubt)
@@ -168,7 +179,7 @@ def withdraw_verdicts(bank: dict[str, DataFrame], covered: DataFrame) -> tuple[d
     """Verdicts of current versions that no record gives any more; a reviewed key stays."""
     open_ = bank["questions"].select(F.col("id").alias("question_id"), F.col("current_version_id").alias("id")).join(covered, "question_id", "left_anti")
     rows = bank["question_versions"].where(~F.col("key_status").isin("UNVERIFIED", REVIEWED)).join(open_.select("id"), "id", "left_semi").select("id", F.lit("UNVERIFIED").alias("key_status"))
-    out = upsert(bank["question_versions"], rows, ["id"], ["key_status"])
+    out = materialize(upsert(bank["question_versions"], rows, ["id"], ["key_status"]), "versions")
     return dict(bank, question_versions=_as_table(out, "question_versions")), [R.counted(out.where("change = 'updated'"), "key statuses withdrawn")]
 
 
@@ -184,29 +195,40 @@ def publishable(bank: dict[str, DataFrame]) -> DataFrame:
 
 def publish_mocks(bank: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], list[DataFrame]]:
     ready = publishable(bank).select("id", F.when(F.col("ready"), "PUBLISHED").otherwise("DRAFT").alias("status"))
-    out = upsert(bank["mocks"], ready, ["id"], ["status"])
+    out = materialize(upsert(bank["mocks"], ready, ["id"], ["status"]), "mocks")
     return dict(bank, mocks=_as_table(out, "mocks")), [R.counted(out.where(f"change is not null and status = '{s}'"), f"mocks set {s}") for s in ("DRAFT", "PUBLISHED")]
 
 
 def load_all(bank: dict[str, DataFrame], inputs: Inputs) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The next state of the bank and the report of changes. Tables that later steps read are kept once computed."""
+    """The next state of the bank and the report of changes."""
     parts: list[DataFrame] = []
     pattern, more = load_exam_pattern(bank["exam_pattern"])
     parts += more
     papers, more = load_papers(bank["papers"], inputs.sources)
     parts += more
-    bank = dict(bank, exam_pattern=pattern.persist(), papers=papers.persist())
+    bank = dict(bank, exam_pattern=pattern, papers=papers)
     bank, more = load_questions(bank, inputs.questions)
     parts += more
-    bank = {k: v.persist() for k, v in bank.items()}
     bank, more = load_review_queue(bank, inputs.review)
     parts += more
     bank, covered, more = load_verifications(bank, inputs.verifications)
     parts += more
-    bank = {k: v.persist() for k, v in bank.items()}
     bank, more = withdraw_verdicts(bank, covered)
     parts += more
-    bank = dict(bank, question_versions=bank["question_versions"].persist())
     bank, more = publish_mocks(bank)
     parts += more
-    return dict(bank, mocks=bank["mocks"].persist()), R.total(parts).persist()
+    return bank, materialize(R.total(parts), "report")
+
+
+def tables_of(changes: DataFrame) -> set[str]:
+    """The tables that a report says changed; it has a dozen rows at most."""
+    return {TABLE_OF[r.change] for r in changes.collect() if r.change not in R.INFORMATIONAL}
+
+
+def load_into(spark: SparkSession, root: str, inputs: Inputs) -> DataFrame:
+    """Loads the inputs into the bank at root, all or nothing, and gives the report."""
+    base = snapshot.version(spark, root)
+    bank, changes = load_all(snapshot.read(spark, root, base), inputs)
+    if tables := tables_of(changes):
+        snapshot.write(spark, root, bank, base, tables)
+    return changes

@@ -35,11 +35,6 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], values: li
     return out.select(*[F.when(take, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in existing.columns], "change")
 
 
-def split_by_match(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(matched, unmatched) rows of left."""
-    return left.join(right.select(*keys).distinct(), keys, "left_semi"), left.join(right.select(*keys).distinct(), keys, "left_anti")
-
-
 def sticky(old: Column, held: str, statuses: Column, last: Column) -> Column:
     """A status with an absorbing value: once old or any of statuses is it, it stays; else the last, if there is one."""
     return F.when((old == held) | F.array_contains(statuses, held), F.lit(held)).otherwise(F.coalesce(last, old))

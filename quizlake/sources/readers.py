@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizlake import schemas
+from quizlake.sources.scratch import file_system
 
 # Names of the files that are taken and of those that are listed only.
 SHEETS = "SSC-CGL-Tier-1-Question-Paper-English_*.pdf"
@@ -14,8 +15,8 @@ EXCLUDED = "SSC-CGL-T-I-Similar-Paper-*.pdf"
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path, or any path of a glob, is there, in any file system that Spark reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    fs, p = file_system(spark, path)
+    found = fs.globStatus(p)
     return found is not None and len(found) > 0
 
 

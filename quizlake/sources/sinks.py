@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizlake.functions import scalars as S
-from quizlake.operators.intake import in_date_order
+from quizlake.operators.intake import date_order, in_date_order
+from quizlake.sources.scratch import file_system
 
+#: Files copied at a time.
+COPIES = 16
 # Fixed texts of the listings.
 SOURCES_HEAD = """# Sources
 
-Generated by `python -m pipeline.intake`. Do not edit by hand.
+Generated by the intake. Do not edit by hand.
 
 %d of %d unique 2024 response sheets accepted. Answer keys are `unknown` (tentative vs final is not stated) until verified in Phase 2.
 
@@ -20,7 +25,7 @@ Accepted with agreed relaxations: Adda247 branding (logo header, watermark, ad p
 | Date | Slot | Original filename | Stored path | SHA-256 | Key | Status | Notes |
 |---|---|---|---|---|---|---|---|
 """
-MISSING_HEAD = "# Missing, duplicate and excluded files\n\nGenerated by `python -m pipeline.intake`. For information only.\n\n## Duplicates (byte-identical, skipped)\n\n"
+MISSING_HEAD = "# Missing, duplicate and excluded files\n\nGenerated by the intake. For information only.\n\n## Duplicates (byte-identical, skipped)\n\n"
 EXCLUDED_HEAD = '\n\n## Excluded: 2025 "Similar Paper" reconstructions\n\nAuthored in MS Word with no Question IDs; excluded by the spec.\n\n'
 REJECTED_HEAD = "\n\n## Rejected\n\n"
 OVERFLOW_HEAD = "\n\n## Questions to review (accepted files)\n\nMath-typeset stems that run off the page, cutting off the Question ID box. This is why some sheets show 99 Question IDs or `Ans` labels for 100 questions: every sheet has exactly 100 green correct-option markers.\n\n"
@@ -29,11 +34,10 @@ UNLABELED_HEAD = "\n\n## Stems without a text layer (accepted files)\n\n%d Quant
 
 def manifest_document(records: DataFrame, duplicates: DataFrame, excluded: DataFrame) -> DataFrame:
     """One row, json: the manifest. A listing of files, so it fits a row."""
-    d = F.coalesce("date", F.lit(""))
-    order = F.struct(F.substring(d, 7, 4), F.substring(d, 4, 2), F.substring(d, 1, 2), F.coalesce("time_slot", F.lit("")), F.col("filename"))
-    r = records.select(F.struct(order.alias("o"), F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"}).alias("v")).alias("x"), F.lit("sources").alias("k"))
-    dup = duplicates.select(F.struct(F.struct(*[F.lit("")] * 4, F.col("filename")).alias("o"), F.to_json(F.struct(*duplicates.columns)).alias("v")).alias("x"), F.lit("duplicates").alias("k"))
-    ex = excluded.select(F.struct(F.struct(*[F.lit("")] * 4, F.col("name")).alias("o"), S.json_string(F.col("name")).alias("v")).alias("x"), F.lit("excluded").alias("k"))
+    r = records.select(F.struct(F.struct(*date_order()).alias("o"), F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"}).alias("v")).alias("x"), F.lit("sources").alias("k"))
+    by = lambda c: F.struct(*[F.lit("")] * 5, F.lit(False), F.col(c)).alias("o")
+    dup = duplicates.select(F.struct(by("filename"), F.to_json(F.struct(*duplicates.columns)).alias("v")).alias("x"), F.lit("duplicates").alias("k"))
+    ex = excluded.select(F.struct(by("name"), S.json_string(F.col("name")).alias("v")).alias("x"), F.lit("excluded").alias("k"))
     rows = r.union(dup).union(ex)
     part = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") == k, F.col("x")))), lambda x: x["v"]), ", ")
     return rows.agg(F.concat(F.lit('{"sources": ['), part("sources"), F.lit('], "duplicates": ['), part("duplicates"), F.lit('], "excluded": ['), part("excluded"), F.lit("]}")).alias("json"))
@@ -43,38 +47,59 @@ def write_manifest(doc: DataFrame, path: str) -> None:
     doc.select("json").write.mode("overwrite").text(path)
 
 
+def source_line() -> Column:
+    """A record's line of the source listing."""
+    c = lambda name: F.coalesce(F.col(name), F.lit(""))
+    status = F.when(F.col("accepted"), "accepted").otherwise(F.concat(F.lit("rejected: "), F.array_join("reasons", "; ")))
+    return F.format_string("| %s | %s | `%s` | `%s` | `%s` | %s | %s | %s |", c("date"), c("time_slot"), "filename", S.or_dash(F.col("stored_path")), "sha256", F.coalesce("key_status", F.lit("unknown")), status, c("notes"))
+
+
+def duplicate_line() -> Column:
+    return F.format_string("- `%s` is identical to `%s` (SHA-256 `%s`)", "filename", "same_as", S.short_digest(F.col("sha256")))
+
+
+def rejected_line() -> Column:
+    return F.format_string("- `%s`: %s", "filename", F.array_join("reasons", "; "))
+
+
+def count_line(column: str) -> Column:
+    return F.format_string("- %s %s: %d", "date", "time_slot", column)
+
+
 def _lines(df: DataFrame, line: Column) -> list[str]:
-    """Lines for one file or another; the listings name each sheet once."""
-    return [r[0] for r in df.select(line.alias("line")).collect()]
+    """Lines of a listing that one reader reads whole: a sheet or two a line, taken in part by part."""
+    return [r[0] for r in df.select(line.alias("line")).toLocalIterator()]
 
 
 def render_sources(records: DataFrame) -> str:
-    c = lambda name: F.coalesce(F.col(name), F.lit(""))
-    status = F.when(F.col("accepted"), "accepted").otherwise(F.concat(F.lit("rejected: "), F.array_join("reasons", "; ")))
-    line = F.format_string("| %s | %s | `%s` | `%s` | `%s` | %s | %s | %s |", c("date"), c("time_slot"), "filename", S.or_dash(F.col("stored_path")), "sha256", F.coalesce("key_status", F.lit("unknown")), status, c("notes"))
     n = records.agg(F.count_if("accepted"), F.count("*")).head()
-    return SOURCES_HEAD % (n[0], n[1]) + "".join(x + "\n" for x in _lines(in_date_order(records), line))
+    return SOURCES_HEAD % (n[0], n[1]) + "".join(x + "\n" for x in _lines(in_date_order(records), source_line()))
+
+
+def unlabeled_totals(records: DataFrame) -> DataFrame:
+    """One row: n questions without a text label, and the sheets that have any."""
+    return records.where("unlabeled_questions > 0").agg(F.coalesce(F.sum("unlabeled_questions"), F.lit(0)).alias("n"), F.count("*").alias("sheets"))
 
 
 def render_missing(records: DataFrame, duplicates: DataFrame, excluded: DataFrame) -> str:
     ordered = in_date_order(records)
     some = lambda x: "\n".join(x or ["- none"])
-    per = lambda n: F.format_string("- %s %s: %d", "date", "time_slot", n)
-    unlabeled = records.where("unlabeled_questions > 0").agg(F.coalesce(F.sum("unlabeled_questions"), F.lit(0)), F.count("*")).head()
+    unlabeled = unlabeled_totals(records).head()
     return "".join([
-        MISSING_HEAD, some(_lines(duplicates.orderBy("filename"), F.format_string("- `%s` is identical to `%s` (SHA-256 `%s`)", "filename", "same_as", S.short_digest(F.col("sha256"))))),
+        MISSING_HEAD, some(_lines(duplicates.orderBy("filename"), duplicate_line())),
         EXCLUDED_HEAD, some(_lines(excluded.orderBy("name"), F.format_string("- `%s`", "name"))),
-        REJECTED_HEAD, some(_lines(ordered.where("not accepted"), F.format_string("- `%s`: %s", "filename", F.array_join("reasons", "; ")))),
-        OVERFLOW_HEAD, some(_lines(ordered.where("overflow_questions > 0"), per("overflow_questions"))),
-        UNLABELED_HEAD % (unlabeled[0], unlabeled[1]), some(_lines(ordered.where("unlabeled_questions > 0"), per("unlabeled_questions"))), "\n",
+        REJECTED_HEAD, some(_lines(ordered.where("not accepted"), rejected_line())),
+        OVERFLOW_HEAD, some(_lines(ordered.where("overflow_questions > 0"), count_line("overflow_questions"))),
+        UNLABELED_HEAD % (unlabeled[0], unlabeled[1]), some(_lines(ordered.where("unlabeled_questions > 0"), count_line("unlabeled_questions"))), "\n",
     ])
 
 
 def copy_accepted(spark: SparkSession, to_copy: DataFrame, source_root: str, target_root: str) -> int:
-    """Copies accepted files (filename, stored_path) in their store; the count of files copied."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    n = 0
-    for r in to_copy.select("filename", "stored_path").toLocalIterator():
-        a, b = jvm.org.apache.hadoop.fs.Path(f"{source_root}/{r.filename}"), jvm.org.apache.hadoop.fs.Path(f"{target_root}/{r.stored_path}")
-        n += bool(jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf))
-    return n
+    """Copies accepted files (filename, stored_path) in their store, many at a time; the count of files copied."""
+
+    def one(r) -> bool:
+        (a_fs, a), (b_fs, b) = file_system(spark, f"{source_root}/{r.filename}"), file_system(spark, f"{target_root}/{r.stored_path}")
+        return bool(spark._jvm.org.apache.hadoop.fs.FileUtil.copy(a_fs, a, b_fs, b, False, True, spark._jsc.hadoopConfiguration()))
+
+    with ThreadPoolExecutor(COPIES) as pool:
+        return sum(pool.map(one, to_copy.select("filename", "stored_path").toLocalIterator()))

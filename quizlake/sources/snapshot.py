@@ -1,50 +1,79 @@
-"""Snapshots of the bank: every table in a new folder, then one rename of the pointer. Readers see all of a load or nothing."""
+"""Snapshots of the bank: changed tables in a new folder, then a pointer that names the folder of every table.
+
+Pointers are numbered. One is written aside and renamed to its number only if that number is free, so of two writers that
+started from one snapshot the later one fails, and readers see all of a load or nothing.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quizlake import schemas
 from quizlake.sources.readers import exists
+from quizlake.sources.scratch import file_system
 
 POINTER = "CURRENT"
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+class Conflict(RuntimeError):
+    """Another load became current since this one read the bank."""
 
 
-def current(spark: SparkSession, root: str) -> str | None:
-    """The name of the current snapshot: the newest pointer file's, as pointers are never overwritten."""
+def version(spark: SparkSession, root: str) -> int:
+    """The number of the current snapshot; -1 where there is none."""
     if not exists(spark, f"{root}/{POINTER}-*"):
-        return None
-    fs, p = _fs(spark, f"{root}/{POINTER}-*")
-    return max(x.getPath().getName() for x in fs.globStatus(p)).split("-", 2)[2]
+        return -1
+    fs, p = file_system(spark, f"{root}/{POINTER}-*")
+    return max(int(x.getPath().getName().rpartition("-")[2]) for x in fs.globStatus(p))
+
+
+def _pointer(root: str, number: int) -> str:
+    return f"{root}/{POINTER}-{number:012d}"
+
 
+def folders(spark: SparkSession, root: str, number: int) -> dict[str, str]:
+    """The folder of each table in a snapshot."""
+    if number < 0:
+        return {}
+    return json.loads("".join(r.value for r in spark.read.text(_pointer(root, number)).collect()))  # a line for each load
 
-def read(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Every table of the current snapshot; empty tables where there is none yet."""
-    name = current(spark, root)
-    if name is None:
-        return {t: spark.createDataFrame([], schemas.struct_type(ddl)) for t, ddl in schemas.TABLES.items()}
-    return {t: spark.read.schema(ddl).parquet(f"{root}/{name}/{t}") for t, ddl in schemas.TABLES.items()}
 
+def read(spark: SparkSession, root: str, number: int | None = None) -> dict[str, DataFrame]:
+    """Every table of the current snapshot, or of the one numbered; empty tables where there is none yet."""
+    where = folders(spark, root, version(spark, root) if number is None else number)
+    return {t: spark.read.schema(ddl).parquet(f"{root}/{where[t]}/{t}") if t in where else spark.createDataFrame([], schemas.struct_type(ddl)) for t, ddl in schemas.TABLES.items()}
 
-def write(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
-    """Writes all tables, then creates the pointer that makes them current."""
-    name = uuid.uuid4().hex
+
+def write(spark: SparkSession, root: str, tables: dict[str, DataFrame], base: int | None = None, changed: set[str] | None = None) -> int:
+    """Writes the changed tables (all, if not told) and makes them current; the number of the new snapshot.
+
+    base: the number of the snapshot that the tables were made from. Tables that didn't change stay in their folders.
+    """
+    base = version(spark, root) if base is None else base
+    where, name = folders(spark, root, base), uuid.uuid4().hex
     for t, ddl in schemas.TABLES.items():
-        columns = [f.name for f in schemas.struct_type(ddl)]
-        tables[t].select(*columns).write.parquet(f"{root}/{name}/{t}")
-    old = current(spark, root)
-    number = 0
-    if old is not None:
-        fs, p = _fs(spark, f"{root}/{POINTER}-*")
-        number = 1 + max(int(x.getPath().getName().split("-", 2)[1]) for x in fs.globStatus(p))
-    fs, p = _fs(spark, f"{root}/{POINTER}-{number:012d}-{name}")
-    if not fs.createNewFile(p):
-        raise FileExistsError(str(p))
-    return name
+        if changed is None or t in changed or t not in where:
+            tables[t].select(*[f.name for f in schemas.struct_type(ddl)]).write.parquet(f"{root}/{name}/{t}")
+            where[t] = name
+    _publish(spark, f"{root}/{name}/pointer", _pointer(root, base + 1), json.dumps(where))
+    return base + 1
+
+
+def _publish(spark: SparkSession, aside: str, target: str, content: str) -> None:
+    """Creates the target with its content in one step, or raises Conflict if it is there."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs, a = file_system(spark, aside)
+    out = fs.create(a, False)
+    out.write(bytearray(content.encode()))
+    out.close()
+    never_over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    never_over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(a.toUri(), conf).rename(a, jvm.org.apache.hadoop.fs.Path(target), never_over)
+    except Exception as e:
+        if "already exists" in str(e) or "FileAlreadyExists" in str(e):
+            raise Conflict(target) from None
+        raise
