@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizlake.functions import scalars as S
-from quizlake.operators import merge, quality, report
+from quizlake.operators import intake, load, merge, quality, report, serve
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,64 +28,12 @@ def n(c: str | None = None):
     return F.count(c or "*")
 
 
-@query("SELECT o_orderkey, count(l_orderkey) AS n, count(l_orderkey) >= 4 AND coalesce(bool_and(l_returnflag <> 'R'), true) AS ready FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
-def publishable_orders(spark, d):
-    """The publish gate: a count and a condition on every row of a group, empty groups included."""
-    per = t(spark, d, "lineitem").groupBy("l_orderkey").agg(n().alias("n"), F.every(F.coalesce(F.col("l_returnflag") != "R", F.lit(False))).alias("fit"))
-    rows = t(spark, d, "orders").select("o_orderkey").join(per, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return rows.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n"), ((F.coalesce("n", F.lit(0)) >= 4) & F.coalesce("fit", F.lit(True))).alias("ready"))
-
-
-_DIGEST = "SELECT doc_id, sha256(text) AS digest, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS r, first_value(doc_id) OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS same_as FROM documents"
-
-
-def _firsts(spark, d):
-    """The first document of each content: counted before the shuffle, so a text that many share is one row."""
-    rows = t(spark, d, "documents").select("doc_id", S.file_digest(F.col("text").cast("binary")).alias("digest"))
-    return rows, rows.groupBy("digest").agg(F.min("doc_id").alias("same_as"))
-
-
-@query(f"SELECT doc_id, digest FROM ({_DIGEST}) WHERE r = 1")
-def dedup_first(spark, d):
-    return _firsts(spark, d)[1].select(F.col("same_as").alias("doc_id"), "digest")
-
-
-@query(f"SELECT doc_id, digest, same_as FROM ({_DIGEST}) WHERE r > 1")
-def dedup_same_as(spark, d):
-    rows, first = _firsts(spark, d)
-    return rows.join(first, "digest").where("doc_id > same_as").select("doc_id", "digest", "same_as")
 
 
-@query(r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS base, contains(url, '?') AS is_copy FROM pages)
-    SELECT base, page_id, is_copy FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY is_copy, url, page_id) AS r FROM p) WHERE r = 1""")
-def original_first(spark, d):
-    p = t(spark, d, "pages").select("page_id", "url", F.regexp_extract("url", "://([^/?#]*)", 1).alias("base"), F.contains("url", F.lit("?")).alias("is_copy"))
-    best = p.groupBy("base").agg(F.min(F.struct("is_copy", "url", "page_id")).alias("b"))
-    return best.select("base", "b.page_id", "b.is_copy")
 
 
-@query("SELECT event_id, user_id, coalesce(last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), -1) AS section FROM events")
-def section_fill(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t(spark, d, "events").select("event_id", "user_id", F.coalesce(F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w), F.lit(-1)).alias("section"))
 
 
-@query("SELECT conv_id, turn, role, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING), -1) AS section FROM conversations")
-def turn_section(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    return t(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce(F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w), F.lit(-1)).alias("section"))
-
-
-@query("SELECT conv_id, CAST(count_if(role = 'user') AS BIGINT) AS users, CAST(count_if(role = 'assistant') AS BIGINT) AS assistants, count(*) AS n FROM conversations GROUP BY conv_id")
-def section_counts(spark, d):
-    return t(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("users"), F.count_if(F.col("role") == "assistant").alias("assistants"), n().alias("n"))
-
-
-@query("SELECT source, digest, row_number() OVER (PARTITION BY source ORDER BY first_id) AS version FROM (SELECT source, substr(sha256(text), 1, 16) AS digest, min(doc_id) AS first_id FROM documents GROUP BY 1, 2)")
-def version_numbers(spark, d):
-    rows = t(spark, d, "documents").select("source", "doc_id", F.substring(S.file_digest(F.col("text").cast("binary")), 1, 16).alias("digest"))
-    first = rows.groupBy("source", "digest").agg(F.min("doc_id").alias("first_id"))
-    return first.select("source", "digest", F.row_number().over(Window.partitionBy("source").orderBy("first_id")).cast("long").alias("version"))
 
 
 def _slices(spark, d):
@@ -121,28 +69,8 @@ def insert_if_absent(spark, d):
     return old.unionByName(merge.insert_if_absent(old, o.withColumn("o_orderstatus", F.lit("N")), ["o_orderkey"]))
 
 
-@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def withdraw_anti(spark, d):
-    return merge.split_by_match(t(spark, d, "documents").select("doc_id", "source"), t(spark, d, "labels"), ["doc_id"])[1]
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
-def covered_semi(spark, d):
-    r = t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return t(spark, d, "orders").select("o_orderkey", "o_custkey").join(r, "o_orderkey", "left_semi")
-
-
-@query("SELECT doc_id, quality IS NULL AS stale FROM documents LEFT JOIN labels USING (doc_id)")
-def stale_split(spark, d):
-    return t(spark, d, "documents").select("doc_id").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.col("quality").isNull().alias("stale"))
-
-
-@query("""WITH a AS (SELECT doc_id, nullif(lang, 'en') AS lang FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id - 1 AS doc_id, nullif(lang, 'en') AS lang FROM documents WHERE doc_id % 2 = 1)
-    SELECT a.doc_id, a.lang FROM a JOIN b ON a.doc_id = b.doc_id AND a.lang IS NOT DISTINCT FROM b.lang""")
-def null_safe_match(spark, d):
-    x = t(spark, d, "documents").select("doc_id", F.nullif("lang", F.lit("en")).alias("lang"))
-    b = x.where("doc_id % 2 = 1").select((F.col("doc_id") - 1).alias("b_id"), F.col("lang").alias("b_lang"))
-    return x.where("doc_id % 2 = 0").join(b, (F.col("doc_id") == F.col("b_id")) & F.col("lang").eqNullSafe(F.col("b_lang"))).select("doc_id", "lang")
 
 
 @query("SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'purchase' ELSE max_by(event_type, row(ts, event_id)) END AS status FROM events GROUP BY user_id")
@@ -156,21 +84,6 @@ def last_wins(spark, d):
     return merge.last_by(t(spark, d, "events").withColumn("ord", F.struct("ts", "event_id")), ["user_id"], ["event_id", "event_type"])
 
 
-_REASONS = "concat_ws('; ', CASE WHEN l_quantity > 45 THEN 'quantity' END, CASE WHEN l_discount > 0.08 THEN 'discount' END, CASE WHEN l_returnflag = 'R' THEN 'returned' END)"
-
-
-def _reasons():
-    return F.concat_ws("; ", F.when(F.col("l_quantity") > 45, "quantity"), F.when(F.col("l_discount") > 0.08, "discount"), F.when(F.col("l_returnflag") == "R", "returned"))
-
-
-@query(f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {_REASONS} AS reasons FROM lineitem")
-def reasons(spark, d):
-    return t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", _reasons().alias("reasons"))
-
-
-@query(f"SELECT {_REASONS} = '' AS accepted, count(*) AS n FROM lineitem GROUP BY 1")
-def accepted_split(spark, d):
-    return t(spark, d, "lineitem").groupBy((_reasons() == "").alias("accepted")).agg(n().alias("n"))
 
 
 @query("SELECT o_custkey, CAST(sum(greatest(0, 5 - n)) AS BIGINT) AS deficit FROM (SELECT o_custkey, o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2) GROUP BY o_custkey")
@@ -180,16 +93,6 @@ def deficit_sum(spark, d):
     return rows.groupBy("o_custkey").agg(F.sum(S.clamped(F.lit(5) - F.coalesce("n", F.lit(0)))).alias("deficit"))
 
 
-@query("SELECT o_orderpriority, CAST(count_if(o_orderstatus = 'F') AS BIGINT) AS ready, count(*) AS total FROM orders GROUP BY o_orderpriority")
-def ready_of_total(spark, d):
-    return t(spark, d, "orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("ready"), n().alias("total"))
-
-
-@query("SELECT c_custkey, coalesce(string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey), '') AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
-def nested_orders(spark, d):
-    o = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("list"))
-    rows = t(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left")
-    return rows.select("c_custkey", F.coalesce(F.array_join(F.transform("list", lambda x: F.concat_ws(":", x["o_orderkey"].cast("string"), x["o_orderstatus"])), ","), F.lit("")).alias("orders"))
 
 
 @query("SELECT doc_id, substr(sha256(text), 1, 16) || '…' AS digest FROM documents")
@@ -203,15 +106,6 @@ def content_hashes(spark, d):
     return t(spark, d, "documents").select("doc_id", S.content_hash(F.col("doc_id").cast("string"), F.col("lang"), F.lit(None).cast("string"), options).alias("content_hash"))
 
 
-@query(r"""SELECT page_id, CAST(length(trim(html)) AS BIGINT) AS n_chars, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS n_blocks, regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang,
-    CASE WHEN starts_with(url, 'https://') THEN '/assets/' || substr(url, 9) ELSE url END AS path, length(trim(html)) < 20 AS is_ad FROM pages""")
-def text_probe(spark, d):
-    h, u = F.col("html"), F.col("url")
-    return t(spark, d, "pages").select(
-        "page_id", F.length(F.trim(h)).cast("long").alias("n_chars"), F.regexp_count(h, F.lit("<p>")).cast("long").alias("n_blocks"), F.regexp_extract(h, 'lang="([a-z]+)"', 1).alias("lang"),
-        F.when(u.startswith("https://"), F.concat(F.lit("/assets/"), F.substring(u, 9, 1 << 30))).otherwise(u).alias("path"), (F.length(F.trim(h)) < 20).alias("is_ad"),
-    )
-
 
 @query("SELECT event_id, ((c >> 8) & 255) > (c >> 16) + 40 AS is_green FROM (SELECT event_id, CAST((event_id * 7919) % 16777216 AS INTEGER) AS c FROM events)")
 def color_bits(spark, d):
@@ -229,32 +123,8 @@ def hhmm_slot(spark, d):
     return t(spark, d, "events").select("event_id", S.to_hhmm(F.date_format(ts, "hh"), F.date_format(ts, "mm"), F.when(F.hour(ts) >= 12, "PM").otherwise("AM")).alias("slot"))
 
 
-@query("SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING'")
-def listing(spark, d):
-    out = t(spark, d, "customer")
-    for column, value in (("c_mktsegment", "building"), ("c_name", "")):
-        if value:
-            out = out.where(F.col(column) == value.upper())
-    return out.select("c_custkey", "c_name", "c_nationkey").orderBy("c_custkey")
-
-
-@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'U' WHEN '2-HIGH' THEN 'H' ELSE o_orderpriority END AS code FROM orders")
-def enum_map(spark, d):
-    codes = F.create_map(F.lit("1-URGENT"), F.lit("U"), F.lit("2-HIGH"), F.lit("H"))
-    return t(spark, d, "orders").select("o_orderkey", F.coalesce(F.element_at(codes, F.col("o_orderpriority")), F.col("o_orderpriority")).alias("code"))
-
-
-@query("""SELECT p_partkey, 'brand' AS kind, p_brand AS path FROM part WHERE p_size > 10 UNION ALL SELECT p_partkey, 'type', p_type FROM part WHERE p_size > 25
-    UNION ALL SELECT p_partkey, 'name', p_name FROM part WHERE p_retailprice > 1000""")
-def assets_union(spark, d):
-    one = lambda kind, c, ok: F.struct(F.lit(kind).alias("kind"), F.when(ok, F.col(c)).alias("path"))
-    every = F.array(one("brand", "p_brand", F.col("p_size") > 10), one("type", "p_type", F.col("p_size") > 25), one("name", "p_name", F.col("p_retailprice") > 1000))
-    return t(spark, d, "part").select("p_partkey", F.explode(F.filter(every, lambda x: x["path"].isNotNull())).alias("a")).select("p_partkey", "a.*")
 
 
-@query("SELECT c_nationkey AS nationkey FROM customer UNION SELECT s_nationkey FROM supplier")
-def covered_union(spark, d):
-    return t(spark, d, "customer").select(F.col("c_nationkey").alias("nationkey")).union(t(spark, d, "supplier").select("s_nationkey")).distinct()
 
 
 @query("SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)")
@@ -274,6 +144,105 @@ def domain_checks(spark, d):
     return parts[0].union(parts[1]).union(parts[2]).select("o_orderkey").distinct()
 
 
+@query("SELECT o_orderkey, count(l_orderkey) = 4 AND coalesce(bool_and(l_returnflag <> 'R'), true) AS ready FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def publishable_orders(spark, d):
+    """The publish gate: orders as mocks that want four questions, lines as questions, return flags as versions with or without a confirmed key."""
+    orders, lines = t(spark, d, "orders"), t(spark, d, "lineitem")
+    bank = {
+        "exam_pattern": orders.select(F.col("o_orderpriority").alias("section")).distinct().withColumn("questions", F.lit(4)), "mocks": orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("section")),
+        "questions": lines.select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("mock_id"), F.lit("EXTRACTED").alias("status"), F.ascii("l_returnflag").alias("current_version_id")),
+        "question_versions": spark.createDataFrame([(ord(x), "UNVERIFIED" if x == "R" else "KEY_CONFIRMED_DUAL") for x in "ANR"], "id int, key_status string"),
+    }
+    return load.publishable(bank).withColumnRenamed("id", "o_orderkey")
+
+
+_DIGEST = "SELECT doc_id, sha256(text) AS digest, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS r, first_value(doc_id) OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS same_as FROM documents"
+
+
+def _files(spark, d):
+    """Documents as files whose names sort as their ids do."""
+    return t(spark, d, "documents").select("doc_id", F.concat(F.lpad(F.col("doc_id").cast("string"), 18, "0"), F.lit(".pdf")).alias("name"), S.file_digest(F.col("text").cast("binary")).alias("sha256"))
+
+
+@query(f"SELECT doc_id, digest FROM ({_DIGEST}) WHERE r = 1")
+def dedup_first(spark, d):
+    return intake.dedup_files(_files(spark, d))[0].select("doc_id", F.col("sha256").alias("digest"))
+
+
+@query(f"SELECT doc_id, digest, same_as FROM ({_DIGEST}) WHERE r > 1")
+def dedup_same_as(spark, d):
+    number = lambda c: F.substring(c, 1, 18).cast("long")
+    return intake.dedup_files(_files(spark, d))[1].select(number("filename").alias("doc_id"), F.col("sha256").alias("digest"), number("same_as").alias("same_as"))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, string_split(url, '?')[1] AS base, contains(url, '?') AS is_copy FROM pages)
+    SELECT host, page_id, is_copy FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY base, is_copy) AS r FROM p) WHERE r = 1""")
+def original_first(spark, d):
+    """Pages as files and hosts as contents: names before their copies."""
+    u, copy = F.col("url"), F.contains("url", F.lit("?"))
+    name = F.concat(F.split(u, r"\?")[0], F.when(copy, " (1)").otherwise(""), F.lit(".pdf"))
+    files = t(spark, d, "pages").select(name.alias("name"), F.regexp_extract(u, "://([^/?#]*)", 1).alias("sha256"), "page_id")
+    return intake.dedup_files(files)[0].select(F.col("sha256").alias("host"), "page_id", S.is_copy(F.col("name")).alias("is_copy"))
+
+
+@query("SELECT event_id, CAST(user_id AS VARCHAR) AS file, CAST(last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS VARCHAR) AS section FROM events")
+def section_fill(spark, d):
+    """Events of a user as a sheet in time order, signups as its section headers."""
+    signup = F.col("event_type") == "signup"
+    ev = t(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("file"), F.lit(0).alias("page_no"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("y0"), F.col("event_id").cast("double").alias("x0"), F.when(signup, "section").otherwise("label").alias("kind"), F.col("event_id").cast("string").alias("value"))
+    return intake.with_section(ev).select("event_id", "file", "section")
+
+
+@query("""WITH x AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN CASE WHEN turn % 4 = 0 THEN 'GA' ELSE 'Other' END END AS head FROM conversations),
+    y AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM x), z AS (SELECT conv_id, section, min(turn) AS p, count_if(role = 'assistant') AS n FROM y WHERE section IS NOT NULL GROUP BY 1, 2)
+    SELECT CAST(conv_id AS VARCHAR) AS file, string_agg(section || '=' || n, ',' ORDER BY p) AS sections FROM z GROUP BY conv_id""")
+def section_counts(spark, d):
+    """Conversations as sheets: users' turns as headers, answers counted by section."""
+    user = F.col("role") == "user"
+    ev = t(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("file"), F.lit(0).alias("page_no"), F.col("turn").cast("double").alias("y0"), F.lit(0.0).alias("x0"), F.when(user, "section").otherwise("answer").alias("kind"), F.when(F.col("turn") % 4 == 0, "General Awareness").otherwise("Other").alias("value"), "role")
+    ev = ev.where("role in ('user', 'assistant')").drop("role")
+    out = intake.section_counts(intake.with_section(ev))
+    return out.select("file", F.array_join(F.transform(F.map_entries("sections"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["questions"].cast("string"))), ",").alias("sections"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'KEY_CONFIRMED_REVIEW' WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'KEY_CONFIRMED_DUAL' ELSE 'UNVERIFIED' END AS key_status FROM documents")
+def withdraw_anti(spark, d):
+    """Verdicts of documents without a label are withdrawn, but for reviewed ones."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 == 0, "KEY_CONFIRMED_REVIEW").otherwise("KEY_CONFIRMED_DUAL").alias("key_status"))
+    bank = {"questions": docs.select("id", F.col("id").alias("current_version_id")), "question_versions": docs}
+    out, _ = load.withdraw_verdicts(bank, t(spark, d, "labels").select(F.col("doc_id").alias("question_id")))
+    return out["question_versions"].select(F.col("id").alias("doc_id"), "key_status")
+
+
+def _order_mocks(spark, d):
+    return t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("paper_id"), F.col("o_orderpriority").alias("section"), F.lit(900).alias("timer_sec"), F.when(F.col("o_orderstatus") == "F", "PUBLISHED").otherwise("DRAFT").alias("status"))
+
+
+@query("SELECT o_orderpriority AS section, CAST(count_if(o_orderstatus = 'F') AS BIGINT) AS ready, count(*) AS total FROM orders GROUP BY o_orderpriority")
+def ready_of_total(spark, d):
+    return serve.home({"mocks": _order_mocks(spark, d)})[1]
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, coalesce(string_agg(o_orderkey || ':' || CASE o_orderstatus WHEN 'F' THEN 'PUBLISHED' ELSE 'DRAFT' END, ',' ORDER BY o_orderpriority, CAST(o_orderkey AS VARCHAR)), '') AS mocks FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def nested_orders(spark, d):
+    """Customers as papers with their orders as mocks; those without any keep an empty list."""
+    none = F.lit(None).cast("string")
+    papers = t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), none.alias("exam_date"), none.alias("time_slot"), none.alias("key_status"))
+    rows = serve.papers({"papers": papers, "mocks": _order_mocks(spark, d)})
+    return rows.select("id", F.array_join(F.transform("mocks", lambda m: F.concat_ws(":", m["id"], m["status"])), ",").alias("mocks"))
+
+
+@query(r"""SELECT page_id, CAST(length(regexp_replace(regexp_replace(t, '\A\s+', ''), '\s+\z', '')) AS BIGINT) AS n_chars, CASE WHEN url LIKE 'data/questions/assets/%' THEN '/assets/' || substr(url, 23) WHEN url <> '' THEN '/assets/' || url END AS path FROM (SELECT page_id, url, replace(html, chr(160), ' ') AS t FROM pages)""")
+def text_probe(spark, d):
+    return t(spark, d, "pages").select("page_id", F.length(S.strip(S.plain_spaces(F.col("html")))).cast("long").alias("n_chars"), S.asset_url(F.col("url")).alias("path"))
+
+
+@query("SELECT c_custkey AS id, c_mktsegment AS section, CAST(c_nationkey AS VARCHAR) AS status FROM customer WHERE c_mktsegment = 'BUILDING'")
+def listing(spark, d):
+    """Customers as mocks, filtered by one of two parameters."""
+    return serve.mocks({"mocks": t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("section"), F.col("c_nationkey").cast("string").alias("status"))}, "building", "")
+
+
 @query("SELECT count(o_orderkey) AS questions FROM orders")
 def count_all(spark, d):
-    return t(spark, d, "orders").agg(F.count("o_orderkey").alias("questions"))
+    return serve.health({"questions": t(spark, d, "orders").select(F.col("o_orderkey").alias("id"))})
