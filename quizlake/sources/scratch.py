@@ -35,9 +35,9 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, spark: SparkSession | None = None, **options: str) -> DataFrame:
     """Writes df as Parquet in the scratch folder and reads it again: a lost executor then costs a read, not a rerun."""
     spark = spark or df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     return spark.read.schema(df.schema).parquet(path)
