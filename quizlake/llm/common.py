@@ -3,40 +3,30 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quizlake.sources.scratch import materialize, shared_dir
+
+__all__ = ["arrow_map", "estimated_bytes", "fold_of", "free_name", "materialize", "prepare", "shards_for", "shared_dir", "slices", "text_bytes", "texts"]
+
 ROWS_PER_BATCH = 1000
 BATCH_BYTES = 4_000_000
 ARROW_BYTES = 8_000_000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches: a batch of very long texts must fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-
+    """Small Arrow batches: a batch of very long texts must fit a Python worker.
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quizlake-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: a lost executor then costs a read, not a rerun."""
-    spark = spark or df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Spark reads both settings when a plan runs, after an operator has returned, so they stay; smaller ones of the caller's do too.
+    """
+    for key, most in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("bB"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -48,8 +38,8 @@ def estimated_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 2000 * df.count()
 
 
-def shards_for(df: DataFrame, per_shard: int, least: int = 16, most: int = 200_000) -> int:
-    return max(least, min(most, math.ceil(estimated_bytes(df) / per_shard)))
+def shards_for(df: DataFrame, per_shard: int, least: int = 16) -> int:
+    return max(least, math.ceil(estimated_bytes(df) / per_shard))
 
 
 def free_name(columns: list[str], name: str) -> str:

@@ -2,7 +2,7 @@
 
 Both vocabularies split a text at white space before any merge, so the ids of a text are those of its words, one after
 the other. Words repeat, so each worker encodes a word once. A text with white space of which the rule does not hold
-for certain goes to the library whole.
+for certain, or with the beginning of a special token, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.kind, self.tokenizer = kind, Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = tuple({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.words = Words(kind, self.tokenizer, {})
 
     def whole(self, text: str) -> bytes:
@@ -74,6 +74,8 @@ class Coder:
 
     def pieces(self, text: str) -> list[str] | None:
         """Parts that are encoded apart, or None if the text must be encoded whole."""
+        if any(x in text for x in self.special):
+            return None
         if self.kind == "word":
             return None if _EXOTIC.search(text) else text.split()
         if _UNSURE.search(text):

@@ -28,7 +28,7 @@ def corpus():
     base = ["\n".join(line() for _ in range(r.randint(1, 9))) for _ in range(40)]
     near = [b.replace(b.split()[3], "zzz", 1) if len(b.split()) > 60 else b for b in base[:15]]
     mixed = [base[i] + "\n" + base[i + 1][:120] for i in range(10)]
-    odd = [None, "", " ", "\n\n", "a", "one two three four", base[0], base[0], "ab " * 4000, "ab " * 4000 + "c", "x" * 3000, "naïve 👩‍👩‍👧 ok", "a\x00b\x1cc  d"]
+    odd = [None, "", " ", "\n\n", "a", "one two three four", base[0], base[0], "ab " * 4000, "ab " * 4000 + "c", "x" * 3000, "naïve 👩‍👩‍👧 ok", "a\x00b\x1cc  d", "<|endoftext|> hi", "x <|EndOfText|>y<|startoftext|>", "²½ ①Ⅷ 7", "हिन्दी में लिखा"]
     return rows_of([*base, *near, *mixed, *odd]) + [(None, base[0], None, 1, "x", 2, "y", 3), (None, None, None, 1, "x", 2, "y", 3), (3, base[3], "en", 1, "x", 2, "y", 3)]
 
 
@@ -44,7 +44,6 @@ def empty(spark):
 
 def ids_of(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -114,9 +113,13 @@ def test_token_files(docs, empty):
 def test_any_token_is_addressed():
     ids = np.random.default_rng(0).choice([0, 5, 255, 256, 50_000, 70_000, 2**31], 5000).astype(np.uint32)
     f = token_files.TokenFile(token_files.write_file([7, None], [2000, 3000], ids))
-    assert f.doc_ids == [7, None] and (f.all_ids() == ids).all()
+    assert f.doc_ids == [7, None] and (f.ids(0, 5000) == ids).all()
     assert all(f.token(i) == ids[i] for i in range(0, 5000, 7))
     assert (f.document(1) == ids[2000:]).all()
+    assert all((f.ids(a, b) == ids[a:b]).all() for a, b in [(0, 0), (5000, 5000), (511, 513), (512, 1024), (4999, 5000), (7, 4000)])
+    for n in (0, 1, 512, 1024):
+        one = token_files.TokenFile(token_files.write_file([1], [n], np.full(n, 2**31, np.uint32)))
+        assert (one.document(0) == 2**31).all() and len(one.document(0)) == n
 
 
 def test_vector_search(spark):
