@@ -1,47 +1,62 @@
 """Language identification by cross-parsing.
 
-For each language a suffix automaton holds every substring of its labelled words. A text is cut greedily into the longest
-phrases that an automaton knows; the fewer the phrases, the closer the text is to the language. Phrases end at word
-bounds, so the count of a text is the sum over its words, and each worker parses a word once. The count is normalised by
-log2 of the training length over the letters parsed: the cross-parsing entropy in bits a letter.
+For each language a suffix automaton holds every substring of a sample of its labelled text. A text is cut greedily into the
+longest phrases that the automaton knows, over word bounds as they come; the fewer the phrases, the closer the text is to the
+language. The count is normalised by log2 of the sample's length over the letters parsed: the cross-parsing entropy in bits a
+letter. Texts of a batch are parsed side by side, a letter of each in each automaton at a time.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizlake.llm.common import arrow_map, fold_of, prepare, texts
 
-#: Bounds of training: documents sampled of each language, and letters of the commonest words in all automata together.
+#: Bounds of training: documents sampled of each language, and letters of each language's automaton.
 SAMPLE_DOCS = 2000
-TRAIN_LETTERS = 160_000
-#: A word trains a language if its share there is at least this part of its share anywhere: texts quote other languages.
-OWN_SHARE = 0.2
-CACHED_WORDS = 200_000
+TRAIN_LETTERS = 50_000
+#: The sample is dealt by lines, cut to at most so many letters, so that no long text fills it alone.
+PIECE_LETTERS = 400
 UNKNOWN = "und"
-_WORDS = re.compile(r"[^\W\d_]+")
+#: Texts parsed side by side; fewer than this many at a time are parsed one by one.
+SIDE_BY_SIDE = 64
+#: The most table cells of all automata; beyond it texts are parsed through the automata's own maps.
+MOST_CELLS = 40_000_000
+_KINDS: list[np.ndarray] = []
 
 
-def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+def _kinds() -> np.ndarray:
+    """2 for each code point that is a letter, 1 for a mark, else 0; made once in a process."""
+    if not _KINDS:
+        _KINDS.append(np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)], np.uint8))
+    return _KINDS[0]
+
+
+def plain(text: str) -> str:
+    """The letters and marks of a text in lower case, whatever lies between as one space; empty if there is no letter."""
+    cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[cp]
+    if not (kind == 2).any():
+        return ""
+    word = kind > 0
+    keep = word | np.concatenate([[False], word[:-1]])
+    return np.where(word, cp, 32)[keep].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").rstrip(" ")
 
 
 class SuffixAutomaton:
-    def __init__(self, words: list[str]):
+    def __init__(self, pieces: list[str]):
         self.next: list[dict[str, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.letters = 0
+        self.letters = sum(map(len, pieces))
         last = 0
-        for ch in "\n".join(words):  # no phrase holds a line end, so none runs over two words
+        for ch in "\n".join(pieces):  # no text parsed holds a line end, so no phrase runs over two pieces
             last = self._extend(last, ch)
-            self.letters += ch != "\n"
 
     def _state(self, length: int, link: int, go: dict[str, int]) -> int:
         self.next.append(go)
@@ -67,61 +82,57 @@ class SuffixAutomaton:
                 self.link[q] = self.link[cur] = copy
         return cur
 
-    def phrases(self, word: str) -> int:
+    def phrases(self, text: str) -> int:
+        """Longest-match phrases of a text; a letter that the language doesn't have is one by itself."""
         go, root = self.next, self.next[0]
-        n, at = 1, root
-        for ch in word:
+        n, at = 0, root
+        for ch in text:
             to = at.get(ch)
             if to is None:
                 n += at is not root
                 to = root.get(ch)
-                if to is None:  # a letter the language doesn't have: a phrase by itself
+                if to is None:
                     n += 1
                     at = root
                     continue
             at = go[to]
-        return n - (at is root and n > 1)
+        return n + (at is not root)
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, letters: int = TRAIN_LETTERS) -> dict[str, list[str]]:
-    """The training words of each language, from rows (doc_id, text, lang).
+    """The training pieces of each language, from rows (doc_id, text, lang).
 
-    At most about ``sample_docs`` documents of a language, chosen by a hash of the id, and of these the commonest words up
-    to an equal share of ``letters``. The driver gets those words only.
+    Of at most about ``sample_docs`` documents of a language, chosen by a hash of the id, the lines in the order of a hash
+    up to ``letters`` letters. A line that several documents share counts once. The driver gets about twice that much.
     """
-    rows = docs.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    rows = docs.where("lang is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     per = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.broadcast(per.select("lang", (F.lit(float(sample_docs)) / F.col("n")).alias("part")))  # a row for each language
     chosen = rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("part") * 1_000_000)
 
     def make():
         def step(batch):
-            counts: Counter = Counter()
+            langs, pieces = [], []
             for lang, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                counts.update((lang, w) for w in words_of(text))
-            if counts:
-                yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in counts], "word": [k[1] for k in counts], "n": list(counts.values())})
+                for line in text.split("\n"):
+                    line = plain(line)
+                    parts = [line[i : i + PIECE_LETTERS] for i in range(0, len(line), PIECE_LETTERS)]
+                    langs += [lang] * len(parts)
+                    pieces += parts
+            if pieces:
+                yield pa.RecordBatch.from_pydict({"lang": langs, "piece": pieces})
 
         return step
 
-    counts = arrow_map(chosen.select("lang", "text"), "lang string, word string, n long", make).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    best = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= 20_000)
-    found: dict[str, list[tuple[str, int]]] = {}
-    for r in best.orderBy("lang", "r").collect():
-        found.setdefault(r.lang, []).append((r.word, r.n))
-    total = {k: sum(n for _, n in v) for k, v in found.items()}
-    top: dict[str, float] = {}
-    for k, v in found.items():
-        for w, n in v:
-            top[w] = max(top.get(w, 0), n / total[k])
-    out = {}
-    for k, v in found.items():
-        left, words = letters // max(1, len(found)), []
-        for w, n in v:
-            if n / total[k] >= OWN_SHARE * top[w] and len(w) <= left:
-                words.append(w)
-                left -= len(w)
-        out[k] = words
+    distinct = arrow_map(chosen.select("lang", "text"), "lang string, piece string", make).distinct().withColumn("h", F.xxhash64("piece"))
+    total = distinct.groupBy("lang").agg(F.sum(F.length("piece")).alias("total"))
+    wanted = F.pmod(F.col("h"), F.lit(1_000_000)) < F.lit(2e6 * letters) / F.col("total")
+    out: dict[str, list[str]] = {}
+    left: dict[str, int] = {}
+    for r in sorted(distinct.join(F.broadcast(total), "lang").where(wanted).select("lang", "h", "piece").collect()):
+        if left.setdefault(r.lang, letters) > 0:
+            out.setdefault(r.lang, []).append(r.piece[: left[r.lang]])
+            left[r.lang] -= len(r.piece)
     return out
 
 
@@ -130,56 +141,116 @@ class Parser:
         self.langs = sorted(k for k, v in model.items() if v)
         self.automata = [SuffixAutomaton(model[k]) for k in self.langs]
         self.bits = np.array([math.log2(max(2, a.letters)) for a in self.automata])
-        self.clear()
-
-    def clear(self):
-        self.rows: dict[str, int] = {}
-        self.counts = np.zeros((1024, len(self.langs)), np.int64)
-
-    def row(self, word: str) -> int:
-        at = self.rows[word] = len(self.rows)
-        if at == len(self.counts):
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        self.counts[at] = [a.phrases(word) for a in self.automata]
-        return at
-
-    def predict(self, text: str) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.langs:
-            return UNKNOWN, 0.0
-        if len(self.rows) > CACHED_WORDS:
-            self.clear()
-        get = self.rows.get
-        at = [get(w, -1) for w in words]
-        if -1 in at:
-            at = [self.row(w) if (r := get(w)) is None else r for w in words]
-        entropy = self.counts[at].sum(axis=0) * self.bits / sum(map(len, words))
-        best = int(entropy.argmin())
-        odds = np.exp((entropy[best] - entropy) * 4)
-        return self.langs[best], float(1 / odds.sum())
+        signs = sorted({ch for a in self.automata for ch in a.next[0]} - {"\n"})
+        self.width = len(signs) + 1  # the first column is for letters that no language has
+        self.code = np.zeros(0x110000, np.uint16 if self.width < 1 << 16 else np.uint32)
+        self.code[[ord(x) for x in signs]] = np.arange(1, self.width)
+        states = sum(len(a.next) for a in self.automata)
+        self.table = None
+        if states * self.width <= MOST_CELLS:
+            self.table = np.full((states, self.width), -1, np.int32)
+            self.roots = np.cumsum([0, *(len(a.next) for a in self.automata)])[:-1]
+            place = {x: i for i, x in enumerate(signs, 1)}
+            for first, a in zip(self.roots.tolist(), self.automata, strict=True):
+                for s, go in enumerate(a.next):
+                    for ch, to in go.items():
+                        if ch != "\n":
+                            self.table[first + s, place[ch]] = first + to
+
+    def counts(self, plains: list[str]) -> np.ndarray:
+        """The phrases of each text in each language."""
+        out = np.zeros((len(plains), len(self.langs)), np.int64)
+        if self.table is None:
+            for i, x in enumerate(plains):
+                out[i] = [a.phrases(x) for a in self.automata]
+            return out
+        order = np.argsort([-len(x) for x in plains], kind="stable")
+        lengths = np.array([len(plains[i]) for i in order], np.int64)
+        codes = self.code[np.frombuffer("".join(plains[i] for i in order).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        starts = np.cumsum(lengths) - lengths
+        found = np.zeros((len(plains), len(self.langs)), np.int64)
+        state = np.broadcast_to(self.roots, found.shape).copy()
+        flat, width = self.table.ravel(), self.width
+        active, at = len(plains), 0
+        while active and lengths[active - 1] <= at:
+            active -= 1
+        while active >= SIDE_BY_SIDE:
+            ch = codes[starts[:active] + at][:, None].astype(np.int64)
+            to = flat[state[:active] * width + ch]
+            doc, lang = np.nonzero(to < 0)
+            if len(doc):
+                begun = state[doc, lang] != self.roots[lang]
+                again = flat[self.roots[lang] * width + ch[doc, 0]]
+                found[doc, lang] += begun.astype(np.int64) + (again < 0)
+                to[doc, lang] = np.where(again < 0, self.roots[lang], again)
+            state[:active] = to
+            at += 1
+            while active and lengths[active - 1] <= at:
+                active -= 1
+        found += state != self.roots
+        for k in range(active):  # a few long texts are left: one by one, on from where each is
+            text = plains[order[k]][at:]
+            for j, a in enumerate(self.automata):
+                found[k, j] += self._rest(a, int(state[k, j] - self.roots[j]), text)
+        out[order] = found
+        return out
+
+    @staticmethod
+    def _rest(a: SuffixAutomaton, state: int, text: str) -> int:
+        """The phrases that a text adds to one that stands in a state, whose open phrase is counted."""
+        for i, ch in enumerate(text):
+            to = a.next[state].get(ch)
+            if to is None:
+                return a.phrases(text[i:])
+            if not state:
+                return a.phrases(text[i:])
+            state = to
+        return 0
+
+    def predict(self, batch: list[str]) -> list[tuple[str, float]]:
+        plains = [plain(x) for x in batch]
+        if not self.langs:
+            return [(UNKNOWN, 0.0)] * len(batch)
+        entropy = self.counts(plains) * self.bits / np.maximum(1, [len(x) for x in plains])[:, None]
+        best = entropy.argmin(axis=1)
+        odds = np.exp((entropy.min(axis=1)[:, None] - entropy) * 4).sum(axis=1)
+        return [(self.langs[b], 1 / o) if x else (UNKNOWN, 0.0) for x, b, o in zip(plains, best.tolist(), odds.tolist(), strict=True)]
+
+
+_PARSERS: dict[int, tuple[dict, Parser]] = {}
+
+
+def parser(model: dict[str, list[str]]) -> Parser:
+    """One parser for each worker process; another model takes its place."""
+    key = hash(tuple((k, tuple(v)) for k, v in sorted(model.items())))
+    if key not in _PARSERS or _PARSERS[key][0] != model:
+        _PARSERS.clear()
+        _PARSERS[key] = model, Parser(model)
+    return _PARSERS[key][1]
 
 
 def identify(docs: DataFrame, model: dict[str, list[str]], keep: list[str] = ()) -> DataFrame:
     """The columns of ``keep``, lang_pred and score of every whole text.
 
-    ``und`` with score 0 where the text is null or holds no letter, or where no language was learned; ties go to the
-    language that sorts first; repeated rows are judged each. The model is bounded by TRAIN_LETTERS.
+    ``und`` with score 0 where the text is null or holds no letter (a code point of a category L), or where no language was
+    learned; ties go to the language that sorts first; repeated rows are judged each; an empty table gives no rows. The
+    model is bounded by TRAIN_LETTERS for each language. Columns of ``keep`` may have any name but those of the results.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    names = list(keep)
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"), "lang_pred string, score double"])
+    names = [f"c{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col("text").cast("string").alias("t"))
+    ddl = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "t"), "lang_pred string, score double"])
 
     def make():
-        p = Parser(model)
+        p = parser(model)
 
         def step(batch):
-            got = [p.predict(t) for t in texts(batch.column(len(names)))]
+            got = p.predict(texts(batch.column(len(names))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=[*names, "lang_pred", "score"])
 
         return step
 
-    return arrow_map(rows, ddl, make)
+    return arrow_map(rows, ddl, make).toDF(*keep, "lang_pred", "score")
 
 
 def learnable(docs: DataFrame) -> DataFrame:

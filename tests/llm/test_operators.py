@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -235,10 +236,50 @@ def test_language(spark, docs, empty):
     model = language.train(language.learnable(docs))
     said = language.identify(docs, model, ["doc_id", "text"]).collect()
     assert len(said) == len(corpus())
-    assert all((x.lang_pred == "und") == (not re.search(r"[^\W\d_]", x.text or "")) and 0 <= x.score <= 1 for x in said)
+    assert all((x.lang_pred == "und") == (not any(c.isalpha() for c in x.text or "")) and 0 <= x.score <= 1 for x in said)
+    clash = docs.selectExpr("*", "'z' AS lang_", "doc_id AS `odd.name`", "'t' AS c0", "'u' AS t")
+    kept = ["odd.name", "c0", "t", "doc_id", "n_bytes"]
+    assert language.identify(clash, model, kept).columns == [*kept, "lang_pred", "score"]
+    assert Counter((x.doc_id, x.lang_pred) for x in language.identify(clash, model, kept).collect()) == Counter((x.doc_id, x.lang_pred) for x in said)
     assert language.identify(empty, model, ["doc_id"]).count() == 0 and language.train(empty) == {}
 
 
+def test_predictions_equal_brute_force(spark, monkeypatch):
+    """Training lines by hand, every phrase by looking for substrings, ties, long texts, and both ways of parsing."""
+    r = random.Random(8)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(1, 6)))
+    text = lambda letters, n: "".join(word(letters) + r.choice([" ", ", ", "\n", "--", " 7 "]) for _ in range(n))
+    rows = [(i, text("abcde" if i % 2 else "cdefg", 60), "x" if i % 2 else "y") for i in range(40)] + [(40, "aaaa bbbb", None), (41, None, "x")]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), letters=3000)
+    lines = lambda lang: {language.plain(x) for _, t, k in rows if k == lang and t for x in t.split("\n")} - {""}
+    pieces = {k: {x[i : i + language.PIECE_LETTERS] for x in lines(k) for i in range(0, len(x), language.PIECE_LETTERS)} for k in "xy"}
+    assert set(model) == {"x", "y"} and all(any(p.startswith(q) for p in pieces[k]) for k, v in model.items() for q in v) and all(len("".join(v)) == 3000 for v in model.values())
+
+    def count(x, known):
+        n = at = 0
+        while at < len(x):
+            at += next((k for k in range(min(len(x) - at, language.PIECE_LETTERS), 0, -1) if any(x[at : at + k] in p for p in known)), 1)
+            n += 1
+        return n
+
+    asked = [text("abcdefgh", n) for n in (1, 2, 5, 9, 300)] + [text("abcde", 20), "", "zzz", "a", "\u0301", "z" * 50, "ab " * 700] + [text("aceg", r.randint(1, 12)) for _ in range(90)]
+    plains = [language.plain(x) for x in asked]
+    want = [[count(x, model[k]) for k in "xy"] for x in plains]
+    p = language.Parser(model)
+    assert p.table is not None and p.counts(plains).tolist() == want
+    monkeypatch.setattr(language, "SIDE_BY_SIDE", 1)
+    assert p.counts(plains).tolist() == want
+    monkeypatch.setattr(language, "MOST_CELLS", 1)
+    slow = language.Parser(model)
+    assert slow.table is None and slow.counts(plains).tolist() == want
+    for (lang, score), x, n in zip(p.predict(asked), plains, want, strict=True):
+        assert lang == ("und" if not x else "y" if n[1] < n[0] else "x") and 0 <= score <= 1
+
+
+def test_plain_keeps_letters_and_marks():
+    assert language.plain("  Ünï-Code 12 हिन्दी, ²½") == "ünï code हिन्दी" and language.plain("²½①Ⅷ \u0301 7") == "" and language.plain("") == ""
+
+
 def test_phrases_are_longest_matches():
     words = ["banana", "bandana", "nab"]
     a = language.SuffixAutomaton(words)
