@@ -25,8 +25,15 @@ PATHS_PER_HOST = 8
 #: Paths of all hosts up to this size go to every task; beyond it pages are dealt by host and one of SALTS numbers.
 BROADCAST_BYTES = 16_000_000
 SALTS = 32
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<!\[CDATA\[", re.S)
-_CLASS = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Containers whose names make up a path; those further in share the path of the last of these.
+MOST_DEPTH = 256
+#: An attribute by the rules of HTML: a name, which may begin with =, and a value that quotes or white space end. No part gives back what it took, so a page is read once.
+_ATTRIBUTE = r"""=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s"'>][^\s>]*+|(?=>)|\Z))?+|="""
+#: Comments; tags; the begin of a tag that never ends, which takes the rest of the page; other markup up to the next >.
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE})*+)>|(</?[a-zA-Z])|<[!?/][^>]*+(?:>|\Z)", re.S)
+_NAMED = re.compile(r"""(=?[^\s/>=]++)(?:\s*+=\s*+("[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s"'>][^\s>]*+|(?=>)|\Z))?+|=""")
+_WANTED = re.compile(r"class|id|role|hidden|style", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,27 +44,95 @@ _BLOCK = frozenset("address article aside blockquote body center dd details dial
 _CONTAINER = frozenset("article main section div body td blockquote".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _CLOSES_P = _BLOCK - {"dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
+_AROUND_P = _CONTAINER | {"li", "td"}
+_LISTS = frozenset({"ul", "ol", "dl", "table"})
+#: Elements that may hold a part of a page, so that a compound name says what they are; a paragraph's or a word's doesn't.
+_HOLDS = _CONTAINER | frozenset("ul ol dl table aside nav header footer form details dialog menu center figure".split())
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words of classes, ids and roles that name a page's surroundings.
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|aside|footer|header|masthead|cookie|cookies|consent|notice|popup|modal|overlay|newsletter|subscribe|signup|"
-    r"comment|comments|comment-list|respond|replies|reply|disqus|discussion|share|sharing|social|related|recommended|more-stories|toolbar|pagination|pager|widget|search|login|skip|complementary|contentinfo|search-form|alert|alertdialog|gdpr)(?:$|[\s_-])", re.I
+#: Names of a page's surroundings. A class, id or role is one if it is one of these, or if its first or last part is and a container has it.
+_NOISE = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead cookie cookies consent notice popup modal overlay newsletter subscribe signup "
+    "comment comments respond replies reply disqus discussion share sharing social related recommended toolbar pagination pager widget search login skip complementary contentinfo alert alertdialog gdpr".split()
 )
+_REMARK = frozenset("comment comments reply replies respond disqus discussion advert adverts advertisement ad ads sponsored".split())
+#: First parts of names that say how a container is laid out, not what it is.
+_LAYOUT = frozenset("has with no without is show hide not in".split())
+_PARTS = re.compile(r"[-_]+")
 
-_REMARK = re.compile(r"(?:^|[\s_-])(?:comment|comments|reply|replies|advert|advertisement|ad|sponsored)(?:$|[\s_-])", re.I)
+
+def is_noise(names: str, known: frozenset[str], compound: bool) -> bool:
+    """Whether a name of a list parted by white space is known; compound: or begins or ends with a part that is."""
+    for name in names.lower().split():
+        if name in known:
+            return True
+        if compound and not known.isdisjoint((x := _PARTS.split(name))[:: max(1, len(x) - 1)]) and x[0] not in _LAYOUT:
+            return True
+    return False
 
 
 class _Node:
-    __slots__ = ("drop", "in_article", "link", "path", "tag")
+    __slots__ = ("block", "doubt", "drop", "in_article", "link", "path", "tag")
 
-    def __init__(self, tag, path, drop, link, in_article):
+    def __init__(self, tag, path, drop, link, in_article, block, doubt):
         self.tag, self.path, self.drop, self.link, self.in_article = tag, path, drop, link, in_article
+        self.block, self.doubt = block, doubt  # place of the last block element so far; the doubtful container around, or None
+
+
+class _Stack:
+    """Open elements, and where each tag is open."""
+
+    def __init__(self):
+        self.nodes, self.places = [_Node("", (), False, False, False, 0, None)], defaultdict(list)
+
+    @property
+    def top(self) -> _Node:
+        return self.nodes[-1]
+
+    def push(self, node: _Node) -> None:
+        self.places[node.tag].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        while len(self.nodes) > at:
+            self.places[self.nodes.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of some tags; 0 if none is open."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def close(self, tags, stop) -> None:
+        """Ends an open element of ``tags`` that a new one ends by itself, unless an element of ``stop`` lies between."""
+        if (at := self.last(tags)) and at > self.last(stop):
+            self.cut(at)
+
+
+class _Doubt:
+    """A container named as noise: it is kept if it holds most of the page's text and its article."""
+
+    __slots__ = ("inside", "letters", "main", "sure")
+
+    def __init__(self, inside, sure):
+        self.inside, self.sure, self.letters, self.main = inside, sure, 0, False
+
+    def dropped(self, half: float) -> bool:
+        return self.sure or not (self.main and self.letters > half) or bool(self.inside and self.inside.dropped(half))
+
+
+def attributes(text: str) -> tuple[str, bool]:
+    """The classes, id and role of a tag, and whether it is hidden. Of a repeated attribute the first counts."""
+    if not _WANTED.search(text):
+        return "", False
+    found: dict[str, str] = {}
+    for name, value in _NAMED.findall(text):
+        found.setdefault(name.lower(), entities.unescape(value.strip(value[0]) if value[:1] in ("'", '"') else value))
+    names = " ".join(found[x] for x in ("class", "id", "role") if x in found)
+    return names, "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(found.get("style", "")))
 
 
 def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """The page's text blocks in order: paths of the containers around, text, characters in links."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack = [_Node("", (), False, False, False)]
+    """The page's text blocks in order: paths of the containers around, text, characters in links. The page is read once."""
+    out: list[tuple[tuple[str, ...], str, int, _Doubt | None]] = []
+    stack = _Stack()
     parts: list[str] = []
     linked = 0
 
@@ -66,7 +141,11 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                out.append((stack[-1].path, text, min(linked, len(text))))
+                out.append((stack.top.path, text, min(linked, len(text)), stack.top.doubt))
+                around = stack.top.doubt
+                while around:
+                    around.letters += len(text) - min(linked, len(text))
+                    around = around.inside
             parts.clear()
             linked = 0
 
@@ -74,57 +153,61 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
     size = len(html)
     while at < size:
         if raw:
-            m = re.compile(rf"</{raw}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+            m = re.compile(rf"</{raw}(?=[\s/>])[^>]*+>?", re.I).search(html, at)
             at, raw = (m.end() if m else size), None
             continue
         m = _TOKEN.search(html, at)
         text = html[at : m.start() if m else size]
-        if text and not stack[-1].drop:
+        if text and not stack.top.drop:
             parts.append(text)
-            if stack[-1].link:
+            if stack.top.link:
                 linked += len(text)
-        if not m:
+        if not m or m[4]:
             break
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag not in {n.tag for n in stack}:
-                if tag in ("p", "br") and not stack[-1].drop:
+            if not (place := stack.last((tag,))):
+                if tag in ("p", "br") and not stack.top.drop:
                     end_block()
                 continue
             if tag in _BLOCK:
                 end_block()
-            elif any(n.tag in _BLOCK for n in stack[next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag) :]):
+            elif stack.top.block > place:
                 continue  # an inline tag that ends after its block did
-            while stack.pop().tag != tag:
-                pass
+            stack.cut(place)
             continue
         if tag in _VOID:
             if tag == "hr":
                 end_block()
-            elif tag in ("br", "wbr", "img", "input") and not stack[-1].drop and tag != "wbr":
+            elif tag in ("br", "img", "input") and not stack.top.drop:
                 parts.append(" ")
             continue
         if tag in _BLOCK:
             end_block()
             if tag in _CLOSES_P:
-                _close(stack, {"p"}, _CONTAINER | {"li", "td"})
+                stack.close(("p",), _AROUND_P)
             if tag in _SIBLINGS:
-                _close(stack, _SIBLINGS[tag], {"ul", "ol", "dl", "table"} | ({"tr"} if tag in ("td", "th") else set()))
-        top = stack[-1]
-        named, hidden = "", False
-        if m[3]:
-            for key, value in _CLASS.findall(m[3]):
-                key, value = key.lower(), value.strip("\"'")
-                if key in ("class", "id", "role"):
-                    named += f" {value}"
-                elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                    hidden = True
-        drop = top.drop or hidden or (tag in _DROP and not (tag == "header" and top.in_article)) or bool(named and tag not in ("body", "html", "main") and (_REMARK if tag == "article" else _NOISE).search(named))
+                stack.close(_SIBLINGS[tag], _LISTS | ({"tr"} if tag in ("td", "th") else set()))
+        top = stack.top
+        named, hidden = attributes(m[3]) if m[3] else ("", False)
+        drop = top.drop or hidden or (tag in _DROP and not (tag == "header" and top.in_article))
+        doubt = top.doubt
+        if named and not drop and tag not in ("body", "html", "main") and tag not in _HEADING:
+            remark = is_noise(named, _REMARK, tag in _HOLDS)
+            if remark or tag != "article" and is_noise(named, _NOISE, tag in _HOLDS):
+                if remark or tag not in _CONTAINER or (doubt and doubt.sure):
+                    drop = True
+                else:
+                    doubt = _Doubt(doubt, False)
+        if tag in ("article", "main", "h1"):
+            around = doubt
+            while around and not around.main:
+                around.main, around = True, around.inside
         path = top.path
-        if tag in _CONTAINER:
+        if tag in _CONTAINER and len(path) < MOST_DEPTH:
             mark = ".".join(sorted(_DIGITS.sub("#", named).split()))
             path = (*path, (path[-1] if path else "") + f"/{tag}" + (f".{mark}" if mark else ""))
         if m[3].endswith("/") and tag in ("svg", "math"):
@@ -132,19 +215,10 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag in _RAW - {"svg", "math", "object", "video", "audio", "select", "option", "canvas", "noscript", "template"}:
             raw = re.escape(tag)
             continue
-        stack.append(_Node(tag, path, drop, top.link or tag == "a", top.in_article or tag == "article"))
+        stack.push(_Node(tag, path, drop, top.link or tag == "a", top.in_article or tag == "article", len(stack.nodes) if tag in _BLOCK else top.block, doubt))
     end_block()
-    return out
-
-
-def _close(stack: list[_Node], tags: set[str], stop: set[str]) -> None:
-    """Ends an open element of ``tags`` that a new one ends by itself, unless an element of ``stop`` lies between."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            del stack[i:]
-            return
-        if stack[i].tag in stop:
-            return
+    half = sum(len(text) - linked for _, text, linked, _ in out) / 2
+    return [(paths, text, linked) for paths, text, linked, doubt in out if not (doubt and doubt.dropped(half))]
 
 
 def scored(found: list[tuple[tuple[str, ...], str, int]]) -> dict[str, float]:
@@ -198,7 +272,9 @@ def depth(path: str):
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every page.
 
-    A null or empty html has the empty text; pages of a null or unreadable URL vote together; repeated rows are read each;
+    A null or empty html has the empty text; a page is read in one pass whatever its markup, by the rules of HTML for tags, so
+    what follows a tag that never ends is no text. Names of classes, ids and roles drop what they name as surroundings, but a
+    container that holds most of the page's text and its article, main or h1 stays. Pages of a null or unreadable URL vote together; repeated rows are read each;
     ties between paths go to the deeper, then to the one that sorts first; an empty table gives no rows; other columns are
     ignored. A page votes for its three best paths. Votes are summed for each host and path before they are dealt out; a
     host's best paths are one small row, so a host with a third of the pages is no burden. They are written, and their size

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -393,5 +394,48 @@ def test_html_text_reads_every_template_of_a_host(spark, monkeypatch, size):
     assert got[0] == f"{long}0" and got[43] == "" and got[44] == "plain" and len(got) == 45
 
 
+def texts_of(page):
+    return [text for _, text, _ in html_text.blocks(page)]
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<div class='content has-sidebar'><h1>T</h1><p>Body.</p></div>", ["T", "Body."]),
+    ("<article><p class='share-price'>Price</p><h2 id='search'>Find</h2></article>", ["Price", "Find"]),
+    ("<div data-t=don't><p>one</p><p>two's</p></div>", ["one", "two's"]), ("<p>a</p><p class=\"x>Hello", ["a"]), ("a<b title='>'>c</b title='>'>d", ["acd"]),
+    ("<div class='widget-area'><article><p>Most of the text of this page.</p></article></div><p>x</p>", ["Most of the text of this page.", "x"]),
+    ("<div class='ad-slot'>buy</div><div id=cookie-notice>c</div><ul class='share-buttons'><li>s</ul><p>t", ["t"]), ("<div class='related-posts'><p>Far more text than the article has.</p></div><p>x</p>", ["x"]),
+    ("<div class='comments'><article><p>A long remark of a reader, longer than all.</p></article></div><p>x</p>", ["x"]),
+    ("<p hidden>no</p><p aria-hidden=true>no<p style='display : none'>no<p>yes", ["yes"]), ("a<!-->b<!--x--!>c<![CDATA[d]]>e</>f<?g?>h", ["abcefh"]), ("<a x==y =z>q</a><svg/>r", ["qr"]), ("1 < 2 <3 <", ["1 < 2 <3 <"]),
+])
+def test_html_by_its_rules(page, want):
+    assert texts_of(page) == want
+
+
+@pytest.mark.parametrize("page", ["<a " * 330_000, '<p class="x>' * 80_000, "<!--" * 250_000, "<" * 1_000_000, "<a " + "=" * 900_000, "<a" + " " * 400_000 + ">x<a" + " " * 400_000, "<div>" + "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<div>" * 200_000, "<div>" + "<b>" * 50_000 + "<p>x</p>" * 50_000, '<div class="' + "x-" * 400_000 + '">'])
+def test_html_is_read_once(page):
+    began = time.process_time()
+    texts_of(page)
+    assert time.process_time() - began < 12  # a reader that went back would take minutes
+
+
+def test_html_text_equals_generated_articles(spark):
+    """Pages of hosts with a template each around known articles; on one page of each the surroundings outweigh the article."""
+    r = random.Random(12)
+    word = lambda: r.choice(["naïve", "a &amp; b", "tea", "&lt;x&gt;", "plain", "Ünit", "longer", "words"])
+    plain = lambda x: x.replace("&amp;", "&").replace("&lt;", "<").replace("&gt;", ">")
+    boxes = ["div class='post p{}'", "article", "section id=main-text", "main", "td"]
+    rows, want = [], {}
+    for host, box in enumerate(boxes):
+        for k in range(12):
+            blocks = [" ".join(word() for _ in range(r.randint(3, 30))) + "." for _ in range(r.randint(2, 6) if k else 1)]
+            tags = [r.choice([("<p>", "</p>"), ("<p>", ""), ("<h2>", "</h2>"), ("<ul><li>", "</ul>"), ("<blockquote>", "</blockquote>")]) for _ in blocks]
+            body = "".join(a + b.replace(" ", r.choice(["  ", "\n", " ", " <b></b>"]), 1) + c for b, (a, c) in zip(blocks, tags, strict=True))
+            aside = "Teaser words of other pages, many more than here. " * (1 if k else 40)
+            rows.append((100 * host + k, f"https://h{host}.example:8{k}/p{k}", f"<!doctype html><title>t</title><body><nav><a href=/>home</a></nav><div class='cookie-banner'>We use</div><table><tr><{box.format(k)}>{body}</{box.split()[0]}></tr></table><div class=teasers-{k}><span>{aside}</span></div><footer>&copy; f</footer>"))
+            want[100 * host + k] = "\n".join(" ".join(plain(b).split()) for b in blocks)
+    got = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(rows * 2, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_scratch_follows_the_setting(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
