@@ -1,14 +1,15 @@
 """Exact top-k search by inner product with a KD-tree for each shard of the vectors.
 
-A shard's vectors are split at the median of their widest dimension until leaves are small; each leaf has its tight
-bounding box. The largest inner product of a query with any point of a box is a sum over dimensions of the better corner,
-which is the bound of the search: a block of queries visits a tree's leaves best first and stops where the bound falls
-below the kth score. That kth score goes on from tree to tree, as one task takes a group of queries through every shard;
-trees are shuffled once for each group, and no key holds more than a group's queries and the trees it meets.
+A shard's vectors are split at the median of their widest dimension until leaves are small; each node has its tight bounding
+box. The largest inner product of a query with any point of a box is a sum over dimensions of the better corner, which is
+the bound of the search: a block of queries goes down a tree best first, each query into those nodes only whose bound reaches
+its kth score. That kth score goes on from tree to tree, as one task takes a group of queries through every shard; trees are
+shuffled once for each group, and no key holds more than a group's queries and the trees it meets.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
 
 import numpy as np
@@ -22,105 +23,149 @@ LEAF = 256
 SHARD_VECTORS = 16_384
 QUERY_BLOCK = 512
 QUERY_GROUP = 8192
+LONGEST = 2**63 - 1
+WIDTHS = (np.float64, np.int64, object)
 
 
-def build_tree(vectors: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """An order of the rows, and the [from, to) of each leaf in that order."""
-    order, leaves = np.arange(len(vectors)), []
-    stack = [(0, len(vectors))]
+def whole_numbers(vectors: list[list[float]], scale: int) -> np.ndarray:
+    """floor(scale * x) of every component: as int64, or as Python's integers where those are too small."""
+    x = np.array(vectors, np.float64)
+    if np.abs(x).max(initial=0) < 2**52 / scale:
+        return np.floor(x * scale).astype(np.int64)
+    exact = lambda c: int(c) * scale if abs(c) >= 2**52 else int(np.floor(c * scale))  # noqa: E731  beyond 2**52 a double is whole
+    return np.array([[exact(c) for c in v] for v in vectors], object)
+
+
+def build_tree(vectors: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows, and the nodes in the order of a walk: from, to and the place of the right child (0: a leaf)."""
+    order, nodes, stack = np.arange(len(vectors)), [], [(0, len(vectors), -1)]
     while stack:
-        a, b = stack.pop()
+        a, b, parent = stack.pop()
+        if parent >= 0:
+            nodes[parent][2] = len(nodes)
+        nodes.append([a, b, 0])
         if b - a <= leaf:
-            leaves.append((a, b))
             continue
         part = vectors[order[a:b]]
         widest = int((part.max(axis=0) - part.min(axis=0)).argmax())
         middle = (b - a) // 2
-        order[a:b] = order[a:b][np.argpartition(part[:, widest], middle, kind="introselect")]
-        stack += [(a + middle, b), (a, a + middle)]
-    return order, leaves
+        order[a:b] = order[a:b][np.argsort(part[:, widest], kind="stable") if part.dtype == object else np.argpartition(part[:, widest], middle, kind="introselect")]
+        stack += [(a + middle, b, len(nodes) - 1), (a, a + middle, -1)]  # the left child follows its parent
+    return order, np.array(nodes, np.int64)
 
 
 def pack_tree(ids: np.ndarray, vectors: np.ndarray) -> bytes:
-    order, leaves = build_tree(vectors)
+    """Ids, nodes and vectors in the tree's order; numbers beyond int64 as text."""
+    order, nodes = build_tree(vectors)
     v = vectors[order]
-    kind = "<i1" if np.abs(v).max(initial=0) < 128 else "<i2" if np.abs(v).max() < 32768 else "<i8"
-    ends = np.array([b for _, b in leaves], "<u4")
-    return struct.pack("<IIIc", len(v), vectors.shape[1], len(ends), kind[2:].encode()) + ends.tobytes() + ids[order].astype("<i8").tobytes() + v.astype(kind).tobytes()
+    if v.dtype == object:
+        kind, raw = b"t", " ".join(map(str, v.ravel())).encode()
+    else:
+        most = np.abs(v).max(initial=0)
+        kind = b"1" if most < 128 else b"2" if most < 32768 else b"8"
+        raw = v.astype(f"<i{kind.decode()}").tobytes()
+    return struct.pack("<IIIc", len(v), vectors.shape[1], len(nodes), kind) + nodes.astype("<u4").tobytes() + ids[order].astype("<i8").tobytes() + raw
 
 
 def unpack_tree(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, dim, leaves, width = struct.unpack_from("<IIIc", data)
+    """Nodes, ids and vectors."""
+    n, dim, count, kind = struct.unpack_from("<IIIc", data)
     at = struct.calcsize("<IIIc")
-    ends = np.frombuffer(data, "<u4", leaves, at).astype(np.int64)
-    ids = np.frombuffer(data, "<i8", n, at + 4 * leaves)
-    v = np.frombuffer(data, f"<i{width.decode()}", n * dim, at + 4 * leaves + 8 * n).reshape(n, dim)
-    return ends, ids, v
+    nodes = np.frombuffer(data, "<u4", 3 * count, at).astype(np.int64).reshape(count, 3)
+    ids = np.frombuffer(data, "<i8", n, at + 12 * count)
+    at += 12 * count + 8 * n
+    if kind == b"t":
+        return nodes, ids, np.array([int(x) for x in data[at:].split()], object).reshape(n, dim)
+    return nodes, ids, np.frombuffer(data, f"<i{kind.decode()}", n * dim, at).reshape(n, dim)
 
 
 def number_kind(q: np.ndarray, v: np.ndarray) -> type:
     """float64 multiplies fast and is exact while every sum stays below 2**53; beyond that int64, and where that could overflow, Python's integers."""
-    reach = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(v.astype(np.float64)).max(initial=0)) * max(1, q.shape[1])
+    most = lambda x: max((abs(int(c)) for c in x.ravel()), default=0) if x.dtype == object else int(np.abs(x.astype(np.float64)).max(initial=0)) + 1
+    reach = most(q) * most(v) * max(1, q.shape[1])
     return np.float64 if reach < 2**53 else np.int64 if reach < 2**62 else object
 
 
+def boxes(nodes: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lowest and highest components of each node: a leaf's own rows, then of its children upwards."""
+    low, high = np.empty((len(nodes), v.shape[1]), v.dtype), np.empty((len(nodes), v.shape[1]), v.dtype)
+    for i in range(len(nodes) - 1, -1, -1):
+        a, b, right = nodes[i]
+        if right:
+            low[i], high[i] = np.minimum(low[i + 1], low[right]), np.maximum(high[i + 1], high[right])
+        else:
+            low[i], high[i] = v[a:b].min(axis=0), v[a:b].max(axis=0)
+    return low, high
+
+
 class BlockSearch:
     """The k best of each query of a block; trees are taken in one by one."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
         self.found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]  # ids, scores, best first
+        self.kind = np.float64  # the widest numbers so far
+        self.visited = 0  # leaves whose rows were compared
 
-    def kth(self) -> np.ndarray:
-        return np.array([s[self.k - 1] if len(s) == self.k else -np.inf for _, s in self.found], np.float64)
-
-    def take(self, ends: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
-        kind = number_kind(self.vectors, v)
+    def take(self, nodes: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+        kind = self.kind = max(self.kind, number_kind(self.vectors, v), key=WIDTHS.index)
         q = self.vectors.astype(kind)
-        starts = np.concatenate([[0], ends[:-1]])
-        low, high = np.minimum.reduceat(v, starts, axis=0).astype(kind), np.maximum.reduceat(v, starts, axis=0).astype(kind)
-        bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
-        best_first = np.argsort(-bound.astype(np.float64), axis=1, kind="stable")
-        kth, going = self.kth(), np.arange(len(q))
-        for turn in range(len(ends)):
-            leaf = best_first[going, turn]
-            on = bound[going, leaf].astype(np.float64) >= kth[going]  # a tie may have a smaller id
-            going, leaf = going[on], leaf[on]
-            if not len(going):
-                break
-            for one in np.unique(leaf):
-                rows = going[leaf == one]
-                a, b = starts[one], ends[one]
-                scores = q[rows] @ v[a:b].astype(kind).T
-                for r, s in zip(rows.tolist(), scores, strict=True):
-                    near = np.flatnonzero((s >= kth[r]) & (ids[a:b] != self.ids[r]))
-                    if len(near):
-                        self._merge(r, ids[a:b][near], s[near])
-                        if len(self.found[r][1]) == self.k:
-                            kth[r] = float(self.found[r][1][-1])
+        low, high = (x.astype(kind) for x in boxes(nodes, v))
+        above, below = np.maximum(q, 0), np.minimum(q, 0)
+        none = -np.inf if kind is np.float64 else -(1 << 62) if kind is np.int64 else -(1 << 4000)
+        kth = np.array([s[self.k - 1] if len(s) == self.k else none for _, s in self.found], kind)
+
+        def bound(node, rows):
+            return above[rows] @ high[node] + below[rows] @ low[node]
+
+        every = np.arange(len(q))
+        first = bound(0, every)
+        heap = [(-first.max(), 0, every, first)] if len(q) else []
+        while heap:
+            _, node, rows, reach = heapq.heappop(heap)
+            on = reach >= kth[rows]  # a tie may have a smaller id
+            rows = rows[on]
+            if not len(rows):
+                continue
+            a, b, right = nodes[node]
+            if right:
+                for child in (node + 1, int(right)):
+                    reach = bound(child, rows)
+                    heapq.heappush(heap, (-reach.max(), child, rows, reach))
+                continue
+            self.visited += 1
+            scores = q[rows] @ v[a:b].astype(kind).T
+            for r, s in zip(rows.tolist(), scores, strict=True):
+                near = np.flatnonzero((s >= kth[r]) & (ids[a:b] != self.ids[r]))
+                if len(near):
+                    self._merge(r, ids[a:b][near], s[near])
+                    if len(self.found[r][1]) == self.k:
+                        kth[r] = self.found[r][1][-1]
 
     def _merge(self, r: int, ids: np.ndarray, scores: np.ndarray) -> None:
         ids, scores = np.concatenate([self.found[r][0], ids]), np.concatenate([self.found[r][1].astype(scores.dtype), scores])
-        best = np.lexsort((ids, -scores))[: self.k]
+        best = np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i])) if scores.dtype == object else np.lexsort((ids, -scores)), np.int64)[: self.k]
         self.found[r] = ids[best], scores[best]
 
 
-def whole_vectors(table: DataFrame, scale: int) -> DataFrame:
-    """vec_id and the components as whole numbers; vectors that are null, empty or hold a null or no finite number are left out, and null ids."""
+def usable_vectors(table: DataFrame) -> DataFrame:
+    """vec_id and the components; vectors that are null, empty or hold a null or no finite number are left out, and null ids."""
     x = F.col("embedding").cast("array<double>")
-    return table.where("vec_id is not null and embedding is not null and size(embedding) > 0").where(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
+    return table.where("vec_id is not null and embedding is not null and size(embedding) > 0").where(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v"))
 
 
 def search(table: DataFrame, is_query, k: int = 20, scale: int = 64, shard_vectors: int = SHARD_VECTORS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row where ``is_query``, the k others with the largest inner product.
 
     Ties go to the smaller vec_id; fewer than k others give fewer rows. Vectors of another length than a query's have no
-    score with it. Repeated rows are candidates each, and a query's rank runs on over its repeats; no row counts for a query
-    of its own vec_id. Shards and query groups have bounded sizes; each group meets every shard once.
+    score with it. Repeated rows are candidates each; rows that share a vec_id are one query, whose k best are taken of all
+    their scores; no row counts for a query of its own vec_id. Scores are exact and ranked as such; one beyond a long is given
+    as the nearest long. An empty table gives no rows; other columns are ignored. Shards and query groups have bounded sizes;
+    each group meets every shard once, so the trees' bytes times the groups are shuffled.
     """
     spark = table.sparkSession
     prepare(spark)
-    rows = whole_vectors(table, scale)
+    rows = usable_vectors(table)
     n = max(1, estimated_bytes(table) // (256 * shard_vectors))
     shards = max(1, int(n))
 
@@ -129,7 +174,7 @@ def search(table: DataFrame, is_query, k: int = 20, scale: int = 64, shard_vecto
 
         def full(key):
             ids, vectors = zip(*held.pop(key), strict=True)
-            return pa.RecordBatch.from_pydict({"dim": [key[1]], "tree": [pack_tree(np.array(ids, np.int64), np.array(vectors, np.int64))]}, schema=pa.schema([("dim", pa.int32()), ("tree", pa.binary())]))
+            return pa.RecordBatch.from_pydict({"dim": [key[1]], "tree": [pack_tree(np.array(ids, np.int64), whole_numbers(vectors, scale))]}, schema=pa.schema([("dim", pa.int32()), ("tree", pa.binary())]))
 
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -146,28 +191,34 @@ def search(table: DataFrame, is_query, k: int = 20, scale: int = 64, shard_vecto
     asked = rows.where(is_query(F.col("vec_id")))
     n_asked = asked.count()
     groups = max(1, -(-n_asked // QUERY_GROUP), min(-(-n_asked // QUERY_BLOCK), spark.sparkContext.defaultParallelism))
-    asked = asked.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).cast("int").alias("no"), F.lit(0).alias("turn"), "vec_id", "v", F.lit(None).cast("int").alias("dim"), F.lit(None).cast("binary").alias("tree"))
-    sent = built.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("no"), F.lit(1).alias("turn"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<bigint>").alias("v"), "dim", "tree")
+    asked = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("no"), F.lit(0).alias("turn"), "vec_id", "v", F.lit(None).cast("int").alias("dim"), F.lit(None).cast("binary").alias("tree"))
+    sent = built.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("no"), F.lit(1).alias("turn"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("v"), "dim", "tree")
     dealt = asked.union(sent).repartition(groups, "no").sortWithinPartitions("no", "turn")
 
     def run(batches):
         now, queries, searches = None, {}, {}
 
         def results():
+            best: dict[int, list[tuple[int, int]]] = {}
             for s in (s for of_dim in searches.values() for s in of_dim):
-                q, rank, ids, scores = [], [], [], []
                 for i, (f, sc) in zip(s.ids.tolist(), s.found, strict=True):
-                    q += [i] * len(f)
-                    rank += range(1, len(f) + 1)
-                    ids += f.tolist()
-                    scores += [int(x) for x in sc]
+                    best.setdefault(i, []).extend((-int(x), j) for j, x in zip(f.tolist(), sc, strict=True))
+            one_by_one = sorted(best)
+            for at in range(0, len(one_by_one), QUERY_BLOCK):
+                q, rank, ids, scores = [], [], [], []
+                for i in one_by_one[at : at + QUERY_BLOCK]:
+                    top = sorted(best[i])[:k]
+                    q += [i] * len(top)
+                    rank += range(1, len(top) + 1)
+                    ids += [j for _, j in top]
+                    scores += [max(-LONGEST - 1, min(LONGEST, -x)) for x, _ in top]
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(rank, pa.int32()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "rank", "vec_id", "score"])
 
         def searches_of(dim):
             if dim not in searches:
                 asking = queries.pop(dim, [])
                 parts = (asking[i : i + QUERY_BLOCK] for i in range(0, len(asking), QUERY_BLOCK))
-                searches[dim] = [BlockSearch(np.array([i for i, _ in x], np.int64), np.array([v for _, v in x], np.int64), k) for x in parts]
+                searches[dim] = [BlockSearch(np.array([i for i, _ in x], np.int64), whole_numbers([v for _, v in x], scale), k) for x in parts]
             return searches[dim]
 
         for batch in batches:

@@ -126,20 +126,37 @@ def test_any_token_is_addressed():
 
 def test_vector_search(spark):
     r = np.random.default_rng(2)
-    vectors = [(i, [float(x) for x in r.normal(size=8)]) for i in range(700)] + [(700, None), (701, []), (702, [None] * 8), (703, [float("nan")] * 8), (704, [1.0] * 3), (None, [1.0] * 8), (5, [0.5] * 8), (20, [0.1] * 8), (720, [1e300] * 8 if False else [3e6] * 8), (721, [0.0] * 8), (722, [0.0] * 8)]
+    vectors = [(i, [float(x) for x in r.normal(size=8)]) for i in range(700)] + [(700, None), (701, []), (702, [None] * 8), (703, [float("nan")] * 8), (704, [1.0] * 3), (None, [1.0] * 8), (5, [0.5] * 8), (20, [0.1] * 8), (720, [3e6] * 8), (721, [0.0] * 8), (722, [0.0] * 8), (723, [1e300] * 8), (724, [-1e300, *[1e10] * 7]), (740, [1e10, *[-1e-3] * 7]), (40, [0.2, *[-0.5] * 7]), (40, [2.0] * 3)]
     t = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
     got = {}
     for x in vector_search.search(t, lambda i: F.pmod(i, F.lit(20)) == 0, k=5, shard_vectors=100).collect():
         got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
-    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
-    for q, v in whole:
-        if q % 20 == 0 and q != 20:
-            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q and len(w) == len(v))[:5]
-            assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)], q
+    whole = [(i, [int(x) * 64 if abs(x) > 2**53 else math.floor(64 * x) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    for q in {i for i, _ in whole if i % 20 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for p, v in whole if p == q for i, w in whole if i != q and len(w) == len(v))[:5]
+        assert sorted(got.pop(q)) == [(k + 1, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(best)], q
+    assert not got
     assert vector_search.search(t.where("vec_id < 0"), lambda i: F.pmod(i, F.lit(20)) == 0).count() == 0
     assert vector_search.search(t.where("vec_id = 40"), lambda i: F.pmod(i, F.lit(20)) == 0).count() == 0
 
 
+def test_trees_are_gone_down_best_first():
+    """Clustered vectors: boxes hold their rows, and most leaves are never compared."""
+    r = np.random.default_rng(3)
+    centres = r.integers(-2000, 2000, (64, 6))
+    v = centres[r.integers(0, 64, 20_000)] + r.integers(-5, 5, (20_000, 6))
+    nodes, ids, rows = vector_search.unpack_tree(vector_search.pack_tree(np.arange(20_000), v))
+    low, high = vector_search.boxes(nodes, rows)
+    for i, (a, b, right) in enumerate(nodes):
+        assert (rows[a:b].min(axis=0) == low[i]).all() and (rows[a:b].max(axis=0) == high[i]).all()
+        assert (not right and b - a <= vector_search.LEAF) or (nodes[i + 1][0] == a and nodes[right][1] == b and nodes[i + 1][1] == nodes[right][0])
+    s = vector_search.BlockSearch(np.array([20_001]), v[:1], 10)
+    s.take(nodes, ids, rows)
+    assert s.visited < sum(nodes[:, 2] == 0) / 4
+    scores = v @ v[0]
+    assert s.found[0][0].tolist() == sorted(range(20_000), key=lambda i: (-scores[i], i))[:10]
+
+
 def grams(text):
     w = (text or "").lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
