@@ -2,10 +2,10 @@
 
 A document is a sequence of line hashes. Of every ``run`` consecutive lines the smallest hash is selected, so any run of
 that many lines that occurs twice has the same fingerprint at the same place in both. Only the selected positions are
-dealt, each with the hashes of the runs that selected it, which lie before and behind it. They are joined on the
-fingerprint first, which leaves few: those whose fingerprint occurs at two positions or more. Their runs are then told
-apart by the hash of the whole run, and a line goes if it lies in a run that occurs earlier: in a smaller doc_id, or
-further up in the same document. Overlapping runs add up, so matches extend both ways as far as they hold.
+dealt, each with the runs that selected it, which lie before and behind it. They are joined on the fingerprint first, which
+leaves few: those whose fingerprint occurs at two positions or more. Their runs are then compared by 128 bits made of the
+SHA-256 of each line, however many fingerprints collide, and a line goes if it lies in a run that occurs earlier: in a
+smaller doc_id, or further up in the same document. Overlapping runs add up, so matches extend both ways as far as they hold.
 """
 
 from __future__ import annotations
@@ -20,15 +20,27 @@ from quizlake.llm.common import arrow_map, free_name, materialize, prepare
 RUN = 3
 #: Where it is asked for, a shorter run counts as well from so many words.
 WORDS = 50
+_STEPS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def lines_of(text: str) -> list[str]:
     return text.split("\n")
 
 
-def line_hashes():
-    """Per-line 64-bit hashes of column text, in the JVM."""
-    return F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x))
+def line_digests():
+    """Of each line of column text half its SHA-256, in the JVM."""
+    return F.transform(F.split("text", "\n"), lambda x: F.unhex(F.substring(F.sha2(x, 256), 1, 32)))
+
+
+def fingerprints(digests: np.ndarray) -> np.ndarray:
+    """What lines are selected by: 64 bits of each digest."""
+    return (digests ^ (digests >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _words(lists: pa.ListArray) -> np.ndarray:
+    """The digests of all lines, two words each."""
+    flat = lists.flatten().cast(pa.binary(16))
+    return np.frombuffer(flat.buffers()[1], np.uint64, 2 * len(flat), 16 * flat.offset).reshape(-1, 2) if len(flat) else np.zeros((0, 2), np.uint64)
 
 
 def line_words():
@@ -41,28 +53,28 @@ def repeated_runs(docs: DataFrame, run: int = RUN, words: int | None = None) ->
 
     Runs are of ``run`` lines and, with ``words``, of fewer lines that hold at least so many words.
     """
-    h = docs.where("doc_id is not null and text is not null").select("doc_id", line_hashes().alias("h"), *([] if words is None else [line_words().alias("w")]))
+    h = docs.where("doc_id is not null and text is not null").select("doc_id", line_digests().alias("h"), *([] if words is None else [line_words().alias("w")]))
     sizes = [run] if words is None else range(1, run + 1)
 
     def winnow():
         def step(batch):
             ids, lists = batch.column(0), batch.column(1)
             lengths = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            flat = _words(lists)
             begin = np.concatenate([[0], np.cumsum(lengths)])
             text = np.repeat(np.arange(len(lengths)), lengths)
-            mixed = (flat ^ (flat >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = fingerprints(flat[:, 0])
             if words is not None:
                 so_far = np.concatenate([[0], np.cumsum(batch.column(2).flatten().to_numpy(zero_copy_only=False))])
             for size in sizes:
                 n = len(flat) - size + 1
                 if n <= 0:
                     continue
-                least, place, whole = mixed[:n].copy(), np.arange(n), flat[:n] + np.uint64(size)
+                least, place, whole = mixed[:n].copy(), np.arange(n), flat[:n] + np.uint64(size)  # two words: a pair of lines alike in one differs in the other
                 for j in range(1, size):
                     less = mixed[j : j + n] < least  # a tie goes to the left
                     least, place = np.where(less, mixed[j : j + n], least), np.where(less, np.arange(j, j + n), place)
-                    whole = (whole ^ (whole >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + flat[j : j + n]
+                    whole = (whole ^ (whole >> np.uint64(31))) * _STEPS + flat[j : j + n]
                 whole ^= whole >> np.uint64(32)
                 inside = np.arange(n) - begin[text[:n]] + size <= lengths[text[:n]]
                 if size < run:
@@ -73,20 +85,22 @@ def repeated_runs(docs: DataFrame, run: int = RUN, words: int | None = None) ->
                 # windows of one minimum follow one another: a row for each minimum, with the windows it is selected by
                 new = np.flatnonzero(np.concatenate([[True], (place[starts][1:] != place[starts][:-1]) | (np.diff(starts) > 1)]))
                 first, doc = starts[new], text[starts[new]]
-                windows = pa.ListArray.from_arrays(pa.array(np.append(new, len(starts)).astype(np.int32)), pa.array(whole[starts].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array((first - begin[doc]).astype(np.int32)), pa.array(np.full(len(first), size, np.int32)), pa.array((least[first] + np.uint64(size)).view(np.int64)), windows], names=["doc_id", "at", "lines", "mark", "windows"])
+                cuts = pa.array(np.append(new, len(starts)).astype(np.int32))
+                windows = [pa.ListArray.from_arrays(cuts, pa.array(np.ascontiguousarray(whole[starts, k]).view(np.int64))) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array((first - begin[doc]).astype(np.int32)), pa.array(np.full(len(first), size, np.int32)), pa.array((least[first] + np.uint64(size)).view(np.int64)), *windows], names=["doc_id", "at", "lines", "mark", "a", "b"])
 
         return step
 
-    places = arrow_map(h, "doc_id long, at int, lines int, mark long, windows array<long>", winnow)
+    places = materialize(arrow_map(h, "doc_id long, at int, lines int, mark long, a array<long>, b array<long>", winnow), "line-minima", docs.sparkSession)
     # a minimum met once needs no look at its windows; the others are few, and their windows reach both ways around them
     # the other key keeps the count's shuffle apart from the join's, so that Spark can split the rows of a very common line
     again = places.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("mark").alias("key"))
     near = materialize(places.join(again, F.bitwise_not("mark") == F.col("key"), "left_semi"), "line-places", docs.sparkSession)
-    runs = near.select("doc_id", "lines", "mark", "at", F.posexplode("windows").alias("j", "run")).withColumn("at", F.col("at") + F.col("j")).drop("j")
+    runs = near.select("doc_id", "lines", "mark", "at", F.posexplode(F.arrays_zip("a", "b")).alias("j", "run")).select("doc_id", "lines", "mark", (F.col("at") + F.col("j")).alias("at"), "run.a", "run.b")
     # the earliest place of each run, counts summed before the shuffle; a run met once needs no join
-    first = runs.groupBy("mark", "run").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("mark", "run", "first")
-    later = runs.join(first, ["mark", "run"]).where(F.struct("doc_id", "at") > F.col("first"))
+    key = ["mark", "a", "b"]
+    first = runs.groupBy(*key).agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select(*key, "first")
+    later = runs.join(first, key).where(F.struct("doc_id", "at") > F.col("first"))
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("at", "lines")).alias("spans"))
 
 

@@ -1,8 +1,8 @@
 """Similarity join of documents by the Jaccard similarity of their word n-grams, with MinHash banding.
 
 Band and row counts follow from the recall wanted at the threshold. Documents of equal n-gram sets are one class first,
-whose copies never meet again. Class representatives are dealt by band hashes; a bucket that many share is cut into blocks,
-and a task takes two blocks. A pair is judged in the first band it shares only, on its full n-gram sets, which are sent
+whose copies never meet again. Class representatives are dealt by band hashes; a bucket that many share is cut into blocks
+of bounded rows and n-grams, and a task takes two blocks. A pair is judged in the first band it shares only, on its full n-gram sets, which are sent
 for the documents that have such a pair. No pair becomes a row: a task sums a document's links and gives a forest of them.
 """
 
@@ -23,6 +23,8 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MOST_HASHES = 128
 BLOCK = 512
+#: Bytes of n-grams that the members of a block hold, on average.
+BLOCK_BYTES = 8_000_000
 #: Bytes of text whose n-grams are hashed at once: a worker holds some dozens of times as much.
 GRAM_BYTES = 1_000_000
 
@@ -247,8 +249,9 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     sigs = materialize(signatures(base.where("doc_id is not null"), minhash, words), "signatures", spark)
     reps = materialize(sigs.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("buckets").alias("buckets")), "representatives", spark)
 
-    members = reps.select("rep", "a", F.explode("buckets").alias("bucket"))
-    full = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket", F.ceil(F.col("m") / block).cast("long").alias("blocks"))
+    members = reps.select("rep", "a", "n", F.explode("buckets").alias("bucket"))
+    sized = members.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("grams")).where("m > 1")
+    full = sized.select("bucket", F.least("m", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("grams") * 8 / BLOCK_BYTES))).cast("long").alias("blocks"))
     placed = members.join(full, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long"))
     dealt = placed.join(reps.select("rep", "a", "buckets"), ["rep", "a"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "a", "buckets")
