@@ -5,13 +5,16 @@ the leftmost smallest ``SEED``-byte hash is its anchor. Equal windows have equal
 anchors, about one byte in 13, are indexed, and no repeat of ``LENGTH`` bytes or more is missed.
 
 Anchors are dealt to shards by the hash of their seed. A shard's entries are taken by doc_id in batches of ``BATCH``: each
-gets its sorted array, becomes a level, and is scanned against the levels of its own and of smaller doc_ids; levels of about one size merge, so each entry moves a logarithmic
-number of times. A level holds each key once with its smallest doc_id.
+gets its sorted array, becomes a level, and is scanned against the levels of its own and of smaller doc_ids; levels of about
+one size merge, so each entry moves a logarithmic number of times. A level holds each key once with its smallest doc_id.
 
 The windows of an anchor span an extent. An anchor whose extent occurs in an earlier document is covered whole. One whose
 seed occurs earlier but whose extent doesn't, at either end of a match, is looked at window by window in a second round,
-together with one anchor of each other extent of its seed. Keys are 64-bit hashes of bytes; a false match is less likely
-than 2**-40 for any table that fits a cluster.
+together with one anchor of each other extent of its seed.
+
+Bytes stand for themselves in no shard, only hashes of them do: an extent by 48 bits of its seed and 64 bits of its own, a
+window by 64 bits and 32 of a second hash. By the birthday bound 100 TB, of 8e12 extents and fewer windows, hold a false
+match of either kind with a probability below one in a thousand.
 """
 
 from __future__ import annotations
@@ -29,10 +32,15 @@ from quizlake.llm.common import arrow_map, materialize, prepare, shards_for, tex
 LENGTH = 50
 SEED = 24
 SHARD_BYTES = 4_000_000
+#: Beyond this many shards they grow, up to so many bytes of text; then their number grows again.
+MANY_SHARDS = 200_000
+MOST_SHARD_BYTES = 64_000_000
+#: Tasks that shards are dealt to, at most; a task takes its shards one by one.
+MOST_TASKS = 20_000
 BATCH = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15 - 0x10)  # 5 modulo 8
 _INVERSE = np.uint64(pow(int(_STEP), -1, 1 << 64))
-_VALUES = np.random.default_rng(50).integers(1, 1 << 63, 256, np.uint64)
+_VALUES, _OTHER_VALUES = np.random.default_rng(50).integers(1, 1 << 63, (2, 256), np.uint64)
 KEPT_POWERS = 1 << 20
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -62,10 +70,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Hashes of substrings of some bytes, by sums of byte values times powers."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, values: np.ndarray = _VALUES):
         up, self.down = _powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUES[data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum(values[data] * up[: len(data)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
@@ -165,6 +173,18 @@ def first_of(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
+def classes(*columns: np.ndarray) -> np.ndarray:
+    """A number for each row; rows have the same one if they are alike in every column."""
+    order = np.lexsort(columns)
+    out = np.zeros(len(order), np.uint64)
+    if len(order):
+        new = np.zeros(len(order), bool)
+        for c in columns:
+            new[1:] |= c[order][1:] != c[order][:-1]
+        out[order] = np.cumsum(new).astype(np.uint64)
+    return out
+
+
 #: What an anchor's answer holds: its first window start and how many more windows follow.
 _EXTENT = np.dtype([("a", "<u4"), ("more", "u1")])
 
@@ -226,8 +246,11 @@ def _unpack_table(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return [out[0][out[2]], out[1][out[2]], *out[3:]]
 
 
-def _per_shard(df: DataFrame, work):
-    """work(list of blobs) for each shard; shards of a task follow one another, and answers pass through."""
+def _per_shard(df: DataFrame, work, shards: int):
+    """work(list of blobs) for each shard; shards of a task follow one another, and answers pass through.
+
+    Two shards a task, so that none is far above the others; a task that is lost costs its shards only.
+    """
 
     def run(batches):
         now, held = None, []
@@ -249,7 +272,7 @@ def _per_shard(df: DataFrame, work):
         if held:
             yield from work(held)
 
-    return df.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, _ANSWER_DDL)
+    return df.repartition(max(1, min(MOST_TASKS, shards // 2)), "shard").sortWithinPartitions("shard").mapInArrow(run, _ANSWER_DDL)
 
 
 def _batches(answers):
@@ -283,7 +306,9 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shards
     doc_id of the batch is found, one of which only the seed is goes straight to the second round. So a passage that a
     third of all documents share sends one row for each batch.
     """
-    shards = shards or shards_for(docs, SHARD_BYTES)
+    if not 0 < seed <= length <= seed + 127:
+        raise ValueError("an anchor's windows, length - seed + 1 of them at most, are counted in seven bits")
+    shards = shards or max(min(shards_for(docs, SHARD_BYTES), MANY_SHARDS), shards_for(docs, MOST_SHARD_BYTES))
 
     def index():
         def step(batch):
@@ -293,7 +318,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shards
             which, seeds, extent, at, a, b = anchors(data, ends, length, seed)
             doc = ids[which]
             least = _smaller_here(seeds, doc)
-            least_extent = _smaller_here(seeds + extent, doc)
+            least_extent = _smaller_here(classes(extent, seeds), doc)
             here = least < doc
             values = np.zeros(len(which), _EXTENT)
             values["a"], values["more"] = a, b - a
@@ -319,7 +344,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shards
         key, extent, doc, mark, a, more = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(key)
         key, extent, doc, mark, a, more = (x[order] for x in (key, extent, doc, mark, a, more))
-        first, first_whole = first_of(key, doc), first_of(extent + key * _STEP, doc)
+        first, first_whole = first_of(key, doc), first_of(classes(extent, key), doc)
         found = first_whole < doc
         group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
         asked = np.zeros(int(group[-1]) + 1, bool)
@@ -330,7 +355,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shards
         yield from _batches(_answers(doc[use], mark[use], found[use], values))
 
     long_enough = docs.select("doc_id", "text").where(F.octet_length("text") >= length)
-    answers = _per_shard(arrow_map(long_enough, _ROUTED_DDL, index), scan)
+    answers = _per_shard(arrow_map(long_enough, _ROUTED_DDL, index), scan, shards)
     some = lambda c: F.filter(F.collect_list(c), lambda x: F.octet_length(x) > 0)
     first_round = materialize(answers.groupBy("doc_id", "mark").agg(some("found").alias("found"), some("open").alias("open")), "repeat-anchors")
 
@@ -348,25 +373,25 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shards
                 which.append(np.full(len(at[-1]), i))
             at, which = np.concatenate(at), np.concatenate(which)
             s = begins[which] + at
-            key = Hasher(data).of(s, s + length)
+            key, other = Hasher(data).of(s, s + length), Hasher(data, _OTHER_VALUES).of(s, s + length).astype("<u4")
             doc = ids[which]
-            least = _smaller_here(key, doc)
+            least = _smaller_here(classes(other, key), doc)
             here = least < doc
             send = np.flatnonzero(~here)
             shard = ((key[send] >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
             send, shard = (x[np.argsort(shard, kind="stable")] for x in (send, shard))
-            rows = [(int(shard[x]), _pack_table(which[send[x:y]], ids, marks, key[send[x:y]].astype("<u8"), at[send[x:y]].astype("<u4"))) for x, y in zip(_cuts(shard)[:-1], _cuts(shard)[1:], strict=True)]
+            rows = [(int(shard[x]), _pack_table(which[send[x:y]], ids, marks, key[send[x:y]].astype("<u8"), other[send[x:y]], at[send[x:y]].astype("<u4"))) for x, y in zip(_cuts(shard)[:-1], _cuts(shard)[1:], strict=True)]
             yield from _routed(shards, rows, _answers(doc[here], marks[which][here], np.ones(int(here.sum()), bool), at[here].astype("<u4")))
 
         return step
 
     def settle(blobs):
-        doc, mark, key, at = (np.concatenate(x) for x in zip(*(_unpack_table(blob, "<u8", "<u4") for blob in blobs), strict=True))
-        hit = first_of(key, doc) < doc
+        doc, mark, key, other, at = (np.concatenate(x) for x in zip(*(_unpack_table(blob, "<u8", "<u4", "<u4") for blob in blobs), strict=True))
+        hit = first_of(classes(other, key), doc) < doc
         yield from _batches(_answers(doc[hit], mark[hit], np.ones(int(hit.sum()), bool), at[hit]))
 
     open_docs = first_round.where("size(open) > 0").select("doc_id", "mark", "open")
-    hits = _per_shard(arrow_map(docs.join(open_docs, ["doc_id", "mark"]).select("doc_id", "text", "open"), _ROUTED_DDL, windows), settle).groupBy("doc_id", "mark").agg(F.collect_list("found").alias("hits"))
+    hits = _per_shard(arrow_map(docs.join(open_docs, ["doc_id", "mark"]).select("doc_id", "text", "open"), _ROUTED_DDL, windows), settle, shards).groupBy("doc_id", "mark").agg(F.collect_list("found").alias("hits"))
     return first_round.where("size(found) > 0").select("doc_id", "mark", "found").join(hits, ["doc_id", "mark"], "full")
 
 

@@ -350,25 +350,42 @@ def test_phrases_are_longest_matches():
         assert a.phrases(w) == n, w
 
 
-def test_substring_dedup(docs, empty):
+@pytest.mark.parametrize(("length", "seed"), [(50, 24), (200, 90), (8, 8), (30, 1)])
+def test_substring_dedup(docs, empty, length, seed):
     texts = sorted((x[0], (x[1] or "").encode()) for x in corpus() if x[0] is not None)
     first = {}
     for i, t in texts:
-        for k in range(len(t) - 49):
-            first.setdefault(t[k : k + 50], i)
+        for k in range(len(t) - length + 1):
+            first.setdefault(t[k : k + length], i)
     want = []
     for i, t in texts:
         gone = np.zeros(len(t), bool)
-        for k in range(len(t) - 49):
-            if first[t[k : k + 50]] < i:
-                gone[k : k + 50] = True
+        for k in range(len(t) - length + 1):
+            if first[t[k : k + length]] < i:
+                gone[k : k + length] = True
         kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
         runs = int((gone & ~np.concatenate([[False], gone[:-1]])[: len(gone)]).sum())
         want.append((i, len(t), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
-    got = substring_dedup.remove_repeats(docs)
+    got = substring_dedup.remove_repeats(docs, length, seed)
     assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest()) for x in got.where("doc_id is not null").collect()) == sorted(want)
     assert got.where("doc_id is null and n_removed = 0").count() == 2
-    assert substring_dedup.remove_repeats(empty).count() == 0
+    assert substring_dedup.remove_repeats(empty, length, seed).count() == 0
+    clash = docs.selectExpr("*", "1 AS mark", "'f' AS found", "'h' AS hits", "'k' AS kept", "2 AS n_removed")
+    assert substring_dedup.remove_repeats(clash, length, seed).exceptAll(got).count() == 0
+
+
+@pytest.mark.parametrize(("length", "seed"), [(200, 24), (10, 11), (10, 0)])
+def test_lengths_that_cannot_be_counted_are_refused(docs, length, seed):
+    with pytest.raises(ValueError, match="windows"):
+        substring_dedup.remove_repeats(docs, length, seed)
+
+
+def test_classes_tell_every_column_apart():
+    r = np.random.default_rng(4)
+    a, b = r.integers(0, 9, 500).astype(np.uint64), r.integers(0, 9, 500).astype(np.uint64)
+    n = substring_dedup.classes(a, b)
+    assert all((n[i] == n[j]) == ((a[i], b[i]) == (a[j], b[j])) for i in range(0, 500, 7) for j in range(500))
+    assert len(substring_dedup.classes(a[:0], b[:0])) == 0
 
 
 @pytest.mark.parametrize("batch", [1, 1000, substring_dedup.BATCH])
