@@ -153,17 +153,18 @@ def _scores(x: np.ndarray, model: Model | None) -> np.ndarray:
     return np.full(len(x), 0.5) if model is None else np.where(x[:, 0] > 0, model.score(x), 0.0)
 
 
-def score_statistics(stats: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id and score of every row of (doc_id, _stats), as score gives it."""
-    kind = dict(stats.dtypes)["doc_id"]
+def score_statistics(stats: DataFrame, model: Model | None, keep: list[str] = ("doc_id",)) -> DataFrame:
+    """The columns of ``keep`` and score of every row of a table with _stats, as score gives it."""
+    rows = stats.select(*keep, "_stats")
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_stats"), "score double"])
 
     def make():
         def step(batch):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(_matrix(batch.column(1)), model), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(_scores(_matrix(batch.column(batch.num_columns - 1)), model), pa.float64())], names=[*keep, "score"])
 
         return step
 
-    return arrow_map(stats.select("doc_id", "_stats"), f"doc_id {kind}, score double", make)
+    return arrow_map(rows, ddl, make)
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str] = ()) -> DataFrame:

@@ -141,6 +141,20 @@ def test_stages_and_run(spark, sf_dir):
         assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))] and sum(n for _, n in pieces) <= 4096
 
 
+def test_why_few_near_copies_reach_the_join(spark):
+    """Line dedup takes a near copy's repeated lines first: what is left of it is no near copy any more, and is kept."""
+    lines = [f"line {i} of a text with quite a few words in it" for i in range(20)]
+    other = [*lines[:9], "another line in the middle of the copy, all its own", *lines[10:]]
+    odd = [" ".join([*x.split()[:-1], "this"]) if i % 3 == 1 else x for i, x in enumerate(lines)]  # no run of three lines is left whole
+    near = " ".join(lines)
+    rows = [(0, "\n".join(lines)), (1, "\n".join(other)), (2, "\n".join(odd)), (3, near), (4, near.replace("quite a few", "some", 1))]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], KINDS)
+    left = cp.drop_lines(spark, docs, SF)
+    assert {r.doc_id: r.text for r in left.collect()}[1] == other[9]
+    kept = {r.doc_id for r in cp.drop_near_copies(spark, left, SF).collect()}
+    assert 1 in kept and 4 not in kept and cp.drop_near_copies(spark, docs, SF).where("doc_id = 1").count() == 0
+
+
 def test_clashing_columns_and_empty_tables(spark, sf_dir):
     names = ["score", "_row", "_id", "__id", "_starts", "n_lines", "n_removed", "class_id", "n_links", "spans", "items", "n_hit", "_text", "rep", "quality", "item_id", "ids", "odd.name"]
     plain = spark.read.parquet(f"{sf_dir}/documents.parquet")
