@@ -13,9 +13,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at its threshold or over; it learns from the labels of the stage's documents."""
-    model = quality.fit(docs, quality.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return quality.score(docs.select("text", F.struct(*COLUMNS).alias("_row")), model, ["_row"]).where(F.col("score") >= quality.THRESHOLD).select("_row.*")
+    """Documents that the classifier scores at its threshold or over; it learns from the labels of the stage's documents.
+
+    Each text's statistics are taken once and written beside it; the model and the scores read those.
+    """
+    stats = materialize(quality.statistics_of(docs.select(*COLUMNS), list(COLUMNS)), "statistics", spark)
+    model = quality.fit_statistics(stats, quality.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality.score_statistics(stats, model, list(COLUMNS)).where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
