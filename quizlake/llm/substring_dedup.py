@@ -215,14 +215,14 @@ def _answers(doc: np.ndarray, mark: np.ndarray, found: np.ndarray, values: np.nd
         yield pa.array(doc[ends[:-1]], pa.int64()), pa.array(mark[ends[:-1]].astype(np.int64), pa.int64()), pa.array([values[a:b][found[a:b]].tobytes() for a, b in spans], pa.binary()), pa.array([values[a:b][~found[a:b]].tobytes() for a, b in spans], pa.binary())
 
 
-def _routed(shards: int, rows: list[tuple[int, bytes]], answers):
-    """Batches of what goes to shards, and of what was settled here and passes through them."""
+def _routed(numbers: np.ndarray, rows: list[tuple[int, bytes]], answers):
+    """Batches of what goes to shards, by their numbers, and of what was settled here and passes through them."""
     if rows:
         n = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary()), *(pa.nulls(n, f.type) for f in list(_ROUTED)[2:])], schema=_ROUTED)
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[[x[0] for x in rows]], pa.int32()), pa.array([x[1] for x in rows], pa.binary()), *(pa.nulls(n, f.type) for f in list(_ROUTED)[2:])], schema=_ROUTED)
     for doc, mark, found, open_ in answers:
-        shard = np.abs(doc.to_numpy() * 31 + 7) % shards
-        yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.nulls(len(doc), pa.binary()), doc, mark, found, open_], schema=_ROUTED)
+        shard = np.abs(doc.to_numpy() * 31 + 7) % len(numbers)
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[shard], pa.int32()), pa.nulls(len(doc), pa.binary()), doc, mark, found, open_], schema=_ROUTED)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -249,7 +249,7 @@ def _unpack_table(blob: bytes, *kinds: str) -> list[np.ndarray]:
 def _per_shard(df: DataFrame, work, shards: int):
     """work(list of blobs) for each shard; shards of a task follow one another, and answers pass through.
 
-    Two shards a task, so that none is far above the others; a task that is lost costs its shards only.
+    Two shards a task, so that none is above the others; a task that is lost costs its shards only.
     """
 
     def run(batches):
@@ -272,7 +272,35 @@ def _per_shard(df: DataFrame, work, shards: int):
         if held:
             yield from work(held)
 
-    return df.repartition(max(1, min(MOST_TASKS, shards // 2)), "shard").sortWithinPartitions("shard").mapInArrow(run, _ANSWER_DDL)
+    return df.repartition(tasks_of(shards), "shard").sortWithinPartitions("shard").mapInArrow(run, _ANSWER_DDL)
+
+
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """The hash by which Spark deals an int: 32-bit Murmur3 of one block with seed 42."""
+    turn = lambda v, n: (v << np.uint32(n)) | (v >> np.uint32(32 - n))
+    k = turn(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = turn(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).astype(np.int32)
+
+
+def tasks_of(shards: int) -> int:
+    return max(1, min(MOST_TASKS, shards // 2))
+
+
+def shard_numbers(shards: int) -> np.ndarray:
+    """Numbers for shards that Spark's hash deals to all tasks alike. Were they dealt otherwise, only the balance would suffer."""
+    tasks = tasks_of(shards)
+    each = -(-shards // tasks)
+    tried = np.arange(4 * shards + 64 * tasks, dtype=np.int32)
+    task = spark_hash(tried).astype(np.int64) % tasks
+    order = np.argsort(task, kind="stable")
+    cut = np.searchsorted(task[order], np.arange(tasks + 1))
+    rows = [tried[order[a : min(b, a + each)]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    dealt = np.concatenate([x[k : k + 1] for k in range(each) for x in rows])[:shards]  # one to every task, then a second one
+    spare = np.arange(len(tried), len(tried) + shards - len(dealt), dtype=np.int32)  # where some task found too few
+    return np.concatenate([dealt, spare])
 
 
 def _batches(answers):
@@ -311,6 +339,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shards
     shards = shards or max(min(shards_for(docs, SHARD_BYTES), MANY_SHARDS), shards_for(docs, MOST_SHARD_BYTES))
 
     def index():
+        numbers = shard_numbers(shards)
+
         def step(batch):
             data, ends, raw = _laid(batch, 1)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -331,7 +361,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shards
             for x, y in zip(_cuts(shard)[:-1], _cuts(shard)[1:], strict=True):
                 s = send[x:y]
                 rows.append((int(shard[x]), _pack_table(which[s], ids, marks, (seeds[s] >> np.uint64(32)).astype("<u4"), seeds[s].astype("<u2"), extent[s].astype("<u8"), a[s].astype("<u4"), ((b - a)[s]).astype("u1") | (asks[s].astype("u1") << 7))))
-            yield from _routed(shards, rows, _answers(doc[here], marks[which][here], (least_extent < doc)[here], values[here]))
+            yield from _routed(numbers, rows, _answers(doc[here], marks[which][here], (least_extent < doc)[here], values[here]))
 
         return step
 
@@ -360,6 +390,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shards
     first_round = materialize(answers.groupBy("doc_id", "mark").agg(some("found").alias("found"), some("open").alias("open")), "repeat-anchors")
 
     def windows():
+        numbers = shard_numbers(shards)
+
         def step(batch):
             data, ends, raw = _laid(batch, 1)
             begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
@@ -381,7 +413,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shards
             shard = ((key[send] >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
             send, shard = (x[np.argsort(shard, kind="stable")] for x in (send, shard))
             rows = [(int(shard[x]), _pack_table(which[send[x:y]], ids, marks, key[send[x:y]].astype("<u8"), other[send[x:y]], at[send[x:y]].astype("<u4"))) for x, y in zip(_cuts(shard)[:-1], _cuts(shard)[1:], strict=True)]
-            yield from _routed(shards, rows, _answers(doc[here], marks[which][here], np.ones(int(here.sum()), bool), at[here].astype("<u4")))
+            yield from _routed(numbers, rows, _answers(doc[here], marks[which][here], np.ones(int(here.sum()), bool), at[here].astype("<u4")))
 
         return step
 

@@ -380,6 +380,16 @@ def test_lengths_that_cannot_be_counted_are_refused(docs, length, seed):
         substring_dedup.remove_repeats(docs, length, seed)
 
 
+@pytest.mark.parametrize("shards", [1, 2, 16, 67, 1000, 50_001])
+def test_shards_are_dealt_evenly(spark, monkeypatch, shards):
+    monkeypatch.setattr(substring_dedup, "MOST_TASKS", 300)
+    numbers = substring_dedup.shard_numbers(shards)
+    tasks = substring_dedup.tasks_of(shards)
+    assert len(set(numbers.tolist())) == shards
+    dealt = Counter(r[0] for r in spark.createDataFrame([(int(x),) for x in numbers], "n int").select(F.pmod(F.hash("n"), F.lit(tasks))).collect())
+    assert max(dealt.values()) <= -(-shards // tasks) + (0 if shards < 1000 else 1)
+
+
 def test_classes_tell_every_column_apart():
     r = np.random.default_rng(4)
     a, b = r.integers(0, 9, 500).astype(np.uint64), r.integers(0, 9, 500).astype(np.uint64)
