@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizlake.sources.scratch import materialize, shared_dir
 
-__all__ = ["arrow_map", "estimated_bytes", "fold_of", "free_name", "materialize", "prepare", "shards_for", "shared_dir", "slices", "text_bytes", "texts"]
+__all__ = ["arrow_map", "dealt_numbers", "estimated_bytes", "fold_of", "free_name", "materialize", "prepare", "shards_for", "shared_dir", "slices", "spark_hash", "text_bytes", "texts"]
 
 ROWS_PER_BATCH = 1000
 BATCH_BYTES = 4_000_000
@@ -55,6 +56,29 @@ def fold_of(doc_id, n: int):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """The hash by which Spark deals an int: 32-bit Murmur3 of one block with seed 42."""
+    turn = lambda v, n: (v << np.uint32(n)) | (v >> np.uint32(32 - n))
+    k = turn(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = turn(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).astype(np.int32)
+
+
+def dealt_numbers(keys: int, tasks: int) -> np.ndarray:
+    """As many numbers as keys that Spark's hash deals to all tasks alike. Were they dealt otherwise, only the balance would suffer."""
+    each = -(-keys // tasks)
+    tried = np.arange(4 * keys + 64 * tasks, dtype=np.int32)
+    task = spark_hash(tried).astype(np.int64) % tasks
+    order = np.argsort(task, kind="stable")
+    cut = np.searchsorted(task[order], np.arange(tasks + 1))
+    rows = [tried[order[a : min(b, a + each)]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    dealt = np.concatenate([x[k : k + 1] for k in range(each) for x in rows])[:keys]  # one to every task, then a second one
+    spare = np.arange(len(tried), len(tried) + keys - len(dealt), dtype=np.int32)  # where some task found too few
+    return np.concatenate([dealt, spare])
+
+
 def slices(batch: pa.RecordBatch, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most about ``limit`` bytes; a longer row is a part by itself."""
     if batch.num_rows < 2 or batch.nbytes <= limit:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlake.llm.common import arrow_map, materialize, prepare, shards_for, text_bytes
+from quizlake.llm.common import arrow_map, dealt_numbers, materialize, prepare, shards_for, text_bytes
 
 LENGTH = 50
 SEED = 24
@@ -275,32 +275,13 @@ def _per_shard(df: DataFrame, work, shards: int):
     return df.repartition(tasks_of(shards), "shard").sortWithinPartitions("shard").mapInArrow(run, _ANSWER_DDL)
 
 
-def spark_hash(x: np.ndarray) -> np.ndarray:
-    """The hash by which Spark deals an int: 32-bit Murmur3 of one block with seed 42."""
-    turn = lambda v, n: (v << np.uint32(n)) | (v >> np.uint32(32 - n))
-    k = turn(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
-    h = turn(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
-    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    return (h ^ (h >> np.uint32(16))).astype(np.int32)
-
-
 def tasks_of(shards: int) -> int:
     return max(1, min(MOST_TASKS, shards // 2))
 
 
 def shard_numbers(shards: int) -> np.ndarray:
-    """Numbers for shards that Spark's hash deals to all tasks alike. Were they dealt otherwise, only the balance would suffer."""
-    tasks = tasks_of(shards)
-    each = -(-shards // tasks)
-    tried = np.arange(4 * shards + 64 * tasks, dtype=np.int32)
-    task = spark_hash(tried).astype(np.int64) % tasks
-    order = np.argsort(task, kind="stable")
-    cut = np.searchsorted(task[order], np.arange(tasks + 1))
-    rows = [tried[order[a : min(b, a + each)]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    dealt = np.concatenate([x[k : k + 1] for k in range(each) for x in rows])[:shards]  # one to every task, then a second one
-    spare = np.arange(len(tried), len(tried) + shards - len(dealt), dtype=np.int32)  # where some task found too few
-    return np.concatenate([dealt, spare])
+    """Numbers for shards that Spark's hash deals to all tasks alike."""
+    return dealt_numbers(shards, tasks_of(shards))
 
 
 def _batches(answers):

@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlake.llm.common import estimated_bytes, materialize, prepare
+from quizlake.llm.common import dealt_numbers, estimated_bytes, materialize, prepare
 
 LEAF = 256
 SHARD_VECTORS = 16_384
 QUERY_BLOCK = 512
-QUERY_GROUP = 8192
+#: Queries that a task takes through the trees, some 70 MB of vectors and results; trees are shuffled once for each group.
+QUERY_GROUP = 65_536
 LONGEST = 2**63 - 1
-WIDTHS = (np.float64, np.int64, object)
+WIDTHS = (np.float32, np.float64, np.int64, object)
 
 
 def whole_numbers(vectors: list[list[float]], scale: int) -> np.ndarray:
@@ -79,11 +80,16 @@ def unpack_tree(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return nodes, ids, np.frombuffer(data, f"<i{kind.decode()}", n * dim, at).reshape(n, dim)
 
 
-def number_kind(q: np.ndarray, v: np.ndarray) -> type:
-    """float64 multiplies fast and is exact while every sum stays below 2**53; beyond that int64, and where that could overflow, Python's integers."""
-    most = lambda x: max((abs(int(c)) for c in x.ravel()), default=0) if x.dtype == object else int(np.abs(x.astype(np.float64)).max(initial=0)) + 1
-    reach = most(q) * most(v) * max(1, q.shape[1])
-    return np.float64 if reach < 2**53 else np.int64 if reach < 2**62 else object
+def largest(x: np.ndarray) -> int:
+    """No component of x is larger than this."""
+    return max((abs(int(c)) for c in x.ravel()), default=0) if x.dtype == object else int(np.abs(x.astype(np.float64)).max(initial=0)) + 1
+
+
+def number_kind(query: int, row: int, dim: int) -> type:
+    """For components of at most these sizes: float32 multiplies fastest and is exact while every sum stays below 2**24, float64
+    below 2**53; beyond that int64, and where that could overflow, Python's integers."""
+    reach = query * row * max(1, dim)
+    return np.float32 if reach < 2**24 else np.float64 if reach < 2**53 else np.int64 if reach < 2**62 else object
 
 
 def boxes(nodes: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,21 +104,39 @@ def boxes(nodes: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
+class Tree:
+    """A tree's rows and boxes, in the kind of numbers last asked for."""
+
+    def __init__(self, nodes: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        self.nodes, self.ids, self.vectors = nodes, ids, vectors
+        self.boxes, self.largest = boxes(nodes, vectors), largest(vectors)
+        self.kind = None
+
+    def as_kind(self, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if kind is not self.kind:
+            self.kind, self.typed = kind, tuple(x.astype(kind) for x in (*self.boxes, self.vectors))
+        return self.typed
+
+
 class BlockSearch:
     """The k best of each query of a block; trees are taken in one by one."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.vectors, self.k = ids, vectors, k
+        self.ids, self.vectors, self.k, self.largest = ids, vectors, k, largest(vectors)
         self.found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]  # ids, scores, best first
-        self.kind = np.float64  # the widest numbers so far
+        self.kind = np.float32  # the widest numbers so far
         self.visited = 0  # leaves whose rows were compared
 
     def take(self, nodes: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
-        kind = self.kind = max(self.kind, number_kind(self.vectors, v), key=WIDTHS.index)
+        self.go_down(Tree(nodes, ids, v))
+
+    def go_down(self, tree: Tree) -> None:
+        nodes, ids = tree.nodes, tree.ids
+        kind = self.kind = max(self.kind, number_kind(self.largest, tree.largest, self.vectors.shape[1]), key=WIDTHS.index)
         q = self.vectors.astype(kind)
-        low, high = (x.astype(kind) for x in boxes(nodes, v))
+        low, high, v = tree.as_kind(kind)
         above, below = np.maximum(q, 0), np.minimum(q, 0)
-        none = -np.inf if kind is np.float64 else -(1 << 62) if kind is np.int64 else -(1 << 4000)
+        none = -np.inf if kind in (np.float32, np.float64) else -(1 << 62) if kind is np.int64 else -(1 << 4000)
         kth = np.array([s[self.k - 1] if len(s) == self.k else none for _, s in self.found], kind)
 
         def bound(node, rows):
@@ -134,13 +158,13 @@ class BlockSearch:
                     heapq.heappush(heap, (-reach.max(), child, rows, reach))
                 continue
             self.visited += 1
-            scores = q[rows] @ v[a:b].astype(kind).T
-            for r, s in zip(rows.tolist(), scores, strict=True):
-                near = np.flatnonzero((s >= kth[r]) & (ids[a:b] != self.ids[r]))
-                if len(near):
-                    self._merge(r, ids[a:b][near], s[near])
-                    if len(self.found[r][1]) == self.k:
-                        kth[r] = self.found[r][1][-1]
+            scores = q[rows] @ v[a:b].T
+            near = (scores >= kth[rows][:, None]) & (ids[a:b] != self.ids[rows][:, None])
+            for i in np.flatnonzero(near.any(axis=1)).tolist():
+                r = int(rows[i])
+                self._merge(r, ids[a:b][near[i]], scores[i][near[i]])
+                if len(self.found[r][1]) == self.k:
+                    kth[r] = self.found[r][1][-1]
 
     def _merge(self, r: int, ids: np.ndarray, scores: np.ndarray) -> None:
         ids, scores = np.concatenate([self.found[r][0], ids]), np.concatenate([self.found[r][1].astype(scores.dtype), scores])
@@ -185,52 +209,70 @@ def search(table: DataFrame, is_query, k: int = 20, scale: int = 64, shard_vecto
         for key in list(held):
             yield full(key)
 
-    built = materialize(rows.repartition(shards, F.pmod(F.xxhash64("vec_id"), F.lit(shards))).mapInArrow(trees, "dim int, tree binary"), "kd-trees")
+    built = materialize(rows.repartition(shards, "vec_id", "v").mapInArrow(trees, "dim int, tree binary"), "kd-trees")
 
     # queries are dealt evenly to groups of at most about QUERY_GROUP, smaller ones while cores are free; each group meets every tree in one task
     asked = rows.where(is_query(F.col("vec_id")))
     n_asked = asked.count()
     groups = max(1, -(-n_asked // QUERY_GROUP), min(-(-n_asked // QUERY_BLOCK), spark.sparkContext.defaultParallelism))
-    asked = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("no"), F.lit(0).alias("turn"), "vec_id", "v", F.lit(None).cast("int").alias("dim"), F.lit(None).cast("binary").alias("tree"))
-    sent = built.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("no"), F.lit(1).alias("turn"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("v"), "dim", "tree")
+    numbers = F.split(F.lit(",".join(map(str, dealt_numbers(groups, groups)))), ",").cast("array<int>")
+    asked = asked.select(F.get(numbers, F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).alias("no"), F.lit(0).alias("turn"), "vec_id", "v", F.lit(None).cast("int").alias("dim"), F.lit(None).cast("binary").alias("tree"))
+    sent = built.select(F.explode(numbers).alias("no"), F.lit(1).alias("turn"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("v"), "dim", "tree")
     dealt = asked.union(sent).repartition(groups, "no").sortWithinPartitions("no", "turn")
 
     def run(batches):
         now, queries, searches = None, {}, {}
 
         def results():
+            done = [s for of_dim in searches.values() for s in of_dim]
+            ids, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(s.ids for s in done)]), return_counts=True)
+            several = ids[n > 1]
             best: dict[int, list[tuple[int, int]]] = {}
-            for s in (s for of_dim in searches.values() for s in of_dim):
-                for i, (f, sc) in zip(s.ids.tolist(), s.found, strict=True):
-                    best.setdefault(i, []).extend((-int(x), j) for j, x in zip(f.tolist(), sc, strict=True))
-            one_by_one = sorted(best)
-            for at in range(0, len(one_by_one), QUERY_BLOCK):
-                q, rank, ids, scores = [], [], [], []
-                for i in one_by_one[at : at + QUERY_BLOCK]:
-                    top = sorted(best[i])[:k]
-                    q += [i] * len(top)
-                    rank += range(1, len(top) + 1)
-                    ids += [j for _, j in top]
-                    scores += [max(-LONGEST - 1, min(LONGEST, -x)) for x, _ in top]
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(rank, pa.int32()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "rank", "vec_id", "score"])
+            for s in done:
+                apart = np.isin(s.ids, several).tolist()
+                for i, (f, sc), more in zip(s.ids.tolist(), s.found, apart, strict=True):
+                    if more:
+                        best.setdefault(i, []).extend((-int(x), j) for j, x in zip(f.tolist(), sc, strict=True))
+                yield from ranked([(i, *x) for i, x, more in zip(s.ids.tolist(), s.found, apart, strict=True) if not more])
+            merged = [(i, sorted(x)[:k]) for i, x in sorted(best.items())]
+            for at in range(0, len(merged), QUERY_BLOCK):
+                yield from ranked([(i, np.array([j for _, j in x], np.int64), [-s for s, _ in x]) for i, x in merged[at : at + QUERY_BLOCK]])
+
+        def ranked(rows):
+            sizes = np.array([len(f) for _, f, _ in rows], np.int64)
+            if sizes.sum():
+                rank = np.arange(1, sizes.sum() + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                scores = [max(-LONGEST - 1, min(LONGEST, int(x))) for _, _, sc in rows for x in sc]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([i for i, _, _ in rows], np.int64), sizes)), pa.array(rank.astype(np.int32)), pa.array(np.concatenate([f for _, f, _ in rows])), pa.array(scores, pa.int64())], names=["query_id", "rank", "vec_id", "score"])
 
         def searches_of(dim):
             if dim not in searches:
                 asking = queries.pop(dim, [])
-                parts = (asking[i : i + QUERY_BLOCK] for i in range(0, len(asking), QUERY_BLOCK))
-                searches[dim] = [BlockSearch(np.array([i for i, _ in x], np.int64), whole_numbers([v for _, v in x], scale), k) for x in parts]
+                ids, vectors = (np.concatenate(x) for x in zip(*asking, strict=True)) if asking else ([], [])
+                searches[dim] = [BlockSearch(ids[i : i + QUERY_BLOCK], vectors[i : i + QUERY_BLOCK], k) for i in range(0, len(ids), QUERY_BLOCK)]
             return searches[dim]
 
+        def asked_in(of_dim):
+            for dim, (ids, vectors) in of_dim.items():
+                queries.setdefault(dim, []).append((np.array(ids, np.int64), whole_numbers(vectors, scale)))
+
         for batch in batches:
+            asking: dict[int, tuple[list, list]] = {}
             for no, vec_id, v, dim, tree in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
+                if no != now or tree.is_valid:
+                    asked_in(asking)
+                    asking = {}
                 if no != now:
                     yield from results()
                     now, queries, searches = no, {}, {}
                 if not tree.is_valid:
-                    queries.setdefault(len(v), []).append((vec_id, v))
-                    continue
-                for s in searches_of(dim):
-                    s.take(*unpack_tree(tree.as_py()))
+                    ids, vectors = asking.setdefault(len(v), ([], []))
+                    ids.append(vec_id), vectors.append(v)
+                elif searches_of(dim):
+                    taken = Tree(*unpack_tree(tree.as_py()))
+                    for s in searches[dim]:
+                        s.go_down(taken)
+            asked_in(asking)
         yield from results()
 
     return dealt.select("no", "vec_id", "v", "dim", "tree").mapInArrow(run, "query_id long, rank int, vec_id long, score long")
