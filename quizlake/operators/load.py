@@ -15,6 +15,8 @@ from quizlake import schemas
 from quizlake.functions import scalars as S
 from quizlake.operators import report as R
 from quizlake.operators.merge import insert_if_absent, last_by, sticky, upsert
+from quizlake.settings import Settings
+from quizlake.settings import read as read_settings
 from quizlake.sources import readers, snapshot
 from quizlake.sources.scratch import materialize
 
@@ -232,3 +234,10 @@ def load_into(spark: SparkSession, root: str, inputs: Inputs) -> DataFrame:
     if tables := tables_of(changes):
         snapshot.write(spark, root, bank, base, tables)
     return changes
+
+
+def load_configured(spark: SparkSession, settings: Settings | None = None) -> DataFrame:
+    """The load that the settings name, into tables of the declared schemas."""
+    settings = settings or read_settings()
+    snapshot.create(spark, settings.bank_root)
+    return load_into(spark, settings.bank_root, read_inputs(spark, settings.data_dir))

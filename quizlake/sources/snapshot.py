@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quizlake import schemas
 from quizlake.sources.readers import exists
@@ -54,11 +56,23 @@ def write(spark: SparkSession, root: str, tables: dict[str, DataFrame], base: in
     """
     base = version(spark, root) if base is None else base
     where, name = folders(spark, root, base), uuid.uuid4().hex
-    for t, ddl in schemas.TABLES.items():
-        if changed is None or t in changed or t not in where:
-            tables[t].select(*[f.name for f in schemas.struct_type(ddl)]).write.parquet(f"{root}/{name}/{t}")
-            where[t] = name
-    _publish(spark, f"{root}/{name}/pointer", _pointer(root, base + 1), json.dumps(where))
+    new = [t for t in schemas.TABLES if changed is None or t in changed or t not in where]
+
+    def put(t):
+        tables[t].select(*[f.name for f in schemas.struct_type(schemas.TABLES[t])]).write.parquet(f"{root}/{name}/{t}")
+
+    where.update(dict.fromkeys(new, name))
+    published = False
+    try:
+        with ThreadPoolExecutor(max(1, len(new))) as pool:  # a small table is mostly the time of a job's start
+            list(pool.map(put, new))
+        published = True  # a rename that fails otherwise than by a conflict may have been done
+        _publish(spark, f"{root}/{name}/pointer", _pointer(root, base + 1), json.dumps(where))
+    except Exception as e:
+        if not published or isinstance(e, Conflict):  # no pointer names the folder
+            fs, p = file_system(spark, f"{root}/{name}")
+            fs.delete(p, True)
+        raise
     return base + 1
 
 
@@ -77,3 +91,44 @@ def _publish(spark: SparkSession, aside: str, target: str, content: str) -> None
         if "already exists" in str(e) or "FileAlreadyExists" in str(e):
             raise Conflict(target) from None
         raise
+
+
+def _stored(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in spark.read.parquet(path).schema]
+
+
+def create(spark: SparkSession, root: str) -> set[str]:
+    """Creates the tables that aren't there and rewrites those of another schema than the declared one; the names of both.
+
+    A column that a stored table lacks becomes null, one that isn't declared goes, and one of another type is cast; a value
+    that doesn't fit fails, and the bank stays as it was. Where all tables are as declared nothing is written.
+    """
+    base = version(spark, root)
+    where, tables = folders(spark, root, base), {}
+    for t, ddl in schemas.TABLES.items():
+        declared = schemas.struct_type(ddl)
+        if t not in where:
+            tables[t] = spark.createDataFrame([], declared)
+            continue
+        path = f"{root}/{where[t]}/{t}"
+        stored = dict(_stored(spark, path))
+        if list(stored.items()) != [(f.name, f.dataType.simpleString()) for f in declared]:
+            have = spark.read.parquet(path)
+            tables[t] = have.select(*[(F.col(f.name) if f.name in stored else F.lit(None)).cast(f.dataType).alias(f.name) for f in declared])
+    if tables:
+        write(spark, root, tables, base, set(tables))
+    return set(tables)
+
+
+def drop(spark: SparkSession, root: str) -> None:
+    """Drops all tables: a snapshot without any becomes current, then the folders that earlier ones named are deleted."""
+    base = version(spark, root)
+    if base < 0:
+        return
+    fs, p = file_system(spark, f"{root}/{POINTER}-*")
+    numbers = [int(x.getPath().getName().rpartition("-")[2]) for x in fs.globStatus(p)]
+    named = {name for n in numbers for name in folders(spark, root, n).values()}
+    aside = uuid.uuid4().hex
+    _publish(spark, f"{root}/{aside}/pointer", _pointer(root, base + 1), "{}")
+    for name in {aside, *named}:
+        fs.delete(file_system(spark, f"{root}/{name}")[1], True)
