@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlake.llm import decontamination, html_text, language, line_dedup, ngram_join, packing, quality, substring_dedup, token_files, vector_search
+from quizlake.llm import decontamination, fingerprints, html_text, language, lexical_search, line_dedup, ngram_join, packing, phrases, quality, substring_dedup, token_files, vector_search
 from quizlake.llm.common import fold_of, materialize
 
 
@@ -65,7 +65,19 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_token_files, op4_vector_search, op5_ngram_join, op6_line_dedup, op7_language, op8_substring_dedup, op9_decontamination, op10_html_text)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_token_files, op4_vector_search, op5_ngram_join, op6_line_dedup, op7_language, op8_substring_dedup, op9_decontamination, op10_html_text, op11_lexical_search, op12_fingerprints, op13_phrases)}
 
 ORACLE_SQL = {
     "op4_vector_search": """
@@ -121,4 +133,30 @@ ORACLE_SQL = {
         SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(o.n_items, 0) AS n_items, sha256(coalesce(o.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN o ON d.doc_id = o.doc_id
     """,
+    "op11_lexical_search": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        c AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+        q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, t),
+        f AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY doc_id, t),
+        n AS (SELECT t, count(*) AS df FROM f GROUP BY t),
+        m AS (SELECT doc_id, 75 + (25 * len(w) * docs) // terms AS m FROM d, c WHERE len(w) > 0),
+        i AS (SELECT f.doc_id, f.t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 12 * m)) AS impact FROM f JOIN n ON f.t = n.t JOIN m ON f.doc_id = m.doc_id, c),
+        s AS (SELECT item_id, doc_id, CAST(sum(times * impact) AS BIGINT) AS score FROM q JOIN i ON q.t = i.t GROUP BY item_id, doc_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20
+    """,
+    "op13_phrases": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+        x AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p WHERE len(w) > 0),
+        g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM x, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w) GROUP BY lang, k, phrase),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k >= 2 AND f >= 10),
+        b AS (SELECT c.lang, c.phrase, c.a, cut, y.f AS l, z.f AS r, CAST((1000000 * CAST(a AS HUGEINT) * a) // (CAST(y.f AS HUGEINT) * z.f) AS BIGINT) AS score
+              FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) AS c JOIN g AS y ON c.lang = y.lang AND y.phrase = array_to_string(w[1 : cut], ' ') JOIN g AS z ON c.lang = z.lang AND z.phrase = array_to_string(w[cut + 1 :], ' ')),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS best FROM b),
+        i AS (SELECT lang, array_to_string(w[j : j + 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest([1, 2]) AS j FROM c WHERE k = 3) GROUP BY ALL),
+        e AS (SELECT o.lang, o.phrase, a, l, r, score, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, o.phrase) AS rank FROM o LEFT JOIN i ON o.lang = i.lang AND o.phrase = i.phrase WHERE best = 1 AND (longer IS NULL OR 100 * longer < 50 * a))
+        SELECT e.lang, rank, phrase, a, l, r, n, score FROM e JOIN n ON e.lang = n.lang WHERE rank <= 2000
+    """,
 }
