@@ -75,7 +75,7 @@ class Shard:
         order = np.argsort(terms, kind="stable")  # documents stay in order
         doc, impact = doc[order], impact[order]
         some, first = np.unique(terms[order], return_index=True)
-        last = np.append(first[1:], len(order))
+        last = np.append(first[1:], len(order))[: len(first)]  # no term of any item may occur
         most = np.maximum.reduceat(impact, first) if len(first) else first
         self.lists = {t: (doc[a:b], impact[a:b], best) for t, a, b, best in zip(some.tolist(), first.tolist(), last.tolist(), most.tolist(), strict=True)}
         self.plain: dict[int, tuple[list[int], list[int]]] = {}
