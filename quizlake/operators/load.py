@@ -1,40 +1,46 @@
 """The load: manifest, question records, review items and solver runs go into the bank, idempotently.
 
-Each step is one plan over whole tables that ends in the state a record-by-record load would reach. Ids are hashes of
-natural keys, so a rerun gives the same. What a step makes is written once; the next steps and the report read that.
+Each step is one plan that ends in the state a record-by-record load would reach, and writes only the rows that it adds or
+changes, once; the report's numbers are counted while they are written. Ids are hashes of natural keys, so a rerun gives the
+same. Rows that break a constraint of the bank refuse the whole load; what passes is published in the partitions of the papers
+that changed. Where another load was published meanwhile, the load is done again over that.
 """
 
 from __future__ import annotations
 
+import random
+import time
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quizlake import schemas
 from quizlake.functions import scalars as S
+from quizlake.operators import quality
 from quizlake.operators import report as R
-from quizlake.operators.merge import insert_if_absent, last_by, sticky, upsert
+from quizlake.operators.merge import delta, insert_if_absent, last_by, over, sticky
 from quizlake.settings import Settings
 from quizlake.settings import read as read_settings
 from quizlake.sources import readers, snapshot
-from quizlake.sources.scratch import materialize
+from quizlake.sources.scratch import materialize, materialize_counted
 
 # Fixed values.
 SECTIONS = ("QUANT", "REASONING")
 CONFIRMED = ("KEY_CONFIRMED_CODE", "KEY_CONFIRMED_DUAL", "KEY_CONFIRMED_REVIEW")
 REVIEWED = "KEY_CONFIRMED_REVIEW"
 DEFAULT_PATTERN = {"questions": 25, "marks_correct": 2, "marks_wrong": 0.5, "default_timer_sec": 900}
-#: The table that a change of the report is in.
-TABLE_OF = {
-    "exam_pattern added": "exam_pattern", "papers added": "papers", "papers updated": "papers", "mocks added": "mocks", "mocks set DRAFT": "mocks", "mocks set PUBLISHED": "mocks", "questions added": "questions", "questions updated": "questions", "current versions moved": "questions",
-    "question versions added": "question_versions", "topic tags updated": "question_versions", "key statuses set": "question_versions", "key statuses withdrawn": "question_versions", "assets added": "question_assets", "solver runs added": "answer_verifications",
-    "review items added": "review_queue", "review items updated": "review_queue",
-}
 TOPICS = ["topic", "subtopic", "topic_source"]
 VERSION_FIELDS = ["stem_text", "stem_text_complete", "stem_image", "options", "option_ids", "answer_text_layer", "answer_page_image", "key_status", "has_visual", "source_page", "source_bbox", "question_crop"]
 
 
+#: How often a load is done again where others were published meanwhile, and the seconds before the first time.
+ATTEMPTS = 5
+PAUSE = 0.5
+
+
 @dataclass
 class Inputs:
     sources: DataFrame
@@ -55,24 +61,80 @@ def read_inputs(spark: SparkSession, data_dir: str) -> Inputs:
 
 
 def _as_table(df: DataFrame, table: str) -> DataFrame:
-    """df with the table's columns and types; a column that df lacks is null."""
+    """df with the table's columns and types, and the row's partition; a column that df lacks is null."""
     fields = schemas.struct_type(schemas.TABLES[table]).fields
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    kept = [c for c in ("part", "change", "was") if c in df.columns]
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields], *kept)
+
+
+class State:
+    """A bank as it was read, with the rows that a load has added or changed so far over it.
+
+    bank: tables with each row's partition (``part``), in the first one where they don't say; parts: how many there are;
+    empty: tables that are known to hold nothing.
+    """
+
+    def __init__(self, bank: dict[str, DataFrame], parts: int = 1, empty: set[str] = frozenset()):
+        self.parts, self.empty = parts, empty
+        self.base = {t: df if "part" in df.columns else df.withColumn("part", F.lit(0)) for t, df in bank.items()}
+        self.deltas: dict[str, DataFrame] = {}
+        self.counts: Counter[str] = Counter()
+        self.broken: Counter[str] = Counter()
+
+    def table(self, table: str, within: list[int] | None = None) -> DataFrame:
+        """A table as it is now; within: of these partitions only."""
+        base, rows = self.base[table], self.deltas.get(table)
+        if within is not None:
+            base, rows = (df if df is None else df.where(F.col("part").isin(within)) for df in (base, rows))
+        if rows is None:
+            return base
+        return rows.select(*base.columns) if table in self.empty else over(base, rows, quality.PRIMARY[table])
+
+    def unchanged(self, table: str, within: list[int] | None = None) -> DataFrame:
+        """The rows that were there and stay as they were."""
+        base = self.base[table] if within is None else self.base[table].where(F.col("part").isin(within))
+        return base if table not in self.deltas else base.join(self.deltas[table].select(quality.PRIMARY[table]), quality.PRIMARY[table], "left_anti")
+
+    def __getitem__(self, table: str) -> DataFrame:
+        return self.table(table)
+
+    def put(self, table: str, rows: DataFrame, says: dict[str, Column]) -> DataFrame:
+        """Takes rows (with change) into the table; says: kinds of change, and which of the rows are of that kind."""
+        rules = quality.row_rules(table, rows.columns)
+        rows, n = materialize_counted(rows, table, {**says, **rules, "": F.lit(True)})
+        self.counts.update({k: n[k] for k in says})
+        self.broken.update({k: n[k] for k in rules if n[k]})
+        if n[""]:
+            before = self.deltas.get(table)
+            plain = rows.drop("change", "was")
+            self.deltas[table] = plain if before is None else over(before, plain, quality.PRIMARY[table])
+        return rows
 
+    def tables(self) -> dict[str, DataFrame]:
+        """Every table as the load leaves it."""
+        return {t: self[t].drop("part") for t in self.base}
 
-def load_exam_pattern(pattern: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    spark = pattern.sparkSession
-    default = _as_table(spark.createDataFrame([(s, *map(float, DEFAULT_PATTERN.values())) for s in SECTIONS], "section string, " + ", ".join(f"{k} double" for k in DEFAULT_PATTERN)), "exam_pattern")
-    new = insert_if_absent(pattern, default, ["section"])
-    return pattern.unionByName(new), [R.counted(new, "exam_pattern added")]
+    def report(self, spark: SparkSession) -> DataFrame:
+        return R.of_counts(spark, self.counts)
 
 
-def load_papers(papers: DataFrame, sources: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+def _added_or_updated(what: str) -> dict[str, Column]:
+    return {f"{what} {c}": F.col("change") == c for c in ("added", "updated")}
+
+
+def load_exam_pattern(state: State, spark: SparkSession) -> None:
+    """Sections that have no pattern get the default one; configured values stay."""
+    default = spark.createDataFrame([(s, *map(float, DEFAULT_PATTERN.values()), 0) for s in SECTIONS], "section string, " + ", ".join(f"{k} double" for k in DEFAULT_PATTERN) + ", part int")
+    new = insert_if_absent(state["exam_pattern"], _as_table(default, "exam_pattern"), ["section"])
+    state.put("exam_pattern", new, {"exam_pattern added": F.lit(True)})
+
+
+def load_papers(state: State, sources: DataFrame) -> None:
     """Accepted sources as papers; a paper that is no longer accepted stays."""
     values = ["exam_date", "time_slot", "source_filename", "stored_path", "sha256", "key_status"]
     rows = sources.where("accepted").select(S.paper_id(F.col("date"), F.col("time_slot")).alias("id"), S.paper_date(F.col("date")).alias("exam_date"), "time_slot", F.col("filename").alias("source_filename"), "stored_path", "sha256", "key_status", "ord")
-    out = materialize(upsert(papers, last_by(rows, ["id"], values), ["id"], values), "papers")
-    return _as_table(out, "papers"), [R.counted(out.where("change = 'added'"), "papers added"), R.counted(out.where("change = 'updated'"), "papers updated")]
+    rows = last_by(rows, ["id"], values).withColumn("part", snapshot.part_of(F.col("id"), state.parts))
+    state.put("papers", _as_table(delta(state["papers"], rows, ["id"], values), "papers"), _added_or_updated("papers"))
 
 
 def _mock_id():
@@ -83,109 +145,97 @@ def question_id(mock_id, q_no):
     return F.xxhash64(mock_id, q_no)
 
 
-def load_questions(bank: dict[str, DataFrame], records: DataFrame) -> tuple[dict[str, DataFrame], list[DataFrame]]:
+def version_id(question, content_hash, answer):
+    """The key of a version is its question, content and answer, where no answer is one too."""
+    return F.xxhash64(question, content_hash, answer.isNull(), answer)
+
+
+def load_questions(state: State, records: DataFrame) -> None:
     """Mocks, question slots, versions, assets and current pointers. A version is never changed but for its topic tags."""
-    rec = records.where(F.col("section").isin(*SECTIONS)).withColumn("mock_id", _mock_id())
+    rec = records.where(F.col("section").isin(*SECTIONS)).withColumn("mock_id", _mock_id()).withColumn("part", snapshot.part_of(F.col("paper_id"), state.parts))
     rec = rec.withColumn("question_id", question_id(F.col("mock_id"), F.col("q_no"))).withColumn("content_hash", S.content_hash(F.col("ssc_question_id"), F.col("stem_text"), F.col("stem_image"), F.col("options")))
-    rec = materialize(rec, "question-records")
-
-    mocks = rec.select(F.col("mock_id").alias("id"), "paper_id", "section").distinct()
-    mocks = insert_if_absent(bank["mocks"], mocks, ["id"]).join(F.broadcast(bank["exam_pattern"].select("section", F.col("default_timer_sec").alias("timer_sec"))), "section").withColumn("status", F.lit("DRAFT"))  # a row for each section
-    mocks = materialize(_as_table(mocks, "mocks"), "mocks")
-
-    slots = last_by(rec.withColumn("id", F.col("question_id")), ["id", "mock_id", "q_no"], ["ssc_question_id", "status"])
-    slots = materialize(upsert(bank["questions"], slots, ["id", "mock_id", "q_no"], ["ssc_question_id", "status"]), "slots")
-
-    key = ["question_id", "content_hash", "official_answer"]
-    pairs = rec.groupBy(*key).agg(F.min("ord").alias("first"), F.min_by(F.struct(*VERSION_FIELDS), "ord").alias("body"), F.max_by(F.struct(*TOPICS), "ord").alias("tags"))
-    pairs = pairs.withColumn("id", F.xxhash64("question_id", "content_hash", F.col("official_answer").isNull(), "official_answer"))
-    history = bank["question_versions"]
-    have = history.select(F.col("id").alias("_id"), F.col("question_id").alias("_q"), F.col("content_hash").alias("_h"), F.col("official_answer").alias("_a"))
-    match = (F.col("question_id") == F.col("_q")) & (F.col("content_hash") == F.col("_h")) & F.col("official_answer").eqNullSafe(F.col("_a"))
-    looked = materialize(pairs.join(have, match, "left"), "version-pairs")
-    counts = history.groupBy("question_id").agg(F.max("version").alias("have"))
-    new = looked.where("_id is null").join(counts, "question_id", "left")
-    new = new.withColumn("version", F.coalesce("have", F.lit(0)) + F.row_number().over(Window.partitionBy("question_id").orderBy("first", "id")))
-    new = _as_table(new.select("id", "question_id", "version", "content_hash", "official_answer", "body.*", "tags.*", F.current_timestamp().alias("created_at")), "question_versions")
-    new = materialize(new, "new-versions")
-    tagged = materialize(upsert(history, looked.where("_id is not null").select(F.col("_id").alias("id"), "tags.*"), ["id"], TOPICS), "versions")
-    versions = _as_table(tagged, "question_versions").unionByName(new)
+    rec = materialize(rec.withColumn("version_id", version_id(F.col("question_id"), F.col("content_hash"), F.col("official_answer"))), "question-records")
+
+    mocks = insert_if_absent(state["mocks"], rec.select(F.col("mock_id").alias("id"), "paper_id", "section", "part").distinct(), ["id"])
+    mocks = mocks.join(F.broadcast(state["exam_pattern"].select("section", F.col("default_timer_sec").alias("timer_sec"))), "section").withColumn("status", F.lit("DRAFT"))  # a row for each section
+    state.put("mocks", _as_table(mocks, "mocks"), {"mocks added": F.lit(True)})
+
+    pairs = rec.groupBy("version_id").agg(F.min("ord").alias("first"), F.first("question_id").alias("question_id"), F.first("content_hash").alias("content_hash"), F.first("official_answer").alias("official_answer"), F.first("part").alias("part"), F.min_by(F.struct(*VERSION_FIELDS), "ord").alias("body"), F.max_by(F.struct(*TOPICS), "ord").alias("tags"))
+    pairs = pairs.select(F.col("version_id").alias("id"), "question_id", "content_hash", "official_answer", "part", "first", "body.*", "tags.*")
+    history = state["question_versions"]
+    fresh = pairs.join(history.select("id"), "id", "left_anti").select("id", "question_id", "first")
+    counts = history.join(fresh.select("question_id").distinct(), "question_id", "left_semi").groupBy("question_id").agg(F.max("version").alias("have"))
+    number = F.coalesce("have", F.lit(0)) + F.row_number().over(Window.partitionBy("question_id").orderBy("first", "id"))
+    numbered = fresh.join(counts, "question_id", "left").select("id", number.alias("version"))
+    pairs = pairs.drop("first").join(numbered, "id", "left").withColumn("created_at", F.current_timestamp())
+    added = F.col("change") == "added"
+    versions = state.put("question_versions", delta(history, pairs, ["id"], TOPICS), {"question versions added": added, "topic tags updated": ~added})
 
     maybe = F.filter(
         F.concat(F.array(F.struct(F.lit("review_crop").alias("kind"), F.col("question_crop").alias("path"), F.lit(True).alias("shows_answer")), F.struct(F.lit("stem").alias("kind"), F.col("stem_image").alias("path"), F.lit(False).alias("shows_answer"))), F.transform("options", lambda o: F.struct(F.concat(F.lit("option_"), o["label"]).alias("kind"), o["image"].alias("path"), F.lit(False).alias("shows_answer")))),
         lambda a: a["path"].isNotNull() & (a["path"] != ""),
     )
-    assets = new.select(F.col("id").alias("question_version_id"), F.explode(maybe).alias("a")).select("question_version_id", "a.*").withColumn("id", F.xxhash64("question_version_id", "kind"))
-    assets = _as_table(assets, "question_assets")
-
-    last = rec.groupBy("question_id").agg(F.max_by(F.struct("content_hash", "official_answer"), "ord").alias("p")).select(F.col("question_id").alias("_q"), F.col("p.content_hash").alias("_h"), F.col("p.official_answer").alias("_a"))
-    pointed = versions.select("id", "question_id", "content_hash", "official_answer").join(last, match).select(F.col("question_id").alias("id"), F.col("id").alias("current_version_id"))
-    moved = materialize(upsert(_as_table(slots, "questions"), pointed, ["id"], ["current_version_id"]), "questions")
+    assets = versions.where(added).select(F.col("id").alias("question_version_id"), "part", F.explode(maybe).alias("a")).select("question_version_id", "part", "a.*").withColumn("id", F.xxhash64("question_version_id", "kind"))
+    state.put("question_assets", _as_table(assets, "question_assets"), {"assets added": F.lit(True)})
 
-    out = dict(bank, mocks=bank["mocks"].unionByName(mocks), questions=_as_table(moved, "questions"), question_versions=versions, question_assets=bank["question_assets"].unionByName(assets))
-    parts = [
-        R.counted(mocks, "mocks added"), R.counted(slots.where("change = 'added'"), "questions added"), R.counted(slots.where("change = 'updated'"), "questions updated"), R.counted(new, "question versions added"),
-        R.counted(assets, "assets added"), R.counted(tagged.where("change = 'updated'"), "topic tags updated"), R.counted(moved.where("change is not null"), "current versions moved"),
-    ]
-    return out, parts
+    values = ["ssc_question_id", "status", "current_version_id"]
+    slots = last_by(rec.withColumns({"id": F.col("question_id"), "current_version_id": F.col("version_id")}), ["id", "mock_id", "q_no", "part"], values)
+    same = F.col("ssc_question_id").eqNullSafe(F.col("was.ssc_question_id")) & F.col("status").eqNullSafe(F.col("was.status"))
+    says = {"questions added": added, "questions updated": ~added & ~same, "current versions moved": ~F.col("current_version_id").eqNullSafe(F.col("was.current_version_id"))}
+    state.put("questions", _as_table(delta(state["questions"], slots, ["id", "mock_id", "q_no"], values), "questions"), says)
 
 
-def queue(bank: dict[str, DataFrame], items: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+def queue(state: State, items: DataFrame) -> None:
     """Review items (paper_id, section, q_no, source, reasons, ord): added, or updated while open; resolved ones stay."""
     key = ["paper_id", "section", "q_no", "source"]
     last = last_by(items, key, ["reasons"])
-    known = bank["questions"].select(F.col("mock_id").alias("_m"), F.col("q_no").alias("_n"), F.col("id").alias("question_id"))
+    known = state["questions"].select(F.col("mock_id").alias("_m"), F.col("q_no").alias("_n"), F.col("id").alias("question_id"))
     rows = last.join(known, (_mock_id() == F.col("_m")) & (F.col("q_no") == F.col("_n")), "left").select(*key, "question_id", "reasons")
-    out = materialize(upsert(bank["review_queue"], rows, key, ["question_id", "reasons"], F.col("status") == "OPEN"), "review-queue")
-    added = F.col("change") == "added"
-    full = out.withColumn("id", F.coalesce("id", F.xxhash64(*key))).withColumn("status", F.coalesce("status", F.lit("OPEN"))).withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
-    return _as_table(full, "review_queue"), [R.counted(out.where(added), "review items added"), R.counted(out.where("change = 'updated'"), "review items updated")]
+    rows = rows.withColumns({"id": F.xxhash64(*key), "status": F.lit("OPEN"), "created_at": F.current_timestamp(), "part": snapshot.part_of(F.col("paper_id"), state.parts)})
+    state.put("review_queue", delta(state["review_queue"], rows, key, ["question_id", "reasons"], F.col("status") == "OPEN"), _added_or_updated("review items"))
 
 
-def load_review_queue(bank: dict[str, DataFrame], records: DataFrame) -> tuple[dict[str, DataFrame], list[DataFrame]]:
-    items = records.where(F.col("section").isin(*SECTIONS)).withColumn("source", F.lit("extract"))
-    table, parts = queue(bank, items)
-    return dict(bank, review_queue=table), parts
+def load_review_queue(state: State, records: DataFrame) -> None:
+    queue(state, records.where(F.col("section").isin(*SECTIONS)).withColumn("source", F.lit("extract")))
 
 
-def load_verifications(bank: dict[str, DataFrame], records: DataFrame) -> tuple[dict[str, DataFrame], DataFrame, list[DataFrame]]:
-    """Runs go to the version they solved; verdicts set the status of current versions. Also gives the questions covered."""
-    rec = records.withColumn("question_id", question_id(_mock_id(), F.col("q_no"))).join(bank["questions"].select(F.col("id").alias("question_id"), "current_version_id"), "question_id")
-    rec = materialize(rec, "verdict-records")
-    versions = bank["question_versions"]
-    have = versions.select(F.col("id").alias("_id"), F.col("question_id").alias("_q"), F.col("content_hash").alias("_h"), F.col("official_answer").alias("_a"), F.col("key_status").alias("_s"))
+def load_verifications(state: State, records: DataFrame) -> DataFrame:
+    """Runs go to the version they solved; verdicts set the status of current versions. Gives the questions covered."""
+    versions = state["question_versions"]
+    current = versions.select(F.col("id").alias("current_version_id"), F.col("content_hash").alias("_h"), F.col("official_answer").alias("_a"))
+    rec = records.withColumn("question_id", question_id(_mock_id(), F.col("q_no"))).join(state["questions"].select(F.col("id").alias("question_id"), "current_version_id", "part"), "question_id").join(current, "current_version_id", "left")
+    counts = F.coalesce(F.col("official_answer").eqNullSafe(F.col("_a")) & F.exists("verifications", lambda v: v["question_version"] == F.col("_h")), F.lit(False))
+    rec = materialize(rec.withColumn("on_current", counts).drop("_h", "_a"), "verdict-records")
 
-    runs = rec.select("question_id", "official_answer", "ord", F.posexplode("verifications").alias("place", "run"))
-    found = runs.join(have, (F.col("question_id") == F.col("_q")) & (F.col("run.question_version") == F.col("_h")) & F.col("official_answer").eqNullSafe(F.col("_a")), "left")
-    found = materialize(found, "runs")
+    runs = rec.select("question_id", "official_answer", "ord", "part", F.posexplode("verifications").alias("place", "run"))
+    runs = runs.withColumn("question_version_id", version_id(F.col("question_id"), F.col("run.question_version"), F.col("official_answer")))
+    found = runs.join(versions.select(F.col("id").alias("question_version_id"), F.lit(True).alias("known")), "question_version_id", "left").drop("question_id", "official_answer")
+    found, n = materialize_counted(found, "runs", {"stale": F.col("known").isNull()})
+    state.counts["stale solver runs skipped"] += n["stale"]
     key = ["question_version_id", "solver_id", "prompt_version"]
-    placed = found.where("_id is not null").select(F.col("_id").alias("question_version_id"), "run.*", F.struct("ord", "place").alias("ord")).drop("question_version")
+    placed = found.where("known").select("question_version_id", "part", "run.*", F.struct("ord", "place").alias("ord")).drop("question_version")
     placed = placed.withColumn("steps", F.coalesce("steps", F.array().cast("array<string>"))).withColumn("valid", F.coalesce("valid", F.lit(True)))
     first = placed.groupBy(*key).agg(F.min_by(F.struct(*[c for c in placed.columns if c not in (*key, "ord")]), "ord").alias("b")).select(*key, "b.*")
-    new = insert_if_absent(bank["answer_verifications"], first, key).withColumn("id", F.xxhash64(*key)).withColumn("created_at", F.current_timestamp())
-    new = materialize(_as_table(new, "answer_verifications"), "new-runs")
-
-    on = rec.join(have, (F.col("current_version_id") == F.col("_id")) & F.col("official_answer").eqNullSafe(F.col("_a"))).where(F.exists("verifications", lambda v: v["question_version"] == F.col("_h")))
-    verdicts = on.groupBy(F.col("_id").alias("id"), "question_id").agg(F.collect_set("status").alias("all"), F.max_by("status", "ord").alias("last"))
-    set_ = versions.join(verdicts.select("id", "all", "last"), "id").select("id", sticky(F.col("key_status"), REVIEWED, F.col("all"), F.col("last")).alias("key_status"))
-    status = materialize(upsert(versions, set_, ["id"], ["key_status"]), "versions")
+    new = insert_if_absent(state["answer_verifications"], first, key).withColumn("id", F.xxhash64(*key)).withColumn("created_at", F.current_timestamp())
+    state.put("answer_verifications", _as_table(new, "answer_verifications"), {"solver runs added": F.lit(True)})
 
-    doubt = on.where(~F.col("status").isin(*CONFIRMED)).select("paper_id", "section", "q_no", F.lit("solver").alias("source"), F.array("status").alias("reasons"), "ord")
-    reviews, queued = queue(bank, doubt)
-    out = dict(bank, answer_verifications=bank["answer_verifications"].unionByName(new), question_versions=_as_table(status, "question_versions"), review_queue=reviews)
-    parts = [R.counted(found.where("_id is null"), "stale solver runs skipped"), R.counted(new, "solver runs added"), R.counted(status.where("change = 'updated'"), "key statuses set"), *queued]
-    return out, verdicts.select("question_id").distinct(), parts
+    on = rec.where("on_current")
+    verdicts = on.groupBy(F.col("current_version_id").alias("id")).agg(F.collect_set("status").alias("all"), F.max_by("status", "ord").alias("last"))
+    set_ = versions.select("id", "key_status").join(verdicts, "id").select("id", sticky(F.col("key_status"), REVIEWED, F.col("all"), F.col("last")).alias("key_status"))
+    state.put("question_versions", delta(versions, set_, ["id"], ["key_status"]), {"key statuses set": F.lit(True)})
+    queue(state, on.where(~F.col("status").isin(*CONFIRMED)).select("paper_id", "section", "q_no", F.lit("solver").alias("source"), F.array("status").alias("reasons"), "ord"))
+    return on.select("question_id").distinct()
 
 
-def withdraw_verdicts(bank: dict[str, DataFrame], covered: DataFrame) -> tuple[dict[str, DataFrame], list[DataFrame]]:
+def withdraw_verdicts(state: State, covered: DataFrame) -> None:
     """Verdicts of current versions that no record gives any more; a reviewed key stays."""
-    open_ = bank["questions"].select(F.col("id").alias("question_id"), F.col("current_version_id").alias("id")).join(covered, "question_id", "left_anti")
-    rows = bank["question_versions"].where(~F.col("key_status").isin("UNVERIFIED", REVIEWED)).join(open_.select("id"), "id", "left_semi").select("id", F.lit("UNVERIFIED").alias("key_status"))
-    out = materialize(upsert(bank["question_versions"], rows, ["id"], ["key_status"]), "versions")
-    return dict(bank, question_versions=_as_table(out, "question_versions")), [R.counted(out.where("change = 'updated'"), "key statuses withdrawn")]
+    open_ = state["questions"].select(F.col("id").alias("question_id"), F.col("current_version_id").alias("id")).join(covered, "question_id", "left_anti")
+    versions = state["question_versions"]
+    rows = versions.where(~F.col("key_status").isin("UNVERIFIED", REVIEWED)).select("id").join(open_.select("id"), "id", "left_semi").select("id", F.lit("UNVERIFIED").alias("key_status"))
+    state.put("question_versions", delta(versions, rows, ["id"], ["key_status"]), {"key statuses withdrawn": F.lit(True)})
 
 
-def publishable(bank: dict[str, DataFrame]) -> DataFrame:
+def publishable(bank: State | dict[str, DataFrame]) -> DataFrame:
     """id, ready of every mock: as many questions as its pattern wants, and every one fit with a confirmed key."""
     current = bank["question_versions"].select(F.col("id").alias("current_version_id"), "key_status")
     q = bank["questions"].select(F.col("id").alias("q_id"), "mock_id", "status", "current_version_id").withColumnRenamed("status", "q_status").join(current, "current_version_id", "left")
@@ -195,45 +245,54 @@ def publishable(bank: dict[str, DataFrame]) -> DataFrame:
     return rows.select("id", ((F.coalesce("n", F.lit(0)) == F.col("questions")) & F.coalesce("fit", F.lit(True))).alias("ready"))
 
 
-def publish_mocks(bank: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], list[DataFrame]]:
-    ready = publishable(bank).select("id", F.when(F.col("ready"), "PUBLISHED").otherwise("DRAFT").alias("status"))
-    out = materialize(upsert(bank["mocks"], ready, ["id"], ["status"]), "mocks")
-    return dict(bank, mocks=_as_table(out, "mocks")), [R.counted(out.where(f"change is not null and status = '{s}'"), f"mocks set {s}") for s in ("DRAFT", "PUBLISHED")]
-
-
-def load_all(bank: dict[str, DataFrame], inputs: Inputs) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The next state of the bank and the report of changes."""
-    parts: list[DataFrame] = []
-    pattern, more = load_exam_pattern(bank["exam_pattern"])
-    parts += more
-    papers, more = load_papers(bank["papers"], inputs.sources)
-    parts += more
-    bank = dict(bank, exam_pattern=pattern, papers=papers)
-    bank, more = load_questions(bank, inputs.questions)
-    parts += more
-    bank, more = load_review_queue(bank, inputs.review)
-    parts += more
-    bank, covered, more = load_verifications(bank, inputs.verifications)
-    parts += more
-    bank, more = withdraw_verdicts(bank, covered)
-    parts += more
-    bank, more = publish_mocks(bank)
-    parts += more
-    return bank, materialize(R.total(parts), "report")
-
-
-def tables_of(changes: DataFrame) -> set[str]:
-    """The tables that a report says changed; it has a dozen rows at most."""
-    return {TABLE_OF[r.change] for r in changes.collect() if r.change not in R.INFORMATIONAL}
-
-
-def load_into(spark: SparkSession, root: str, inputs: Inputs) -> DataFrame:
-    """Loads the inputs into the bank at root, all or nothing, and gives the report."""
-    base = snapshot.version(spark, root)
-    bank, changes = load_all(snapshot.read(spark, root, base), inputs)
-    if tables := tables_of(changes):
-        snapshot.write(spark, root, bank, base, tables)
-    return changes
+def publish_mocks(state: State) -> None:
+    ready = publishable(state).select("id", F.when(F.col("ready"), "PUBLISHED").otherwise("DRAFT").alias("status"))
+    state.put("mocks", delta(state["mocks"], ready, ["id"], ["status"]), {f"mocks set {s}": F.col("status") == s for s in ("DRAFT", "PUBLISHED")})
+
+
+def load_all(state: State, inputs: Inputs) -> State:
+    """Loads everything of the inputs; nothing is published, and rows that break a constraint are in the state."""
+    load_exam_pattern(state, inputs.sources.sparkSession)
+    load_papers(state, inputs.sources)
+    load_questions(state, inputs.questions)
+    load_review_queue(state, inputs.review)
+    withdraw_verdicts(state, load_verifications(state, inputs.verifications))
+    publish_mocks(state)
+    return state
+
+
+def commit(spark: SparkSession, root: str, base: int, state: State) -> int:
+    """Publishes what the load changed; the number of the snapshot. Refused, the bank stays as it is and no folder is left."""
+    replaced = snapshot.affected(state.deltas)
+    quality.require(state, replaced)
+    if not replaced:
+        return base
+    return snapshot.commit(spark, root, base, {t: state.table(t, p) for t, p in replaced.items()}, replaced, state.parts)
+
+
+def into(spark: SparkSession, root: str, work: Callable[[State], object], attempts: int = ATTEMPTS) -> DataFrame:
+    """Does ``work`` on the current bank, publishes what it changed, all or nothing, and gives the report.
+
+    Where another load became current meanwhile, it is done again over that one, as if it had come after it.
+    """
+    for attempt in range(attempts):
+        base = snapshot.version(spark, root)
+        at = snapshot.pointer(spark, root, base)
+        state = State(snapshot.read(spark, root, base, parts=True), at.parts, {t for t in schemas.TABLES if not at.where.get(t)})
+        work(state)
+        try:
+            commit(spark, root, base, state)
+            break
+        except snapshot.Conflict:
+            if attempt + 1 == attempts:
+                raise
+            time.sleep(PAUSE * 2**attempt * random.uniform(0.5, 1.5))
+    return state.report(spark)
+
+
+def load_into(spark: SparkSession, root: str, inputs: Inputs, attempts: int = ATTEMPTS) -> DataFrame:
+    """Loads the inputs into the bank at root and gives the report; quality.Refused where rows break a constraint."""
+    return into(spark, root, lambda state: load_all(state, inputs), attempts)
 
 
 def load_configured(spark: SparkSession, settings: Settings | None = None) -> DataFrame:

@@ -35,6 +35,28 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], values: li
     return out.select(*[F.when(take, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in existing.columns], "change")
 
 
+def delta(existing: DataFrame, incoming: DataFrame, keys: list[str], values: list[str], allowed: Column | None = None) -> DataFrame:
+    """The rows that upsert would add or update, and no others, in existing's columns; change is 'added' or 'updated', and was
+    holds the values before.
+
+    Existing rows that incoming has no key of aren't read beyond their keys. Columns of incoming besides keys and values are
+    taken in new rows only. An update that isn't allowed is none.
+    """
+    more = [c for c in incoming.columns if c not in keys and c not in values]
+    new = incoming.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in [*values, *more]])
+    both = new.join(existing.withColumn("_old", F.lit(True)), keys, "left")
+    may = F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False))
+    differs = reduce(lambda a, b: a | b, [~F.col(v).eqNullSafe(F.col(f"_new_{v}")) for v in values], F.lit(False))
+    both = both.withColumn("change", F.when(F.col("_old").isNull(), "added").when(may & differs, "updated")).where("change is not null")
+    take = lambda c: F.col(f"_new_{c}") if c in values else F.when(F.col("change") == "added", F.col(f"_new_{c}")).otherwise(F.col(c)) if c in more else F.col(c)
+    return both.select(*[take(c).alias(c) for c in existing.columns], "change", F.struct(*[F.col(v) for v in values or keys]).alias("was"))
+
+
+def over(existing: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """existing with rows in place of those of their keys."""
+    return existing.join(rows.select(key), key, "left_anti").select(*existing.columns).unionByName(rows.select(*existing.columns))
+
+
 def sticky(old: Column, held: str, statuses: Column, last: Column) -> Column:
     """A status with an absorbing value: once old or any of statuses is it, it stays; else the last, if there is one."""
     return F.when((old == held) | F.array_contains(statuses, held), F.lit(held)).otherwise(F.coalesce(last, old))

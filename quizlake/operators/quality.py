@@ -1,8 +1,14 @@
-"""Constraints of the bank as queries whose results must be empty."""
+"""Constraints of the bank: as queries over whole tables whose results must be empty, and as what a load must pass.
+
+What a load adds or changes is judged before it is published. Rules of single rows are counted while those rows are written;
+keys and references are looked up for the changed rows only. As in a database, a key that holds a null is like no other.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNIQUE = {
@@ -21,6 +27,17 @@ NOT_NULL = {
 }
 MAX_LENGTH = {("exam_pattern", "section"): 16, ("question_versions", "content_hash"): 16, ("question_versions", "official_answer"): 1}
 CHECKS = {"mocks": "section in ('QUANT', 'REASONING')"}
+PRIMARY = {t: sets[0][0] for t, sets in UNIQUE.items()}
+#: Refused rows that the message of a load names.
+NAMED = 20
+
+
+class Refused(ValueError):
+    """Rows of a load break constraints of the bank. rules: how many break each."""
+
+    def __init__(self, rules: dict[str, int], rows: list[str]):
+        self.rules = rules
+        super().__init__("; ".join(f"{rule}: {n}" for rule, n in sorted(rules.items())) + "".join(f"\n{row}" for row in rows))
 
 
 def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,3 +79,74 @@ def violations(bank: dict[str, DataFrame]) -> DataFrame:
     for df in found[1:]:
         out = out.unionByName(df)
     return out.where("n > 0").orderBy("rule")
+
+
+def row_rules(table: str, columns: list[str]) -> dict[str, Column]:
+    """Of each rule of single rows the condition that breaks it; columns: those that the rows have."""
+    out = {f"not null {table}({c})": F.col(c).isNull() for c in NOT_NULL[table] if c in columns}
+    out |= {f"length {t}({c})": F.length(c) > most for (t, c), most in MAX_LENGTH.items() if t == table and c in columns}
+    out |= {f"check {t}: {check}": ~F.coalesce(F.expr(check), F.lit(True)) for t, check in CHECKS.items() if t == table}
+    return out
+
+
+#: Keys of rows that may lie in any partition; all others are those of rows of one paper, which lie in one.
+ANYWHERE = {("papers", "sha256")}
+
+
+def _keys(rows: DataFrame, table: str, sets: list[list[str]], changed: bool) -> DataFrame:
+    """rule, table, row (the key as JSON), changed of each row and key of a table; a key that holds a null is none."""
+    one = lambda keys: F.struct(F.lit(f"unique {table}({', '.join(keys)})").alias("rule"), F.lit(table).alias("table"), F.when(reduce(Column.__and__, [F.col(c).isNotNull() for c in keys]), F.to_json(F.struct(*keys))).alias("row"), F.lit(changed).alias("changed"))
+    return rows.select(F.inline(F.array(*map(one, sets)))).where("row is not null")
+
+
+def _key_breaches(state, parts: dict[str, list[int]] | None = None) -> DataFrame | None:
+    """rule, table, row: keys of changed rows that other rows have too, and changed rows that refer to nothing; None if no row
+    changed. All keys are counted at once, and all references looked up at once.
+
+    parts: of each changed table the partitions that its changed rows are in; no others are looked at.
+    """
+    keys, children, parents = [], [], {}
+    for t, rows in state.deltas.items():
+        within = None if parts is None else parts[t]
+        near = [k for k in UNIQUE[t] if not any((t, c) in ANYWHERE for c in k)]
+        for sets, place in ((near, within), ([k for k in UNIQUE[t] if k not in near], None)):
+            if sets:
+                keys += [_keys(rows, t, sets, True), _keys(state.unchanged(t, place), t, sets, False)]
+        for child, column, parent in FOREIGN:
+            if child == t:
+                known = lambda c, of=parent: F.struct(F.lit(of).alias("of"), F.col(c).cast("string").alias("key"))
+                children.append(rows.where(F.col(column).isNotNull()).select(F.lit(f"foreign key {t}({column})").alias("rule"), F.lit(t).alias("table"), F.to_json(F.struct(PRIMARY[t], column)).alias("row"), known(column).alias("parent")))
+                parents.setdefault(parent, set()).update(within or [])
+    if not keys:
+        return None
+    out = reduce(DataFrame.unionByName, keys).groupBy("rule", "table", "row").agg(F.count("*").alias("n"), F.count_if(F.col("changed")).alias("own")).where("n > 1 and own > 0").select("rule", "table", "row")
+    if children:
+        have = [state.table(t, None if parts is None else sorted(p)).select(F.struct(F.lit(t).alias("of"), F.col(PRIMARY[t]).cast("string").alias("key")).alias("parent")) for t, p in parents.items()]
+        out = out.unionByName(reduce(DataFrame.unionByName, children).join(reduce(DataFrame.unionByName, have), "parent", "left_anti").drop("parent"))
+    return out
+
+
+def refused(state) -> DataFrame:
+    """rule, table, row (as JSON: its primary key, or the key that the rule names) of every changed row that breaks a rule.
+
+    state: a load that isn't published (its changed rows in ``deltas``, every table as it leaves it by name).
+    """
+    found = _key_breaches(state)
+    out = [] if found is None else [found]
+    for t, rows in state.deltas.items():
+        rules = row_rules(t, rows.columns)
+        broken = F.filter(F.array(*[F.when(c, F.lit(rule)) for rule, c in rules.items()]), lambda x: x.isNotNull())
+        each = rows.select(PRIMARY[t], F.explode(broken).alias("rule"))
+        out.append(each.select("rule", F.lit(t).alias("table"), F.to_json(F.struct(PRIMARY[t]), {"ignoreNullFields": "false"}).alias("row")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def require(state, parts: dict[str, list[int]] | None = None) -> None:
+    """Raises Refused where changed rows break a rule. The rules of single rows were counted as the rows were written; parts as
+    for keys and references: the partitions that hold changed rows."""
+    rules = dict(state.broken)
+    keys = _key_breaches(state, parts)
+    if keys is not None:
+        rules |= {r.rule: r["count"] for r in keys.groupBy("rule").count().collect()}  # a row for each rule at most
+    if rules:
+        raise Refused(rules, [f"{r.rule}: {r.table} {r.row}" for r in refused(state).orderBy("rule", "row").limit(NAMED).collect()])

@@ -28,14 +28,6 @@ def n(c: str | None = None):
     return F.count(c or "*")
 
 
-
-
-
-
-
-
-
-
 def _slices(spark, d):
     o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     old = o.where("o_orderkey % 3 <> 0")
@@ -69,10 +61,6 @@ def insert_if_absent(spark, d):
     return old.unionByName(merge.insert_if_absent(old, o.withColumn("o_orderstatus", F.lit("N")), ["o_orderkey"]))
 
 
-
-
-
-
 @query("SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'purchase' ELSE max_by(event_type, row(ts, event_id)) END AS status FROM events GROUP BY user_id")
 def sticky_status(spark, d):
     g = t(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("all"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
@@ -84,8 +72,6 @@ def last_wins(spark, d):
     return merge.last_by(t(spark, d, "events").withColumn("ord", F.struct("ts", "event_id")), ["user_id"], ["event_id", "event_type"])
 
 
-
-
 @query("SELECT o_custkey, CAST(sum(greatest(0, 5 - n)) AS BIGINT) AS deficit FROM (SELECT o_custkey, o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2) GROUP BY o_custkey")
 def deficit_sum(spark, d):
     per = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(n().alias("n"))
@@ -93,8 +79,6 @@ def deficit_sum(spark, d):
     return rows.groupBy("o_custkey").agg(F.sum(S.clamped(F.lit(5) - F.coalesce("n", F.lit(0)))).alias("deficit"))
 
 
-
-
 @query("SELECT doc_id, substr(sha256(text), 1, 16) || '…' AS digest FROM documents")
 def hash_prefix(spark, d):
     return t(spark, d, "documents").select("doc_id", S.short_digest(S.file_digest(F.col("text").cast("binary"))).alias("digest"))
@@ -106,7 +90,6 @@ def content_hashes(spark, d):
     return t(spark, d, "documents").select("doc_id", S.content_hash(F.col("doc_id").cast("string"), F.col("lang"), F.lit(None).cast("string"), options).alias("content_hash"))
 
 
-
 @query("SELECT event_id, ((c >> 8) & 255) > (c >> 16) + 40 AS is_green FROM (SELECT event_id, CAST((event_id * 7919) % 16777216 AS INTEGER) AS c FROM events)")
 def color_bits(spark, d):
     return t(spark, d, "events").select("event_id", S.is_green(((F.col("event_id") * 7919) % 16777216).cast("int")).alias("is_green"))
@@ -123,10 +106,6 @@ def hhmm_slot(spark, d):
     return t(spark, d, "events").select("event_id", S.to_hhmm(F.date_format(ts, "hh"), F.date_format(ts, "mm"), F.when(F.hour(ts) >= 12, "PM").otherwise("AM")).alias("slot"))
 
 
-
-
-
-
 @query("SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)")
 def fk_check(spark, d):
     return quality.orphans(t(spark, d, "nation"), "n_regionkey", t(spark, d, "region"), "r_regionkey").select("n_nationkey", "n_regionkey")
@@ -210,8 +189,9 @@ def withdraw_anti(spark, d):
     """Verdicts of documents without a label are withdrawn, but for reviewed ones."""
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 == 0, "KEY_CONFIRMED_REVIEW").otherwise("KEY_CONFIRMED_DUAL").alias("key_status"))
     bank = {"questions": docs.select("id", F.col("id").alias("current_version_id")), "question_versions": docs}
-    out, _ = load.withdraw_verdicts(bank, t(spark, d, "labels").select(F.col("doc_id").alias("question_id")))
-    return out["question_versions"].select(F.col("id").alias("doc_id"), "key_status")
+    state = load.State(bank)
+    load.withdraw_verdicts(state, t(spark, d, "labels").select(F.col("doc_id").alias("question_id")))
+    return state["question_versions"].select(F.col("id").alias("doc_id"), "key_status")
 
 
 def _order_mocks(spark, d):

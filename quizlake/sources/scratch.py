@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def file_system(spark: SparkSession, path: str):
@@ -41,3 +42,12 @@ def materialize(df: DataFrame, name: str, spark: SparkSession | None = None, **o
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, **options)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, name: str, counted: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """As materialize; and how many of the rows meet each condition, counted while they are written."""
+    seen = Observation()
+    where = [f"c{i}" for i in range(len(counted))]
+    out = materialize(df.observe(seen, *[F.count_if(c).alias(x) for x, c in zip(where, counted.values(), strict=True)]), name)
+    got = seen.get
+    return out, {k: got.get(x) or 0 for k, x in zip(counted, where, strict=True)}

@@ -1,16 +1,22 @@
-"""Snapshots of the bank: changed tables in a new folder, then a pointer that names the folder of every table.
+"""Snapshots of the bank, in partitions: changed partitions in new folders, then a pointer that names the folder of every one.
 
-Pointers are numbered. One is written aside and renamed to its number only if that number is free, so of two writers that
-started from one snapshot the later one fails, and readers see all of a load or nothing.
+A table's rows lie in as many partitions as the bank was made with, by a hash of their paper, so that a load writes the
+partitions of the papers that it changes and no others. Pointers are numbered. One is written aside and renamed to its number
+only if that number is free, so of two writers that started from one snapshot the later one fails, and readers see all of a
+load or nothing. The store's rename must be atomic and refuse an existing target: HDFS and local disks do that, object
+stores don't without a lock of their own.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizlake import schemas
@@ -18,12 +24,32 @@ from quizlake.sources.readers import exists
 from quizlake.sources.scratch import file_system
 
 POINTER = "CURRENT"
+#: Partitions of a bank that doesn't say otherwise when it is made.
+PARTS = 16
+PART, FOLDER = "part", "v"
 
 
 class Conflict(RuntimeError):
     """Another load became current since this one read the bank."""
 
 
+@dataclass
+class Pointer:
+    """How many partitions a bank has, and the folder of each partition of each table; an empty one isn't there."""
+
+    parts: int = PARTS
+    where: dict[str, dict[str, str]] = field(default_factory=dict)
+
+
+def part_of(paper_id: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(paper_id), F.lit(parts)).cast("int")
+
+
+def paper_of(mock_id: Column) -> Column:
+    """A mock's id is its paper's and its section's."""
+    return F.regexp_replace(mock_id, r"_[^_]*\z", "")
+
+
 def version(spark: SparkSession, root: str) -> int:
     """The number of the current snapshot; -1 where there is none."""
     if not exists(spark, f"{root}/{POINTER}-*"):
@@ -36,46 +62,115 @@ def _pointer(root: str, number: int) -> str:
     return f"{root}/{POINTER}-{number:012d}"
 
 
-def folders(spark: SparkSession, root: str, number: int) -> dict[str, str]:
-    """The folder of each table in a snapshot."""
+def pointer(spark: SparkSession, root: str, number: int) -> Pointer:
     if number < 0:
-        return {}
-    return json.loads("".join(r.value for r in spark.read.text(_pointer(root, number)).collect()))  # a line for each load
+        return Pointer()
+    return Pointer(**json.loads("".join(r.value for r in spark.read.text(_pointer(root, number)).collect())))  # a line for each load
+
 
+def folders(spark: SparkSession, root: str, number: int) -> dict[str, dict[str, str]]:
+    """Of each table in a snapshot the folder of each partition."""
+    return pointer(spark, root, number).where
 
-def read(spark: SparkSession, root: str, number: int | None = None) -> dict[str, DataFrame]:
-    """Every table of the current snapshot, or of the one numbered; empty tables where there is none yet."""
-    where = folders(spark, root, version(spark, root) if number is None else number)
-    return {t: spark.read.schema(ddl).parquet(f"{root}/{where[t]}/{t}") if t in where else spark.createDataFrame([], schemas.struct_type(ddl)) for t, ddl in schemas.TABLES.items()}
 
+def _path(root: str, table: str, folder: str, part: str) -> str:
+    return f"{root}/{table}/{FOLDER}={folder}/{PART}={part}"
 
-def write(spark: SparkSession, root: str, tables: dict[str, DataFrame], base: int | None = None, changed: set[str] | None = None) -> int:
-    """Writes the changed tables (all, if not told) and makes them current; the number of the new snapshot.
 
-    base: the number of the snapshot that the tables were made from. Tables that didn't change stay in their folders.
+def read(spark: SparkSession, root: str, number: int | None = None, parts: bool = False) -> dict[str, DataFrame]:
+    """Every table of the current snapshot, or of the one numbered; empty tables where there is none yet.
+
+    parts: whether rows say in which partition they are.
     """
-    base = version(spark, root) if base is None else base
-    where, name = folders(spark, root, base), uuid.uuid4().hex
-    new = [t for t in schemas.TABLES if changed is None or t in changed or t not in where]
+    where, out = folders(spark, root, version(spark, root) if number is None else number), {}
+    for t, ddl in schemas.TABLES.items():
+        stored = f"{ddl}, {PART} int"
+        if where.get(t):
+            df = spark.read.schema(f"{stored}, {FOLDER} string").option("basePath", f"{root}/{t}").parquet(*[_path(root, t, f, p) for p, f in where[t].items()]).drop(FOLDER)
+        else:
+            df = spark.createDataFrame([], schemas.struct_type(stored))
+        out[t] = df if parts else df.drop(PART)
+    return out
+
+
+def with_parts(tables: dict[str, DataFrame], parts: int) -> dict[str, DataFrame]:
+    """The tables with each row's partition, that of its paper; rows that lead to no paper are in the first.
 
-    def put(t):
-        tables[t].select(*[f.name for f in schemas.struct_type(schemas.TABLES[t])]).write.parquet(f"{root}/{name}/{t}")
+    Versions find their paper by their question, assets and runs by their version, so those tables must be given too.
+    """
+    zero = F.lit(0)
+    own = {"papers": "id", "mocks": "paper_id", "review_queue": "paper_id", "questions": "mock_id"}
+    up = {"question_versions": ("question_id", "questions"), "question_assets": ("question_version_id", "question_versions"), "answer_verifications": ("question_version_id", "question_versions")}
+    out: dict[str, DataFrame] = {}
+    for t in (x for x in schemas.TABLES if x in tables):
+        df = tables[t].drop(PART)
+        if t in own and own[t] in df.columns:
+            paper = F.col(own[t])
+            out[t] = df.withColumn(PART, F.coalesce(part_of(paper_of(paper) if own[t] == "mock_id" else paper, parts), zero))
+        elif t in up and up[t][1] in out:
+            column, parent = up[t]
+            of = out[parent].select(F.col("id").alias("_id"), F.col(PART)).dropDuplicates(["_id"])
+            out[t] = df.join(of, F.col(column) == F.col("_id"), "left").drop("_id").withColumn(PART, F.coalesce(PART, zero))
+        else:
+            out[t] = df.withColumn(PART, zero)
+    return out
+
+
+def commit(spark: SparkSession, root: str, base: int, changed: dict[str, DataFrame], replaced: dict[str, Iterable[int]] | None = None, parts: int | None = None) -> int:
+    """Writes rows (with their partitions) and makes them current; the number of the new snapshot.
+
+    base: the number of the snapshot that they were made from. replaced: of each table the partitions whose rows these are;
+    all, if not told. Other partitions stay in their folders.
+    """
+    now, name = pointer(spark, root, base), uuid.uuid4().hex
+    now.parts = parts or now.parts
+
+    def put(t: str) -> None:
+        columns = [f.name for f in schemas.struct_type(schemas.TABLES[t])]
+        changed[t].select(*columns, PART).hint("rebalance", PART).write.partitionBy(PART).parquet(f"{root}/{t}/{FOLDER}={name}")
 
-    where.update(dict.fromkeys(new, name))
     published = False
     try:
-        with ThreadPoolExecutor(max(1, len(new))) as pool:  # a small table is mostly the time of a job's start
-            list(pool.map(put, new))
+        with ThreadPoolExecutor(max(1, len(changed))) as pool:  # a small table is mostly the time of a job's start
+            list(pool.map(put, changed))
+        for t in changed:
+            gone = set(now.where.get(t, {})) if replaced is None else {str(p) for p in replaced[t]}
+            fs, p = file_system(spark, _path(root, t, name, "*"))
+            here = {x.getPath().getName().partition("=")[2]: name for x in fs.globStatus(p) or ()}
+            now.where[t] = {p: f for p, f in now.where.get(t, {}).items() if p not in gone} | here
+        for t in schemas.TABLES:
+            now.where.setdefault(t, {})
         published = True  # a rename that fails otherwise than by a conflict may have been done
-        _publish(spark, f"{root}/{name}/pointer", _pointer(root, base + 1), json.dumps(where))
+        _publish(spark, f"{root}/.{name}", _pointer(root, base + 1), json.dumps(now.__dict__))
     except Exception as e:
-        if not published or isinstance(e, Conflict):  # no pointer names the folder
-            fs, p = file_system(spark, f"{root}/{name}")
-            fs.delete(p, True)
+        if not published or isinstance(e, Conflict):  # no pointer names the folders
+            for path in (f"{root}/.{name}", *(f"{root}/{t}/{FOLDER}={name}" for t in changed)):
+                fs, p = file_system(spark, path)
+                fs.delete(p, True)
         raise
     return base + 1
 
 
+def write(spark: SparkSession, root: str, tables: dict[str, DataFrame], base: int | None = None, changed: set[str] | None = None, parts: int | None = None) -> int:
+    """Writes whole tables (the changed ones, or all) and makes them current; the number of the new snapshot.
+
+    parts: the number of the bank's partitions, for a bank that is made by this.
+    """
+    base = version(spark, root) if base is None else base
+    now = pointer(spark, root, base)
+    number = parts or now.parts
+    known = with_parts({**(read(spark, root, base) if base >= 0 else {}), **tables}, number)
+    return commit(spark, root, base, {t: known[t] for t in known if t in tables and (changed is None or t in changed or t not in now.where)}, None, number)
+
+
+def affected(deltas: dict[str, DataFrame]) -> dict[str, list[int]]:
+    """Of each table the partitions that hold rows of it; a number for each partition."""
+    if not deltas:
+        return {}
+    rows = reduce(DataFrame.unionByName, [df.select(F.lit(t).alias("t"), PART).distinct() for t, df in deltas.items()]).collect()
+    return {t: sorted(r[PART] for r in rows if r.t == t) for t in deltas}
+
+
 def _publish(spark: SparkSession, aside: str, target: str, content: str) -> None:
     """Creates the target with its content in one step, or raises Conflict if it is there."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -93,15 +188,12 @@ def _publish(spark: SparkSession, aside: str, target: str, content: str) -> None
         raise
 
 
-def _stored(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    return [(f.name, f.dataType.simpleString()) for f in spark.read.parquet(path).schema]
-
-
-def create(spark: SparkSession, root: str) -> set[str]:
+def create(spark: SparkSession, root: str, parts: int | None = None) -> set[str]:
     """Creates the tables that aren't there and rewrites those of another schema than the declared one; the names of both.
 
     A column that a stored table lacks becomes null, one that isn't declared goes, and one of another type is cast; a value
-    that doesn't fit fails, and the bank stays as it was. Where all tables are as declared nothing is written.
+    that doesn't fit fails, and the bank stays as it was. Where all tables are as declared nothing is written. parts: the
+    number of partitions of a new bank.
     """
     base = version(spark, root)
     where, tables = folders(spark, root, base), {}
@@ -110,25 +202,23 @@ def create(spark: SparkSession, root: str) -> set[str]:
         if t not in where:
             tables[t] = spark.createDataFrame([], declared)
             continue
-        path = f"{root}/{where[t]}/{t}"
-        stored = dict(_stored(spark, path))
-        if list(stored.items()) != [(f.name, f.dataType.simpleString()) for f in declared]:
-            have = spark.read.parquet(path)
-            tables[t] = have.select(*[(F.col(f.name) if f.name in stored else F.lit(None)).cast(f.dataType).alias(f.name) for f in declared])
+        paths = [_path(root, t, f, p) for p, f in where[t].items()]
+        stored = {f.name: f.dataType.simpleString() for f in spark.read.parquet(paths[0]).schema} if paths else {}
+        if paths and list(stored.items()) != [(f.name, f.dataType.simpleString()) for f in declared]:
+            have = spark.read.option("basePath", f"{root}/{t}").parquet(*paths)  # all partitions of a table have one schema
+            tables[t] = have.select(*[(F.col(f.name) if f.name in stored else F.lit(None)).cast(f.dataType).alias(f.name) for f in declared], PART)
     if tables:
-        write(spark, root, tables, base, set(tables))
+        commit(spark, root, base, {t: df if PART in df.columns else df.withColumn(PART, F.lit(0)) for t, df in tables.items()}, None, parts)
     return set(tables)
 
 
 def drop(spark: SparkSession, root: str) -> None:
-    """Drops all tables: a snapshot without any becomes current, then the folders that earlier ones named are deleted."""
+    """Drops all tables: a snapshot without any becomes current, then the folders of earlier ones are deleted."""
     base = version(spark, root)
     if base < 0:
         return
-    fs, p = file_system(spark, f"{root}/{POINTER}-*")
-    numbers = [int(x.getPath().getName().rpartition("-")[2]) for x in fs.globStatus(p)]
-    named = {name for n in numbers for name in folders(spark, root, n).values()}
-    aside = uuid.uuid4().hex
-    _publish(spark, f"{root}/{aside}/pointer", _pointer(root, base + 1), "{}")
-    for name in {aside, *named}:
-        fs.delete(file_system(spark, f"{root}/{name}")[1], True)
+    now = pointer(spark, root, base)
+    _publish(spark, f"{root}/.{uuid.uuid4().hex}", _pointer(root, base + 1), json.dumps({"parts": now.parts}))
+    for t in schemas.TABLES:
+        fs, p = file_system(spark, f"{root}/{t}")
+        fs.delete(p, True)

@@ -8,14 +8,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quizlake import schemas
 from quizlake.operators import load
-from quizlake.operators import report as R
-from quizlake.sources import snapshot
 
 
 def stream_verifications(spark: SparkSession, folder: str, bank_root: str, checkpoint: str) -> StreamingQuery:
     """Loads new files of a folder as they come; a batch that is run again changes nothing, and a malformed record fails it.
 
-    Verdicts aren't withdrawn here, as a batch doesn't see all. Only tables that changed are written.
+    Verdicts aren't withdrawn here, as a batch doesn't see all. Only partitions that changed are written.
     """
     stream = spark.readStream.schema(schemas.VERIFICATION_RECORD).option("mode", "FAILFAST").json(folder)
     stream = stream.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
@@ -23,13 +21,12 @@ def stream_verifications(spark: SparkSession, folder: str, bank_root: str, check
     def one(batch: DataFrame, _: int) -> None:
         place = F.struct(F.col("_path").alias("path"), F.col("_block").alias("block"), F.monotonically_increasing_id().alias("line"))
         records = batch.withColumn("ord", place).drop("_path", "_block").persist()
-        spark = batch.sparkSession
-        base = snapshot.version(spark, bank_root)
-        bank, _covered, parts = load.load_verifications(snapshot.read(spark, bank_root, base), records)
-        bank, more = load.publish_mocks(bank)
-        changes = R.total([*parts, *more])
-        if tables := load.tables_of(changes):
-            snapshot.write(spark, bank_root, bank, base, tables)
+
+        def work(state: load.State) -> None:
+            load.load_verifications(state, records)
+            load.publish_mocks(state)
+
+        load.into(batch.sparkSession, bank_root, work)
         records.unpersist()
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
