@@ -25,7 +25,7 @@ from quizlake.operators.merge import delta, insert_if_absent, last_by, over, sti
 from quizlake.settings import Settings
 from quizlake.settings import read as read_settings
 from quizlake.sources import readers, snapshot
-from quizlake.sources.scratch import materialize, materialize_counted
+from quizlake.sources.scratch import at_once, materialize, materialize_counted
 
 # Fixed values.
 SECTIONS = ("QUANT", "REASONING")
@@ -81,20 +81,17 @@ class State:
         self.counts: Counter[str] = Counter()
         self.broken: Counter[str] = Counter()
 
-    def table(self, table: str, within: list[int] | None = None) -> DataFrame:
-        """A table as it is now; within: of these partitions only."""
+    def table(self, table: str, within: list[int] | None = None, marked: bool = False) -> DataFrame:
+        """A table as it is now; within: of these partitions only; marked: with whether the load changed the row (``changed``)."""
         base, rows = self.base[table], self.deltas.get(table)
         if within is not None:
             base, rows = (df if df is None else df.where(F.col("part").isin(within)) for df in (base, rows))
+        if marked:
+            base, rows = base.withColumn("changed", F.lit(False)), None if rows is None else rows.withColumn("changed", F.lit(True))
         if rows is None:
             return base
         return rows.select(*base.columns) if table in self.empty else over(base, rows, quality.PRIMARY[table])
 
-    def unchanged(self, table: str, within: list[int] | None = None) -> DataFrame:
-        """The rows that were there and stay as they were."""
-        base = self.base[table] if within is None else self.base[table].where(F.col("part").isin(within))
-        return base if table not in self.deltas else base.join(self.deltas[table].select(quality.PRIMARY[table]), quality.PRIMARY[table], "left_anti")
-
     def __getitem__(self, table: str) -> DataFrame:
         return self.table(table)
 
@@ -156,10 +153,17 @@ def load_questions(state: State, records: DataFrame) -> None:
     rec = rec.withColumn("question_id", question_id(F.col("mock_id"), F.col("q_no"))).withColumn("content_hash", S.content_hash(F.col("ssc_question_id"), F.col("stem_text"), F.col("stem_image"), F.col("options")))
     rec = materialize(rec.withColumn("version_id", version_id(F.col("question_id"), F.col("content_hash"), F.col("official_answer"))), "question-records")
 
+    at_once(lambda: _mocks(state, rec), lambda: _versions(state, rec), lambda: _slots(state, rec))
+
+
+def _mocks(state: State, rec: DataFrame) -> None:
     mocks = insert_if_absent(state["mocks"], rec.select(F.col("mock_id").alias("id"), "paper_id", "section", "part").distinct(), ["id"])
     mocks = mocks.join(F.broadcast(state["exam_pattern"].select("section", F.col("default_timer_sec").alias("timer_sec"))), "section").withColumn("status", F.lit("DRAFT"))  # a row for each section
     state.put("mocks", _as_table(mocks, "mocks"), {"mocks added": F.lit(True)})
 
+
+def _versions(state: State, rec: DataFrame) -> None:
+    added = F.col("change") == "added"
     pairs = rec.groupBy("version_id").agg(F.min("ord").alias("first"), F.first("question_id").alias("question_id"), F.first("content_hash").alias("content_hash"), F.first("official_answer").alias("official_answer"), F.first("part").alias("part"), F.min_by(F.struct(*VERSION_FIELDS), "ord").alias("body"), F.max_by(F.struct(*TOPICS), "ord").alias("tags"))
     pairs = pairs.select(F.col("version_id").alias("id"), "question_id", "content_hash", "official_answer", "part", "first", "body.*", "tags.*")
     history = state["question_versions"]
@@ -168,7 +172,6 @@ def load_questions(state: State, records: DataFrame) -> None:
     number = F.coalesce("have", F.lit(0)) + F.row_number().over(Window.partitionBy("question_id").orderBy("first", "id"))
     numbered = fresh.join(counts, "question_id", "left").select("id", number.alias("version"))
     pairs = pairs.drop("first").join(numbered, "id", "left").withColumn("created_at", F.current_timestamp())
-    added = F.col("change") == "added"
     versions = state.put("question_versions", delta(history, pairs, ["id"], TOPICS), {"question versions added": added, "topic tags updated": ~added})
 
     maybe = F.filter(
@@ -178,6 +181,9 @@ def load_questions(state: State, records: DataFrame) -> None:
     assets = versions.where(added).select(F.col("id").alias("question_version_id"), "part", F.explode(maybe).alias("a")).select("question_version_id", "part", "a.*").withColumn("id", F.xxhash64("question_version_id", "kind"))
     state.put("question_assets", _as_table(assets, "question_assets"), {"assets added": F.lit(True)})
 
+
+def _slots(state: State, rec: DataFrame) -> None:
+    added = F.col("change") == "added"
     values = ["ssc_question_id", "status", "current_version_id"]
     slots = last_by(rec.withColumns({"id": F.col("question_id"), "current_version_id": F.col("version_id")}), ["id", "mock_id", "q_no", "part"], values)
     same = F.col("ssc_question_id").eqNullSafe(F.col("was.ssc_question_id")) & F.col("status").eqNullSafe(F.col("was.status"))
@@ -207,6 +213,12 @@ def load_verifications(state: State, records: DataFrame) -> DataFrame:
     counts = F.coalesce(F.col("official_answer").eqNullSafe(F.col("_a")) & F.exists("verifications", lambda v: v["question_version"] == F.col("_h")), F.lit(False))
     rec = materialize(rec.withColumn("on_current", counts).drop("_h", "_a"), "verdict-records")
 
+    on = rec.where("on_current")
+    at_once(lambda: _runs(state, rec, versions), lambda: _statuses(state, on, versions), lambda: _doubts(state, on))
+    return on.select("question_id").distinct()
+
+
+def _runs(state: State, rec: DataFrame, versions: DataFrame) -> None:
     runs = rec.select("question_id", "official_answer", "ord", "part", F.posexplode("verifications").alias("place", "run"))
     runs = runs.withColumn("question_version_id", version_id(F.col("question_id"), F.col("run.question_version"), F.col("official_answer")))
     found = runs.join(versions.select(F.col("id").alias("question_version_id"), F.lit(True).alias("known")), "question_version_id", "left").drop("question_id", "official_answer")
@@ -219,12 +231,15 @@ def load_verifications(state: State, records: DataFrame) -> DataFrame:
     new = insert_if_absent(state["answer_verifications"], first, key).withColumn("id", F.xxhash64(*key)).withColumn("created_at", F.current_timestamp())
     state.put("answer_verifications", _as_table(new, "answer_verifications"), {"solver runs added": F.lit(True)})
 
-    on = rec.where("on_current")
+
+def _statuses(state: State, on: DataFrame, versions: DataFrame) -> None:
     verdicts = on.groupBy(F.col("current_version_id").alias("id")).agg(F.collect_set("status").alias("all"), F.max_by("status", "ord").alias("last"))
     set_ = versions.select("id", "key_status").join(verdicts, "id").select("id", sticky(F.col("key_status"), REVIEWED, F.col("all"), F.col("last")).alias("key_status"))
     state.put("question_versions", delta(versions, set_, ["id"], ["key_status"]), {"key statuses set": F.lit(True)})
+
+
+def _doubts(state: State, on: DataFrame) -> None:
     queue(state, on.where(~F.col("status").isin(*CONFIRMED)).select("paper_id", "section", "q_no", F.lit("solver").alias("source"), F.array("status").alias("reasons"), "ord"))
-    return on.select("question_id").distinct()
 
 
 def withdraw_verdicts(state: State, covered: DataFrame) -> None:
@@ -252,8 +267,7 @@ def publish_mocks(state: State) -> None:
 
 def load_all(state: State, inputs: Inputs) -> State:
     """Loads everything of the inputs; nothing is published, and rows that break a constraint are in the state."""
-    load_exam_pattern(state, inputs.sources.sparkSession)
-    load_papers(state, inputs.sources)
+    at_once(lambda: load_exam_pattern(state, inputs.sources.sparkSession), lambda: load_papers(state, inputs.sources))
     load_questions(state, inputs.questions)
     load_review_queue(state, inputs.review)
     withdraw_verdicts(state, load_verifications(state, inputs.verifications))
@@ -264,10 +278,11 @@ def load_all(state: State, inputs: Inputs) -> State:
 def commit(spark: SparkSession, root: str, base: int, state: State) -> int:
     """Publishes what the load changed; the number of the snapshot. Refused, the bank stays as it is and no folder is left."""
     replaced = snapshot.affected(state.deltas)
-    quality.require(state, replaced)
+    check = lambda: quality.require(state, replaced)
     if not replaced:
+        check()
         return base
-    return snapshot.commit(spark, root, base, {t: state.table(t, p) for t, p in replaced.items()}, replaced, state.parts)
+    return snapshot.commit(spark, root, base, {t: state.table(t, p) for t, p in replaced.items()}, replaced, state.parts, check)
 
 
 def into(spark: SparkSession, root: str, work: Callable[[State], object], attempts: int = ATTEMPTS) -> DataFrame:

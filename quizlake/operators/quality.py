@@ -93,9 +93,9 @@ def row_rules(table: str, columns: list[str]) -> dict[str, Column]:
 ANYWHERE = {("papers", "sha256")}
 
 
-def _keys(rows: DataFrame, table: str, sets: list[list[str]], changed: bool) -> DataFrame:
+def _keys(rows: DataFrame, table: str, sets: list[list[str]]) -> DataFrame:
     """rule, table, row (the key as JSON), changed of each row and key of a table; a key that holds a null is none."""
-    one = lambda keys: F.struct(F.lit(f"unique {table}({', '.join(keys)})").alias("rule"), F.lit(table).alias("table"), F.when(reduce(Column.__and__, [F.col(c).isNotNull() for c in keys]), F.to_json(F.struct(*keys))).alias("row"), F.lit(changed).alias("changed"))
+    one = lambda keys: F.struct(F.lit(f"unique {table}({', '.join(keys)})").alias("rule"), F.lit(table).alias("table"), F.when(reduce(Column.__and__, [F.col(c).isNotNull() for c in keys]), F.to_json(F.struct(*keys))).alias("row"), F.col("changed"))
     return rows.select(F.inline(F.array(*map(one, sets)))).where("row is not null")
 
 
@@ -111,7 +111,7 @@ def _key_breaches(state, parts: dict[str, list[int]] | None = None) -> DataFrame
         near = [k for k in UNIQUE[t] if not any((t, c) in ANYWHERE for c in k)]
         for sets, place in ((near, within), ([k for k in UNIQUE[t] if k not in near], None)):
             if sets:
-                keys += [_keys(rows, t, sets, True), _keys(state.unchanged(t, place), t, sets, False)]
+                keys.append(_keys(state.table(t, place, marked=True), t, sets))
         for child, column, parent in FOREIGN:
             if child == t:
                 known = lambda c, of=parent: F.struct(F.lit(of).alias("of"), F.col(c).cast("string").alias("key"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +53,9 @@ def materialize_counted(df: DataFrame, name: str, counted: dict[str, Column]) ->
     out = materialize(df.observe(seen, *[F.count_if(c).alias(x) for x, c in zip(where, counted.values(), strict=True)]), name)
     got = seen.get
     return out, {k: got.get(x) or 0 for k, x in zip(counted, where, strict=True)}
+
+
+def at_once(*work: Callable[[], object]) -> list:
+    """Runs jobs that don't wait for each other side by side; all have ended when the first failure is raised."""
+    with ThreadPoolExecutor(len(work)) as pool:
+        return [x.result() for x in [pool.submit(f) for f in work]]

@@ -11,8 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quizlake import schemas
 from quizlake.sources.readers import exists
-from quizlake.sources.scratch import file_system
+from quizlake.sources.scratch import at_once, file_system
 
 POINTER = "CURRENT"
 #: Partitions of a bank that doesn't say otherwise when it is made.
@@ -116,11 +115,11 @@ def with_parts(tables: dict[str, DataFrame], parts: int) -> dict[str, DataFrame]
     return out
 
 
-def commit(spark: SparkSession, root: str, base: int, changed: dict[str, DataFrame], replaced: dict[str, Iterable[int]] | None = None, parts: int | None = None) -> int:
+def commit(spark: SparkSession, root: str, base: int, changed: dict[str, DataFrame], replaced: dict[str, Iterable[int]] | None = None, parts: int | None = None, check: Callable[[], None] = lambda: None) -> int:
     """Writes rows (with their partitions) and makes them current; the number of the new snapshot.
 
     base: the number of the snapshot that they were made from. replaced: of each table the partitions whose rows these are;
-    all, if not told. Other partitions stay in their folders.
+    all, if not told. Other partitions stay in their folders. check: runs beside the writes; if it raises, nothing is published.
     """
     now, name = pointer(spark, root, base), uuid.uuid4().hex
     now.parts = parts or now.parts
@@ -131,8 +130,7 @@ def commit(spark: SparkSession, root: str, base: int, changed: dict[str, DataFra
 
     published = False
     try:
-        with ThreadPoolExecutor(max(1, len(changed))) as pool:  # a small table is mostly the time of a job's start
-            list(pool.map(put, changed))
+        at_once(check, *(lambda t=t: put(t) for t in changed))  # a small table is mostly the time of a job's start
         for t in changed:
             gone = set(now.where.get(t, {})) if replaced is None else {str(p) for p in replaced[t]}
             fs, p = file_system(spark, _path(root, t, name, "*"))
