@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizlake.functions import scalars as S
+from quizlake.operators.ordered import filled
 from quizlake.sources.readers import document_text
 
 # Fixed values of the acceptance rules.
@@ -45,10 +46,9 @@ def events(spans: DataFrame) -> DataFrame:
 
 
 def with_section(ev: DataFrame) -> DataFrame:
-    """Each event with the section in force at its place: the last header before it in layout order."""
-    w = Window.partitionBy("file").orderBy("page_no", "y0", "x0", "kind", "value")
+    """Each event with its place in the file and the section in force there: the last header before it in layout order."""
     code = F.when(F.col("kind") == "section", S.section_code(F.col("value")))
-    return ev.withColumn("place", F.row_number().over(w)).withColumn("section", F.last(code, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return filled(ev, "file", ["page_no", "y0", "x0", "kind", "value"], code, "section")
 
 
 def section_counts(ev: DataFrame) -> DataFrame:

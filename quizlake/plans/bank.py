@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quizlake import schemas
 from quizlake.functions import scalars as S
 from quizlake.operators import intake, load, quality, report, serve
+from quizlake.operators.ordered import numbered
 from quizlake.plans import inputs as I
 from quizlake.plans.demo import ORACLE_SQL as _DEMO_SQL
 from quizlake.plans.demo import QUERIES as _DEMO
@@ -141,6 +142,53 @@ def sheet_listings(spark, d):
     return out.union(line(sinks.unlabeled_totals(r), "totals", F.format_string("%d in %d", "n", "sheets")))
 
 
+def _document_sql(*blocks: str) -> str:
+    """The numbered lines of blocks, each a text of SQL for rows (i, line) with i from 1."""
+    return "SELECT CAST(row_number() OVER (ORDER BY b, i) - 1 AS BIGINT) AS row, line FROM (" + " UNION ALL ".join(f"SELECT {k} AS b, i, line FROM ({x})" for k, x in enumerate(blocks)) + ")"
+
+
+def _head_sql(text: str, values: str = "", args: int = 0) -> str:
+    """The lines of a head; values: a query of one row with the columns a and b for its numbers."""
+    quoted = "'" + text.removeprefix("\n").removesuffix("\n").replace("'", "''") + "'"
+    for name in ("a", "b")[:args]:
+        quoted = f"regexp_replace({quoted}, '%d', CAST({name} AS VARCHAR))"
+    return f"SELECT unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM (SELECT string_split({quoted}, chr(10)) AS x{f' FROM ({values})' if values else ''})"
+
+
+def _items_sql(rows: str, line: str, order: str) -> str:
+    """The lines of rows, or that there are none."""
+    return f"SELECT row_number() OVER (ORDER BY {order}) AS i, {line} AS line FROM ({rows}) UNION ALL SELECT 1, '- none' WHERE NOT EXISTS ({rows})"
+
+
+_SOURCE_LINE = "'| ' || coalesce(date, '') || ' | ' || coalesce(time_slot, '') || ' | `' || filename || '` | `' || coalesce(stored_path, '-') || '` | `' || sha256 || '` | ' || coalesce(key_status, 'unknown') || ' | ' || CASE WHEN accepted THEN 'accepted' ELSE 'rejected: ' || replace(reasons, '|', '; ') END || ' | ' || coalesce(notes, '') || ' |'"
+_COUNT_LINE = "'- ' || date || ' ' || time_slot || ': ' || {}_questions"
+
+
+def _document(doc):
+    return numbered(doc, sinks.DOCUMENT_ORDER).select("row", "line")
+
+
+@query(f"WITH r AS MATERIALIZED ({_RECORDS}) " + _document_sql(
+    _head_sql(sinks.SOURCES_HEAD, "SELECT count_if(accepted) AS a, count(*) AS b FROM r", 2), f"SELECT row_number() OVER (ORDER BY {_ORDER}) AS i, {_SOURCE_LINE} AS line FROM r",
+))
+def sheet_source_document(spark, d):
+    """The whole source listing, line by line."""
+    return _document(sinks.source_document(scratch.materialize(_intake(spark, d)[0], "records")))
+
+
+@query(f"WITH r AS MATERIALIZED ({_RECORDS}) " + _document_sql(
+    _head_sql(sinks.MISSING_HEAD), _items_sql(_DUPLICATES, "'- `' || filename || '` is identical to `' || same_as || '` (SHA-256 `' || substr(sha256, 1, 16) || '…`)'", "filename"),
+    _head_sql(sinks.EXCLUDED_HEAD), _items_sql("SELECT r_name FROM region", "'- `' || r_name || '`'", "r_name"),
+    _head_sql(sinks.REJECTED_HEAD), _items_sql("SELECT * FROM r WHERE NOT accepted", "'- `' || filename || '`: ' || replace(reasons, '|', '; ')", _ORDER),
+    _head_sql(sinks.OVERFLOW_HEAD), _items_sql("SELECT * FROM r WHERE overflow_questions > 0", _COUNT_LINE.format("overflow"), _ORDER),
+    _head_sql(sinks.UNLABELED_HEAD, "SELECT CAST(coalesce(sum(unlabeled_questions), 0) AS BIGINT) AS a, count(*) AS b FROM r WHERE unlabeled_questions > 0", 2), _items_sql("SELECT * FROM r WHERE unlabeled_questions > 0", _COUNT_LINE.format("unlabeled"), _ORDER),
+))
+def sheet_missing_document(spark, d):
+    """The whole listing of what is missing, doubled, excluded or to be looked at, line by line."""
+    records, dup, excluded = _intake(spark, d)[0], _intake(spark, d)[1], _excluded(spark, d)
+    return _document(sinks.missing_document(scratch.materialize(records, "records"), dup, excluded))
+
+
 @query(f"""SELECT filename, CAST(row_number() OVER (ORDER BY {_ORDER}) - 1 AS INTEGER) AS ord, date, accepted, reasons, stored_path, sections, (SELECT count(*) FROM ({_DUPLICATES})) AS n_duplicates, (SELECT string_agg(r_name, ',' ORDER BY r_name) FROM region) AS excluded FROM ({_RECORDS})""")
 def sheet_manifest(spark, d):
     """The manifest written as a document and read again, in its order."""

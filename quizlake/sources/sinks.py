@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizlake.functions import scalars as S
-from quizlake.operators.intake import date_order, in_date_order
+from quizlake.operators.intake import date_order
 from quizlake.sources.scratch import file_system
 
 #: Files copied at a time.
@@ -66,32 +66,60 @@ def count_line(column: str) -> Column:
     return F.format_string("- %s %s: %d", "date", "time_slot", column)
 
 
-def _lines(df: DataFrame, line: Column) -> list[str]:
-    """Lines of a listing that one reader reads whole: a sheet or two a line, taken in part by part."""
-    return [r[0] for r in df.select(line.alias("line")).toLocalIterator()]
+def unlabeled_totals(records: DataFrame) -> DataFrame:
+    """One row: n questions without a text label, and the sheets that have any."""
+    return records.where("unlabeled_questions > 0").agg(F.coalesce(F.sum("unlabeled_questions"), F.lit(0)).alias("n"), F.count("*").alias("sheets"))
 
 
-def render_sources(records: DataFrame) -> str:
-    n = records.agg(F.count_if("accepted"), F.count("*")).head()
-    return SOURCES_HEAD % (n[0], n[1]) + "".join(x + "\n" for x in _lines(in_date_order(records), source_line()))
+def _in_order(df: DataFrame, block: int, order: list[Column], line: Column) -> DataFrame:
+    """block, o, line: the lines of a block of a document, and what they are sorted by."""
+    fill = [*order, *[F.lit("")] * (5 - len(order)), F.lit(False), F.lit("")] if len(order) < 7 else order
+    return df.select(F.lit(block).alias("block"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(fill)]).alias("o"), line.alias("line"))
 
 
-def unlabeled_totals(records: DataFrame) -> DataFrame:
-    """One row: n questions without a text label, and the sheets that have any."""
-    return records.where("unlabeled_questions > 0").agg(F.coalesce(F.sum("unlabeled_questions"), F.lit(0)).alias("n"), F.count("*").alias("sheets"))
+def _head(one: DataFrame, block: int, text: Column) -> DataFrame:
+    """A text's lines; one: a single row, of which the text may be made."""
+    lines = one.select(F.posexplode(F.split(text, "\n")).alias("i", "line"))
+    return _in_order(lines, block, [F.lpad(F.col("i").cast("string"), 9, "0")], F.col("line"))
+
+
+def _or_none(lines: DataFrame, block: int) -> DataFrame:
+    empty = lines.agg(F.count("*").alias("n")).where("n = 0")
+    return lines.unionByName(_in_order(empty, block, [F.lit("")], F.lit("- none")))
+
+
+def source_document(records: DataFrame) -> DataFrame:
+    """block, o, line of the source listing, one row for each line."""
+    totals = records.agg(F.count_if(F.col("accepted")).alias("n"), F.count("*").alias("of"))
+    head = F.format_string(SOURCES_HEAD.removesuffix("\n"), "n", "of")
+    return _head(totals, 0, head).unionByName(_in_order(records, 1, date_order(), source_line()))
+
+
+def missing_document(records: DataFrame, duplicates: DataFrame, excluded: DataFrame) -> DataFrame:
+    """block, o, line of the listing of what is missing, one row for each line; a part without any says so."""
+    one = records.sparkSession.range(1)
+    text = lambda head: F.lit(head.removeprefix("\n").removesuffix("\n"))
+    totals = unlabeled_totals(records)
+    items = [
+        (_head(one, 0, text(MISSING_HEAD)), _in_order(duplicates, 1, [F.col("filename")], duplicate_line())),
+        (_head(one, 2, text(EXCLUDED_HEAD)), _in_order(excluded, 3, [F.col("name")], F.format_string("- `%s`", "name"))),
+        (_head(one, 4, text(REJECTED_HEAD)), _in_order(records.where("not accepted"), 5, date_order(), rejected_line())),
+        (_head(one, 6, text(OVERFLOW_HEAD)), _in_order(records.where("overflow_questions > 0"), 7, date_order(), count_line("overflow_questions"))),
+        (_head(totals, 8, F.format_string(UNLABELED_HEAD.removeprefix("\n").removesuffix("\n"), "n", "sheets")), _in_order(records.where("unlabeled_questions > 0"), 9, date_order(), count_line("unlabeled_questions"))),
+    ]
+    out = None
+    for k, (head, lines) in enumerate(items):
+        block = head.unionByName(_or_none(lines, 2 * k + 1))
+        out = block if out is None else out.unionByName(block)
+    return out
+
+
+DOCUMENT_ORDER = ["block", "o", "line"]
 
 
-def render_missing(records: DataFrame, duplicates: DataFrame, excluded: DataFrame) -> str:
-    ordered = in_date_order(records)
-    some = lambda x: "\n".join(x or ["- none"])
-    unlabeled = unlabeled_totals(records).head()
-    return "".join([
-        MISSING_HEAD, some(_lines(duplicates.orderBy("filename"), duplicate_line())),
-        EXCLUDED_HEAD, some(_lines(excluded.orderBy("name"), F.format_string("- `%s`", "name"))),
-        REJECTED_HEAD, some(_lines(ordered.where("not accepted"), rejected_line())),
-        OVERFLOW_HEAD, some(_lines(ordered.where("overflow_questions > 0"), count_line("overflow_questions"))),
-        UNLABELED_HEAD % (unlabeled[0], unlabeled[1]), some(_lines(ordered.where("unlabeled_questions > 0"), count_line("unlabeled_questions"))), "\n",
-    ])
+def write_document(doc: DataFrame, path: str) -> None:
+    """A document's lines as text files; in the order of their names they are the document."""
+    doc.repartitionByRange(*DOCUMENT_ORDER).sortWithinPartitions(*DOCUMENT_ORDER).select("line").write.mode("overwrite").text(path)
 
 
 def copy_accepted(spark: SparkSession, to_copy: DataFrame, source_root: str, target_root: str) -> int:
