@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 from quizlake import schemas
 from quizlake.functions import scalars as S
 from quizlake.operators import intake, load, quality, report, serve
+from quizlake.operators.merge import last_by
 from quizlake.operators.ordered import numbered
 from quizlake.plans import inputs as I
 from quizlake.plans.demo import ORACLE_SQL as _DEMO_SQL
 from quizlake.plans.demo import QUERIES as _DEMO
-from quizlake.sources import readers, scratch, sinks, snapshot
+from quizlake.sources import migrations, readers, scratch, sinks, snapshot
 
 QUERIES, ORACLE_SQL = dict(_DEMO), dict(_DEMO_SQL)
 
@@ -193,7 +195,7 @@ def sheet_missing_document(spark, d):
 def sheet_manifest(spark, d):
     """The manifest written as a document and read again, in its order."""
     records, dup, _ = _intake(spark, d)
-    path = f"{scratch.scratch_dir(spark)}/manifest-{scratch.uuid.uuid4().hex}"
+    path = f"{scratch.scratch_dir(spark)}/manifest-{uuid.uuid4().hex}"
     sinks.write_manifest(sinks.manifest_document(scratch.materialize(records, "records"), dup, _excluded(spark, d)), path)
     sources, dup, ex = readers.manifest(spark, path)
     totals = dup.agg(F.count("*").alias("n_duplicates")).join(ex.agg(joined(F.array_sort(F.collect_list("name"))).alias("excluded")), F.lit(True))  # a row each
@@ -217,7 +219,7 @@ def sheet_copies(spark, d):
 @query("SELECT sha256(r_name || chr(10)) AS sha256, count(*) OVER () AS n_names FROM region")
 def file_digests(spark, d):
     """Files written, listed by a pattern, and hashed; the listing of names reads no content."""
-    root = f"{scratch.scratch_dir(spark)}/files-{scratch.uuid.uuid4().hex}"
+    root = f"{scratch.scratch_dir(spark)}/files-{uuid.uuid4().hex}"
     spark.read.parquet(f"{d}/region.parquet").select("r_regionkey", "r_name").write.partitionBy("r_regionkey").text(root)
     n = readers.excluded_files(spark, f"{root}/r_regionkey=*", "part-*.txt").agg(F.count("*").alias("n_names"))
     return readers.sheet_files(spark, f"{root}/r_regionkey=*", "part-*.txt").join(F.broadcast(n), F.lit(True)).select("sha256", "n_names")
@@ -260,7 +262,7 @@ def _loaded(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
     """The root of a bank after both loads and the second one's report; made once in a session for each folder."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _BANKS:
-        root = f"{scratch.scratch_dir(spark)}/bank-{scratch.uuid.uuid4().hex}"
+        root = f"{scratch.scratch_dir(spark)}/bank-{uuid.uuid4().hex}"
         for number in (1, 2):
             _write_inputs(spark, d, number, f"{root}/input-{number}")
             changes = load.load_into(spark, f"{root}/bank", load.read_inputs(spark, f"{root}/input-{number}"))
@@ -447,6 +449,47 @@ def bank_refused(spark, d):
     return found.join(names, "version", "left").select("rule", "table", F.coalesce(F.concat(F.col("mock_id"), F.lit(" "), F.col("q_no").cast("string")), F.col("row")).alias("what"))
 
 
+def _with_date(tables):
+    of = tables["papers"].select(F.col("id").alias("paper_id"), F.col("exam_date").alias("held"))
+    return {"mocks": tables["mocks"].join(of, "paper_id", "left")}
+
+
+def _seconds_to_minutes(tables):
+    return {"mocks": tables["mocks"].withColumn("timer_min", (F.col("timer_sec") / 60).cast("int")).drop("timer_sec")}
+
+
+#: Two steps beyond the declared tables: mocks learn their paper's date, and their timers are in minutes.
+_STEPS = [
+    migrations.Step("dates of mocks", _with_date, lambda tables: {"mocks": tables["mocks"].drop("held")}),
+    migrations.Step("timers in minutes", _seconds_to_minutes, lambda tables: {"mocks": tables["mocks"].withColumn("timer_sec", F.col("timer_min") * 60).drop("timer_min")}),
+]
+
+
+@query(f"SELECT m.id, m.paper_id, m.section, m.status, 15 AS timer_min, strptime(p.d, '%d.%m.%Y')::DATE AS held FROM ({_MOCKS}) m LEFT JOIN ({_PAPERS}) p ON m.paper_id = p.id")
+def bank_migrated(spark, d):
+    """Mocks after two migrations, taken, taken back and taken again on a bank of its own."""
+    bank, root = _bank(spark, d), f"{scratch.scratch_dir(spark)}/migrated-{uuid.uuid4().hex}"
+    snapshot.write(spark, root, {t: bank[t] for t in ("papers", "mocks")}, parts=4)
+    for to, taken in ((2, 2), (0, 2), (None, 2), (2, 0)):
+        assert len(migrations.migrate(spark, root, _STEPS, to)) == taken
+    return snapshot.stored(spark, root, snapshot.version(spark, root))["mocks"].drop("part")
+
+
+@query(f"""WITH v AS (SELECT k % 7 AS file, k AS line, mock_id, q_no, CASE WHEN k % 3 = 0 THEN 'KEY_DISPUTED' ELSE verdict END AS status FROM ({I.VERDICTS[1]}) UNION ALL SELECT (k + 3) % 7, k + 1000000, mock_id, q_no, verdict FROM ({I.VERDICTS[2]})),
+    n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line) AS place, row_number() OVER (PARTITION BY mock_id, q_no ORDER BY file DESC, line DESC) AS latest FROM v)
+    SELECT mock_id, q_no, status, file, place FROM n WHERE latest = 1""")
+def bank_record_order(spark, d):
+    """The last record of each question over seven files of lines, in the order of paths and lines, and its line number."""
+    root = f"{scratch.scratch_dir(spark)}/lines-{uuid.uuid4().hex}"
+    one = I.rows(spark, d, I.VERDICTS[1]).select((F.col("k") % 7).alias("file"), F.col("k").alias("line"), "mock_id", "q_no", F.when(F.col("k") % 3 == 0, "KEY_DISPUTED").otherwise(F.col("verdict")).alias("status"))
+    two = I.rows(spark, d, I.VERDICTS[2]).select(((F.col("k") + 3) % 7).alias("file"), (F.col("k") + 1000000).alias("line"), "mock_id", "q_no", F.col("verdict").alias("status"))
+    # each file's lines in order: a file is written by one task here, as its writer would
+    one.union(two).repartition("file").sortWithinPartitions("file", "line").select("file", "mock_id", "q_no", "status").write.partitionBy("file").json(root)
+    rows = readers.numbered_lines(spark, f"{root}/file=*", "mock_id string, q_no int, status string")
+    rows = rows.withColumn("file", F.regexp_extract("path", "file=([0-9]+)", 1).cast("long"))
+    return last_by(rows.withColumn("ord", F.struct("path", "place")), ["mock_id", "q_no"], ["status", "file", "place"])
+
+
 @query("SELECT 'No changes.' AS line")
 def bank_reload(spark, d):
     """A load that is run again changes nothing, whatever stale runs it meets."""

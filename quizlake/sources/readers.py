@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizlake import schemas
+from quizlake.operators.ordered import filled
 from quizlake.sources.scratch import file_system
 
 # Names of the files that are taken and of those that are listed only.
@@ -41,6 +42,12 @@ def json_lines(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return with_order(spark.read.schema(ddl).option("mode", "FAILFAST").json(path))
 
 
+def numbered_lines(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """Records of JSON lines with path and place: the file, and the record's number from 1 in it, however the file is split."""
+    rows = json_lines(spark, path, ddl).select("*", F.col("ord.path").alias("path"), F.col("ord.block").alias("_block"), F.col("ord.line").alias("_line")).drop("ord")
+    return filled(rows, "path", ["_block", "_line"], F.lit(None).cast("string"), "_none").drop("_block", "_line", "_none")
+
+
 def json_array(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return with_order(spark.read.schema(ddl).option("mode", "FAILFAST").option("multiLine", True).json(path))
 

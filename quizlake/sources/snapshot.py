@@ -34,10 +34,12 @@ class Conflict(RuntimeError):
 
 @dataclass
 class Pointer:
-    """How many partitions a bank has, and the folder of each partition of each table; an empty one isn't there."""
+    """How many partitions a bank has, the folder of each partition of each table (an empty one isn't there), and the last
+    step of its migrations."""
 
     parts: int = PARTS
     where: dict[str, dict[str, str]] = field(default_factory=dict)
+    step: int = 0
 
 
 def part_of(paper_id: Column, parts: int) -> Column:
@@ -92,6 +94,15 @@ def read(spark: SparkSession, root: str, number: int | None = None, parts: bool
     return out
 
 
+def stored(spark: SparkSession, root: str, number: int) -> dict[str, DataFrame]:
+    """Every table of a snapshot in the columns that it was written in, and each row's partition; an empty table in the declared ones."""
+    where, out = folders(spark, root, number), read(spark, root, number, parts=True)
+    for t, folder in where.items():
+        if folder:  # all partitions of a table have one schema
+            out[t] = spark.read.option("basePath", f"{root}/{t}").parquet(*[_path(root, t, f, p) for p, f in folder.items()]).drop(FOLDER)
+    return out
+
+
 def with_parts(tables: dict[str, DataFrame], parts: int) -> dict[str, DataFrame]:
     """The tables with each row's partition, that of its paper; rows that lead to no paper are in the first.
 
@@ -115,17 +126,19 @@ def with_parts(tables: dict[str, DataFrame], parts: int) -> dict[str, DataFrame]
     return out
 
 
-def commit(spark: SparkSession, root: str, base: int, changed: dict[str, DataFrame], replaced: dict[str, Iterable[int]] | None = None, parts: int | None = None, check: Callable[[], None] = lambda: None) -> int:
+def commit(spark: SparkSession, root: str, base: int, changed: dict[str, DataFrame], replaced: dict[str, Iterable[int]] | None = None, parts: int | None = None, check: Callable[[], None] = lambda: None, step: int | None = None, declared: bool = True) -> int:
     """Writes rows (with their partitions) and makes them current; the number of the new snapshot.
 
     base: the number of the snapshot that they were made from. replaced: of each table the partitions whose rows these are;
     all, if not told. Other partitions stay in their folders. check: runs beside the writes; if it raises, nothing is published.
+    step: of the migrations that the bank is at now, if that changes; declared: whether rows are written in the declared columns.
     """
     now, name = pointer(spark, root, base), uuid.uuid4().hex
     now.parts = parts or now.parts
+    now.step = now.step if step is None else step
 
     def put(t: str) -> None:
-        columns = [f.name for f in schemas.struct_type(schemas.TABLES[t])]
+        columns = [f.name for f in schemas.struct_type(schemas.TABLES[t])] if declared else [c for c in changed[t].columns if c != PART]
         changed[t].select(*columns, PART).hint("rebalance", PART).write.partitionBy(PART).parquet(f"{root}/{t}/{FOLDER}={name}")
 
     published = False
@@ -194,17 +207,14 @@ def create(spark: SparkSession, root: str, parts: int | None = None) -> set[str]
     number of partitions of a new bank.
     """
     base = version(spark, root)
-    where, tables = folders(spark, root, base), {}
+    where, tables, found = folders(spark, root, base), {}, stored(spark, root, base)
     for t, ddl in schemas.TABLES.items():
         declared = schemas.struct_type(ddl)
+        have = {f.name: f.dataType.simpleString() for f in found[t].schema if f.name != PART}
         if t not in where:
             tables[t] = spark.createDataFrame([], declared)
-            continue
-        paths = [_path(root, t, f, p) for p, f in where[t].items()]
-        stored = {f.name: f.dataType.simpleString() for f in spark.read.parquet(paths[0]).schema} if paths else {}
-        if paths and list(stored.items()) != [(f.name, f.dataType.simpleString()) for f in declared]:
-            have = spark.read.option("basePath", f"{root}/{t}").parquet(*paths)  # all partitions of a table have one schema
-            tables[t] = have.select(*[(F.col(f.name) if f.name in stored else F.lit(None)).cast(f.dataType).alias(f.name) for f in declared], PART)
+        elif list(have.items()) != [(f.name, f.dataType.simpleString()) for f in declared]:
+            tables[t] = found[t].select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in declared], PART)
     if tables:
         commit(spark, root, base, {t: df if PART in df.columns else df.withColumn(PART, F.lit(0)) for t, df in tables.items()}, None, parts)
     return set(tables)
@@ -216,7 +226,7 @@ def drop(spark: SparkSession, root: str) -> None:
     if base < 0:
         return
     now = pointer(spark, root, base)
-    _publish(spark, f"{root}/.{uuid.uuid4().hex}", _pointer(root, base + 1), json.dumps({"parts": now.parts}))
+    _publish(spark, f"{root}/.{uuid.uuid4().hex}", _pointer(root, base + 1), json.dumps({"parts": now.parts, "step": now.step}))
     for t in schemas.TABLES:
         fs, p = file_system(spark, f"{root}/{t}")
         fs.delete(p, True)
