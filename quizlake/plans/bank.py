@@ -225,6 +225,21 @@ def file_digests(spark, d):
     return readers.sheet_files(spark, f"{root}/r_regionkey=*", "part-*.txt").join(F.broadcast(n), F.lit(True)).select("sha256", "n_names")
 
 
+@query("SELECT r_regionkey, sha256(CASE WHEN r_regionkey = 4 THEN r_name ELSE r_name || chr(10) END) AS sha256, CASE WHEN r_regionkey < 3 THEN 'there' WHEN r_regionkey = 3 THEN 'copied' ELSE 'failed' END AS status, CASE WHEN r_regionkey = 3 THEN length(r_name) + 1 ELSE 0 END AS bytes FROM region")
+def sheet_copied(spark, d):
+    """Files copied by tasks: some were copied before, one has another hash than it should."""
+    root = f"{scratch.scratch_dir(spark)}/copied-{uuid.uuid4().hex}"
+    region = spark.read.parquet(f"{d}/region.parquet").select("r_regionkey", "r_name")
+    region.write.partitionBy("r_regionkey").text(f"{root}/from")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.txt").load(f"{root}/from").select(F.col("path").alias("source"), F.sha2("content", 256).alias("sha256"), "r_regionkey")
+    files = files.withColumn("target", F.format_string(f"{root}/to/%d.txt", "r_regionkey"))
+    assert sinks.copy_files(files.where("r_regionkey < 3")).where("status = 'copied'").count() == 3
+    wrong = region.where("r_regionkey = 4").select("r_regionkey", F.sha2("r_name", 256).alias("other"))
+    files = files.join(F.broadcast(wrong), "r_regionkey", "left").withColumn("sha256", F.coalesce("other", "sha256"))  # a row
+    done = sinks.copy_files(files)
+    return done.select(F.regexp_extract("target", "([0-9]+).txt", 1).cast("int").alias("r_regionkey"), "sha256", "status", "bytes")
+
+
 # ---- load and read views
 
 _BANKS: dict[tuple[str, str], tuple[str, DataFrame]] = {}

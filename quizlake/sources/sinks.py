@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import hashlib
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizlake.functions import scalars as S
 from quizlake.operators.intake import date_order
-from quizlake.sources.scratch import file_system
+from quizlake.sources.scratch import materialize
 
-#: Files copied at a time.
-COPIES = 16
+#: Bytes of a file that a task holds, how often it tries a copy, and failed ones that an error names.
+CHUNK = 1 << 22
+TRIES = 3
+NAMED = 20
 # Fixed texts of the listings.
 SOURCES_HEAD = """# Sources
 
@@ -122,12 +128,77 @@ def write_document(doc: DataFrame, path: str) -> None:
     doc.repartitionByRange(*DOCUMENT_ORDER).sortWithinPartitions(*DOCUMENT_ORDER).select("line").write.mode("overwrite").text(path)
 
 
-def copy_accepted(spark: SparkSession, to_copy: DataFrame, source_root: str, target_root: str) -> int:
-    """Copies accepted files (filename, stored_path) in their store, many at a time; the count of files copied."""
-
-    def one(r) -> bool:
-        (a_fs, a), (b_fs, b) = file_system(spark, f"{source_root}/{r.filename}"), file_system(spark, f"{target_root}/{r.stored_path}")
-        return bool(spark._jvm.org.apache.hadoop.fs.FileUtil.copy(a_fs, a, b_fs, b, False, True, spark._jsc.hadoopConfiguration()))
-
-    with ThreadPoolExecutor(COPIES) as pool:
-        return sum(pool.map(one, to_copy.select("filename", "stored_path").toLocalIterator()))
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI and the path in it; the path is taken as it is, with any sign in it."""
+    scheme, found, rest = uri.partition("://")
+    if not found or scheme == "file":
+        return fs.LocalFileSystem(), (rest if found else uri.removeprefix("file:"))
+    authority, _, path = rest.partition("/")
+    store, root = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    return store, f"{root.rstrip('/')}/{path}"
+
+
+def _digest(store: fs.FileSystem, path: str) -> str | None:
+    """SHA-256 of a file, read in chunks; None where there is none."""
+    if store.get_file_info(path).type != fs.FileType.File:
+        return None
+    digest = hashlib.sha256()
+    with store.open_input_stream(path) as f:
+        while chunk := f.read(CHUNK):
+            digest.update(chunk)
+    return digest.hexdigest()
+
+
+def _copy(source: str, target: str, wanted: str) -> tuple[str, int, str | None]:
+    """Status, bytes written and what went wrong. A copy is written aside, read again, and put in place only if it is as wanted."""
+    wrong = None
+    for _ in range(TRIES):
+        aside = None
+        try:
+            (a_store, a), (b_store, b) = _store(source), _store(target)
+            if _digest(b_store, b) == wanted:
+                return "there", 0, None
+            b_store.create_dir(b.rpartition("/")[0], recursive=True)
+            aside, n = f"{b}.{uuid.uuid4().hex}", 0
+            with a_store.open_input_stream(a) as f, b_store.open_output_stream(aside) as g:
+                while chunk := f.read(CHUNK):
+                    n += g.write(chunk)
+            if (got := _digest(b_store, aside)) == wanted:
+                if b_store.get_file_info(b).type == fs.FileType.File:
+                    b_store.delete_file(b)  # some stores don't move over a file
+                b_store.move(aside, b)
+                return "copied", n, None
+            wrong = f"SHA-256 {got}"
+            b_store.delete_file(aside)
+        except OSError as e:
+            wrong = str(e)
+            if aside and b_store.get_file_info(aside).type == fs.FileType.File:
+                b_store.delete_file(aside)
+    return "failed", 0, wrong
+
+
+def copy_files(files: DataFrame) -> DataFrame:
+    """Copies files (source, target: URIs; sha256: of the content) by tasks, a file at a time in chunks; a row for each.
+
+    status: 'copied', 'there' (the target had that content), or 'failed' after some tries, with what went wrong; a target with
+    other content stays as it is then. A task that is run again finds what it has copied. The result is written once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            done = [_copy(*r) for r in rows]
+            columns = [*batch.columns, *(pa.array([d[k] for d in done], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["source", "target", "sha256", "status", "bytes", "wrong"])
+
+    spread = files.select("source", "target", "sha256").repartition("target")
+    return materialize(spread.mapInArrow(run, "source string, target string, sha256 string, status string, bytes long, wrong string"), "copies")
+
+
+def copy_accepted(to_copy: DataFrame, source_root: str, target_root: str) -> int:
+    """Copies accepted files (filename, stored_path, sha256); the count of those that are in place. IOError where one isn't."""
+    at = lambda root, column: F.concat(F.lit(root.rstrip("/") + "/"), column)
+    done = copy_files(to_copy.select(at(source_root, F.col("filename")).alias("source"), at(target_root, F.col("stored_path")).alias("target"), "sha256"))
+    if lost := done.where("status = 'failed'").limit(NAMED).collect():
+        raise OSError("\n".join(f"{r.source}: {r.wrong}" for r in lost))
+    return done.count()
