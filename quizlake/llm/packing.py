@@ -21,6 +21,8 @@ from quizlake.llm.common import prepare, texts
 from quizlake.llm.tokens import coder
 
 CAPACITY = 4096
+#: Shorter pieces are bundled, until a bundle has so many tokens.
+BUNDLE = 64
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -94,9 +96,15 @@ class Packer:
                 yield from self.flush()
 
     def flush(self):
-        window, k = spread([len(x[2]) for x in self.items], self.capacity)
+        bundle, sizes = [], []  # short pieces that follow each other go to one window, so a group of many has few to spread
+        for x in self.items:
+            if not sizes or sizes[-1] >= BUNDLE or len(x[2]) >= BUNDLE:
+                sizes.append(0)
+            sizes[-1] += len(x[2])
+            bundle.append(len(sizes) - 1)
+        window, k = spread(sizes, self.capacity)
         offset = [0] * k
-        for (doc_id, start, ids, n), w in zip(self.items, window.tolist(), strict=True):
+        for (doc_id, start, ids, n), w in zip(self.items, window[bundle].tolist(), strict=True):
             yield (doc_id, start, ids, n, self.sequence + w, offset[w])
             offset[w] += len(ids)
         if self.items:
@@ -104,7 +112,7 @@ class Packer:
         self.items, self.held = [], 0
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, windows: int = 64, largest: int = 1024, slack: float = 0.004) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, windows: int = 64, largest: int = 512, slack: float = 0.004) -> DataFrame:
     """Packs every document: its ids by the tokenizer (kind 'word'), then the end id.
 
     A row for each piece: doc_id, start (the document's ids before it), length, ids (little-endian unsigned 32-bit),

@@ -1,10 +1,13 @@
 """The corpus operators against brute force, on rows with nulls, empty and long texts, repeats, and extra columns."""
 
 import hashlib
+import inspect
+import itertools
 import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -79,6 +82,31 @@ def test_differencing_is_even_and_whole():
     assert packing.spread([4000, 4000, 200, 200], 4096)[1] == 3
 
 
+def _packed(sizes, **more):
+    """Tokens and windows of full groups, by the operator's own settings."""
+    settings = {k: v.default for k, v in inspect.signature(packing.pack).parameters.items() if k in ("capacity", "windows", "largest", "slack")} | more
+    packer, used, windows = packing.Packer(0, **settings), 0, 0
+    for k, n in enumerate(sizes):
+        for _, _, ids, _, window, _ in packer.add(k, np.zeros(n, np.uint32)):
+            used, windows = used + len(ids), max(windows, window + 1)
+    return used, windows
+
+
+def test_padding_is_little(spark):
+    """Documents of the given lengths, about four signs a token: under half a percent of full groups is padding."""
+    lengths = [1 + (r.n_chars or 0) // 4 for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").limit(6000).select("n_chars").collect()]
+    used, windows = _packed(lengths)
+    assert windows >= 512 and 1 - used / (windows * packing.CAPACITY) < 0.005
+
+
+def test_many_tiny_documents_take_little_memory():
+    tracemalloc.start()
+    used, windows = _packed(itertools.repeat(1, 1_000_000))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200e6 and windows >= 128 and 1 - used / (windows * packing.CAPACITY) < 0.005
+
+
 def test_quality(spark, docs, empty):
     from quizlake.llm.queries import op2_quality
 
