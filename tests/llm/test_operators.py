@@ -548,5 +548,57 @@ def test_html_text_equals_generated_articles(spark):
     assert got == want
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<article><h1>T</h1><section id=methods><p>How.</section><section id=discussion><p>What it means.</section></article>", ["T", "How.", "What it means."]),
+    ("<article><p>a<div class='price-alert'>It costs more now.</div></article>", ["a", "It costs more now."]),
+    ("<article><p>a<section class='related-work'><p>Others did it.</section></article>", ["a", "Others did it."]),
+    ("<article><p>a<div class='side-by-side'><p>Left.<p>Right.</div></article>", ["a", "Left.", "Right."]),
+    ("<article><p>a<table class='widget-list'><tr><td>w</table></article>", ["a", "w"]),
+    ("<article><p>a<ul class=menu><li>Soup<li>Fish</ul></article>", ["a", "Soup", "Fish"]),
+    ("<body><form action=/><h1>T</h1><p>The whole page stands in a form.</form>", ["T", "The whole page stands in a form."]),
+    ("<main><header><h1>T</h1></header><p>Text.</main>", ["T", "Text."]),
+    ("<article><p>a<ul class=menu><li><a href=/>Home</a><li><a href=/x>News</a></ul></article>", ["a"]),
+    ("<article><p>a<div class='related-posts'><p>Teaser.</div><div class='share-buttons'>Share</div><div class='newsletter'>Mail</div><div id=sidebar>s</div><div class='comment-list'>c</div></article>", ["a"]),
+    ("<article><p>Long enough text.<form><p>Ask us:<input></form></article>", ["Long enough text."]), ("<header><h1>Site</h1><p>Its long motto, longer than all.</header><p>x", ["x"]),
+])
+def test_html_names_of_two_senses(page, want):
+    assert texts_of(page) == want
+
+
+def test_html_text_hosts_vote_on_surroundings(spark):
+    """Parts with unlisted names that a host's pages share go, where their text is that; copies of one page don't vote."""
+    box, other = "<div class='qx-{}'><p>Our shop sells many lamps, come and see.</p></div>", "<section class=discussion><p>Write to us about this.</p></section>"
+    rows = [(k, "http://a.example/", f"<article><h1>T{k}</h1><p>Text of the page with number {k}, which is long enough to be most of it, and longer still.</p>{box.format(k)}{other}<div class=date>1 May</div></article>") for k in range(70)]
+    rows += [(100, "http://a.example/", f"<article><p>{'Own text. ' * 9}</p><div class='qx-1'><p>Here the same box has words of this article.</p></div></article>")]
+    rows += [(101, "http://a.example/", "<article>" + box.format(2) + "</article>")]
+    rows += [(200 + k, "http://b.example/", "<article><p>One page in many copies.</p>" + box.format(1) + "</article>") for k in range(9)]
+    t = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (html_text.BROADCAST_BYTES, 0):
+        old, html_text.BROADCAST_BYTES = html_text.BROADCAST_BYTES, size
+        got = {x.page_id: x.text for x in html_text.extract(t).collect()}
+        html_text.BROADCAST_BYTES = old
+        assert all(got[k] == f"T{k}\nText of the page with number {k}, which is long enough to be most of it, and longer still.\n1 May" for k in range(70))
+        assert got[100].endswith("words of this article.") and got[101] == "Our shop sells many lamps, come and see."
+        assert all(got[200 + k] == "One page in many copies.\nOur shop sells many lamps, come and see." for k in range(9))
+
+
+def test_html_of_any_depth():
+    """Paths are told apart at any depth; time and memory don't grow with blocks times depth."""
+    deep = "<div>" * 300 + "<div class=main><p>Text.</div><div class=rest><p>More.</div>"
+    page = html_text.read_page(deep)
+    assert [page.text(p) for p, _, _ in page.blocks()] == ["Text.", "More."] and len(page.paths()) == 302
+    for page in ("<div>" * 256 + "<p>x</p>" * 60_000, "".join(f"<div class='{'name ' * 2200}n{k}'>" for k in range(256)) + "x", "<div class=discussion>" * 20_000 + "x", "<div>" * 256 + "<div class=k><p>x</p></div>" * 30_000):
+        began = time.process_time()
+        read = html_text.read_page(page)
+        html_text.scored(read)
+        read.text(read.blocks()[0][0]) if read.blocks() else None
+        assert time.process_time() - began < 5  # about a second
+        tracemalloc.start()
+        html_text.read_page(page)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200_000_000
+
+
 def test_scratch_follows_the_setting(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
