@@ -233,7 +233,7 @@ def _runs(state: State, rec: DataFrame, versions: DataFrame) -> None:
 
 
 def _statuses(state: State, on: DataFrame, versions: DataFrame) -> None:
-    verdicts = on.groupBy(F.col("current_version_id").alias("id")).agg(F.collect_set("status").alias("all"), F.max_by("status", "ord").alias("last"))
+    verdicts = on.groupBy(F.col("current_version_id").alias("id")).agg(F.collect_set("status").alias("all"), F.max_by("status", F.when(F.col("status").isNotNull(), F.col("ord"))).alias("last"))  # a record without a status says nothing
     set_ = versions.select("id", "key_status").join(verdicts, "id").select("id", sticky(F.col("key_status"), REVIEWED, F.col("all"), F.col("last")).alias("key_status"))
     state.put("question_versions", delta(versions, set_, ["id"], ["key_status"]), {"key statuses set": F.lit(True)})
 
@@ -242,6 +242,22 @@ def _doubts(state: State, on: DataFrame) -> None:
     queue(state, on.where(~F.col("status").isin(*CONFIRMED)).select("paper_id", "section", "q_no", F.lit("solver").alias("source"), F.array("status").alias("reasons"), "ord"))
 
 
+def set_verdicts(state: State, verdicts: DataFrame) -> None:
+    """Takes what is known of versions (held, last, doubt by paper, section, number, answer and content hash) where they are current.
+
+    Only the partitions of the papers in verdicts are read.
+    """
+    rows = verdicts.withColumn("question_id", question_id(_mock_id(), F.col("q_no"))).withColumn("current_version_id", version_id(F.col("question_id"), F.col("question_version"), F.col("official_answer")))
+    parts = [r.part for r in rows.select(snapshot.part_of(F.col("paper_id"), state.parts).alias("part")).distinct().collect()]  # as many as the bank has, at most
+    current = state.table("questions", parts).select(F.col("id").alias("question_id"), "current_version_id")
+    on = materialize(rows.join(current, ["question_id", "current_version_id"]), "verdicts-on-current")
+    versions = state.table("question_versions", parts)
+    said = versions.select("id", "key_status").join(on.select(F.col("current_version_id").alias("id"), "held", "last"), "id")
+    said = said.select("id", sticky(F.col("key_status"), REVIEWED, F.array(F.when(F.col("held"), REVIEWED).otherwise("")), F.col("last")).alias("key_status"))
+    state.put("question_versions", delta(versions, said, ["id"], ["key_status"]), {"key statuses set": F.lit(True)})
+    queue(state, on.where("doubt is not null").select("paper_id", "section", "q_no", F.lit("solver").alias("source"), F.array("doubt").alias("reasons"), F.lit(0).alias("ord")))
+
+
 def withdraw_verdicts(state: State, covered: DataFrame) -> None:
     """Verdicts of current versions that no record gives any more; a reviewed key stays."""
     open_ = state["questions"].select(F.col("id").alias("question_id"), F.col("current_version_id").alias("id")).join(covered, "question_id", "left_anti")

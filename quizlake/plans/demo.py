@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizlake.functions import scalars as S
 from quizlake.operators import intake, load, merge, quality, report, serve
+from quizlake.sources import scratch
+from quizlake.streaming import verdicts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -67,6 +71,20 @@ def sticky_status(spark, d):
     return g.select("user_id", merge.sticky(F.lit(None).cast("string"), "purchase", F.col("all"), F.col("last")).alias("status"))
 
 
+@query("SELECT user_id, bool_or(event_type = 'purchase') AS held, max_by(event_type, row(ts, event_id)) AS last, max_by(event_type, row(ts, event_id)) FILTER (WHERE event_type NOT IN ('click', 'purchase')) AS doubt FROM events GROUP BY user_id")
+def stream_latest(spark, d):
+    """The same state as a stream keeps it, over files that come in batches and out of order; of each key the last change is read."""
+    root = f"{scratch.scratch_dir(spark)}/events-{uuid.uuid4().hex}"
+    events = t(spark, d, "events").select("user_id", "event_type", "ts", "event_id")
+    events.repartition(6, "event_id").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    state = verdicts.latest(stream, ["user_id"], F.col("event_type"), F.struct("ts", "event_id"), "purchase", ["click", "purchase"])
+    write = lambda rows, i: rows.write.mode("overwrite").parquet(f"{root}/out/batch={i}")
+    state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    changes = spark.read.schema(f"user_id {events.schema['user_id'].dataType.simpleString()}, held boolean, last string, doubt string, batch long").parquet(f"{root}/out")
+    return merge.last_by(changes, ["user_id"], ["held", "last", "doubt"], "batch")
+
+
 @query("SELECT user_id, max_by(event_id, row(ts, event_id)) AS event_id, max_by(event_type, row(ts, event_id)) AS event_type FROM events GROUP BY user_id")
 def last_wins(spark, d):
     return merge.last_by(t(spark, d, "events").withColumn("ord", F.struct("ts", "event_id")), ["user_id"], ["event_id", "event_type"])
