@@ -4,7 +4,8 @@ A shard's vectors are split at the median of their widest dimension until leaves
 box. The largest inner product of a query with any point of a box is a sum over dimensions of the better corner, which is
 the bound of the search: a block of queries goes down a tree best first, each query into those nodes only whose bound reaches
 its kth score. That kth score goes on from tree to tree, as one task takes a group of queries through every shard; trees are
-shuffled once for each group, and no key holds more than a group's queries and the trees it meets.
+shuffled once for each group, and no key holds more than a group's queries and the trees it meets. Where there are fewer
+groups than cores, the trees are split over several tasks for each group, and what these found is ranked together.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizlake.llm.common import dealt_numbers, estimated_bytes, materialize, prepare
@@ -118,6 +119,16 @@ class Tree:
         return self.typed
 
 
+def beyond(score: int) -> bytes:
+    """What a score that no long holds is more or less than the nearest long, in bytes that sort as it does; else none."""
+    if -LONGEST - 1 < score <= LONGEST:
+        return b""
+    off = abs(score - max(-LONGEST - 1, min(LONGEST, score)))
+    size = (off.bit_length() + 7) // 8
+    more = struct.pack(">H", size) + off.to_bytes(size, "big")
+    return more if score > 0 else bytes(255 - x for x in more)
+
+
 class BlockSearch:
     """The k best of each query of a block; trees are taken in one by one."""
 
@@ -185,7 +196,8 @@ def search(table: DataFrame, is_query, k: int = 20, scale: int = 64, shard_vecto
     score with it. Repeated rows are candidates each; rows that share a vec_id are one query, whose k best are taken of all
     their scores; no row counts for a query of its own vec_id. Scores are exact and ranked as such; one beyond a long is given
     as the nearest long. An empty table gives no rows; other columns are ignored. Shards and query groups have bounded sizes;
-    each group meets every shard once, so the trees' bytes times the groups are shuffled.
+    each group meets every shard once, so the trees' bytes times the groups are shuffled. Few queries are one group, for which
+    the shards are split over as many tasks as there are cores for; a query's best of each are then ranked by a window.
     """
     spark = table.sparkSession
     prepare(spark)
@@ -215,10 +227,13 @@ def search(table: DataFrame, is_query, k: int = 20, scale: int = 64, shard_vecto
     asked = rows.where(is_query(F.col("vec_id")))
     n_asked = asked.count()
     groups = max(1, -(-n_asked // QUERY_GROUP), min(-(-n_asked // QUERY_BLOCK), spark.sparkContext.defaultParallelism))
-    numbers = F.split(F.lit(",".join(map(str, dealt_numbers(groups, groups)))), ",").cast("array<int>")
-    asked = asked.select(F.get(numbers, F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).alias("no"), F.lit(0).alias("turn"), "vec_id", "v", F.lit(None).cast("int").alias("dim"), F.lit(None).cast("binary").alias("tree"))
-    sent = built.select(F.explode(numbers).alias("no"), F.lit(1).alias("turn"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("v"), "dim", "tree")
-    dealt = asked.union(sent).repartition(groups, "no").sortWithinPartitions("no", "turn")
+    # where groups are fewer than cores the trees are split too: place group * splits + split of numbers is a task's
+    splits = max(1, min(spark.sparkContext.defaultParallelism // groups, built.count()))
+    numbers = F.split(F.lit(",".join(map(str, dealt_numbers(groups * splits, groups * splits)))), ",").cast("array<int>")
+    group, split = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"), F.pmod(F.xxhash64(F.substring("tree", 1, 4096)), F.lit(splits)).cast("int")
+    asked = asked.select(F.explode(F.slice(numbers, group * splits + 1, splits)).alias("no"), F.lit(0).alias("turn"), "vec_id", "v", F.lit(None).cast("int").alias("dim"), F.lit(None).cast("binary").alias("tree"))
+    sent = built.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.get(numbers, g * splits + split))).alias("no"), F.lit(1).alias("turn"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("v"), "dim", "tree")
+    dealt = asked.union(sent).repartition(groups * splits, "no").sortWithinPartitions("no", "turn")
 
     def run(batches):
         now, queries, searches = None, {}, {}
@@ -242,8 +257,9 @@ def search(table: DataFrame, is_query, k: int = 20, scale: int = 64, shard_vecto
             sizes = np.array([len(f) for _, f, _ in rows], np.int64)
             if sizes.sum():
                 rank = np.arange(1, sizes.sum() + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                scores = [max(-LONGEST - 1, min(LONGEST, int(x))) for _, _, sc in rows for x in sc]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([i for i, _, _ in rows], np.int64), sizes)), pa.array(rank.astype(np.int32)), pa.array(np.concatenate([f for _, f, _ in rows])), pa.array(scores, pa.int64())], names=["query_id", "rank", "vec_id", "score"])
+                exact = [int(x) for _, _, sc in rows for x in sc]
+                scores = [max(-LONGEST - 1, min(LONGEST, x)) for x in exact]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([i for i, _, _ in rows], np.int64), sizes)), pa.array(rank.astype(np.int32)), pa.array(np.concatenate([f for _, f, _ in rows])), pa.array(scores, pa.int64()), pa.array(map(beyond, exact), pa.binary())], names=["query_id", "rank", "vec_id", "score", "beyond"])
 
         def searches_of(dim):
             if dim not in searches:
@@ -275,4 +291,8 @@ def search(table: DataFrame, is_query, k: int = 20, scale: int = 64, shard_vecto
             asked_in(asking)
         yield from results()
 
-    return dealt.select("no", "vec_id", "v", "dim", "tree").mapInArrow(run, "query_id long, rank int, vec_id long, score long")
+    found = dealt.select("no", "vec_id", "v", "dim", "tree").mapInArrow(run, "query_id long, rank int, vec_id long, score long, beyond binary")
+    if splits > 1:
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
+        found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return found.drop("beyond")

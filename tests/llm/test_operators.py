@@ -168,6 +168,23 @@ def test_vector_search(spark):
     assert vector_search.search(t.where("vec_id = 40"), lambda i: F.pmod(i, F.lit(20)) == 0).count() == 0
 
 
+def test_few_queries_search_in_several_tasks(spark):
+    """One query over many trees: the trees are split over tasks, and what these found is ranked as one, ties and huge scores too."""
+    r = np.random.default_rng(4)
+    v = r.integers(-3, 4, (3000, 5)).astype(float)
+    v[7], v[8:12] = 1e200, [[1e200 + 1e190 * k] * 5 for k in range(4)]
+    v[12:15], v[0] = -1e200, [1, 2, 0, -1, 1]
+    t = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    found = vector_search.search(t, lambda i: i == 0, k=2990, shard_vectors=200)
+    tasks = re.findall(r"hashpartitioning\(no#\d+, (\d+)\), REPARTITION", found._jdf.queryExecution().toString())
+    assert tasks and int(tasks[0]) == min(spark.sparkContext.defaultParallelism, 15) > 1
+    whole = [[64 * int(x) for x in w] for w in v]
+    scores = [sum(a * b for a, b in zip(whole[0], w, strict=True)) for w in whole]
+    best = sorted((-s, i) for i, s in enumerate(scores) if i)[:2990]
+    assert [(x.rank, x.vec_id, x.score) for x in found.orderBy("rank").collect()] == [(k + 1, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(best)]
+    assert sorted((x for x in (2**63, 2**63 + 5, 2**70, 0, -(2**63), -(2**63) - 1, -(2**90))), key=lambda x: (max(-(2**63), min(2**63 - 1, x)), vector_search.beyond(x))) == sorted((2**63, 2**63 + 5, 2**70, 0, -(2**63), -(2**63) - 1, -(2**90)))
+
+
 def test_trees_are_gone_down_best_first():
     """Clustered vectors: boxes hold their rows, and most leaves are never compared."""
     r = np.random.default_rng(3)
