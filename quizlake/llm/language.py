@@ -21,6 +21,8 @@ from quizlake.llm.common import arrow_map, fold_of, prepare, texts
 #: Bounds of training: documents sampled of each language, and letters of each language's automaton.
 SAMPLE_DOCS = 2000
 TRAIN_LETTERS = 50_000
+#: Languages that a model may have, as the driver and every task hold each one's letters. More are refused, not left out.
+MOST_LANGUAGES = 500
 #: The sample is dealt by lines, cut to at most so many letters, so that no long text fills it alone.
 PIECE_LETTERS = 400
 UNKNOWN = "und"
@@ -104,10 +106,14 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, letters: int = TRAIN_
 
     Of at most about ``sample_docs`` documents of a language, chosen by a hash of the id, the lines in the order of a hash
     up to ``letters`` letters. A line that several documents share counts once. The driver gets about twice that much.
+    More than MOST_LANGUAGES different values of lang are a ValueError that says so: such a column needs to be cleaned first.
     """
     rows = docs.where("lang is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     per = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.broadcast(per.select("lang", (F.lit(float(sample_docs)) / F.col("n")).alias("part")))  # a row for each language
+    counted = per.limit(MOST_LANGUAGES + 1).collect()
+    if len(counted) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} different values, such as {sorted(r.lang for r in counted)[:5]}")
+    share = F.broadcast(docs.sparkSession.createDataFrame([(r.lang, sample_docs / r.n) for r in counted], "lang string, part double"))  # a row for each language
     chosen = rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("part") * 1_000_000)
 
     def make():
@@ -127,7 +133,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, letters: int = TRAIN_
     distinct = arrow_map(chosen.select("lang", "text"), "lang string, piece string", make).distinct().withColumn("h", F.xxhash64("piece"))
     total = distinct.groupBy("lang").agg(F.sum(F.length("piece")).alias("total"))
     wanted = F.pmod(F.col("h"), F.lit(1_000_000)) < F.lit(2e6 * letters) / F.col("total")
-    out: dict[str, list[str]] = {}
+    out: dict[str, list[str]] = {}  # of MOST_LANGUAGES at most
     left: dict[str, int] = {}
     for r in sorted(distinct.join(F.broadcast(total), "lang").where(wanted).select("lang", "h", "piece").collect()):
         if left.setdefault(r.lang, letters) > 0:

@@ -168,6 +168,14 @@ def test_vector_search(spark):
     assert vector_search.search(t.where("vec_id = 40"), lambda i: F.pmod(i, F.lit(20)) == 0).count() == 0
 
 
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    t = spark.createDataFrame([(i, f"words of {i}", f"l{i % 4}" if i % 5 else None) for i in range(40)], "doc_id long, text string, lang string")
+    assert sorted(language.train(t.where("lang <> 'l3'"))) == ["l0", "l1", "l2"]
+    with pytest.raises(ValueError, match="more than 3 different values"):
+        language.train(t)
+
+
 def test_few_queries_search_in_several_tasks(spark):
     """One query over many trees: the trees are split over tasks, and what these found is ranked as one, ties and huge scores too."""
     r = np.random.default_rng(4)
