@@ -51,20 +51,29 @@ def with_section(ev: DataFrame) -> DataFrame:
     return filled(ev, "file", ["page_no", "y0", "x0", "kind", "value"], code, "section")
 
 
-def section_counts(ev: DataFrame) -> DataFrame:
-    """file, sections: counts by section, an empty section included, in the order of first appearance."""
+def _by_section(ev: DataFrame, *more: Column) -> DataFrame:
+    """Counts of each section of a file and of what is before its first one, and more."""
     k = F.col("kind")
     n = lambda kind: F.count_if(k == kind).cast("int")
-    each = ev.where("section is not null").groupBy("file", "section").agg(F.min("place").alias("p"), n("answer").alias("questions"), n("qid").alias("qids"), n("label").alias("labels"))
-    ordered = F.array_sort(F.collect_list(F.struct("p", "section", "questions", "qids", "labels")))
-    return each.groupBy("file").agg(F.map_from_entries(F.transform(ordered, lambda x: F.struct(x["section"], F.struct(x["questions"].alias("questions"), x["qids"].alias("qids"), x["labels"].alias("labels"))))).alias("sections"))
+    return ev.groupBy("file", "section").agg(F.min("place").alias("p"), n("answer").alias("questions"), n("qid").alias("qids"), n("label").alias("labels"), *more)
+
+
+def _sections() -> Column:
+    found = F.collect_list(F.when(F.col("section").isNotNull(), F.struct("p", "section", "questions", "qids", "labels")))
+    return F.map_from_entries(F.transform(F.array_sort(found), lambda x: F.struct(x["section"], F.struct(x["questions"].alias("questions"), x["qids"].alias("qids"), x["labels"].alias("labels")))))
+
+
+def section_counts(ev: DataFrame) -> DataFrame:
+    """file, sections: counts by section, an empty section included, in the order of first appearance."""
+    return _by_section(ev.where("section is not null")).groupBy("file").agg(_sections().alias("sections"))
 
 
 def scan(docs: DataFrame, pages: DataFrame, spans: DataFrame) -> DataFrame:
     """One row for each file with all that the rules look at."""
     ev = with_section(events(spans))
-    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("place", "value")))), lambda x: x["value"])
-    ids = ev.groupBy("file").agg(listed("qid").alias("qids"), listed("clipped").alias("clipped_qids"))
+    listed = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("place", "value")))
+    in_order = lambda c: F.transform(F.array_sort(F.flatten(F.collect_list(c))), lambda x: x["value"])
+    found = _by_section(ev, listed("qid").alias("ids"), listed("clipped").alias("clipped")).groupBy("file").agg(in_order("ids").alias("qids"), in_order("clipped").alias("clipped_qids"), _sections().alias("sections"))
     clean = pages.withColumn("text", S.plain_spaces(F.col("text")))
     ads = clean.groupBy("file").agg(F.array_sort(F.collect_list(F.when(F.length(S.strip(F.col("text"))) < AD_PAGE_CHARS, F.col("page_no")))).alias("ad_pages"))
     t = F.col("text")
@@ -72,7 +81,7 @@ def scan(docs: DataFrame, pages: DataFrame, spans: DataFrame) -> DataFrame:
         "file", t.contains(S.HEADER).alias("header"), S.header_date(t).alias("header_date"), S.header_slot(t).alias("header_hhmm"),
         F.regexp_count(t, F.lit(r"Option [1-4] ID\s*:\s*\d+")).alias("option_ids"), F.regexp_count(t, F.lit(r"Status\s*:")).alias("statuses"), F.regexp_count(t, F.lit(r"Chosen Option\s*:")).alias("chosen"),
     )
-    out = docs.join(text, "file", "left").join(ads, "file", "left").join(ids, "file", "left").join(section_counts(ev), "file", "left")
+    out = docs.join(text, "file", "left").join(ads, "file", "left").join(found, "file", "left")
     none = F.array().cast("array<string>")
     return out.select(
         "file", "sha256", F.col("page_count").alias("pages"), F.coalesce("producer", F.lit("")).alias("producer"), "annotations", F.coalesce("header", F.lit(False)).alias("header"), "header_date", "header_hhmm", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("option_ids", "statuses", "chosen")],

@@ -81,12 +81,19 @@ _DUPLICATES = f"SELECT file AS filename, sha256, same_as FROM ({_NAMED}) WHERE r
 _ORDER = "coalesce(substr(date, 7, 4), ''), coalesce(substr(date, 4, 2), ''), coalesce(substr(date, 1, 2), ''), coalesce(time_slot, ''), replace(filename, ' (1).pdf', '.pdf'), filename LIKE '% (1).pdf', filename"
 
 
-def _intake(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, duplicates, scans) of the suppliers' sheets."""
-    docs = I.rows(spark, d, I.DOCS)
-    scans = intake.scan(docs, I.rows(spark, d, I.PAGES), I.rows(spark, d, I.SPANS))
-    kept, duplicates = intake.dedup_files(docs.select(F.col("file").alias("name"), "sha256"))
-    return intake.sources(kept, scans), duplicates, scans
+def _files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(kept, duplicates) of the suppliers' sheets, of which no content is read."""
+    return intake.dedup_files(I.rows(spark, d, I.DOCS).select(F.col("file").alias("name"), "sha256"))
+
+
+def _scans(spark: SparkSession, d: str) -> DataFrame:
+    return intake.scan(*(I.rows(spark, d, sql) for sql in (I.DOCS, I.PAGES, I.SPANS)))
+
+
+def _intake(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(records, duplicates) of the suppliers' sheets."""
+    kept, duplicates = _files(spark, d)
+    return intake.sources(kept, _scans(spark, d)), duplicates
 
 
 def _counts(c: str) -> Column:
@@ -114,7 +121,7 @@ def sheet_counts(spark, d):
 
 @query(f"SELECT file, sha256, pages, producer, annotations, header, header_date, header_hhmm, CAST(option_ids AS INTEGER) AS option_ids, CAST(statuses AS INTEGER) AS statuses, CAST(chosen AS INTEGER) AS chosen, ad_pages, qids, clipped_qids, sections, CAST(overflow AS INTEGER) AS overflow, CAST(unlabeled AS INTEGER) AS unlabeled FROM ({_SCAN})")
 def sheet_scans(spark, d):
-    scans = _intake(spark, d)[2]
+    scans = _scans(spark, d)
     return scans.select(*[c for c in scans.columns if c not in ("ad_pages", "qids", "clipped_qids", "sections")], joined(F.col("ad_pages").cast("array<string>"), ", ").alias("ad_pages"), joined(F.col("qids")).alias("qids"), joined(F.col("clipped_qids"), ", ").alias("clipped_qids"), _counts("sections").alias("sections"), intake.overflow_count().alias("overflow"), intake.unlabeled_count().alias("unlabeled"))
 
 
@@ -126,7 +133,7 @@ def sheet_records(spark, d):
 
 @query(_DUPLICATES)
 def sheet_duplicates(spark, d):
-    return _intake(spark, d)[1]
+    return _files(spark, d)[1]
 
 
 @query(f"""WITH r AS MATERIALIZED ({_RECORDS})
@@ -135,7 +142,7 @@ def sheet_duplicates(spark, d):
     UNION ALL SELECT 'unlabeled', '- ' || date || ' ' || time_slot || ': ' || unlabeled_questions FROM r WHERE unlabeled_questions > 0 UNION ALL SELECT 'duplicate', '- `' || filename || '` is identical to `' || same_as || '` (SHA-256 `' || substr(sha256, 1, 16) || '…`)' FROM ({_DUPLICATES})
     UNION ALL SELECT 'totals', CAST(sum(unlabeled_questions) AS BIGINT) || ' in ' || count(*) FROM r WHERE unlabeled_questions > 0""")
 def sheet_listings(spark, d):
-    r, dup, _ = _intake(spark, d)
+    r, dup = _intake(spark, d)
     r = scratch.materialize(r, "records")
     line = lambda df, kind, column: df.select(F.lit(kind).alias("kind"), column.alias("line"))
     out = line(r, "source", sinks.source_line()).union(line(r.where("not accepted"), "rejected", sinks.rejected_line())).union(line(dup, "duplicate", sinks.duplicate_line()))
@@ -187,14 +194,14 @@ def sheet_source_document(spark, d):
 ))
 def sheet_missing_document(spark, d):
     """The whole listing of what is missing, doubled, excluded or to be looked at, line by line."""
-    records, dup, excluded = _intake(spark, d)[0], _intake(spark, d)[1], _excluded(spark, d)
+    (records, dup), excluded = _intake(spark, d), _excluded(spark, d)
     return _document(sinks.missing_document(scratch.materialize(records, "records"), dup, excluded))
 
 
 @query(f"""SELECT filename, CAST(row_number() OVER (ORDER BY {_ORDER}) - 1 AS INTEGER) AS ord, date, accepted, reasons, stored_path, sections, (SELECT count(*) FROM ({_DUPLICATES})) AS n_duplicates, (SELECT string_agg(r_name, ',' ORDER BY r_name) FROM region) AS excluded FROM ({_RECORDS})""")
 def sheet_manifest(spark, d):
     """The manifest written as a document and read again, in its order."""
-    records, dup, _ = _intake(spark, d)
+    records, dup = _intake(spark, d)
     path = f"{scratch.scratch_dir(spark)}/manifest-{uuid.uuid4().hex}"
     sinks.write_manifest(sinks.manifest_document(scratch.materialize(records, "records"), dup, _excluded(spark, d)), path)
     sources, dup, ex = readers.manifest(spark, path)
@@ -204,7 +211,7 @@ def sheet_manifest(spark, d):
 
 @query(f"SELECT 'accepted ' || count_if(accepted) || '/' || count(*) || ', duplicates ' || (SELECT count(*) FROM ({_DUPLICATES})) || ', excluded ' || (SELECT count(*) FROM region) AS line FROM ({_RECORDS})")
 def sheet_summary(spark, d):
-    records, duplicates, _ = _intake(spark, d)
+    records, duplicates = _intake(spark, d)
     return intake.summary(records, duplicates, _excluded(spark, d))
 
 
