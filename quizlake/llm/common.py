@@ -89,14 +89,19 @@ def slices(batch: pa.RecordBatch, limit: int = BATCH_BYTES) -> Iterator[pa.Recor
         yield from slices(batch.slice(half), limit)
 
 
-def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], limit: int = BATCH_BYTES) -> DataFrame:
-    """mapInArrow with per-task state: make() runs once in each task and returns the function of a batch of about ``limit`` bytes."""
+def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch | None], Iterable[pa.RecordBatch]]], limit: int = BATCH_BYTES, last: bool = False) -> DataFrame:
+    """mapInArrow with per-task state: make() runs once in each task and returns the function of a batch of about ``limit`` bytes.
+
+    last: the function is called with None after a task's last batch, for what it held back.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
             for part in slices(batch, limit) if batch.num_rows else ():
                 yield from step(part)
+        if last:
+            yield from step(None)
 
     return df.mapInArrow(run, schema)
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizlake.llm.common import arrow_map, dealt_numbers, materialize, prepare, shards_for, text_bytes
+from quizlake.sources.scratch import shuffles_dropped
 
 LENGTH = 50
 SEED = 24
@@ -38,6 +39,9 @@ MOST_SHARD_BYTES = 64_000_000
 #: Tasks that shards are dealt to, at most; a task takes its shards one by one.
 MOST_TASKS = 20_000
 BATCH = 1 << 18
+#: So many anchors or windows a task gathers before it sends them: with more shards a row for each shard would hold fewer of a batch.
+GATHERED = 1 << 20
+SENT_BYTES = 4_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15 - 0x10)  # 5 modulo 8
 _INVERSE = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _VALUES, _OTHER_VALUES = np.random.default_rng(50).integers(1, 1 << 63, (2, 256), np.uint64)
@@ -199,8 +203,8 @@ def _cuts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
 
 
-_ROUTED = pa.schema([("shard", pa.int32()), ("rows", pa.binary()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("found", pa.binary()), ("open", pa.binary())])
-_ROUTED_DDL = "shard int, rows binary, doc_id long, mark long, found binary, open binary"
+_ROUTED = pa.schema([("shard", pa.int32()), ("rows", pa.binary()), ("place", pa.int32()), ("post", pa.binary())])
+_ROUTED_DDL = "shard int, rows binary, place int, post binary"
 _ANSWER_DDL = "doc_id long, mark long, found binary, open binary"
 
 
@@ -215,14 +219,54 @@ def _answers(doc: np.ndarray, mark: np.ndarray, found: np.ndarray, values: np.nd
         yield pa.array(doc[ends[:-1]], pa.int64()), pa.array(mark[ends[:-1]].astype(np.int64), pa.int64()), pa.array([values[a:b][found[a:b]].tobytes() for a, b in spans], pa.binary()), pa.array([values[a:b][~found[a:b]].tobytes() for a, b in spans], pa.binary())
 
 
-def _routed(numbers: np.ndarray, rows: list[tuple[int, bytes]], answers):
-    """Batches of what goes to shards, by their numbers, and of what was settled here and passes through them."""
-    if rows:
-        n = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(numbers[[x[0] for x in rows]], pa.int32()), pa.array([x[1] for x in rows], pa.binary()), *(pa.nulls(n, f.type) for f in list(_ROUTED)[2:])], schema=_ROUTED)
-    for doc, mark, found, open_ in answers:
-        shard = np.abs(doc.to_numpy() * 31 + 7) % len(numbers)
-        yield pa.RecordBatch.from_arrays([pa.array(numbers[shard], pa.int32()), pa.nulls(len(doc), pa.binary()), doc, mark, found, open_], schema=_ROUTED)
+def _routed(numbers: np.ndarray, rows: list[tuple[int, bytes]], posts: list[tuple[int, bytes]]):
+    """Batches of what goes to shards, by their numbers, and of what was settled here and passes through them to its place."""
+    for routed, first in ((rows, 0), (posts, 2)):
+        at = 0
+        for cut in _lots([len(x[1]) for x in routed]):
+            part, at = routed[at:cut], cut
+            to, blobs = np.array([x[0] for x in part], np.int32), pa.array([x[1] for x in part], pa.binary())
+            none = [pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary())]
+            columns = [pa.array(numbers[to], pa.int32()), blobs, *none] if first == 0 else [pa.array(numbers[to % len(numbers)], pa.int32()), none[1], pa.array(to, pa.int32()), blobs]
+            yield pa.RecordBatch.from_arrays(columns, schema=_ROUTED)
+
+
+def _posts(places: int, doc: np.ndarray, mark: np.ndarray, found: np.ndarray, values: np.ndarray) -> list[tuple[int, bytes]]:
+    """What is known of documents as a blob for each place where theirs is put together."""
+    place = (mix(doc.astype(np.uint64)) % np.uint64(places)).astype(np.int64)
+    order = np.lexsort((mark, doc, place))
+    place, doc, mark, found, values = (x[order] for x in (place, doc, mark, found, values))
+    new = np.ones(len(doc), bool)
+    new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])
+    first, local = np.flatnonzero(new), np.cumsum(new) - 1
+    cut = _cuts(place)
+    return [(int(place[x]), _pack_table(local[x:y], doc[first], mark[first], found[x:y].astype("u1"), values[x:y])) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _lots(sizes: list[int]) -> list[int]:
+    """Where lots of about SENT_BYTES end, each of one row at least."""
+    lot = (np.cumsum(sizes) - sizes) // SENT_BYTES if sizes else np.zeros(0, np.int64)
+    return _cuts(lot)[1:].tolist()
+
+
+class _Gathered:
+    """Columns of the documents and rows of several batches; a row names its document by its place."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.n = self.docs = 0
+
+    def add(self, ids: np.ndarray, marks: np.ndarray, which: np.ndarray, *columns: np.ndarray) -> None:
+        self.parts.append((ids, marks, (which + self.docs).astype(np.int32), *columns))
+        self.n, self.docs = self.n + len(which), self.docs + len(ids)
+
+    def full(self) -> bool:
+        return max(self.n, self.docs) >= GATHERED
+
+    def take(self) -> list[np.ndarray]:
+        out = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
+        self.__init__()
+        return out
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -231,48 +275,83 @@ def _planes(x: np.ndarray) -> bytes:
 
 
 def _pack_table(local: np.ndarray, doc: np.ndarray, mark: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Columns of a batch's rows with a table of its documents; local: the row's document in the table, ascending."""
-    used, place = np.unique(local, return_inverse=True)
-    return b"".join([struct.pack("<II", len(used), len(local)), doc[used].astype("<i8").tobytes(), mark[used].astype("<u4").tobytes(), _planes(place.astype("<u2")), *map(_planes, columns)])
+    """Columns of rows with a table of their documents and how many rows each has; local: the row's document in doc, ascending."""
+    cut = _cuts(local)
+    used = local[cut[:-1]]
+    steps = np.diff(doc[used], prepend=np.int64(0)).astype("<i8")  # ids mostly ascend: small steps pack well
+    return b"".join([struct.pack("<II", len(used), len(local)), *map(_planes, (steps, mark[used].astype("<u4"), np.diff(cut).astype("<u4"), *columns))])
 
 
 def _unpack_table(blob: bytes, *kinds: str) -> list[np.ndarray]:
     m, n = struct.unpack_from("<II", blob)
-    at, out = 8 + 12 * m, [np.frombuffer(blob, "<i8", m, 8), np.frombuffer(blob, "<u4", m, 8 + 8 * m)]
-    for kind in ("<u2", *kinds):
+    at, out = 8, []
+    for kind, rows in (("<i8", m), ("<u4", m), ("<u4", m), *((k, n) for k in kinds)):
         size = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel())
-        at += n * size
-    return [out[0][out[2]], out[1][out[2]], *out[3:]]
+        out.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, rows * size, at).reshape(size, rows).T).view(kind).ravel())
+        at += rows * size
+    return [np.repeat(np.cumsum(out[0]), out[2]), np.repeat(out[1], out[2]), *out[3:]]
 
 
-def _per_shard(df: DataFrame, work, shards: int):
-    """work(list of blobs) for each shard; shards of a task follow one another, and answers pass through.
+def _per_shard(df: DataFrame, work, shards: int, values: np.dtype) -> DataFrame:
+    """work(list of blobs) for each shard, and what it finds put together for each document: doc_id, mark, found, open.
 
-    Two shards a task, so that none is above the others; a task that is lost costs its shards only.
+    Shards of a task follow one another, two a task, so that none is above the others; a task that is lost costs its shards
+    only. It sends a blob for each place, so rows don't grow with the answers, and what was settled before passes through.
     """
+    places = tasks_of(shards)
 
     def run(batches):
-        now, held = None, []
+        now, held, known = None, [], []
+
+        def posted():
+            lots = _posts(places, *(np.concatenate(x) for x in zip(*known, strict=True))) if known else []
+            known.clear()
+            at = 0
+            for cut in _lots([len(x[1]) for x in lots]):
+                part, at = lots[at:cut], cut
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int32()), pa.array([x[1] for x in part], pa.binary())], names=["place", "post"])
+
         for batch in batches:
-            shards = batch.column(0).to_pylist()
+            numbers = batch.column(0).to_pylist()
             passing = batch.column(1).is_null()
             if (n := passing.true_count) > 0:
-                yield pa.RecordBatch.from_arrays([c.filter(passing) for c in batch.columns[2:]], names=["doc_id", "mark", "found", "open"])
-            if n == len(shards):
+                yield pa.RecordBatch.from_arrays([c.filter(passing) for c in batch.columns[2:]], names=["place", "post"])
+            if n == len(numbers):
                 continue
-            for shard, rows in zip(shards, batch.column(1), strict=True):
+            for shard, rows in zip(numbers, batch.column(1), strict=True):
                 if not rows.is_valid:
                     continue
                 if shard != now and held:
-                    yield from work(held)
+                    known.append(work(held))
                     held = []
+                    if sum(len(x[0]) for x in known) >= GATHERED:
+                        yield from posted()
                 now = shard
                 held.append(rows.as_py())
         if held:
-            yield from work(held)
+            known.append(work(held))
+        yield from posted()
+
+    def together(batches):
+        now, held = None, []
+        for batch in batches:
+            for place, post in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if place != now and held:
+                    yield from _put_together(held, values)
+                    held = []
+                now = place
+                held.append(post.as_py())
+        if held:
+            yield from _put_together(held, values)
+
+    posts = df.repartition(places, "shard").sortWithinPartitions("shard").mapInArrow(run, "place int, post binary")
+    return posts.repartition(places, "place").sortWithinPartitions("place").mapInArrow(together, _ANSWER_DDL)
 
-    return df.repartition(tasks_of(shards), "shard").sortWithinPartitions("shard").mapInArrow(run, _ANSWER_DDL)
+
+def _put_together(blobs: list[bytes], values: np.dtype):
+    doc, mark, found, known = (np.concatenate(x) for x in zip(*(_unpack_table(blob, "u1", values) for blob in blobs), strict=True))
+    for columns in _answers(doc, mark, found.astype(bool), known):
+        yield pa.RecordBatch.from_arrays(list(columns), names=["doc_id", "mark", "found", "open"])
 
 
 def tasks_of(shards: int) -> int:
@@ -284,11 +363,6 @@ def shard_numbers(shards: int) -> np.ndarray:
     return dealt_numbers(shards, tasks_of(shards))
 
 
-def _batches(answers):
-    for cols in answers:
-        yield pa.RecordBatch.from_arrays(list(cols), names=["doc_id", "mark", "found", "open"])
-
-
 def _smaller_here(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each row: the smallest doc of its key among these rows."""
     least = np.empty(len(keys), np.int64)
@@ -311,28 +385,32 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shards
     """doc_id, mark (crc32 of the text), found and hits: extents and window starts that occur in smaller doc_ids.
 
     docs: doc_id, text and mark, none null; the second round joins it as the caller joins the result, so that both share
-    one shuffle of the texts. A batch settles what its own documents show: an anchor whose extent is in a smaller
-    doc_id of the batch is found, one of which only the seed is goes straight to the second round. So a passage that a
-    third of all documents share sends one row for each batch.
+    one shuffle of the texts. A task settles what the documents it gathers show: an anchor whose extent is in a smaller
+    doc_id of these is found, one of which only the seed is goes straight to the second round. So a passage that a
+    third of all documents share sends one row for each lot that is gathered.
     """
     if not 0 < seed <= length <= seed + 127:
         raise ValueError("an anchor's windows, length - seed + 1 of them at most, are counted in seven bits")
     shards = shards or max(min(shards_for(docs, SHARD_BYTES), MANY_SHARDS), shards_for(docs, MOST_SHARD_BYTES))
 
     def index():
-        numbers = shard_numbers(shards)
+        numbers, places, held = shard_numbers(shards), tasks_of(shards), _Gathered()
 
         def step(batch):
-            data, ends, raw = _laid(batch, 1)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            marks = np.array([zlib.crc32(x) for x in raw], np.uint32)
-            which, seeds, extent, at, a, b = anchors(data, ends, length, seed)
+            if batch is not None:
+                data, ends, raw = _laid(batch, 1)
+                which, seeds, extent, _, a, b = anchors(data, ends, length, seed)
+                held.add(batch.column(0).to_numpy(zero_copy_only=False), np.array([zlib.crc32(x) for x in raw], np.uint32), which, seeds, extent, a.astype("<u4"), (b - a).astype("u1"))
+            if held.n and (batch is None or held.full()):
+                yield from settled(*held.take())
+
+        def settled(ids, marks, which, seeds, extent, a, more):
             doc = ids[which]
             least = _smaller_here(seeds, doc)
             least_extent = _smaller_here(classes(extent, seeds), doc)
             here = least < doc
             values = np.zeros(len(which), _EXTENT)
-            values["a"], values["more"] = a, b - a
+            values["a"], values["more"] = a, more
             # a seed with anchors for the second round asks for all its anchors
             asks = np.isin(seeds, seeds[here & (least_extent == doc)])
             send = np.flatnonzero(~here)
@@ -341,8 +419,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shards
             rows = []
             for x, y in zip(_cuts(shard)[:-1], _cuts(shard)[1:], strict=True):
                 s = send[x:y]
-                rows.append((int(shard[x]), _pack_table(which[s], ids, marks, (seeds[s] >> np.uint64(32)).astype("<u4"), seeds[s].astype("<u2"), extent[s].astype("<u8"), a[s].astype("<u4"), ((b - a)[s]).astype("u1") | (asks[s].astype("u1") << 7))))
-            yield from _routed(numbers, rows, _answers(doc[here], marks[which][here], (least_extent < doc)[here], values[here]))
+                rows.append((int(shard[x]), _pack_table(which[s], ids, marks, (seeds[s] >> np.uint64(32)).astype("<u4"), seeds[s].astype("<u2"), extent[s].astype("<u8"), a[s], more[s] | (asks[s].astype("u1") << 7))))
+            yield from _routed(numbers, rows, _posts(places, doc[here], marks[which][here], (least_extent < doc)[here], values[here]))
 
         return step
 
@@ -363,49 +441,53 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, shards
         use = found | asked[group]
         values = np.zeros(int(use.sum()), _EXTENT)
         values["a"], values["more"] = a[use], more[use] & 127
-        yield from _batches(_answers(doc[use], mark[use], found[use], values))
+        return doc[use], mark[use], found[use], values
 
     long_enough = docs.select("doc_id", "text").where(F.octet_length("text") >= length)
-    answers = _per_shard(arrow_map(long_enough, _ROUTED_DDL, index), scan, shards)
-    some = lambda c: F.filter(F.collect_list(c), lambda x: F.octet_length(x) > 0)
-    first_round = materialize(answers.groupBy("doc_id", "mark").agg(some("found").alias("found"), some("open").alias("open")), "repeat-anchors")
+    answers = _per_shard(arrow_map(long_enough, _ROUTED_DDL, index, last=True), scan, shards, _EXTENT)
+    with shuffles_dropped(docs.sparkSession):  # the second round's come in their place
+        first_round = materialize(answers, "repeat-anchors")
 
     def windows():
-        numbers = shard_numbers(shards)
+        numbers, places, held = shard_numbers(shards), tasks_of(shards), _Gathered()
 
         def step(batch):
-            data, ends, raw = _laid(batch, 1)
-            begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            marks = np.array([zlib.crc32(x) for x in raw], np.uint32)
-            at, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, open_ in enumerate(batch.column(2).to_pylist()):
-                f = np.frombuffer(b"".join(open_), _EXTENT)
-                n = f["more"].astype(np.int64) + 1
-                at.append(np.repeat(f["a"].astype(np.int64), n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
-                which.append(np.full(len(at[-1]), i))
-            at, which = np.concatenate(at), np.concatenate(which)
-            s = begins[which] + at
-            key, other = Hasher(data).of(s, s + length), Hasher(data, _OTHER_VALUES).of(s, s + length).astype("<u4")
+            if batch is not None:
+                data, ends, raw = _laid(batch, 1)
+                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                at, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i, open_ in enumerate(batch.column(2).to_pylist()):
+                    f = np.frombuffer(open_, _EXTENT)
+                    n = f["more"].astype(np.int64) + 1
+                    at.append(np.repeat(f["a"].astype(np.int64), n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+                    which.append(np.full(len(at[-1]), i))
+                at, which = np.concatenate(at), np.concatenate(which)
+                s = begins[which] + at
+                key, other = Hasher(data).of(s, s + length), Hasher(data, _OTHER_VALUES).of(s, s + length).astype("<u4")
+                held.add(batch.column(0).to_numpy(zero_copy_only=False), np.array([zlib.crc32(x) for x in raw], np.uint32), which, at.astype("<u4"), key, other)
+            if held.n and (batch is None or held.full()):
+                yield from settled(*held.take())
+
+        def settled(ids, marks, which, at, key, other):
             doc = ids[which]
             least = _smaller_here(classes(other, key), doc)
             here = least < doc
             send = np.flatnonzero(~here)
             shard = ((key[send] >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
             send, shard = (x[np.argsort(shard, kind="stable")] for x in (send, shard))
-            rows = [(int(shard[x]), _pack_table(which[send[x:y]], ids, marks, key[send[x:y]].astype("<u8"), other[send[x:y]], at[send[x:y]].astype("<u4"))) for x, y in zip(_cuts(shard)[:-1], _cuts(shard)[1:], strict=True)]
-            yield from _routed(numbers, rows, _answers(doc[here], marks[which][here], np.ones(int(here.sum()), bool), at[here].astype("<u4")))
+            rows = [(int(shard[x]), _pack_table(which[send[x:y]], ids, marks, key[send[x:y]].astype("<u8"), other[send[x:y]], at[send[x:y]])) for x, y in zip(_cuts(shard)[:-1], _cuts(shard)[1:], strict=True)]
+            yield from _routed(numbers, rows, _posts(places, doc[here], marks[which][here], np.ones(int(here.sum()), bool), at[here]))
 
         return step
 
     def settle(blobs):
         doc, mark, key, other, at = (np.concatenate(x) for x in zip(*(_unpack_table(blob, "<u8", "<u4", "<u4") for blob in blobs), strict=True))
         hit = first_of(classes(other, key), doc) < doc
-        yield from _batches(_answers(doc[hit], mark[hit], np.ones(int(hit.sum()), bool), at[hit]))
+        return doc[hit], mark[hit], np.ones(int(hit.sum()), bool), at[hit]
 
-    open_docs = first_round.where("size(open) > 0").select("doc_id", "mark", "open")
-    hits = _per_shard(arrow_map(docs.join(open_docs, ["doc_id", "mark"]).select("doc_id", "text", "open"), _ROUTED_DDL, windows), settle, shards).groupBy("doc_id", "mark").agg(F.collect_list("found").alias("hits"))
-    return first_round.where("size(found) > 0").select("doc_id", "mark", "found").join(hits, ["doc_id", "mark"], "full")
+    open_docs = first_round.where("octet_length(open) > 0").select("doc_id", "mark", "open")
+    hits = _per_shard(arrow_map(docs.join(open_docs, ["doc_id", "mark"]).select("doc_id", "text", "open"), _ROUTED_DDL, windows, last=True), settle, shards, np.dtype("<u4")).select("doc_id", "mark", F.col("found").alias("hits"))
+    return first_round.where("octet_length(found) > 0").select("doc_id", "mark", "found").join(hits, ["doc_id", "mark"], "full")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -424,15 +506,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     marks = find_repeats(ordered, length, seed)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
     final = ordered.join(marks, ["doc_id", "mark"], "left").select("doc_id", "text", "found", "hits")
-    aside = base.where("doc_id is null or text is null").select("doc_id", "text", *[F.array().cast("array<binary>").alias(c) for c in ("found", "hits")])
+    aside = base.where("doc_id is null or text is null").select("doc_id", "text", *[F.lit(None).cast("binary").alias(c) for c in ("found", "hits")])
     final = final.unionByName(aside)
 
     def cut():
         def step(batch):
             size, removed, n_spans, kept = [], [], [], []
             for text, found, hits in zip(text_bytes(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
-                f = np.frombuffer(b"".join(found or ()), _EXTENT)
-                h = np.frombuffer(b"".join(hits or ()), "<u4").astype(np.int64)
+                f = np.frombuffer(found or b"", _EXTENT)
+                h = np.frombuffer(hits or b"", "<u4").astype(np.int64)
                 a = f["a"].astype(np.int64)
                 spans = _spans(np.concatenate([a, h]), np.concatenate([a + f["more"] + length, h + length])) if len(a) + len(h) else []
                 parts, at = [], 0

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,18 @@ def materialize_counted(df: DataFrame, name: str, counted: dict[str, Column]) ->
     return out, {k: got.get(x) or 0 for k, x in zip(counted, where, strict=True)}
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Jobs of DataFrames that begin in here delete their shuffles' files as they end; otherwise those wait for the driver's garbage collection."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def at_once(*work: Callable[[], object]) -> list:
     """Runs jobs that don't wait for each other side by side; all have ended when the first failure is raised."""
     with ThreadPoolExecutor(len(work)) as pool:

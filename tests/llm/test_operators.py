@@ -427,6 +427,27 @@ def test_substring_dedup(docs, empty, length, seed):
     assert substring_dedup.remove_repeats(clash, length, seed).exceptAll(got).count() == 0
 
 
+def test_substring_rounds_send_a_row_for_each_shard_not_each_batch(spark, monkeypatch):
+    """A task's rows to shards don't grow with its batches, and the first round's shuffles are gone when it ends."""
+    sent, per_shard = [], substring_dedup._per_shard
+    monkeypatch.setattr(substring_dedup, "_per_shard", lambda df, *more: sent.append(df) or per_shard(df, *more))
+    said = " ".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(9))
+    docs = spark.createDataFrame([(i, f"{hashlib.sha256(str(i).encode()).hexdigest() * 20} {said[i % 300 :][:90]}") for i in range(400)], "doc_id long, text string").coalesce(1).withColumn("mark", F.crc32(F.col("text").cast("binary")))
+    shuffles = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",").split(",") if "shuffle_" in x}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        before = shuffles()
+        substring_dedup.find_repeats(docs, shards=16)
+        for _ in range(100):
+            if not shuffles() - before:
+                break
+            time.sleep(0.1)
+        assert not shuffles() - before
+        assert sent[0].where("rows is not null").count() <= 16
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize(("length", "seed"), [(200, 24), (10, 11), (10, 0)])
 def test_lengths_that_cannot_be_counted_are_refused(docs, length, seed):
     with pytest.raises(ValueError, match="windows"):
