@@ -48,6 +48,12 @@ def orphans(df: DataFrame, column: str, parent: DataFrame, parent_key: str = "id
     return df.where(F.col(column).isNotNull()).join(parent.select(F.col(parent_key).alias(column)), column, "left_anti")
 
 
+def orphan_count(df: DataFrame, column: str, parent: DataFrame, parent_key: str = "id") -> DataFrame:
+    """n: how many rows orphans has. Both sides are counted by key, so neither is sent to the driver for a broadcast."""
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("k"), F.lit(False).alias("known")).unionByName(parent.select(F.col(parent_key).alias("k"), F.lit(True).alias("known")))
+    return rows.groupBy("k").agg(F.count_if(~F.col("known")).alias("n"), F.max("known").alias("known")).where("not known").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def nulls(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.where(" or ".join(f"{c} is null" for c in columns))
 
@@ -68,7 +74,7 @@ def violations(bank: dict[str, DataFrame]) -> DataFrame:
         for keys in sets:
             say(repeated(bank[t], keys), f"unique {t}({', '.join(keys)})")
     for t, column, parent in FOREIGN:
-        say(orphans(bank[t], column, bank[parent]), f"foreign key {t}({column})")
+        found.append(orphan_count(bank[t], column, bank[parent]).select(F.lit(f"foreign key {t}({column})").alias("rule"), "n"))
     for t, columns in NOT_NULL.items():
         say(nulls(bank[t], columns), f"not null {t}")
     for (t, column), most in MAX_LENGTH.items():
