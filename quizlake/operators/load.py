@@ -21,7 +21,7 @@ from quizlake import schemas
 from quizlake.functions import scalars as S
 from quizlake.operators import quality
 from quizlake.operators import report as R
-from quizlake.operators.merge import delta, insert_if_absent, last_by, over, sticky
+from quizlake.operators.merge import by_key, delta, insert_if_absent, last_by, over, sticky
 from quizlake.settings import Settings
 from quizlake.settings import read as read_settings
 from quizlake.sources import readers, snapshot
@@ -39,6 +39,8 @@ VERSION_FIELDS = ["stem_text", "stem_text_complete", "stem_image", "options", "o
 #: How often a load is done again where others were published meanwhile, and the seconds before the first time.
 ATTEMPTS = 5
 PAUSE = 0.5
+#: Changed rows whose keys go to every task that reads the table; more are joined by key.
+FEW = 10_000
 
 
 @dataclass
@@ -78,6 +80,8 @@ class State:
         self.parts, self.empty = parts, empty
         self.base = {t: df if "part" in df.columns else df.withColumn("part", F.lit(0)) for t, df in bank.items()}
         self.deltas: dict[str, DataFrame] = {}
+        self.added: set[str] = set()  # tables whose deltas hold new keys only
+        self.sizes: Counter[str] = Counter()  # rows of the deltas
         self.counts: Counter[str] = Counter()
         self.broken: Counter[str] = Counter()
 
@@ -90,21 +94,31 @@ class State:
             base, rows = base.withColumn("changed", F.lit(False)), None if rows is None else rows.withColumn("changed", F.lit(True))
         if rows is None:
             return base
-        return rows.select(*base.columns) if table in self.empty else over(base, rows, quality.PRIMARY[table])
+        if table in self.empty:
+            return rows.select(*base.columns)
+        return base.unionByName(rows.select(*base.columns)) if table in self.added else over(base, rows, quality.PRIMARY[table], self.sizes[table] <= FEW)
 
     def __getitem__(self, table: str) -> DataFrame:
         return self.table(table)
 
-    def put(self, table: str, rows: DataFrame, says: dict[str, Column]) -> DataFrame:
-        """Takes rows (with change) into the table; says: kinds of change, and which of the rows are of that kind."""
+    def put(self, table: str, rows: DataFrame, says: dict[str, Column], new: bool = False) -> DataFrame:
+        """Takes rows (with change) into the table; says: kinds of change, and which of the rows are of that kind; new: whether
+        none has a key that is in the table. Where all are new, the table is read without a join."""
         rules = quality.row_rules(table, rows.columns)
-        rows, n = materialize_counted(rows, table, {**says, **rules, "": F.lit(True)})
+        old = F.lit(not new) if "change" not in rows.columns else F.col("change") != "added"
+        rows, n = materialize_counted(rows, table, {**says, **rules, "": F.lit(True), "old": old})
         self.counts.update({k: n[k] for k in says})
         self.broken.update({k: n[k] for k in rules if n[k]})
         if n[""]:
             before = self.deltas.get(table)
             plain = rows.drop("change", "was")
-            self.deltas[table] = plain if before is None else over(before, plain, quality.PRIMARY[table])
+            self.sizes[table] += n[""]
+            if not n["old"]:
+                self.deltas[table] = plain if before is None else before.unionByName(plain)
+                self.added |= {table} if before is None else set()
+            else:
+                self.deltas[table] = plain if before is None else over(before, plain, quality.PRIMARY[table], n[""] <= FEW)
+                self.added -= {table}
         return rows
 
     def tables(self) -> dict[str, DataFrame]:
@@ -123,7 +137,7 @@ def load_exam_pattern(state: State, spark: SparkSession) -> None:
     """Sections that have no pattern get the default one; configured values stay."""
     default = spark.createDataFrame([(s, *map(float, DEFAULT_PATTERN.values()), 0) for s in SECTIONS], "section string, " + ", ".join(f"{k} double" for k in DEFAULT_PATTERN) + ", part int")
     new = insert_if_absent(state["exam_pattern"], _as_table(default, "exam_pattern"), ["section"])
-    state.put("exam_pattern", new, {"exam_pattern added": F.lit(True)})
+    state.put("exam_pattern", new, {"exam_pattern added": F.lit(True)}, new=True)
 
 
 def load_papers(state: State, sources: DataFrame) -> None:
@@ -159,7 +173,7 @@ def load_questions(state: State, records: DataFrame) -> None:
 def _mocks(state: State, rec: DataFrame) -> None:
     mocks = insert_if_absent(state["mocks"], rec.select(F.col("mock_id").alias("id"), "paper_id", "section", "part").distinct(), ["id"])
     mocks = mocks.join(F.broadcast(state["exam_pattern"].select("section", F.col("default_timer_sec").alias("timer_sec"))), "section").withColumn("status", F.lit("DRAFT"))  # a row for each section
-    state.put("mocks", _as_table(mocks, "mocks"), {"mocks added": F.lit(True)})
+    state.put("mocks", _as_table(mocks, "mocks"), {"mocks added": F.lit(True)}, new=True)
 
 
 def _versions(state: State, rec: DataFrame) -> None:
@@ -167,11 +181,11 @@ def _versions(state: State, rec: DataFrame) -> None:
     pairs = rec.groupBy("version_id").agg(F.min("ord").alias("first"), F.first("question_id").alias("question_id"), F.first("content_hash").alias("content_hash"), F.first("official_answer").alias("official_answer"), F.first("part").alias("part"), F.min_by(F.struct(*VERSION_FIELDS), "ord").alias("body"), F.max_by(F.struct(*TOPICS), "ord").alias("tags"))
     pairs = pairs.select(F.col("version_id").alias("id"), "question_id", "content_hash", "official_answer", "part", "first", "body.*", "tags.*")
     history = state["question_versions"]
-    fresh = pairs.join(history.select("id"), "id", "left_anti").select("id", "question_id", "first")
-    counts = history.join(fresh.select("question_id").distinct(), "question_id", "left_semi").groupBy("question_id").agg(F.max("version").alias("have"))
+    fresh = pairs.join(by_key(history.select("id")), "id", "left_anti").select("id", "question_id", "first")
+    counts = history.join(by_key(fresh.select("question_id").distinct()), "question_id", "left_semi").groupBy("question_id").agg(F.max("version").alias("have"))
     number = F.coalesce("have", F.lit(0)) + F.row_number().over(Window.partitionBy("question_id").orderBy("first", "id"))
-    numbered = fresh.join(counts, "question_id", "left").select("id", number.alias("version"))
-    pairs = pairs.drop("first").join(numbered, "id", "left").withColumn("created_at", F.current_timestamp())
+    numbered = fresh.join(by_key(counts), "question_id", "left").select("id", number.alias("version"))
+    pairs = pairs.drop("first").join(by_key(numbered), "id", "left").withColumn("created_at", F.current_timestamp())
     versions = state.put("question_versions", delta(history, pairs, ["id"], TOPICS), {"question versions added": added, "topic tags updated": ~added})
 
     maybe = F.filter(
@@ -196,7 +210,7 @@ def queue(state: State, items: DataFrame) -> None:
     key = ["paper_id", "section", "q_no", "source"]
     last = last_by(items, key, ["reasons"])
     known = state["questions"].select(F.col("mock_id").alias("_m"), F.col("q_no").alias("_n"), F.col("id").alias("question_id"))
-    rows = last.join(known, (_mock_id() == F.col("_m")) & (F.col("q_no") == F.col("_n")), "left").select(*key, "question_id", "reasons")
+    rows = last.join(by_key(known), (_mock_id() == F.col("_m")) & (F.col("q_no") == F.col("_n")), "left").select(*key, "question_id", "reasons")
     rows = rows.withColumns({"id": F.xxhash64(*key), "status": F.lit("OPEN"), "created_at": F.current_timestamp(), "part": snapshot.part_of(F.col("paper_id"), state.parts)})
     state.put("review_queue", delta(state["review_queue"], rows, key, ["question_id", "reasons"], F.col("status") == "OPEN"), _added_or_updated("review items"))
 
@@ -209,7 +223,7 @@ def load_verifications(state: State, records: DataFrame) -> DataFrame:
     """Runs go to the version they solved; verdicts set the status of current versions. Gives the questions covered."""
     versions = state["question_versions"]
     current = versions.select(F.col("id").alias("current_version_id"), F.col("content_hash").alias("_h"), F.col("official_answer").alias("_a"))
-    rec = records.withColumn("question_id", question_id(_mock_id(), F.col("q_no"))).join(state["questions"].select(F.col("id").alias("question_id"), "current_version_id", "part"), "question_id").join(current, "current_version_id", "left")
+    rec = records.withColumn("question_id", question_id(_mock_id(), F.col("q_no"))).join(by_key(state["questions"].select(F.col("id").alias("question_id"), "current_version_id", "part")), "question_id").join(by_key(current), "current_version_id", "left")
     counts = F.coalesce(F.col("official_answer").eqNullSafe(F.col("_a")) & F.exists("verifications", lambda v: v["question_version"] == F.col("_h")), F.lit(False))
     rec = materialize(rec.withColumn("on_current", counts).drop("_h", "_a"), "verdict-records")
 
@@ -221,7 +235,7 @@ def load_verifications(state: State, records: DataFrame) -> DataFrame:
 def _runs(state: State, rec: DataFrame, versions: DataFrame) -> None:
     runs = rec.select("question_id", "official_answer", "ord", "part", F.posexplode("verifications").alias("place", "run"))
     runs = runs.withColumn("question_version_id", version_id(F.col("question_id"), F.col("run.question_version"), F.col("official_answer")))
-    found = runs.join(versions.select(F.col("id").alias("question_version_id"), F.lit(True).alias("known")), "question_version_id", "left").drop("question_id", "official_answer")
+    found = runs.join(by_key(versions.select(F.col("id").alias("question_version_id"), F.lit(True).alias("known"))), "question_version_id", "left").drop("question_id", "official_answer")
     found, n = materialize_counted(found, "runs", {"stale": F.col("known").isNull()})
     state.counts["stale solver runs skipped"] += n["stale"]
     key = ["question_version_id", "solver_id", "prompt_version"]
@@ -229,12 +243,12 @@ def _runs(state: State, rec: DataFrame, versions: DataFrame) -> None:
     placed = placed.withColumn("steps", F.coalesce("steps", F.array().cast("array<string>"))).withColumn("valid", F.coalesce("valid", F.lit(True)))
     first = placed.groupBy(*key).agg(F.min_by(F.struct(*[c for c in placed.columns if c not in (*key, "ord")]), "ord").alias("b")).select(*key, "b.*")
     new = insert_if_absent(state["answer_verifications"], first, key).withColumn("id", F.xxhash64(*key)).withColumn("created_at", F.current_timestamp())
-    state.put("answer_verifications", _as_table(new, "answer_verifications"), {"solver runs added": F.lit(True)})
+    state.put("answer_verifications", _as_table(new, "answer_verifications"), {"solver runs added": F.lit(True)}, new=True)
 
 
 def _statuses(state: State, on: DataFrame, versions: DataFrame) -> None:
     verdicts = on.groupBy(F.col("current_version_id").alias("id")).agg(F.collect_set("status").alias("all"), F.max_by("status", F.when(F.col("status").isNotNull(), F.col("ord"))).alias("last"))  # a record without a status says nothing
-    set_ = versions.select("id", "key_status").join(verdicts, "id").select("id", sticky(F.col("key_status"), REVIEWED, F.col("all"), F.col("last")).alias("key_status"))
+    set_ = versions.select("id", "key_status").join(by_key(verdicts), "id").select("id", sticky(F.col("key_status"), REVIEWED, F.col("all"), F.col("last")).alias("key_status"))
     state.put("question_versions", delta(versions, set_, ["id"], ["key_status"]), {"key statuses set": F.lit(True)})
 
 
@@ -260,19 +274,19 @@ def set_verdicts(state: State, verdicts: DataFrame) -> None:
 
 def withdraw_verdicts(state: State, covered: DataFrame) -> None:
     """Verdicts of current versions that no record gives any more; a reviewed key stays."""
-    open_ = state["questions"].select(F.col("id").alias("question_id"), F.col("current_version_id").alias("id")).join(covered, "question_id", "left_anti")
+    open_ = state["questions"].select(F.col("id").alias("question_id"), F.col("current_version_id").alias("id")).join(by_key(covered), "question_id", "left_anti")
     versions = state["question_versions"]
-    rows = versions.where(~F.col("key_status").isin("UNVERIFIED", REVIEWED)).select("id").join(open_.select("id"), "id", "left_semi").select("id", F.lit("UNVERIFIED").alias("key_status"))
+    rows = versions.where(~F.col("key_status").isin("UNVERIFIED", REVIEWED)).select("id").join(by_key(open_.select("id")), "id", "left_semi").select("id", F.lit("UNVERIFIED").alias("key_status"))
     state.put("question_versions", delta(versions, rows, ["id"], ["key_status"]), {"key statuses withdrawn": F.lit(True)})
 
 
 def publishable(bank: State | dict[str, DataFrame]) -> DataFrame:
     """id, ready of every mock: as many questions as its pattern wants, and every one fit with a confirmed key."""
     current = bank["question_versions"].select(F.col("id").alias("current_version_id"), "key_status")
-    q = bank["questions"].select(F.col("id").alias("q_id"), "mock_id", "status", "current_version_id").withColumnRenamed("status", "q_status").join(current, "current_version_id", "left")
+    q = bank["questions"].select(F.col("id").alias("q_id"), "mock_id", "status", "current_version_id").withColumnRenamed("status", "q_status").join(by_key(current), "current_version_id", "left")
     fit = F.coalesce((F.col("q_status") != "REJECTED") & F.col("key_status").isin(*CONFIRMED), F.lit(False))
     per = q.groupBy("mock_id").agg(F.count("q_id").alias("n"), F.every(fit).alias("fit"))
-    rows = bank["mocks"].join(F.broadcast(bank["exam_pattern"].select("section", "questions")), "section").join(per, F.col("id") == F.col("mock_id"), "left")
+    rows = bank["mocks"].join(F.broadcast(bank["exam_pattern"].select("section", "questions")), "section").join(by_key(per), F.col("id") == F.col("mock_id"), "left")
     return rows.select("id", ((F.coalesce("n", F.lit(0)) == F.col("questions")) & F.coalesce("fit", F.lit(True))).alias("ready"))
 
 

@@ -8,9 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """df as a side of a join that deals both sides out by key. Sides that Spark would broadcast go through the driver, and how
+    many are small enough for that changes with the bank's size; these don't, at any size."""
+    return df.hint("merge")
+
+
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of incoming whose key isn't there yet; incoming has a key once."""
-    return incoming.join(existing.select(*keys), keys, "left_anti")
+    return incoming.join(by_key(existing.select(*keys)), keys, "left_anti")
 
 
 def last_by(rows: DataFrame, keys: list[str], values: list[str], ord_: str = "ord") -> DataFrame:
@@ -44,7 +50,7 @@ def delta(existing: DataFrame, incoming: DataFrame, keys: list[str], values: lis
     """
     more = [c for c in incoming.columns if c not in keys and c not in values]
     new = incoming.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in [*values, *more]])
-    both = new.join(existing.withColumn("_old", F.lit(True)), keys, "left")
+    both = new.join(by_key(existing.withColumn("_old", F.lit(True))), keys, "left")
     may = F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False))
     differs = reduce(lambda a, b: a | b, [~F.col(v).eqNullSafe(F.col(f"_new_{v}")) for v in values], F.lit(False))
     both = both.withColumn("change", F.when(F.col("_old").isNull(), "added").when(may & differs, "updated")).where("change is not null")
@@ -52,9 +58,10 @@ def delta(existing: DataFrame, incoming: DataFrame, keys: list[str], values: lis
     return both.select(*[take(c).alias(c) for c in existing.columns], "change", F.struct(*[F.col(v) for v in values or keys]).alias("was"))
 
 
-def over(existing: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """existing with rows in place of those of their keys."""
-    return existing.join(rows.select(key), key, "left_anti").select(*existing.columns).unionByName(rows.select(*existing.columns))
+def over(existing: DataFrame, rows: DataFrame, key: str, few: bool = False) -> DataFrame:
+    """existing with rows in place of those of their keys; few: whether rows are known to be so few that all tasks may have their keys."""
+    keys = rows.select(key)
+    return existing.join(F.broadcast(keys) if few else by_key(keys), key, "left_anti").select(*existing.columns).unionByName(rows.select(*existing.columns))
 
 
 def sticky(old: Column, held: str, statuses: Column, last: Column) -> Column:

@@ -11,6 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quizlake.operators.merge import by_key
+from quizlake.sources.scratch import materialize
+
 UNIQUE = {
     "exam_pattern": [["section"]], "papers": [["id"], ["sha256"]], "mocks": [["id"], ["paper_id", "section"]], "questions": [["id"], ["mock_id", "q_no"]],
     "question_versions": [["id"], ["question_id", "version"], ["question_id", "content_hash", "official_answer"]], "question_assets": [["id"], ["question_version_id", "kind"]],
@@ -33,10 +36,10 @@ NAMED = 20
 
 
 class Refused(ValueError):
-    """Rows of a load break constraints of the bank. rules: how many break each."""
+    """Rows of a load break constraints of the bank. rules: how many break each; found: what ``refused`` gives of that load."""
 
-    def __init__(self, rules: dict[str, int], rows: list[str]):
-        self.rules = rules
+    def __init__(self, rules: dict[str, int], rows: list[str], found: DataFrame | None = None):
+        self.rules, self.found = rules, found
         super().__init__("; ".join(f"{rule}: {n}" for rule, n in sorted(rules.items())) + "".join(f"\n{row}" for row in rows))
 
 
@@ -128,17 +131,18 @@ def _key_breaches(state, parts: dict[str, list[int]] | None = None) -> DataFrame
     out = reduce(DataFrame.unionByName, keys).groupBy("rule", "table", "row").agg(F.count("*").alias("n"), F.count_if(F.col("changed")).alias("own")).where("n > 1 and own > 0").select("rule", "table", "row")
     if children:
         have = [state.table(t, None if parts is None else sorted(p)).select(F.struct(F.lit(t).alias("of"), F.col(PRIMARY[t]).cast("string").alias("key")).alias("parent")) for t, p in parents.items()]
-        out = out.unionByName(reduce(DataFrame.unionByName, children).join(reduce(DataFrame.unionByName, have), "parent", "left_anti").drop("parent"))
+        out = out.unionByName(reduce(DataFrame.unionByName, children).join(by_key(reduce(DataFrame.unionByName, have)), "parent", "left_anti").drop("parent"))
     return out
 
 
-def refused(state) -> DataFrame:
+def refused(state, keys: DataFrame | None = None) -> DataFrame:
     """rule, table, row (as JSON: its primary key, or the key that the rule names) of every changed row that breaks a rule.
 
-    state: a load that isn't published (its changed rows in ``deltas``, every table as it leaves it by name).
+    state: a load that isn't published (its changed rows in ``deltas``, every table as it leaves it by name); keys: its breaches
+    of keys and references, where they are known.
     """
-    found = _key_breaches(state)
-    out = [] if found is None else [found]
+    keys = _key_breaches(state) if keys is None else keys
+    out = [] if keys is None else [keys]
     for t, rows in state.deltas.items():
         rules = row_rules(t, rows.columns)
         broken = F.filter(F.array(*[F.when(c, F.lit(rule)) for rule, c in rules.items()]), lambda x: x.isNotNull())
@@ -153,6 +157,8 @@ def require(state, parts: dict[str, list[int]] | None = None) -> None:
     rules = dict(state.broken)
     keys = _key_breaches(state, parts)
     if keys is not None:
+        keys = materialize(keys, "breaches")  # to count, name and give them; the tables' keys are gone through once
         rules |= {r.rule: r["count"] for r in keys.groupBy("rule").count().collect()}  # a row for each rule at most
     if rules:
-        raise Refused(rules, [f"{r.rule}: {r.table} {r.row}" for r in refused(state).orderBy("rule", "row").limit(NAMED).collect()])
+        found = materialize(refused(state, keys), "refused")
+        raise Refused(rules, [f"{r.rule}: {r.table} {r.row}" for r in found.orderBy("rule", "row").limit(NAMED).collect()], found)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quizlake import schemas
 from quizlake.functions import scalars as S
 from quizlake.operators import intake, load, quality, report, serve
-from quizlake.operators.merge import last_by
+from quizlake.operators.merge import by_key, last_by
 from quizlake.operators.ordered import numbered
 from quizlake.plans import inputs as I
 from quizlake.plans.demo import ORACLE_SQL as _DEMO_SQL
@@ -464,11 +464,13 @@ def bank_refused(spark, d):
     load.load_questions(state, records)
     try:
         quality.require(state, snapshot.affected(state.deltas))
+        found = quality.refused(state)
     except quality.Refused as e:
         assert len(e.rules) == 5, e.rules
-    found = quality.refused(state).withColumn("version", F.when(F.col("table") == "question_versions", F.get_json_object("row", "$.id").cast("long")))
-    names = state["question_versions"].select(F.col("id").alias("version"), "question_id").join(state["questions"].select(F.col("id").alias("question_id"), "mock_id", "q_no"), "question_id")
-    return found.join(names, "version", "left").select("rule", "table", F.coalesce(F.concat(F.col("mock_id"), F.lit(" "), F.col("q_no").cast("string")), F.col("row")).alias("what"))
+        found = e.found
+    found = found.withColumn("version", F.when(F.col("table") == "question_versions", F.get_json_object("row", "$.id").cast("long")))
+    names = state["question_versions"].select(F.col("id").alias("version"), "question_id").join(by_key(state["questions"].select(F.col("id").alias("question_id"), "mock_id", "q_no")), "question_id")
+    return found.join(by_key(names), "version", "left").select("rule", "table", F.coalesce(F.concat(F.col("mock_id"), F.lit(" "), F.col("q_no").cast("string")), F.col("row")).alias("what"))
 
 
 def _with_date(tables):
