@@ -47,13 +47,14 @@ def mocks(bank: Bank, section: str | None = None, status: str | None = None) ->
 
 def _current(bank: Bank, questions: DataFrame) -> DataFrame:
     v = bank["question_versions"].withColumnRenamed("id", "version_id").drop("question_id", "created_at")
-    rows = questions.join(v, F.col("current_version_id") == F.col("version_id"))
+    rows = F.broadcast(questions).join(v, F.col("current_version_id") == F.col("version_id"))
     return rows.withColumns({"stem_image_url": S.asset_url(F.col("stem_image")), "review_crop_url": S.asset_url(F.col("question_crop")), "options": S.option_urls(F.col("options"))})
 
 
 def _admin(bank: Bank, questions: DataFrame) -> DataFrame:
     fields = ["solver_id", "prompt_version", "model", "method", "solver_answer", "matches_key", "check_passed", "confidence", "steps", "check_code"]
-    runs = bank["answer_verifications"].groupBy("question_version_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("verifications"))
+    shown = questions.select(F.col("current_version_id").alias("question_version_id"))
+    runs = bank["answer_verifications"].join(F.broadcast(shown), "question_version_id", "left_semi").groupBy("question_version_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("verifications"))
     rows = _current(bank, questions).join(runs, F.col("version_id") == F.col("question_version_id"), "left")
     kind = runs.schema["verifications"].dataType
     return rows.withColumn("verifications", F.coalesce("verifications", F.array().cast(kind))).select(*ADMIN)
