@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quizlake.functions import scalars as S
 from quizlake.operators.ordered import filled
 from quizlake.sources.readers import document_text
+from quizlake.sources.scratch import materialize
 
 # Fixed values of the acceptance rules.
 QUESTIONS_PER_SHEET = 100
@@ -35,8 +36,9 @@ def events(spans: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda x: x["text"]), "").alias("raw"),
         F.first("line_x0").alias("x0"), F.first("line_y0").alias("y0"), F.first("line_x1").alias("x1"),
     )
-    text = S.strip(S.plain_spaces(F.col("raw")))
-    line = line.withColumn("text", text)
+    plain = S.plain_spaces(F.col("raw"))
+    line = line.where(plain.contains("Section :") | plain.contains("Q.") | plain.contains("Question ID"))  # half the lines need no pattern
+    line = line.withColumn("text", S.strip(plain))
     t = F.col("text")
     kind = F.when(t.startswith("Section :"), "section").when(t.rlike(r"^Q\.\d+"), "label").when(t.rlike(S.QUESTION_ID), F.when(F.col("x1") > CLIPPED_X1, "clipped").otherwise("qid"))
     value = F.when(t.startswith("Section :"), S.strip(F.expr("substr(text, locate(':', text) + 1)"))).when(t.rlike(r"^Q\.\d+"), t).otherwise(F.regexp_extract(t, S.QUESTION_ID, 1))
@@ -48,6 +50,7 @@ def events(spans: DataFrame) -> DataFrame:
 def with_section(ev: DataFrame) -> DataFrame:
     """Each event with its place in the file and the section in force there: the last header before it in layout order."""
     code = F.when(F.col("kind") == "section", S.section_code(F.col("value")))
+    ev = materialize(ev, "events")  # else a range sort makes them once to sample them and once to deal them
     return filled(ev, "file", ["page_no", "y0", "x0", "kind", "value"], code, "section")
 
 
@@ -75,13 +78,13 @@ def scan(docs: DataFrame, pages: DataFrame, spans: DataFrame) -> DataFrame:
     in_order = lambda c: F.transform(F.array_sort(F.flatten(F.collect_list(c))), lambda x: x["value"])
     found = _by_section(ev, listed("qid").alias("ids"), listed("clipped").alias("clipped")).groupBy("file").agg(in_order("ids").alias("qids"), in_order("clipped").alias("clipped_qids"), _sections().alias("sections"))
     clean = pages.withColumn("text", S.plain_spaces(F.col("text")))
-    ads = clean.groupBy("file").agg(F.array_sort(F.collect_list(F.when(F.length(S.strip(F.col("text"))) < AD_PAGE_CHARS, F.col("page_no")))).alias("ad_pages"))
     t = F.col("text")
-    text = document_text(clean).select(
-        "file", t.contains(S.HEADER).alias("header"), S.header_date(t).alias("header_date"), S.header_slot(t).alias("header_hhmm"),
+    ad = F.when(F.length(S.strip(t)) < AD_PAGE_CHARS, F.col("page_no"))
+    text = document_text(clean, F.array_sort(F.collect_list(ad)).alias("ad_pages")).select(
+        "file", "ad_pages", t.contains(S.HEADER).alias("header"), S.header_date(t).alias("header_date"), S.header_slot(t).alias("header_hhmm"),
         F.regexp_count(t, F.lit(r"Option [1-4] ID\s*:\s*\d+")).alias("option_ids"), F.regexp_count(t, F.lit(r"Status\s*:")).alias("statuses"), F.regexp_count(t, F.lit(r"Chosen Option\s*:")).alias("chosen"),
     )
-    out = docs.join(text, "file", "left").join(ads, "file", "left").join(found, "file", "left")
+    out = docs.join(text, "file", "left").join(found, "file", "left")
     none = F.array().cast("array<string>")
     return out.select(
         "file", "sha256", F.col("page_count").alias("pages"), F.coalesce("producer", F.lit("")).alias("producer"), "annotations", F.coalesce("header", F.lit(False)).alias("header"), "header_date", "header_hhmm", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("option_ids", "statuses", "chosen")],

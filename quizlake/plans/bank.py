@@ -218,7 +218,7 @@ def sheet_summary(spark, d):
 @query(f"SELECT filename, stored_path FROM ({_RECORDS}) WHERE accepted AND NOT CAST(sha256 AS BIGINT) % 3 = 0")
 def sheet_copies(spark, d):
     """What is to be copied where a third of the files is there already, and others lie there with other bytes."""
-    records = _intake(spark, d)[0]
+    records = scratch.materialize(_intake(spark, d)[0], "records")
     stored = records.where("accepted").select(F.col("stored_path").alias("path"), F.when(F.col("sha256").cast("long") % 3 == 0, F.col("sha256")).otherwise("x").alias("sha256"))
     return intake.to_copy(records, stored).select("filename", "stored_path")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizlake import schemas
@@ -68,7 +68,7 @@ def manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Data
     return sources, doc.select(F.inline("duplicates")), doc.select(F.explode("excluded").alias("name"))
 
 
-def document_text(pages: DataFrame) -> DataFrame:
-    """file, text: the pages of a file in order, joined by line feeds."""
+def document_text(pages: DataFrame, *more: Column) -> DataFrame:
+    """file, text: the pages of a file in order, joined by line feeds; and more that is made of all pages of a file."""
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))
-    return pages.groupBy("file").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
+    return pages.groupBy("file").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"), *more)
