@@ -11,14 +11,21 @@ HEADER = "Combined Graduate Level Examination 2024 Tier I"
 QUESTION_ID = r"Question ID\s*:\s*(\d+)"
 FILE_NAME = r"English_(\d{2})\.(\d{2})\.(\d{4})_(\d{1,2})\.(\d{2})-(AM|PM)-\d{1,2}\.\d{2}-(?:AM|PM)"
 HEADER_TIME = r"Exam Time\s*(\d{1,2}):(\d{2})\s*(AM|PM)"
-HEADER_DATE = r"Exam Date\s*(\d{2})/(\d{2})/(\d{4})"
+HEADER_DATE = r"Exam Date\s*(\d{2}/\d{2}/\d{4})"
 COPY_SUFFIX = r" \(\d+\)(?=\.pdf$)"
 ASSET_PREFIX = "data/questions/assets/"
+#: White space of any script, and the separators 1c to 1f.
+WHITE = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(c: Column) -> Column:
     """Without white space of any script at either end."""
-    return F.regexp_replace(c, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.trim(c, F.lit(WHITE))
+
+
+def has_chars(c: Column, n: int) -> Column:
+    """Whether n characters or more (2 at least) are left of it when stripped; a long text isn't read to its end."""
+    return c.rlike(f"(?s)[^{WHITE}].{{{n - 2},}}?[^{WHITE}]")
 
 
 def plain_spaces(c: Column) -> Column:
@@ -52,11 +59,12 @@ def file_slot(name: Column) -> Column:
 
 
 def header_date(text: Column) -> Column:
-    return F.when(text.rlike(HEADER_DATE), F.concat_ws(".", *[_group(text, HEADER_DATE, i) for i in (1, 2, 3)]))
+    return F.nullif(F.replace(_group(text, HEADER_DATE, 1), F.lit("/"), F.lit(".")), F.lit(""))
 
 
 def header_slot(text: Column) -> Column:
-    return F.when(text.rlike(HEADER_TIME), to_hhmm(F.nullif(_group(text, HEADER_TIME, 1), F.lit("")), _group(text, HEADER_TIME, 2), _group(text, HEADER_TIME, 3)))
+    found = _group(text, HEADER_TIME, 0)
+    return F.when(found != "", to_hhmm(F.nullif(_group(found, HEADER_TIME, 1), F.lit("")), _group(found, HEADER_TIME, 2), _group(found, HEADER_TIME, 3)))
 
 
 def base_name(name: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quizlake.functions import scalars as S
 from quizlake.operators.ordered import filled
 from quizlake.sources.readers import document_text
-from quizlake.sources.scratch import materialize
+from quizlake.sources.scratch import materialize_counted, small_tasks
 
 # Fixed values of the acceptance rules.
 QUESTIONS_PER_SHEET = 100
@@ -17,6 +17,9 @@ CLIPPED_X1 = 540
 AD_PAGE_CHARS = 20
 KNOWN_SECTIONS = ["ENGLISH", "GA", "QUANT", "REASONING"]
 
+#: Events that a task sorts.
+EVENTS_PER_TASK = 200_000
+
 
 def dedup_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, duplicates) of rows (name, sha256, others): an original name comes before its browser copies.
@@ -31,34 +34,43 @@ def dedup_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def events(spans: DataFrame) -> DataFrame:
-    """file, page, y0, x0, kind, value of every line that says something, and of every marked answer span."""
-    line = spans.groupBy("file", "page_no", "line_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda x: x["text"]), "").alias("raw"),
-        F.first("line_x0").alias("x0"), F.first("line_y0").alias("y0"), F.first("line_x1").alias("x1"),
-    )
-    plain = S.plain_spaces(F.col("raw"))
-    line = line.where(plain.contains("Section :") | plain.contains("Q.") | plain.contains("Question ID"))  # half the lines need no pattern
-    line = line.withColumn("text", S.strip(plain))
+    """file, page, y0, x0, kind, value of every line that says something, and of every marked answer span.
+
+    The spans of a page are gathered in one row, as its text is one, and read once for both.
+    """
+    span = lambda marked, *c: F.struct("line_no", "span_no", "text", *[F.col(x).cast("double").alias(y) for x, y in zip(c, ("y0", "x0", "x1"), strict=True)], F.lit(marked).alias("marked"))
+    green = S.is_green(F.col("color")) & F.col("text").rlike(r"(?U)^[\s\x1c-\x1f]*[1-4]\.")
+    mark = F.struct(span(True, "span_y0", "span_x0", "line_x1").alias("first"), F.col("text").alias("raw"))
+    page = spans.groupBy("file", "page_no").agg(F.sort_array(F.collect_list(span(False, "line_y0", "line_x0", "line_x1"))).alias("s"), F.collect_list(F.when(green, mark)).alias("marks"))
+    begins = lambda x, i: ~F.get("s", i - 1)["line_no"].eqNullSafe(x["line_no"])
+    said = lambda x: F.coalesce(F.replace(x["text"], F.lit("\0"), F.lit("\0.")), F.lit(""))
+    # a page's lines as one text with a cut between two of them, which no span holds as its own zeros have a point behind them
+    cut = F.array_join(F.transform("s", lambda x, i: F.when((i > 0) & begins(x, i), F.concat(F.lit("\0\n"), said(x))).otherwise(said(x))), "")
+    page = page.select("file", "page_no", "marks", F.filter("s", lambda x, i: (i == 0) | begins(x, i)).alias("first"), F.split(cut, "\0\n").alias("raw"))
+    found = page.select("file", "page_no", F.inline(F.concat(F.arrays_zip("first", "raw"), "marks")))
+    found = found.where(F.col("first.marked") | F.col("raw").contains("Q") | F.col("raw").contains("Section"))  # half the lines need no pattern
+    found = found.select("file", "page_no", "first.y0", "first.x0", "first.x1", "first.marked", F.when(F.col("first.marked"), F.col("raw")).otherwise(F.replace("raw", F.lit("\0."), F.lit("\0"))).alias("raw"))
     t = F.col("text")
-    kind = F.when(t.startswith("Section :"), "section").when(t.rlike(r"^Q\.\d+"), "label").when(t.rlike(S.QUESTION_ID), F.when(F.col("x1") > CLIPPED_X1, "clipped").otherwise("qid"))
-    value = F.when(t.startswith("Section :"), S.strip(F.expr("substr(text, locate(':', text) + 1)"))).when(t.rlike(r"^Q\.\d+"), t).otherwise(F.regexp_extract(t, S.QUESTION_ID, 1))
-    of_lines = line.withColumn("kind", kind).withColumn("value", value).where("kind is not null").select("file", "page_no", "y0", "x0", "kind", "value")
-    marked = spans.where(F.col("text").rlike(r"(?U)^[\s\x1c-\x1f]*[1-4]\.") & S.is_green(F.col("color")))
-    return of_lines.unionByName(marked.select("file", "page_no", F.col("span_y0").alias("y0"), F.col("span_x0").alias("x0"), F.lit("answer").alias("kind"), F.col("text").alias("value")))
+    found = found.withColumn("text", S.strip(S.plain_spaces(F.col("raw")))).withColumn("id", F.when(t.contains("Question ID"), F.regexp_extract(t, S.QUESTION_ID, 1)))
+    kind = F.when(F.col("marked"), "answer").when(t.startswith("Section :"), "section").when(t.startswith("Q.") & t.rlike(r"^Q\.\d+"), "label").when(F.col("id") != "", F.when(F.col("x1") > CLIPPED_X1, "clipped").otherwise("qid"))
+    value = F.when(F.col("kind") == "answer", F.col("raw")).when(F.col("kind") == "section", S.strip(F.expr("substr(text, locate(':', text) + 1)"))).when(F.col("kind") == "label", t).otherwise(F.col("id"))
+    return found.withColumn("kind", kind).where("kind is not null").select("file", "page_no", "y0", "x0", "kind", value.alias("value"))
 
 
 def with_section(ev: DataFrame) -> DataFrame:
     """Each event with its place in the file and the section in force there: the last header before it in layout order."""
     code = F.when(F.col("kind") == "section", S.section_code(F.col("value")))
-    ev = materialize(ev, "events")  # else a range sort makes them once to sample them and once to deal them
-    return filled(ev, "file", ["page_no", "y0", "x0", "kind", "value"], code, "section")
+    with small_tasks(ev.sparkSession):
+        ev, n = materialize_counted(ev, "events", {"rows": F.lit(True)})  # else they would be made again to find what a page carries on to the next
+    tasks = max(-(-n["rows"] // EVENTS_PER_TASK), ev.sparkSession.sparkContext.defaultParallelism)
+    return filled(ev, "file", ["page_no", "y0", "x0", "kind", "value"], code, "section", "page_no", tasks)
 
 
 def _by_section(ev: DataFrame, *more: Column) -> DataFrame:
     """Counts of each section of a file and of what is before its first one, and more."""
     k = F.col("kind")
     n = lambda kind: F.count_if(k == kind).cast("int")
-    return ev.groupBy("file", "section").agg(F.min("place").alias("p"), n("answer").alias("questions"), n("qid").alias("qids"), n("label").alias("labels"), *more)
+    return ev.groupBy(F.xxhash64("file", "section").alias("_hash"), "file", "section").agg(F.min("place").alias("p"), n("answer").alias("questions"), n("qid").alias("qids"), n("label").alias("labels"), *more)
 
 
 def _sections() -> Column:
@@ -79,7 +91,7 @@ def scan(docs: DataFrame, pages: DataFrame, spans: DataFrame) -> DataFrame:
     found = _by_section(ev, listed("qid").alias("ids"), listed("clipped").alias("clipped")).groupBy("file").agg(in_order("ids").alias("qids"), in_order("clipped").alias("clipped_qids"), _sections().alias("sections"))
     clean = pages.withColumn("text", S.plain_spaces(F.col("text")))
     t = F.col("text")
-    ad = F.when(F.length(S.strip(t)) < AD_PAGE_CHARS, F.col("page_no"))
+    ad = F.when(~S.has_chars(t, AD_PAGE_CHARS), F.col("page_no"))
     text = document_text(clean, F.array_sort(F.collect_list(ad)).alias("ad_pages")).select(
         "file", "ad_pages", t.contains(S.HEADER).alias("header"), S.header_date(t).alias("header_date"), S.header_slot(t).alias("header_hhmm"),
         F.regexp_count(t, F.lit(r"Option [1-4] ID\s*:\s*\d+")).alias("option_ids"), F.regexp_count(t, F.lit(r"Status\s*:")).alias("statuses"), F.regexp_count(t, F.lit(r"Chosen Option\s*:")).alias("chosen"),

@@ -29,15 +29,26 @@ def numbered(df: DataFrame, order: list[str | Column]) -> DataFrame:
     return rows.join(F.broadcast(sizes.select("seg", before.alias("_before"))), "seg").withColumn("row", F.col("_before") + F.col("at")).drop("seg", "at", "_before")
 
 
-def filled(df: DataFrame, group: str, order: list[str | Column], value: Column, name: str) -> DataFrame:
+def filled(df: DataFrame, group: str, order: list[str | Column], value: Column, name: str, part: str | None = None, tasks: int = 1) -> DataFrame:
     """df with place (the row's number from 1 in its group) and ``name``: the last value that isn't null up to the row in its
-    group. A group of any size is filled by as many tasks as it has segments."""
-    rows = segments(df, [group, *order]).withColumn("_value", value)
-    here = Window.partitionBy("seg", group).orderBy("at")
-    last = F.max_by(F.col("_value"), F.when(F.col("_value").isNotNull(), F.col("at")))
-    ends = rows.groupBy("seg", group).agg(F.count("*").alias("n"), last.alias("last"))  # a row for each group, and one more for each further segment
+    group. A group of any size is filled by as many tasks as it has segments.
+
+    part: the whole number that leads the order, if a group's rows of one such number fit a task. Then these are the segments, dealt
+    over so many tasks by a hash, and no range sort samples, deals and writes the rows beforehand.
+    """
+    if part is None:
+        rows, order, key = segments(df, [group, *order]), ["at"], ["seg", group]
+    else:
+        seg = F.coalesce(part, F.lit(-(1 << 31)))  # null comes first in the order, too
+        key = ["_hash", group, "seg"]  # names that begin alike are slow to sort by, so their hash comes first
+        rows = df.withColumns({"seg": seg, "_hash": F.xxhash64(group, seg)})
+    rows = rows.withColumn("_value", value)
+    here = Window.partitionBy(*key).orderBy(*order)
+    last = rows.where("_value is not null").groupBy(*key).agg(F.max_by("_value", F.struct(*order)).alias("last"))
+    ends = rows.groupBy(*key).agg(F.count("*").alias("n")).join(last, key, "left")  # a row for each group and segment
     earlier = Window.partitionBy(group).orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("seg", group, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"), F.last("last", ignorenulls=True).over(earlier).alias("_carried"))
-    own = rows.withColumns({"_n": F.row_number().over(here), "_own": F.last("_value", ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0))})
-    out = own.join(carried, ["seg", group])
+    carried = ends.select(*key, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"), F.last("last", ignorenulls=True).over(earlier).alias("_carried"))
+    dealt = rows if part is None else rows.repartition(tasks, *key)
+    own = dealt.withColumns({"_n": F.row_number().over(here), "_own": F.last("_value", ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0))})
+    out = own.join(carried, key)
     return out.select(*df.columns, (F.col("_before") + F.col("_n")).alias("place"), F.coalesce("_own", "_carried").alias(name))

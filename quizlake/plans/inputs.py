@@ -86,14 +86,16 @@ REVIEWS = {
 }
 
 
-#: A supplier's row becomes some 600 of spans and pages, so tasks share the suppliers and not their bytes.
-SUPPLIERS_PER_TASK = 500
+#: A supplier's row becomes some 600 of spans and pages, so tasks share the suppliers and not their bytes: beyond so many in all, and
+#: so many to a task at most, as each task of a shuffle writes a piece for each of the next.
+SUPPLIERS_OF_ONE_TASK = 500
+SUPPLIERS_PER_TASK = 2000
 
 
 def _dealt(df: DataFrame) -> DataFrame:
     """The suppliers over as many tasks as there are cores, and more where there are many; a file of them is one split."""
-    n = -(-df.count() // SUPPLIERS_PER_TASK)  # of the files' footers
-    return df if n < 2 else df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), F.col("s_suppkey"))
+    n = df.count()  # of the files' footers
+    return df if n <= SUPPLIERS_OF_ONE_TASK else df.repartition(max(-(-n // SUPPLIERS_PER_TASK), df.sparkSession.sparkContext.defaultParallelism), F.col("s_suppkey"))
 
 
 def rows(spark: SparkSession, d: str, sql: str) -> DataFrame:

@@ -68,6 +68,18 @@ def shuffles_dropped(spark: SparkSession):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+@contextmanager
+def small_tasks(spark: SparkSession):
+    """Tasks of jobs that begin in here read 8 MB of a shuffle at most, unless one key has more: for rows that take many times their bytes."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "8m")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def at_once(*work: Callable[[], object]) -> list:
     """Runs jobs that don't wait for each other side by side; all have ended when the first failure is raised."""
     with ThreadPoolExecutor(len(work)) as pool:
