@@ -17,8 +17,9 @@ CLIPPED_X1 = 540
 AD_PAGE_CHARS = 20
 KNOWN_SECTIONS = ["ENGLISH", "GA", "QUANT", "REASONING"]
 
-#: Events that a task sorts.
+#: Events that a task sorts, and by what.
 EVENTS_PER_TASK = 200_000
+LAYOUT = ["page_no", "y0", "x0", "kind", "value"]
 
 
 def dedup_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -34,61 +35,75 @@ def dedup_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def events(spans: DataFrame) -> DataFrame:
-    """file, page, y0, x0, kind, value of every line that says something, and of every marked answer span.
+    """file, page, y0, x0, kind, value of every line that says something, and of every marked answer span; and at, the event's place
+    in its page in layout order, and head, the last section header of its page up to there.
 
-    The spans of a page are gathered in one row, as its text is one, and read once for both.
+    The spans of a page are gathered in one row, as its text is one, and read once for all of this.
     """
-    span = lambda marked, *c: F.struct("line_no", "span_no", "text", *[F.col(x).cast("double").alias(y) for x, y in zip(c, ("y0", "x0", "x1"), strict=True)], F.lit(marked).alias("marked"))
+    number = lambda c, name: F.col(c).cast("double").alias(name)
+    event = lambda y0, x0, kind, value: F.struct(y0.alias("y0"), x0.alias("x0"), kind.alias("kind"), value.alias("value"))
     green = S.is_green(F.col("color")) & F.col("text").rlike(r"(?U)^[\s\x1c-\x1f]*[1-4]\.")
-    mark = F.struct(span(True, "span_y0", "span_x0", "line_x1").alias("first"), F.col("text").alias("raw"))
-    page = spans.groupBy("file", "page_no").agg(F.sort_array(F.collect_list(span(False, "line_y0", "line_x0", "line_x1"))).alias("s"), F.collect_list(F.when(green, mark)).alias("marks"))
+    span = F.struct("line_no", "span_no", "text", number("line_y0", "y0"), number("line_x0", "x0"), number("line_x1", "x1"))
+    mark = event(number("span_y0", "y0"), number("span_x0", "x0"), F.lit("answer"), F.col("text"))
+    page = spans.groupBy("file", "page_no").agg(F.sort_array(F.collect_list(span)).alias("s"), F.collect_list(F.when(green, mark)).alias("marks"))
     begins = lambda x, i: ~F.get("s", i - 1)["line_no"].eqNullSafe(x["line_no"])
     said = lambda x: F.coalesce(F.replace(x["text"], F.lit("\0"), F.lit("\0.")), F.lit(""))
     # a page's lines as one text with a cut between two of them, which no span holds as its own zeros have a point behind them
     cut = F.array_join(F.transform("s", lambda x, i: F.when((i > 0) & begins(x, i), F.concat(F.lit("\0\n"), said(x))).otherwise(said(x))), "")
     page = page.select("file", "page_no", "marks", F.filter("s", lambda x, i: (i == 0) | begins(x, i)).alias("first"), F.split(cut, "\0\n").alias("raw"))
-    found = page.select("file", "page_no", F.inline(F.concat(F.arrays_zip("first", "raw"), "marks")))
-    found = found.where(F.col("first.marked") | F.col("raw").contains("Q") | F.col("raw").contains("Section"))  # half the lines need no pattern
-    found = found.select("file", "page_no", "first.y0", "first.x0", "first.x1", "first.marked", F.when(F.col("first.marked"), F.col("raw")).otherwise(F.replace("raw", F.lit("\0."), F.lit("\0"))).alias("raw"))
-    t = F.col("text")
-    found = found.withColumn("text", S.strip(S.plain_spaces(F.col("raw")))).withColumn("id", F.when(t.contains("Question ID"), F.regexp_extract(t, S.QUESTION_ID, 1)))
-    kind = F.when(F.col("marked"), "answer").when(t.startswith("Section :"), "section").when(t.startswith("Q.") & t.rlike(r"^Q\.\d+"), "label").when(F.col("id") != "", F.when(F.col("x1") > CLIPPED_X1, "clipped").otherwise("qid"))
-    value = F.when(F.col("kind") == "answer", F.col("raw")).when(F.col("kind") == "section", S.strip(F.expr("substr(text, locate(':', text) + 1)"))).when(F.col("kind") == "label", t).otherwise(F.col("id"))
-    return found.withColumn("kind", kind).where("kind is not null").select("file", "page_no", "y0", "x0", "kind", value.alias("value"))
+    # arrays beside each other, as a struct for each step costs more than the step; half the lines need no pattern
+    said = lambda x: S.strip(S.plain_spaces(F.replace(x, F.lit("\0."), F.lit("\0"))))
+    page = page.select("file", "page_no", "marks", "first", F.transform("raw", lambda x: F.when(x.contains("Q") | x.contains("Section"), said(x))).alias("text"))
+    page = page.withColumn("id", F.transform("text", lambda t: F.when(t.contains("Question ID"), F.regexp_extract(t, S.QUESTION_ID, 1))))
+    title = lambda t: S.strip(F.substring(t, F.lit(len("Section :") + 1), F.length(t)))
+    line = lambda i, kind, value: event(F.get("first", i)["y0"], F.get("first", i)["x0"], kind, value)
+    clipped = lambda i: F.when(F.get("first", i)["x1"] > CLIPPED_X1, "clipped").otherwise("qid")
+    found = F.transform("text", lambda t, i: F.when(t.startswith("Section :"), line(i, F.lit("section"), title(t))).when(t.startswith("Q.") & t.rlike(r"^Q\.\d+"), line(i, F.lit("label"), t)).when(F.get("id", i) != "", line(i, clipped(i), F.get("id", i))))
+    page = page.select("file", "page_no", F.sort_array(F.concat(F.filter(found, lambda x: x.isNotNull()), "marks")).alias("e"))
+    # the page's events are cut at its headers, and those before the first one have none
+    headers = F.filter(F.transform("e", lambda x, i: F.when(x["kind"] == "section", F.struct(i.alias("i"), S.section_code(x["value"]).alias("head")))), lambda x: x.isNotNull())
+    page = page.withColumn("runs", F.concat(F.array(F.struct(F.lit(0).alias("i"), F.lit(None).cast("string").alias("head"))), headers))
+    run = lambda r, j: F.slice("e", r["i"] + 1, F.coalesce(F.get("runs", j + 1)["i"], F.size("e")) - r["i"])
+    runs = page.select("file", "page_no", F.inline(F.transform("runs", lambda r, j: F.struct(r["i"].alias("i"), r["head"].alias("head"), run(r, j).alias("e")))))
+    return runs.select("file", "page_no", "i", "head", F.posexplode("e").alias("k", "x")).select("file", "page_no", "x.*", (F.col("i") + F.col("k") + 1).alias("at"), "head")
+
+
+def _written(ev: DataFrame) -> tuple[DataFrame, int]:
+    """Events written once, else they would be made again to find what a page carries on to the next; and tasks to sort them by."""
+    with small_tasks(ev.sparkSession):
+        ev, n = materialize_counted(ev, "events", {"rows": F.lit(True)})
+    return ev, max(-(-n["rows"] // EVENTS_PER_TASK), ev.sparkSession.sparkContext.defaultParallelism)
 
 
 def with_section(ev: DataFrame) -> DataFrame:
     """Each event with its place in the file and the section in force there: the last header before it in layout order."""
-    code = F.when(F.col("kind") == "section", S.section_code(F.col("value")))
-    with small_tasks(ev.sparkSession):
-        ev, n = materialize_counted(ev, "events", {"rows": F.lit(True)})  # else they would be made again to find what a page carries on to the next
-    tasks = max(-(-n["rows"] // EVENTS_PER_TASK), ev.sparkSession.sparkContext.defaultParallelism)
-    return filled(ev, "file", ["page_no", "y0", "x0", "kind", "value"], code, "section", "page_no", tasks)
+    ev, tasks = _written(ev)
+    if "at" in ev.columns:
+        return filled(ev, "file", LAYOUT, F.col("head"), "section", "page_no", tasks, "at").drop("at", "head")
+    return filled(ev, "file", LAYOUT, F.when(F.col("kind") == "section", S.section_code(F.col("value"))), "section", "page_no", tasks)
 
 
-def _by_section(ev: DataFrame, *more: Column) -> DataFrame:
-    """Counts of each section of a file and of what is before its first one, and more."""
-    k = F.col("kind")
-    n = lambda kind: F.count_if(k == kind).cast("int")
-    return ev.groupBy(F.xxhash64("file", "section").alias("_hash"), "file", "section").agg(F.min("place").alias("p"), n("answer").alias("questions"), n("qid").alias("qids"), n("label").alias("labels"), *more)
+def _counted() -> list[Column]:
+    return [F.count_if(F.col("kind") == kind).cast("int").alias(name) for kind, name in (("answer", "questions"), ("qid", "qids"), ("label", "labels"))]
 
 
 def _sections() -> Column:
-    found = F.collect_list(F.when(F.col("section").isNotNull(), F.struct("p", "section", "questions", "qids", "labels")))
+    found = F.collect_list(F.when(F.col("section").isNotNull(), F.struct("place", "section", "questions", "qids", "labels")))
     return F.map_from_entries(F.transform(F.array_sort(found), lambda x: F.struct(x["section"], F.struct(x["questions"].alias("questions"), x["qids"].alias("qids"), x["labels"].alias("labels")))))
 
 
 def section_counts(ev: DataFrame) -> DataFrame:
     """file, sections: counts by section, an empty section included, in the order of first appearance."""
-    return _by_section(ev.where("section is not null")).groupBy("file").agg(_sections().alias("sections"))
+    counts = ev.where("section is not null").groupBy(F.xxhash64("file", "section").alias("_hash"), "file", "section").agg(F.min("place").alias("place"), *_counted())
+    return counts.groupBy("file").agg(_sections().alias("sections"))
 
 
 def scan(docs: DataFrame, pages: DataFrame, spans: DataFrame) -> DataFrame:
     """One row for each file with all that the rules look at."""
-    ev = with_section(events(spans))
-    listed = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("place", "value")))
-    in_order = lambda c: F.transform(F.array_sort(F.flatten(F.collect_list(c))), lambda x: x["value"])
-    found = _by_section(ev, listed("qid").alias("ids"), listed("clipped").alias("clipped")).groupBy("file").agg(in_order("ids").alias("qids"), in_order("clipped").alias("clipped_qids"), _sections().alias("sections"))
+    ev, tasks = _written(events(spans))
+    sections = filled(ev, "file", LAYOUT, F.col("head"), "section", "page_no", tasks, "at", _counted()).groupBy("file").agg(_sections().alias("sections"))
+    listed = lambda kind: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("page_no", "at", "value")))), lambda x: x["value"])
+    ids = ev.where("kind in ('qid', 'clipped')").groupBy(F.xxhash64("file").alias("_hash"), "file").agg(listed("qid").alias("qids"), listed("clipped").alias("clipped_qids")).drop("_hash")
     clean = pages.withColumn("text", S.plain_spaces(F.col("text")))
     t = F.col("text")
     ad = F.when(~S.has_chars(t, AD_PAGE_CHARS), F.col("page_no"))
@@ -96,7 +111,7 @@ def scan(docs: DataFrame, pages: DataFrame, spans: DataFrame) -> DataFrame:
         "file", "ad_pages", t.contains(S.HEADER).alias("header"), S.header_date(t).alias("header_date"), S.header_slot(t).alias("header_hhmm"),
         F.regexp_count(t, F.lit(r"Option [1-4] ID\s*:\s*\d+")).alias("option_ids"), F.regexp_count(t, F.lit(r"Status\s*:")).alias("statuses"), F.regexp_count(t, F.lit(r"Chosen Option\s*:")).alias("chosen"),
     )
-    out = docs.join(text, "file", "left").join(found, "file", "left")
+    out = docs.join(text, "file", "left").join(sections, "file", "left").join(ids, "file", "left")
     none = F.array().cast("array<string>")
     return out.select(
         "file", "sha256", F.col("page_count").alias("pages"), F.coalesce("producer", F.lit("")).alias("producer"), "annotations", F.coalesce("header", F.lit(False)).alias("header"), "header_date", "header_hhmm", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("option_ids", "statuses", "chosen")],

@@ -29,13 +29,17 @@ def numbered(df: DataFrame, order: list[str | Column]) -> DataFrame:
     return rows.join(F.broadcast(sizes.select("seg", before.alias("_before"))), "seg").withColumn("row", F.col("_before") + F.col("at")).drop("seg", "at", "_before")
 
 
-def filled(df: DataFrame, group: str, order: list[str | Column], value: Column, name: str, part: str | None = None, tasks: int = 1) -> DataFrame:
+def filled(df: DataFrame, group: str, order: list[str | Column], value: Column, name: str, part: str | None = None, tasks: int = 1, at: str | None = None, totals: list[Column] | None = None) -> DataFrame:
     """df with place (the row's number from 1 in its group) and ``name``: the last value that isn't null up to the row in its
     group. A group of any size is filled by as many tasks as it has segments.
 
     part: the whole number that leads the order, if a group's rows of one such number fit a task. Then these are the segments, dealt
     over so many tasks by a hash, and no range sort samples, deals and writes the rows beforehand.
+    at: the row's place from 1 in its part, where value is filled within parts already; then no row is sorted.
+    totals: sums and counts, by name; then a row for each group and ``name`` with the first place and these, and no row is dealt.
     """
+    if at is not None:
+        return _filled_parts(df, group, value, name, part, at, totals)
     if part is None:
         rows, order, key = segments(df, [group, *order]), ["at"], ["seg", group]
     else:
@@ -52,3 +56,19 @@ def filled(df: DataFrame, group: str, order: list[str | Column], value: Column,
     own = dealt.withColumns({"_n": F.row_number().over(here), "_own": F.last("_value", ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0))})
     out = own.join(carried, key)
     return out.select(*df.columns, (F.col("_before") + F.col("_n")).alias("place"), F.coalesce("_own", "_carried").alias(name))
+
+
+def _filled_parts(df: DataFrame, group: str, value: Column, name: str, part: str, at: str, totals: list[Column] | None) -> DataFrame:
+    seg = F.coalesce(F.col(part).cast("long"), F.lit(-(1 << 31) - 1))  # null comes first in the order
+    rows = df.withColumns({"_seg": seg, "_value": value})
+    key = [group, "_seg", "_value"]
+    runs = rows.groupBy(*key).agg(F.count("*").alias("_n"), F.min(at).alias("_first"), F.max(at).alias("_last"), *(totals or []))
+    earlier = Window.partitionBy(group).orderBy("_seg").rangeBetween(Window.unboundedPreceding, -1)
+    here = Window.partitionBy(group).orderBy("_seg", "_last").rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.withColumns({"_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), name: F.last("_value", ignorenulls=True).over(here)})
+    if totals is not None:
+        own = [c for c in runs.columns if c not in (*key, "_n", "_first", "_last", "_before", name)]
+        return runs.groupBy(group, name).agg(F.min(F.col("_before") + F.col("_first")).alias("place"), *[F.sum(c).cast(runs.schema[c].dataType).alias(c) for c in own])
+    runs = runs.select(*[F.col(c).alias(f"{c}_") for c in key], "_before", name)
+    same = (F.col(group) == F.col(f"{group}_")) & (F.col("_seg") == F.col("_seg_")) & F.col("_value").eqNullSafe(F.col("_value_"))
+    return rows.join(runs, same).select(*df.columns, (F.col("_before") + F.col(at)).alias("place"), name)

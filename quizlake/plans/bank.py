@@ -106,7 +106,7 @@ def _excluded(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_EVENTS)
 def sheet_events(spark, d):
-    return intake.events(I.rows(spark, d, I.SPANS))
+    return intake.events(I.rows(spark, d, I.SPANS)).drop("at", "head")
 
 
 @query(f"SELECT file, CAST(place AS INTEGER) AS place, kind, value, section FROM ({_PLACED})")
